@@ -159,11 +159,11 @@ def _feature_select(source: str, columns=FEATURES, extra: str = "customer_id, or
 def table_queries() -> dict[str, str]:
     """Sources, KPIs, KPI tables and features."""
     from shoplens.sources.catalog import TABLES
-    from shoplens.plans.registry import table_columns
 
     inventory = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST({table_columns(t)} AS INTEGER) AS n_columns FROM {t}"
-        for t in TABLES)
+        f"""SELECT '{t}' AS table_name, count(*) AS n_rows,
+            (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns
+            FROM {t}""" for t in TABLES)
     late_months = f"""
         SELECT strftime(order_purchase_timestamp, '%Y-%m') AS purchase_month,
                CASE WHEN d < 3 THEN 'No Delay' WHEN d <= 4 THEN '3-4 days' WHEN d <= 5 THEN '4-5 days'
@@ -207,6 +207,255 @@ def table_queries() -> dict[str, str]:
     }
 
 
+CONTINUOUS = ("recency_days", "monetary", "avg_review_score", "avg_delivery_time")
+COUNTS = ("review_count", "unique_categories", "frequency", "unique_sellers")
+FLAG = "has_negative_flag"
+
+
+def _union(parts) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _long(source: str, columns=FEATURES, keys: str = "") -> str:
+    return _union(f"""SELECT {keys} '{c}' AS feature, CAST("{c}" AS DOUBLE) AS value FROM {source}
+                      WHERE "{c}" IS NOT NULL""" for c in columns)
+
+
+BLOCKS["features_long"] = _long("features")
+
+BLOCKS["limit_base"] = """
+    SELECT feature, avg(value) AS m, stddev_samp(value) AS s, min(value) AS lo, max(value) AS hi,
+           quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.25) AS q25,
+           quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.99) AS q99
+    FROM features_long GROUP BY feature"""
+
+RULES = {
+    "Z-score (±3)": ("m - 3 * s", "m + 3 * s"),
+    "IQR 1.5": ("q25 - 1.5 * (q75 - q25)", "q75 + 1.5 * (q75 - q25)"),
+    "Z-score (±2)": ("m - 2 * s", "m + 2 * s"),
+    "Quantile 1-99": ("q01", "q99"),
+    "Quantile 5-95": ("q05", "q95"),
+    "Full Range": ("lo", "hi"),
+}
+
+BLOCKS["rule_limits"] = _union(
+    f"SELECT '{name}' AS method, feature, {lo} AS lower_bound, {hi} AS upper_bound FROM limit_base"
+    for name, (lo, hi) in RULES.items())
+
+_OUTSIDE = "(value < lower_bound OR value > upper_bound)"
+_INSIDE = "CASE WHEN value BETWEEN lower_bound AND upper_bound THEN value END"
+
+
+def _skew(value: str) -> str:
+    return f"""CASE WHEN count({value}) < 3 THEN NULL WHEN max({value}) = min({value}) THEN 0.0
+                    ELSE skewness({value}) END"""
+
+
+BLOCKS["outlier_stats"] = f"""
+    SELECT method, feature, lower_bound, upper_bound, count(*) AS n,
+           count(*) FILTER (WHERE value < lower_bound) AS below_min,
+           count(*) FILTER (WHERE value > upper_bound) AS above_max,
+           count(*) FILTER (WHERE {_OUTSIDE}) AS outlier_count,
+           min(value) FILTER (WHERE value < lower_bound) AS extreme_min,
+           max(value) FILTER (WHERE value > upper_bound) AS extreme_max,
+           avg(value) AS mean_with, stddev_samp(value) AS std_with, median(value) AS median_with,
+           avg({_INSIDE}) AS mean_without, stddev_samp({_INSIDE}) AS std_without,
+           median({_INSIDE}) AS median_without, {_skew('value')} AS skewness
+    FROM features_long JOIN rule_limits USING (feature) GROUP BY method, feature, lower_bound, upper_bound"""
+
+
+def _z3_select(source: str, columns) -> str:
+    kept = [c for c in FEATURES if c not in columns]
+    limits = ", ".join(f"avg({c}) - 3 * stddev_samp({c}) AS lo_{c}, avg({c}) + 3 * stddev_samp({c}) AS hi_{c}"
+                       for c in columns)
+    cleaned = ", ".join(f"CASE WHEN {c} BETWEEN lo_{c} AND hi_{c} THEN {c} END AS {c}" for c in columns)
+    keep = "".join(f", {c}" for c in kept)
+    return f"""SELECT customer_id, order_purchase_timestamp{keep}, {cleaned}
+               FROM {source}, (SELECT {limits} FROM {source})"""
+
+
+BLOCKS["cleaned"] = _z3_select("features", FEATURES)
+BLOCKS["hybrid"] = _z3_select("features", CONTINUOUS)
+
+
+def _binned(source: str, bins: str) -> str:
+    """Bins per feature; ``bins`` is an expression over the number of values ``total``."""
+    return f"""
+        layout AS (SELECT feature, total, bins, mean, std, lo, (hi - lo) / bins AS width FROM (
+            SELECT feature, count(*) AS total, avg(value) AS mean, stddev_samp(value) AS std,
+                   CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+                   CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi,
+                   CAST({bins.format(total='count(*)')} AS INTEGER) AS bins
+            FROM ({_long(source)}) GROUP BY feature)),
+        placed AS (SELECT feature, CASE WHEN value < lo + b * width THEN b - 1
+                               WHEN value >= lo + (b + 1) * width AND b < bins - 1 THEN b + 1 ELSE b END AS bin
+            FROM (SELECT feature, value, lo, width, bins,
+                         least(CAST(floor((value - lo) / width) AS INTEGER), bins - 1) AS b
+                  FROM ({_long(source)}) JOIN layout USING (feature))),
+        grid AS (SELECT layout.*, CAST(unnest(range(bins)) AS INTEGER) AS bin FROM layout),
+        binned AS (SELECT g.feature, g.bin, lo + g.bin * width AS bin_start, lo + (g.bin + 1) * width AS bin_end,
+                          count(p.bin) AS n, any_value(total) AS total, any_value(width) AS width,
+                          any_value(mean) AS mean, any_value(std) AS std
+                   FROM grid g LEFT JOIN placed p ON g.feature = p.feature AND g.bin = p.bin
+                   GROUP BY g.feature, g.bin, lo, width)"""
+
+
+def _with_local(local: str, final: str) -> str:
+    """Query whose own helper tables follow the shared blocks."""
+    text = _sql(f"SELECT * FROM ({final}) -- {' '.join(re.findall(chr(92) + 'w+', local))}")
+    text = text[: text.rindex(" -- ")]
+    head, tail = text.rsplit("\nSELECT * FROM (", 1)
+    return f"{head},\n{local}\nSELECT * FROM ({tail}"
+
+
+def profiling_queries() -> dict[str, str]:
+    pairs = [(a, b) for a in FEATURES for b in FEATURES]
+
+    def correlation(a, b):
+        if a == b:
+            return f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END"
+        both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        return (f"CASE WHEN stddev_pop({a}) {both} > 0 AND stddev_pop({b}) {both} > 0 "
+                f"THEN corr({a}, {b}) END")
+
+    matrix = _union(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, CAST({correlation(a, b)} AS DOUBLE) AS v FROM hybrid"
+                    for a, b in pairs)
+    triangle = _union(
+        f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {correlation(a, b)} AS v FROM hybrid"
+        for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i > j)
+    sturges = "least(50, greatest(10, ceil(log2({total})) + 1))"
+    density = f"""
+        SELECT feature, bin, {r4('(bin_start + bin_end) / 2')} AS bin_center, n,
+               {r4('n / (total * width)')} AS density,
+               CASE WHEN std > 0 THEN {r4('exp(-pow(((bin_start + bin_end) / 2 - mean) / std, 2) / 2) / (std * sqrt(2 * pi()))')}
+               END AS normal_density FROM binned"""
+    rules = {"outliers_z3": "Z-score (±3)", "outliers_iqr": "IQR 1.5", "outliers_z2": "Z-score (±2)",
+             "outliers_q01_q99": "Quantile 1-99", "outliers_q05_q95": "Quantile 5-95",
+             "outliers_full_range": "Full Range"}
+    texts = {
+        "correlation_matrix": _sql(f"SELECT feature_x, feature_y, {r4('v')} AS correlation FROM ({matrix})"),
+        "correlation_lower_triangle": _sql(
+            f"SELECT feature_x, feature_y, {r4('v')} AS correlation, round(v, 2) AS label FROM ({triangle})"),
+        "feature_histograms": _with_local(_binned("features", "20"), f"""
+            SELECT feature, bin, {r4('bin_start')} AS bin_start, {r4('bin_end')} AS bin_end, n FROM binned"""),
+        "density_histogram": _with_local(_binned("cleaned", sturges), density),
+        "feature_box_stats": _sql(f"""
+            SELECT feature, n, {r4('q1')} AS q1, {r4('q2')} AS median, {r4('q3')} AS q3,
+                   {r4('greatest(lo, q1 - 1.5 * (q3 - q1))')} AS whisker_low,
+                   {r4('least(hi, q3 + 1.5 * (q3 - q1))')} AS whisker_high, {r4('m')} AS mean
+            FROM (SELECT feature, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+                         quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi, avg(value) AS m
+                  FROM features_long GROUP BY feature)"""),
+        "column_summary": _sql(f"""
+            SELECT feature, {r4(_skew('value'))} AS skewness, {r4('avg(value)')} AS mean,
+                   {r4('median(value)')} AS median, {r4('stddev_samp(value)')} AS std, min(value) > 0 AS can_use_log
+            FROM ({_long('cleaned')}) GROUP BY feature"""),
+        "outlier_summary_all_methods": _sql(f"""
+            SELECT method, feature, outlier_count, {r4('outlier_count / n * 100')} AS outlier_pct, below_min, above_max,
+                   {r4('lower_bound')} AS min_limit, {r4('upper_bound')} AS max_limit,
+                   {r4('extreme_min')} AS extreme_min, {r4('extreme_max')} AS extreme_max,
+                   {r4('mean_with')} AS mean_with, {r4('mean_without')} AS mean_without,
+                   coalesce({r4('(mean_with - mean_without) / nullif(mean_without, 0) * 100')}, 0.0) AS mean_pct_change,
+                   {r4('skewness')} AS skewness, {r4('median_with')} AS median_with, {r4('std_with')} AS std_with,
+                   {r4('median_without')} AS median_without, {r4('std_without')} AS std_without
+            FROM outlier_stats"""),
+        "outlier_method_comparison": _sql(f"""
+            SELECT method, {r4('lower_bound')} AS lower_bound, {r4('upper_bound')} AS upper_bound, outlier_count,
+                   {r4('outlier_count / n * 100')} AS outlier_pct, {r4('mean_with')} AS mean_with,
+                   {r4('mean_without')} AS mean_without,
+                   {r4('(mean_with - mean_without) / nullif(mean_without, 0) * 100')} AS mean_pct_change,
+                   {r4('median_with')} AS median_with, {r4('median_without')} AS median_without,
+                   {r4('std_with')} AS std_with, {r4('std_without')} AS std_without,
+                   {r4('(std_with - std_without) / nullif(std_without, 0) * 100')} AS std_pct_change
+            FROM outlier_stats WHERE feature = 'monetary'"""),
+        "outlier_cleaned": _sql(_feature_select("cleaned")),
+        "hybrid_features": _sql(_feature_select("hybrid")),
+        "features_with_dates": _sql(_feature_select(
+            """(SELECT h.* EXCLUDE (order_purchase_timestamp), d.order_purchase_timestamp FROM hybrid h LEFT JOIN
+             (SELECT customer_id, max(order_purchase_timestamp) AS order_purchase_timestamp FROM orders_v GROUP BY 1) d
+             ON h.customer_id = d.customer_id)""")),
+    }
+    for name, rule in rules.items():
+        texts[name] = _sql(f"""
+            SELECT feature, {r4('lower_bound')} AS lower_bound, {r4('upper_bound')} AS upper_bound, outlier_count
+            FROM outlier_stats WHERE method = '{rule}'""")
+    return texts
+
+
+# --- scaling -------------------------------------------------------------------------------------
+
+SCALED = (f"{FLAG}_0.0", f"{FLAG}_1.0", *COUNTS, *CONTINUOUS)
+
+
+def _scaling_blocks(prefix: str, source: str, learn_from: str) -> None:
+    """Blocks that learn on one relation and scale another: fills, filled, spreads, scaled."""
+    measured = (*COUNTS, *CONTINUOUS)
+    BLOCKS[f"{prefix}_fill"] = f"""
+        SELECT {', '.join(f'quantile_cont({c}, 0.5) AS fill_{c}' for c in measured)},
+               (SELECT {FLAG} FROM {learn_from} WHERE {FLAG} IS NOT NULL
+                GROUP BY 1 ORDER BY count(*) DESC, {FLAG} LIMIT 1) AS fill_{FLAG}
+        FROM {learn_from}"""
+    filled = ", ".join([f"ln(1 + coalesce({c}, fill_{c})) AS {c}" for c in COUNTS]
+                       + [f"coalesce({c}, fill_{c}) AS {c}" for c in CONTINUOUS]
+                       + [f"coalesce({FLAG}, fill_{FLAG}) AS {FLAG}"])
+    BLOCKS[f"{prefix}_learned"] = f"SELECT {filled} FROM {learn_from}, {prefix}_fill"
+    BLOCKS[f"{prefix}_spread"] = "SELECT " + ", ".join(
+        f"""quantile_cont({c}, 0.5) AS mid_{c},
+            coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1.0) AS iqr_{c}"""
+        for c in measured) + f" FROM {prefix}_learned"
+    BLOCKS[f"{prefix}_filled"] = f"SELECT customer_id, {filled} FROM {source}, {prefix}_fill"
+    BLOCKS[f"{prefix}_scaled"] = f"""
+        SELECT customer_id, CASE WHEN {FLAG} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "{FLAG}_0.0",
+               CASE WHEN {FLAG} = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "{FLAG}_1.0",
+               {', '.join(f'({c} - mid_{c}) / iqr_{c} AS {c}' for c in measured)}
+        FROM {prefix}_filled, {prefix}_spread"""
+
+
+BLOCKS["hybrid_past"] = "SELECT * FROM hybrid WHERE order_purchase_timestamp < TIMESTAMP '2001-01-01'"
+_scaling_blocks("base", "hybrid", "hybrid")
+_scaling_blocks("past", "hybrid", "hybrid_past")
+BLOCKS["scaled"] = "SELECT * FROM base_scaled"
+
+
+def _rounded(columns) -> str:
+    return ", ".join(f"""{r4(f'"{c}"')} AS "{c}\"""" for c in columns)
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def scaling_queries() -> dict[str, str]:
+    role_rows = _union([
+        f"""SELECT '{c}' AS feature, CASE WHEN count({c}) = count(*) AND min({c}) >= 0
+                 AND count(DISTINCT {c}) < count(*) * 0.1 THEN 'count' ELSE 'numerical' END AS role FROM hybrid"""
+        if c != "avg_delivery_time" else f"SELECT '{c}' AS feature, 'numerical' AS role" for c in FEATURES
+    ] + ["SELECT 'c_mktsegment' AS feature, 'categorical' AS role"])
+    modes = {c: f"""coalesce({c}, (SELECT {c} FROM hybrid WHERE {c} IS NOT NULL
+                    GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}""" for c in (FLAG, "avg_review_score")}
+    hot = ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"c_mktsegment_{s}\""
+                    for s in SEGMENTS)
+    measured = (*COUNTS, *CONTINUOUS)
+    inverse = ", ".join(
+        [f"CAST(round_even(exp({c} * iqr_{c} + mid_{c}) - 1, 0) AS BIGINT) AS {c}" for c in COUNTS]
+        + [f"{r4(f'{c} * iqr_{c} + mid_{c}')} AS {c}" for c in CONTINUOUS])
+    return {
+        "column_roles": role_rows,
+        "impute_mode": f"SELECT customer_id, {modes[FLAG]}, {modes['avg_review_score']} FROM hybrid",
+        "one_hot": f"""SELECT f.customer_id, f."{FLAG}_0.0", f."{FLAG}_1.0", {hot}
+                       FROM base_scaled f JOIN customer ON f.customer_id = c_custkey""",
+        "impute_median": f"""SELECT customer_id, {', '.join(
+            f"{r4(f'coalesce({c}, fill_{c})::DOUBLE')} AS {c}" for c in measured)} FROM hybrid, base_fill""",
+        "log1p_counts": f"SELECT customer_id, {', '.join(f'{r4(f"ln(1 + {c})")} AS {c}' for c in COUNTS)} FROM hybrid",
+        "robust_scale": f"SELECT customer_id, {_rounded(CONTINUOUS)} FROM base_scaled",
+        "time_features": """SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS ts_day_of_week,
+            CAST(month(ts) AS INTEGER) AS ts_month, CAST(quarter(ts) AS INTEGER) AS ts_quarter FROM events""",
+        "transform_features": f"SELECT customer_id, {_rounded(SCALED)} FROM scaled",
+        "transform_new_data": f"SELECT customer_id, {_rounded(SCALED)} FROM past_scaled",
+        "inverse_transform": f"SELECT customer_id, {inverse} FROM scaled, base_spread",
+    }
+
+
 def oracle_texts() -> dict[str, str]:
     """SQL text by query name."""
-    return {name: _sql(text) for group in (table_queries,) for name, text in group().items()}
+    texts = {name: _sql(text) for group in (table_queries, scaling_queries) for name, text in group().items()}
+    return {**texts, **profiling_queries()}

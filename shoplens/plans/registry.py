@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoplens.functions.frames import round_doubles
+from shoplens.functions.frames import round_doubles, small_table
+from shoplens.functions.quantiles import quantiles_by_feature
 from shoplens.operators import features as feat
-from shoplens.operators import kpi, kpi_tables
+from shoplens.operators import kpi, kpi_tables, outliers, profiling, scaling
 from shoplens.plans.workspace import Workspace, workspace
 from shoplens.sources import catalog
 
+CONTINUOUS = ("recency_days", "monetary", "avg_review_score", "avg_delivery_time")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
@@ -34,17 +39,6 @@ def registered_queries() -> dict[str, Query]:
     return {name: _runner(build) for name, build in _QUERIES.items()}
 
 
-_COLUMN_COUNTS = {
-    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
-    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
-}
-
-
-def table_columns(name: str) -> int:
-    """Number of columns of a test table, for the SQL side of the inventory."""
-    return _COLUMN_COUNTS[name]
-
-
 # --- sources -------------------------------------------------------------------------------------
 
 
@@ -163,3 +157,173 @@ def behavior_features(w):
 def combined_features(w):
     m = w.market
     return feat.customer_features(m.customers, m.orders, m.items, m.products, m.reviews)
+
+
+@query
+def hybrid_features(w):
+    return w.hybrid
+
+
+@query
+def features_with_dates(w):
+    return feat.with_last_purchase(w.hybrid, w.market.orders)
+
+
+# --- profiling -----------------------------------------------------------------------------------
+
+
+@query
+def feature_histograms(w):
+    return profiling.feature_histograms(w.features, feat.FEATURE_COLUMNS)
+
+
+@query
+def correlation_matrix(w):
+    return profiling.correlation_matrix(w.hybrid, feat.FEATURE_COLUMNS).drop("x_position", "y_position")
+
+
+@query
+def correlation_lower_triangle(w):
+    return profiling.lower_triangle(profiling.correlation_matrix(w.hybrid, feat.FEATURE_COLUMNS))
+
+
+@query
+def feature_box_stats(w):
+    return profiling.box_statistics(w.features, feat.FEATURE_COLUMNS)
+
+
+@query
+def column_summary(w):
+    return profiling.column_summary(
+        outliers.without_outliers(w.features, w.limits), feat.FEATURE_COLUMNS, use_log_scale=True)
+
+
+@query
+def density_histogram(w):
+    return profiling.density_histogram(outliers.without_outliers(w.features, w.limits), feat.FEATURE_COLUMNS)
+
+
+# --- outliers ------------------------------------------------------------------------------------
+
+
+def _rule(w, method):
+    return outliers.outlier_rule_table(w.features, feat.FEATURE_COLUMNS, method)
+
+
+@query
+def outliers_z3(w):
+    return _rule(w, outliers.Z3)
+
+
+@query
+def outliers_iqr(w):
+    return _rule(w, outliers.IQR)
+
+
+@query
+def outliers_z2(w):
+    return _rule(w, outliers.Z2)
+
+
+@query
+def outliers_q01_q99(w):
+    return _rule(w, outliers.Q01_Q99)
+
+
+@query
+def outliers_q05_q95(w):
+    return _rule(w, outliers.Q05_Q95)
+
+
+@query
+def outliers_full_range(w):
+    return _rule(w, outliers.FULL_RANGE)
+
+
+@query
+def outlier_summary_all_methods(w):
+    return outliers.outlier_summary(w.features, feat.FEATURE_COLUMNS)
+
+
+@query
+def outlier_cleaned(w):
+    return outliers.without_outliers(w.features, w.limits)
+
+
+@query
+def outlier_method_comparison(w):
+    return outliers.method_comparison(w.features, "monetary")
+
+
+# --- scaling -------------------------------------------------------------------------------------
+
+
+def _features_with_segment(w):
+    segment = w.table("customer").selectExpr("c_custkey AS customer_id", "c_mktsegment")
+    return w.hybrid.join(segment, "customer_id")
+
+
+@query
+def column_roles(w):
+    roles = scaling.detect_roles(_features_with_segment(w).drop("order_purchase_timestamp"))
+    schema = pa.schema([("feature", pa.string()), ("role", pa.string())])
+    return small_table(w.spark, [{"feature": c, "role": r} for c, r in roles.items()], schema)
+
+
+@query
+def impute_mode(w):
+    columns = (*feat.FLAG_COLUMNS, "avg_review_score")
+    return w.hybrid.select("customer_id", *[
+        F.coalesce(F.col(c), F.lit(scaling.learn_categories(w.hybrid, c)[1])).alias(c) for c in columns])
+
+
+@query
+def one_hot(w):
+    df = _features_with_segment(w)
+    out = []
+    for c in (*feat.FLAG_COLUMNS, "c_mktsegment"):
+        values, most = scaling.learn_categories(df, c)
+        hot = scaling.one_hot(F.coalesce(F.col(c), F.lit(most)), values)
+        out += [h.alias(scaling.category_name(c, v)) for v, h in zip(values, hot)]
+    return df.select("customer_id", *out)
+
+
+@query
+def impute_median(w):
+    columns = (*feat.COUNT_COLUMNS, *CONTINUOUS)
+    medians = quantiles_by_feature(w.hybrid, columns, [0.5])
+    return w.hybrid.select("customer_id", *[F.coalesce(F.col(c), F.lit(medians[c][0])).alias(c) for c in columns])
+
+
+@query
+def log1p_counts(w):
+    return w.hybrid.select("customer_id", *[F.log1p(F.col(c)).alias(c) for c in feat.COUNT_COLUMNS])
+
+
+@query
+def robust_scale(w):
+    model = scaling.fit_scaler(w.hybrid.select("customer_id", *CONTINUOUS), (), ())
+    return model.transform(w.hybrid)
+
+
+@query
+def time_features(w):
+    parts = scaling.time_parts(F.col("ts"))
+    return w.table("events").select("event_id", *[e.alias(f"ts_{name}") for name, e in parts.items()])
+
+
+@query
+def transform_features(w):
+    return w.scaled
+
+
+@query
+def transform_new_data(w):
+    """Learned on customers who left before the last year, applied to every customer."""
+    past = w.hybrid.where("order_purchase_timestamp < timestamp_ntz'2001-01-01'").drop("order_purchase_timestamp")
+    return scaling.fit_scaler(past, feat.FLAG_COLUMNS, feat.COUNT_COLUMNS).transform(w.hybrid)
+
+
+@query
+def inverse_transform(w):
+    return w.scaler.inverse_transform(w.scaled)

@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators import features as feat
+from shoplens.operators import outliers
+from shoplens.operators.scaling import FeatureScaler, fit_scaler
 from shoplens.sources.catalog import scan
 from shoplens.sources.marketplace import Marketplace, load_marketplace
 from shoplens.sources.store import ResultStore
@@ -45,6 +47,28 @@ class Workspace:
         return self.stored("features", lambda: feat.customer_features(
             m.customers, m.orders, m.items, m.products, m.reviews))
 
+    @cached_property
+    def limits(self) -> dict:
+        """Limits of the three-deviations rule per feature."""
+        return outliers.outlier_limits(self.features, feat.FEATURE_COLUMNS, [outliers.Z3])[outliers.Z3]
+
+    @cached_property
+    def hybrid(self) -> DataFrame:
+        return feat.hybrid_features(self.features, outliers.cleaned_columns(self.limits))
+
+    @cached_property
+    def scaler(self) -> FeatureScaler:
+        return fit_scaler(self.hybrid.drop("order_purchase_timestamp"), feat.FLAG_COLUMNS, feat.COUNT_COLUMNS)
+
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Scaled features with their key: every fit and profile reads this table again."""
+        return self.stored("scaled", lambda: self.scaler.transform(self.hybrid))
+
+    @property
+    def scaled_columns(self) -> list[str]:
+        return self.scaler.output_columns()
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 
