@@ -1,0 +1,18 @@
+"""Several Spark jobs at once from the driver, as a grid search does."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
+
+
+def run_all(spark: SparkSession, work: Callable, inputs: Iterable, parallelism: int = 4) -> list:
+    """``work`` of each input, in input order; each call may start Spark jobs of its own."""
+    inputs = list(inputs)
+    if len(inputs) < 2 or parallelism < 2:
+        return [work(i) for i in inputs]
+    with ThreadPool(min(parallelism, len(inputs))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), inputs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,25 +17,34 @@ from shoplens.functions.quantiles import BUFFERED_ROWS, quantile_table
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _pairs_long(df: DataFrame, columns: Sequence[str], pair, value_name: str, own) -> DataFrame:
-    """Full square matrix in long form; every pair is one aggregate of a single pass."""
-    pairs = list(combinations(range(len(columns)), 2))
-    aggregates = [own(col(c).cast("double")).alias(f"v{i}_{i}") for i, c in enumerate(columns)]
-    aggregates += [
-        pair(col(columns[i]).cast("double"), col(columns[j]).cast("double")).alias(f"v{i}_{j}") for i, j in pairs]
-    cells = [
-        F.struct(F.lit(columns[i]).alias("feature_x"), F.lit(columns[j]).alias("feature_y"),
-                 F.lit(i).alias("x_position"), F.lit(j).alias("y_position"),
-                 F.col(f"v{min(i, j)}_{max(i, j)}").alias(value_name))
-        for i in range(len(columns)) for j in range(len(columns))]
-    return df.agg(*aggregates).select(F.inline(F.array(*cells)))
+def _square_matrix(df: DataFrame, columns: Sequence[str], value_name: str, measure: Column) -> DataFrame:
+    """Measure of ``x`` and ``y`` for every pair of columns, over rows where both are present.
+
+    Each row gives one short row per unordered pair, summed before the shuffle to one row per pair.
+    A single aggregate with a term per pair is beyond the size Spark compiles and much slower.
+    """
+    names = [F.lit(c) for c in columns]
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("double").alias("x"),
+                 col(columns[j]).cast("double").alias("y"))
+        for i, j in combinations_with_replacement(range(len(columns)), 2)]
+    measured = (
+        df.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(measure.alias(value_name))
+    )
+    mirrored = measured.select(value_name, F.inline(F.array_distinct(F.array(
+        F.struct(F.col("i").alias("x_position"), F.col("j").alias("y_position")),
+        F.struct(F.col("j").alias("x_position"), F.col("i").alias("y_position"))))))
+    label = F.array(*names)
+    return mirrored.select(
+        label[F.col("x_position")].alias("feature_x"), label[F.col("y_position")].alias("feature_y"),
+        "x_position", "y_position", value_name)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over rows where both are present."""
-    def own(x: Column) -> Column:
-        return F.when(F.stddev_pop(x) > 0, F.lit(1.0))
-    return _pairs_long(df, columns, pair_correlation, "correlation", own)
+    """Pearson correlation of every pair of columns; NULL where a column does not vary."""
+    measured = _square_matrix(df, columns, "correlation", pair_correlation(F.col("x"), F.col("y")))
+    own = (F.col("x_position") == F.col("y_position")) & F.col("correlation").isNotNull()
+    return measured.withColumn("correlation", F.when(own, 1.0).otherwise(F.col("correlation")))
 
 
 def lower_triangle(matrix: DataFrame, digits: int = 2) -> DataFrame:
@@ -46,7 +55,7 @@ def lower_triangle(matrix: DataFrame, digits: int = 2) -> DataFrame:
 
 def covariance_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sample covariance of every pair of columns."""
-    return _pairs_long(df, columns, F.covar_samp, "covariance", F.var_samp).drop("x_position", "y_position")
+    return _square_matrix(df, columns, "covariance", F.covar_samp("x", "y")).drop("x_position", "y_position")
 
 
 def box_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),

@@ -335,7 +335,8 @@ def profiling_queries() -> dict[str, str]:
     texts = {
         "correlation_matrix": _sql(f"SELECT feature_x, feature_y, {r4('v')} AS correlation FROM ({matrix})"),
         "correlation_lower_triangle": _sql(
-            f"SELECT feature_x, feature_y, {r4('v')} AS correlation, round(v, 2) AS label FROM ({triangle})"),
+            f"""SELECT feature_x, feature_y, {r4('v')} AS correlation,
+                       CASE WHEN abs(v) < 0.005 THEN 0.0 ELSE round(v, 2) END AS label FROM ({triangle})"""),
         "feature_histograms": _with_local(_binned("features", "20"), f"""
             SELECT feature, bin, {r4('bin_start')} AS bin_start, {r4('bin_end')} AS bin_end, n FROM binned"""),
         "density_histogram": _with_local(_binned("cleaned", sturges), density),

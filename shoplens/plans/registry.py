@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 from shoplens.functions.frames import round_doubles, small_table
 from shoplens.functions.quantiles import quantiles_by_feature
 from shoplens.operators import features as feat
-from shoplens.operators import kpi, kpi_tables, outliers, profiling, scaling
-from shoplens.plans.workspace import Workspace, workspace
+from shoplens.operators import clustering, kpi, kpi_tables, outliers, profiling, scaling, segments, silhouettes, stability
+from shoplens.operators.components import fit_components
+from shoplens.plans.workspace import CLUSTERS, START_COLUMN, Workspace, workspace
 from shoplens.sources import catalog
 
 CONTINUOUS = ("recency_days", "monetary", "avg_review_score", "avg_delivery_time")
 
+PLOT_COMPONENTS = ("pc1", "pc2", "pc3")
+
+# Thresholds that split the test customers, whose orders are larger and older than shop orders.
+SEGMENT_CONFIG = {
+    "recency": {"active": 150, "recent": 400},
+    "frequency": {"frequent": 14, "returning": 9},
+    "monetary": {"high_value": "mean"},
+    "satisfaction": {"very_satisfied": 3.2, "satisfied": 3.0, "neutral": 2.8},
+}
+ACTION_LIMITS = {
+    "recent_days": 150, "inactive_days": 400, "high_value": 40_000, "low_value": 450_000, "frequent_orders": 12,
+    "low_score": 2.8, "high_score": 3.2,
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
@@ -327,3 +342,231 @@ def transform_new_data(w):
 @query
 def inverse_transform(w):
     return w.scaler.inverse_transform(w.scaled)
+
+
+# --- components and clusters ---------------------------------------------------------------------
+
+
+@query
+def covariance_matrix(w):
+    return profiling.covariance_matrix(w.scaled, w.scaled_columns)
+
+
+@query
+def pca_projection(w):
+    return w.component_scores
+
+
+@query
+def pca_explained_variance(w):
+    return fit_components(w.scaled, w.scaled_columns, 15).explained_variance(w.spark)
+
+
+@query
+def pca_top_loadings(w):
+    return w.components.top_loadings(w.spark, 5)
+
+
+@query
+def pca_feature_importance(w):
+    return w.components.feature_importance(w.spark, 4)
+
+
+@query
+def kmeans_fit(w):
+    """Labels from the first three components, as the segments are drawn."""
+    fit = clustering.fit_kmeans(w.component_scores, PLOT_COMPONENTS, CLUSTERS)
+    return fit.centers.assign(w.component_scores, ["customer_id"])
+
+
+@query
+def assign_to_centroids(w):
+    return w.centers.assign(w.scaled, ["customer_id"])
+
+
+@query
+def kmeans_lloyd_fixed(w):
+    return w.centers.frame(w.spark)
+
+
+@query
+def elbow_table(w):
+    return clustering.elbow_table(w.component_scores, w.components.names)
+
+
+@query
+def inertia_by_k(w):
+    return clustering.inertia_by_k(w.scaled, w.scaled_columns, range(2, 7), START_COLUMN)
+
+
+@query
+def silhouette_samples(w):
+    return silhouettes.silhouette_samples(w.labelled, w.scaled_columns)
+
+
+@query
+def silhouette_euclidean_sample(w):
+    sample = silhouettes.stratified_sample(w.labelled, silhouettes.EUCLIDEAN_SAMPLE)
+    return silhouettes.euclidean_silhouettes(sample, w.scaled_columns)
+
+
+@query
+def stratified_sample(w):
+    return silhouettes.stratified_sample(w.labelled, 1000).select("customer_id", "cluster")
+
+
+@query
+def kmeans_feature_importance(w):
+    """Importance under a model fitted on the scaled features."""
+    fit = clustering.fit_kmeans(w.scaled, w.scaled_columns, CLUSTERS)
+    return clustering.permutation_importance(w.scaled, fit.centers)
+
+
+@query
+def intercluster_distances(w):
+    return clustering.intercluster_distances(w.labelled, w.centers)
+
+
+@query
+def cluster_projection(w):
+    """Position on the first three components beside the fixed-start cluster."""
+    return w.component_scores.select("customer_id", *PLOT_COMPONENTS).join(
+        w.labelled.select("customer_id", "cluster", clustering.cluster_label(F.col("cluster")).alias("name")),
+        "customer_id")
+
+
+# --- stability -----------------------------------------------------------------------------------
+
+
+@query
+def bootstrap_samples(w):
+    return stability.bootstrap_samples(w.scaled)
+
+
+@query
+def adjusted_rand_index(w):
+    """Agreement of the clusters with the monetary quartiles they started from."""
+    cuts = quantiles_by_feature(w.scaled, [START_COLUMN], [i / CLUSTERS for i in range(1, CLUSTERS)])[START_COLUMN]
+    start = sum(F.when(F.col(START_COLUMN) > c, 1).otherwise(0) for c in cuts)
+    return stability.adjusted_rand_index(w.labelled.withColumn("start", start), "start", "cluster")
+
+
+@query
+def bootstrap_stability(w):
+    return stability.bootstrap_stability(w.scaled, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8)
+
+
+@query
+def pairwise_ari(w):
+    labels = stability.labelled_samples(w.scaled, w.sample_centers, "customer_id", 0.8)
+    return stability.pairwise_ari(labels, len(w.sample_centers))
+
+
+@query
+def period_buckets(w):
+    orders = w.market.orders.select("order_id", "order_purchase_timestamp")
+    df = orders
+    for period in ("month", "quarter", "year"):
+        df = stability.period_buckets(df, period).withColumnsRenamed(
+            {"period": period, "period_start": f"{period}_start"})
+    return df.drop("order_purchase_timestamp")
+
+
+@query
+def period_customer_counts(w):
+    return stability.period_customer_counts(w.last_dates, "quarter", 5 * CLUSTERS)
+
+
+@query
+def temporal_stability(w):
+    data = w.yearly
+    labels = stability.fit_periods(data, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8).assign(
+        data.rows, ["period", "customer_id"])
+    return stability.consecutive_ari(stability.transition_cells(labels, data.kept), 5 * CLUSTERS)
+
+
+@query
+def cluster_migration(w):
+    labels = w.period_centers(w.yearly).assign(w.yearly.rows, ["period", "customer_id"])
+    return stability.migration_matrices(stability.transition_cells(labels, w.yearly.kept), CLUSTERS)
+
+
+@query
+def cross_period_stability(w):
+    data = w.quarterly
+    models = stability.fit_periods(data, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8).by_group
+    _, sample = stability.evaluation_sample(data, w.scaled_columns, 1000)
+    return stability.cross_period_scores(sample, models)
+
+
+@query
+def cross_period_ari(w):
+    _, sample = stability.evaluation_sample(w.quarterly, w.scaled_columns, 1000)
+    return stability.cross_period_scores(sample, w.period_centers(w.quarterly).by_group)
+
+
+# --- segments ------------------------------------------------------------------------------------
+
+
+@query
+def cluster_stats(w):
+    return segments.cluster_statistics(w.labelled, w.scaled_columns)
+
+
+@query
+def cluster_categorical_mode(w):
+    segment = w.table("customer").selectExpr("c_custkey AS customer_id", "c_mktsegment")
+    return segments.categorical_modes(w.labelled.join(segment, "customer_id"), ["c_mktsegment"])
+
+
+@query
+def cluster_sizes(w):
+    return segments.cluster_sizes(w.labelled)
+
+
+@query
+def segment_names(w):
+    name = segments.segment_name(w.profile, SEGMENT_CONFIG)
+    full = segments.segment_name(w.profile, SEGMENT_CONFIG, max_parts=4)
+    return w.profile.select("cluster", name.alias("name"), full.alias("full_name"))
+
+
+@query
+def cluster_profiles(w):
+    return segments.cluster_profiles(w.profile, SEGMENT_CONFIG)
+
+
+@query
+def cluster_insights(w):
+    return segments.cluster_insights(w.profile, SEGMENT_CONFIG)
+
+
+@query
+def cluster_metrics_table(w):
+    return segments.metrics_table(w.profile, SEGMENT_CONFIG)
+
+
+@query
+def cluster_radar(w):
+    top = [r["feature"] for r in profiling.top_variance_features(w.scaled, w.scaled_columns).collect()]
+    return segments.radar_table(w.labelled, top)
+
+
+@query
+def top_variance_features(w):
+    return profiling.top_variance_features(w.scaled, w.scaled_columns)
+
+
+@query
+def cluster_feature_box_stats(w):
+    return segments.feature_distributions(w.labelled, w.scaled_columns, w.hybrid)
+
+
+@query
+def segment_actions(w):
+    return segments.segment_actions(w.profile, SEGMENT_CONFIG, ACTION_LIMITS)
+
+
+@query
+def segment_characteristics(w):
+    return segments.segment_characteristics(w.profile, SEGMENT_CONFIG, ACTION_LIMITS)

@@ -10,14 +10,21 @@ import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shoplens.operators import features as feat
-from shoplens.operators import outliers
+from shoplens.operators import outliers, segments
+from shoplens.operators.clustering import Centers, GroupedCenters, grouped_lloyd, lloyd
+from shoplens.operators.components import Components, fit_components
+from shoplens.operators.stability import PeriodData, bootstrap_samples, period_data
 from shoplens.operators.scaling import FeatureScaler, fit_scaler
 from shoplens.sources.catalog import scan
 from shoplens.sources.marketplace import Marketplace, load_marketplace
 from shoplens.sources.store import ResultStore
 
+CLUSTERS = 4
+START_COLUMN = "monetary"
+
 
 class Workspace:
     """Tables, features and fitted parameters, each made on first use."""
@@ -69,6 +76,63 @@ class Workspace:
     def scaled_columns(self) -> list[str]:
         return self.scaler.output_columns()
 
+    @cached_property
+    def components(self) -> Components:
+        return fit_components(self.scaled, self.scaled_columns)
+
+    @cached_property
+    def component_scores(self) -> DataFrame:
+        return self.stored("components", lambda: self.components.project(self.scaled))
+
+    @cached_property
+    def centers(self) -> Centers:
+        """Fixed-start centres that every checkable segment table uses."""
+        return lloyd(self.scaled, self.scaled_columns, CLUSTERS, START_COLUMN)
+
+    @property
+    def labelled(self) -> DataFrame:
+        return self.centers.assign(self.scaled).drop("squared_distance")
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return segments.profile_table(self.labelled, self.scaled_columns, self.scaler)
+
+    @cached_property
+    def order_dates(self) -> DataFrame:
+        """Every order date of every customer, so that periods share customers."""
+        return self.market.orders.select("customer_id", "order_purchase_timestamp")
+
+    @cached_property
+    def last_dates(self) -> DataFrame:
+        return feat.with_last_purchase(self.hybrid, self.market.orders).select(
+            "customer_id", "order_purchase_timestamp")
+
+    def periods(self, dated: DataFrame, period: str, minimum: int) -> PeriodData:
+        """Features per period, stored by period: every model reads the rows of one period only."""
+        data = period_data(self.scaled, dated, self.scaled_columns, period, minimum)
+        data.rows = self.stored(f"{period}-rows", lambda: data.rows)
+        return data
+
+    @cached_property
+    def yearly(self) -> PeriodData:
+        return self.periods(self.order_dates, "year", 5 * CLUSTERS)
+
+    @cached_property
+    def quarterly(self) -> PeriodData:
+        return self.periods(self.last_dates, "quarter", 10)
+
+    def period_centers(self, data: PeriodData) -> GroupedCenters:
+        kept = data.rows.where(F.col("period").isin(data.kept))
+        return grouped_lloyd(kept, self.scaled_columns, CLUSTERS, START_COLUMN, "period")
+
+    @cached_property
+    def sample_centers(self) -> list[Centers]:
+        """Fixed-start centres of each repeated sample."""
+        members = bootstrap_samples(self.scaled).withColumn("iteration", F.col("iteration").cast("string"))
+        found = grouped_lloyd(members.join(self.scaled, "customer_id"), self.scaled_columns, CLUSTERS,
+                              START_COLUMN, "iteration")
+        return [found.by_group[g] for g in sorted(found.by_group, key=int)]
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 
