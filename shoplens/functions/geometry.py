@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +19,35 @@ def squared_distance(point: Sequence[Column], center: Sequence[Column | float])
     return total([(x - c) * (x - c) for x, c in zip(point, center)])
 
 
-def nearest(distances: Mapping[int, Column]) -> Column:
+def nearest(distances: Mapping[int, Column], present: Mapping[int, Column] | None = None) -> Column:
     """Struct ``(distance, cluster)`` of the smallest distance; the lowest id wins a tie.
 
-    A NULL distance stands for a centre that does not exist and is passed over.
+    ``present`` tells per id whether the row has such a centre at all.
     """
-    options = [
-        F.when(d.isNotNull(), F.struct(d.alias("distance"), F.lit(c).alias("cluster")))
-        for c, d in sorted(distances.items())]
+    options = [F.struct(d.alias("distance"), F.lit(c).alias("cluster")) for c, d in sorted(distances.items())]
+    if present is not None:
+        options = [F.when(present[c], option) for c, option in zip(sorted(distances), options)]
     return options[0] if len(options) == 1 else F.least(*options)
+
+
+def labels_under(models: Sequence[Mapping[int, Sequence[float]]], point: Sequence[Column]) -> Column:
+    """Array with the nearest centre's id under each of many models.
+
+    One column expression per model is beyond the size Spark compiles when there are many, so the
+    distances of an Arrow batch to all centres are taken at once.
+    """
+    ids = [np.array(sorted(m)) for m in models]
+    matrices = [np.array([m[c] for c in sorted(m)], dtype=float) for m in models]
+
+    @F.pandas_udf("array<int>")
+    def label(*columns: pd.Series) -> pd.Series:
+        rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        found = np.empty((len(rows), len(matrices)), dtype=np.int32)
+        for j, (names, centers) in enumerate(zip(ids, matrices)):
+            distance = np.zeros((len(rows), len(centers)))
+            for d in range(rows.shape[1]):
+                distance += (rows[:, d, None] - centers[None, :, d]) ** 2
+            found[:, j] = names[distance.argmin(axis=1)]
+        return pd.Series(list(found))
+
+    return label(*point)

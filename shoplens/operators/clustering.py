@@ -37,10 +37,9 @@ class Centers:
     columns: tuple[str, ...]
     by_cluster: Mapping[int, tuple[float, ...]]
 
-    def nearest(self, replaced: Mapping[str, Column] | None = None) -> Column:
-        """Struct of squared distance and cluster id; ``replaced`` swaps in other column values."""
-        swap = replaced or {}
-        point = [swap.get(c, col(c)) for c in self.columns]
+    def nearest(self) -> Column:
+        """Struct of squared distance and cluster id."""
+        point = [col(c) for c in self.columns]
         return nearest({k: squared_distance(point, center) for k, center in self.by_cluster.items()})
 
     def assign(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
@@ -119,22 +118,25 @@ class GroupedCenters:
         return small_table(spark, rows, schema)
 
     def assign(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Cluster of each row among the centres of its own group; other groups' rows are dropped."""
+        """Nearest centre of the row's own group; rows of other groups are dropped."""
         point = [col(c) for c in self.columns]
         distances = {c: squared_distance(point, [F.col(f"_c{c}")[i] for i in range(len(point))])
                      for c in self.clusters}
-        return df.join(self.table(df.sparkSession), self.group).select(
-            *[col(k) for k in keep], nearest(distances)["cluster"].alias("cluster"))
+        near = nearest(distances, {c: F.col(f"_c{c}").isNotNull() for c in self.clusters})
+        return df.join(self.table(df.sparkSession), self.group).withColumn("_near", near).select(
+            *[col(k) for k in keep], F.col("_near.cluster").alias("cluster"),
+            F.col("_near.distance").alias("squared_distance"))
 
 
-def grouped_lloyd(df: DataFrame, columns: Sequence[str], k: int, start_column: str, group: str,
-                  iterations: int = 3, buffered_rows: int = BUFFERED_ROWS) -> GroupedCenters:
-    """``lloyd`` inside every group at once: one job per step however many groups there are."""
-    long = df.select(group, col(start_column).alias("value"))
-    cuts = grouped_quantiles(long, [group], [i / k for i in range(1, k)], buffered_rows)
+def grouped_lloyd(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]], start_column: str,
+                  group: str, iterations: int = 3) -> GroupedCenters:
+    """``lloyd`` inside every group at once: one job per step however many groups there are.
+
+    ``cuts`` holds the start quantiles of each group; groups may have different numbers of them.
+    """
     schema = pa.schema([(group, pa.string()), ("_cuts", pa.list_(pa.float64()))])
-    table = small_table(df.sparkSession, [{group: r[group], "_cuts": list(r["quantiles"])} for r in cuts.collect()], schema)
-    start = total([F.when(col(start_column) > F.col("_cuts")[i], 1).otherwise(0) for i in range(k - 1)])
+    table = small_table(df.sparkSession, [{group: g, "_cuts": list(c)} for g, c in cuts.items()], schema)
+    start = F.size(F.filter("_cuts", lambda cut: col(start_column) > cut))
     labelled = df.join(table, group).select(group, *[col(c) for c in columns], start.alias("cluster"))
     for step in range(iterations):
         rows = labelled.groupBy(group, "cluster").agg(
@@ -148,13 +150,26 @@ def grouped_lloyd(df: DataFrame, columns: Sequence[str], k: int, start_column: s
     return centers
 
 
-def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start_column: str) -> DataFrame:
-    """Sum of squared distances to the nearest centre per k; one pass scores every k."""
+def start_cuts(df: DataFrame, k: int, start_column: str, group: str,
+               buffered_rows: int = BUFFERED_ROWS) -> dict[str, list[float]]:
+    """The i/k quantiles of the start column in every group."""
+    long = df.select(group, col(start_column).alias("value"))
+    rows = grouped_quantiles(long, [group], [i / k for i in range(1, k)], buffered_rows).collect()
+    return {r[group]: list(r["quantiles"]) for r in rows}
+
+
+def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start_column: str,
+                 buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+    """Sum of squared distances to the nearest fixed-start centre per k; every step serves all k."""
     ks = list(ks)
-    fits = run_all(df.sparkSession, lambda k: lloyd(df, columns, k, start_column), ks)
-    scores = df.agg(*[F.sum(c.nearest()["distance"]).alias(f"k{k}") for k, c in zip(ks, fits)])
-    return scores.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("inertia")) for k in ks])))
+    probs = sorted({i / k for k in ks for i in range(1, k)})
+    found = quantiles_by_feature(df, [start_column], probs, buffered_rows)[start_column]
+    at = dict(zip(probs, found))
+    cuts = {str(k): [at[i / k] for i in range(1, k)] for k in ks}
+    every = df.select(F.explode(F.array(*[F.lit(str(k)) for k in ks])).alias("k"), *[col(c) for c in columns])
+    centers = grouped_lloyd(every, columns, cuts, start_column, "k")
+    return centers.assign(every, ["k"]).groupBy(F.col("k").cast("int").alias("k")).agg(
+        F.sum("squared_distance").alias("inertia"))
 
 
 def elbow_table(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 11), seed: int = SEED,
@@ -219,16 +234,17 @@ def permutation_importance(df: DataFrame, centers: Centers, key: str = "customer
             *[col(c) for c in columns],
             *[F.coalesce(F.lead(col(c)).over(window), F.first(col(c)).over(whole)).alias(f"_s{i}")
               for i, c in enumerate(columns)])
+        # Labels are taken after the rows are multiplied, so their code exists once, not per variant.
         variants = [
             F.struct(F.lit(repeat).alias("repeat"), F.lit(i).alias("feature_position"),
-                     centers.nearest({c: F.col(f"_s{i}")})["cluster"].alias("cluster"),
                      *[(F.col(f"_s{i}") if c == name else col(name)).alias(f"x{j}")
                        for j, name in enumerate(columns)])
             for i, c in enumerate(columns)]
         part = shuffled.select(F.inline(F.array(*variants)))
         long = part if long is None else long.unionByName(part)
     names = [f"x{j}" for j in range(len(columns))]
-    scored = silhouettes.grouped_mean_silhouette(long, names, ["repeat", "feature_position"])
+    relabelled = long.withColumn("cluster", Centers(tuple(names), centers.by_cluster).nearest()["cluster"])
+    scored = silhouettes.grouped_mean_silhouette(relabelled, names, ["repeat", "feature_position"])
     label = F.array(*[F.lit(c) for c in columns])
     return (
         scored.groupBy("feature_position")

@@ -29,17 +29,28 @@ def _moments(labelled: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         total([F.var_pop(col(c)) for c in columns]).alias("spread"))
 
 
-def _score(point: Sequence[Column], own: Column, clusters: Sequence[tuple[int, Column, Sequence, Column]]) -> Column:
-    """Silhouette of one row; ``clusters`` holds id, size, centre and spread (NULL if absent)."""
-    distance = {k: squared_distance(point, center) + spread for k, _, center, spread in clusters}
-    inside = F.coalesce(*[F.when((own == k) & (size > 1), distance[k] * size / (size - 1))
-                          for k, size, _, _ in clusters])
-    others = [F.when(own != k, distance[k]) for k, *_ in clusters]
+def _scored(df: DataFrame, point: Sequence[Column], clusters: Sequence[tuple[int, Column, Sequence, Column]],
+            keep: Sequence[str]) -> DataFrame:
+    """Add ``silhouette``; ``clusters`` holds id, size, centre and spread (NULL if absent).
+
+    The distances are columns of their own, so each is computed once per row.
+    """
+    own = F.col("cluster")
+    away = {k: F.col(f"_d{k}") for k, *_ in clusters}
+    sizes = {k: F.col(f"_n{k}") for k, *_ in clusters}
+    inside = F.coalesce(*[F.when((own == k) & (sizes[k] > 1), away[k] * sizes[k] / (sizes[k] - 1)) for k in away])
+    others = [F.when(own != k, d) for k, d in away.items()]
     outside = others[0] if len(others) == 1 else F.least(*others)
-    widest = F.greatest(inside, outside)
-    score = F.when(widest > 0, (outside - inside) / F.nullif(widest, F.lit(0.0))).otherwise(0.0)
+    a, b = F.col("_inside"), F.col("_outside")
     # A cluster of one row has no inner distance: its score is 0 by definition.
-    return F.when(inside.isNull(), 0.0).otherwise(score)
+    score = F.when(a.isNull() | (F.greatest(a, b) <= 0), 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
+    kept = [col(k) for k in keep]
+    return (
+        df.select(*kept, "cluster", *[size.alias(f"_n{k}") for k, size, *_ in clusters], *[
+            (squared_distance(point, center) + spread).alias(f"_d{k}") for k, _, center, spread in clusters])
+        .select(*kept, "cluster", inside.alias("_inside"), outside.alias("_outside"))
+        .select(*kept, "cluster", score.alias("silhouette"))
+    )
 
 
 def _require_clusters(rows: list) -> None:
@@ -52,8 +63,7 @@ def silhouette_samples(labelled: DataFrame, columns: Sequence[str], keep: Sequen
     rows = _moments(labelled, columns).collect()
     _require_clusters(rows)
     clusters = [(r["cluster"], F.lit(r["size"]), list(r["center"]), F.lit(r["spread"])) for r in rows]
-    score = _score([col(c) for c in columns], F.col("cluster"), clusters)
-    return labelled.select(*[col(k) for k in keep], "cluster", score.alias("silhouette"))
+    return _scored(labelled, [col(c) for c in columns], clusters, keep)
 
 
 def mean_silhouette(labelled: DataFrame, columns: Sequence[str]) -> float:
@@ -79,11 +89,9 @@ def grouped_mean_silhouette(labelled: DataFrame, columns: Sequence[str], keys: S
         entry.update({f"_n{r['cluster']}": r["size"], f"_m{r['cluster']}": list(r["center"]),
                       f"_v{r['cluster']}": r["spread"]})
     clusters = [(c, F.col(f"_n{c}"), [F.col(f"_m{c}")[i] for i in range(len(columns))], F.col(f"_v{c}")) for c in ids]
-    score = F.coalesce(_score([col(c) for c in columns], F.col("cluster"), clusters), F.lit(0.0))
-    return (
-        labelled.join(small_table(labelled.sparkSession, list(table.values()), schema), list(keys))
-        .groupBy(*keys).agg(F.avg(score).alias("silhouette"))
-    )
+    joined = labelled.join(small_table(labelled.sparkSession, list(table.values()), schema), list(keys))
+    return _scored(joined, [col(c) for c in columns], clusters, keys).groupBy(*keys).agg(
+        F.avg(F.coalesce("silhouette", F.lit(0.0))).alias("silhouette"))
 
 
 def _id_order(key: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.dates import period_label, period_start, require_period
 from shoplens.functions.frames import col, require_columns, small_table
+from shoplens.functions.geometry import labels_under
 from shoplens.functions.parallel import run_all
 from shoplens.operators.clustering import SEED, Centers, GroupedCenters, fit_kmeans, hashed_order
 
@@ -99,8 +100,10 @@ def bootstrap_samples(df: DataFrame, key: str = "customer_id", n_iterations: int
 
 def labelled_samples(df: DataFrame, fits: Sequence[Centers], key: str, fraction: float) -> DataFrame:
     """Key and its label under each sample's centres, NULL where the row is not in that sample."""
-    labels = [F.when(in_sample(key, i, fraction), centers.nearest()["cluster"]) for i, centers in enumerate(fits)]
-    return df.select(col(key), F.array(*labels).alias("labels"))
+    found = labels_under([c.by_cluster for c in fits], [col(c) for c in fits[0].columns])
+    member = F.array(*[in_sample(key, i, fraction) for i in range(len(fits))])
+    labels = F.zip_with("_found", "_member", lambda label, inside: F.when(inside, label))
+    return df.select(col(key), found.alias("_found"), member.alias("_member")).select(key, labels.alias("labels"))
 
 
 def bootstrap_stability(df: DataFrame, columns: Sequence[str], k: int = 4, n_iterations: int = 20,
@@ -261,7 +264,7 @@ def evaluation_sample(data: PeriodData, columns: Sequence[str], size: int, key:
 def cross_period_scores(sample: DataFrame, models: Mapping[str, Centers], key: str = "customer_id") -> DataFrame:
     """Agreement of every two periods' models on one evaluation sample."""
     periods = sorted(models)
-    labels = F.array(*[models[p].nearest()["cluster"] for p in periods])
+    labels = labels_under([models[p].by_cluster for p in periods], [col(c) for c in models[periods[0]].columns])
     names = F.array(*[F.lit(p) for p in periods])
     return pairwise_ari(sample.select(col(key), labels.alias("labels")), len(periods), 0).select(
         names[F.col("i")].alias("period_a"), names[F.col("j")].alias("period_b"), "n_common", "ari")

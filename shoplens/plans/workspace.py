@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shoplens.operators import features as feat
 from shoplens.operators import outliers, segments
-from shoplens.operators.clustering import Centers, GroupedCenters, grouped_lloyd, lloyd
+from shoplens.operators.clustering import Centers, GroupedCenters, grouped_lloyd, lloyd, start_cuts
 from shoplens.operators.components import Components, fit_components
 from shoplens.operators.stability import PeriodData, bootstrap_samples, period_data
 from shoplens.operators.scaling import FeatureScaler, fit_scaler
@@ -123,14 +123,16 @@ class Workspace:
 
     def period_centers(self, data: PeriodData) -> GroupedCenters:
         kept = data.rows.where(F.col("period").isin(data.kept))
-        return grouped_lloyd(kept, self.scaled_columns, CLUSTERS, START_COLUMN, "period")
+        cuts = start_cuts(kept, CLUSTERS, START_COLUMN, "period")
+        return grouped_lloyd(kept, self.scaled_columns, cuts, START_COLUMN, "period")
 
     @cached_property
     def sample_centers(self) -> list[Centers]:
         """Fixed-start centres of each repeated sample."""
         members = bootstrap_samples(self.scaled).withColumn("iteration", F.col("iteration").cast("string"))
-        found = grouped_lloyd(members.join(self.scaled, "customer_id"), self.scaled_columns, CLUSTERS,
-                              START_COLUMN, "iteration")
+        rows = members.join(self.scaled, "customer_id")
+        cuts = start_cuts(rows, CLUSTERS, START_COLUMN, "iteration")
+        found = grouped_lloyd(rows, self.scaled_columns, cuts, START_COLUMN, "iteration")
         return [found.by_group[g] for g in sorted(found.by_group, key=int)]
 
 
