@@ -91,10 +91,10 @@ def in_sample(key: str, iteration: Column | int, fraction: float) -> Column:
 
 
 def bootstrap_samples(df: DataFrame, key: str = "customer_id", n_iterations: int = 20,
-                      fraction: float = 0.8) -> DataFrame:
-    """Members of each repeated sample without replacement: ``(iteration, key)``."""
+                      fraction: float = 0.8, keep: Sequence[str] = ()) -> DataFrame:
+    """Members of each repeated sample without replacement: ``(iteration, key, kept columns)``."""
     every = F.sequence(F.lit(0), F.lit(n_iterations - 1))
-    return df.select(F.explode(every).alias("iteration"), col(key)).where(
+    return df.select(F.explode(every).alias("iteration"), col(key), *[col(c) for c in keep]).where(
         in_sample(key, F.col("iteration"), fraction))
 
 

@@ -456,7 +456,359 @@ def scaling_queries() -> dict[str, str]:
     }
 
 
+# --- clusters ------------------------------------------------------------------------------------
+
+START = "monetary"
+K = 4
+
+
+def q(column: str, alias: str = "") -> str:
+    return f'{alias}."{column}"' if alias else f'"{column}"'
+
+
+def _all(template: str, columns=SCALED, sep: str = ", ") -> str:
+    return sep.join(template.format(c=q(c)) for c in columns)
+
+
+def _distance(a: str, b: str) -> str:
+    return " + ".join(f"({q(c, a)} - {q(c, b)}) * ({q(c, a)} - {q(c, b)})" for c in SCALED)
+
+
+def _lloyd_blocks(prefix: str, source: str, k: int = K, group: str | None = None, steps: int = 3) -> None:
+    """Blocks of the fixed-start steps: cuts, start labels, then centres and labels in turn."""
+    by = f"{group}, " if group else ""
+    match = f"s.{group} = c.{group}" if group else "true"
+    key = f"s.{group}, s.customer_id" if group else "s.customer_id"
+    cuts = ", ".join(f"quantile_cont({START}, {i / k!r}) AS cut{i}" for i in range(1, k))
+    BLOCKS[f"{prefix}_cuts"] = f"SELECT {by}{cuts} FROM {source}" + (f" GROUP BY {group}" if group else "")
+    start = " + ".join(f"CASE WHEN s.{START} > c.cut{i} THEN 1 ELSE 0 END" for i in range(1, k))
+    BLOCKS[f"{prefix}_l0"] = f"SELECT s.*, {start} AS cluster FROM {source} s JOIN {prefix}_cuts c ON {match}"
+    for step in range(1, steps + 1):
+        BLOCKS[f"{prefix}_c{step}"] = f"""
+            SELECT {by}cluster, {_all('avg({c}) AS {c}')} FROM {prefix}_l{step - 1} GROUP BY {by}cluster"""
+        BLOCKS[f"{prefix}_l{step}"] = f"""
+            SELECT * EXCLUDE (rn) FROM (
+                SELECT s.*, c.cluster, {_distance('s', 'c')} AS squared_distance,
+                       row_number() OVER (PARTITION BY {key} ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
+                FROM {source} s JOIN {prefix}_c{step} c ON {match}) WHERE rn = 1"""
+
+
+_lloyd_blocks("base", "scaled")
+BLOCKS["centers"] = "SELECT * FROM base_c3"
+BLOCKS["labelled"] = "SELECT * FROM base_l3"
+for _k in range(2, 7):
+    _lloyd_blocks(f"try{_k}", "scaled", _k)
+
+BLOCKS["cluster_moments"] = f"""
+    SELECT cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread, {_all('avg({c}) AS {c}')}
+    FROM labelled GROUP BY cluster"""
+BLOCKS["cluster_counts"] = "SELECT cluster, count(*) AS size FROM labelled GROUP BY cluster"
+
+BLOCKS["strata"] = """
+    SELECT customer_id, l.cluster, wanted, total,
+           row_number() OVER (PARTITION BY l.cluster ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id) AS rank
+    FROM labelled l JOIN (SELECT cluster, (1000 * size) // total AS wanted, total FROM cluster_counts,
+                          (SELECT CAST(sum(size) AS BIGINT) AS total FROM cluster_counts)) w ON l.cluster = w.cluster"""
+
+
+def _silhouette_squared() -> str:
+    return f"""
+        SELECT customer_id, cluster, {r4('s')} AS silhouette FROM (
+            SELECT customer_id, cluster, CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0
+                                              ELSE (b - a) / greatest(a, b) END AS s FROM (
+                SELECT customer_id, own AS cluster,
+                       max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
+                       min(CASE WHEN own <> other THEN d END) AS b
+                FROM (SELECT l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
+                             {_distance('l', 'm')} + m.spread AS d FROM labelled l, cluster_moments m)
+                GROUP BY customer_id, own))"""
+
+
+def _silhouette_euclidean() -> str:
+    return f"""
+        SELECT customer_id, cluster, {r4('s')} AS silhouette FROM (
+            SELECT customer_id, cluster, CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0
+                                              ELSE (b - a) / greatest(a, b) END AS s FROM (
+                SELECT customer_id, own AS cluster,
+                       max(CASE WHEN own = other AND n > 1 THEN d / (n - 1) END) AS a,
+                       min(CASE WHEN own <> other THEN d / n END) AS b
+                FROM (SELECT x.customer_id, x.cluster AS own, y.cluster AS other, count(*) AS n,
+                             sum(sqrt({_distance('x', 'y')})) AS d
+                      FROM labelled x, labelled y GROUP BY x.customer_id, x.cluster, y.cluster)
+                GROUP BY customer_id, own))"""
+
+
+def cluster_queries() -> dict[str, str]:
+    covariance = _union(
+        f"""SELECT '{a}' AS feature_x, '{b}' AS feature_y, covar_samp({q(a)}, {q(b)}) AS v FROM scaled"""
+        for a in SCALED for b in SCALED)
+    return {
+        "covariance_matrix": f"SELECT feature_x, feature_y, {r4('v')} AS covariance FROM ({covariance})",
+        "assign_to_centroids": f"SELECT customer_id, cluster, {r4('squared_distance')} AS squared_distance FROM labelled",
+        "kmeans_lloyd_fixed": f"SELECT cluster, {_rounded(SCALED)} FROM centers",
+        "inertia_by_k": _union(f"SELECT {k} AS k, {r4('sum(squared_distance)')} AS inertia FROM try{k}_l3"
+                               for k in range(2, 7)),
+        "silhouette_samples": _silhouette_squared(),
+        "silhouette_euclidean_sample": _silhouette_euclidean(),
+        "stratified_sample": """
+            SELECT customer_id, cluster FROM strata WHERE rank <= wanted OR total <= 1000
+            UNION ALL SELECT customer_id, cluster FROM (
+                SELECT customer_id, cluster FROM strata WHERE rank > wanted AND total > 1000
+                ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id
+                LIMIT (SELECT greatest(0, 1000 - CAST(sum(w) AS BIGINT)) FROM (SELECT any_value(wanted) AS w FROM strata GROUP BY cluster)))""",
+        "intercluster_distances": f"""
+            SELECT cluster_a, cluster_b, {r4('d')} AS distance, {r4('d / max(d) OVER ()')} AS normalized_distance,
+                   {r4('size_a / largest')} AS relative_size_a, {r4('size_b / largest')} AS relative_size_b
+            FROM (SELECT a.cluster AS cluster_a, b.cluster AS cluster_b, sqrt({_distance('a', 'b')}) AS d,
+                         m.size AS size_a, n.size AS size_b, (SELECT max(size) FROM cluster_counts) AS largest
+                  FROM centers a JOIN centers b ON a.cluster < b.cluster
+                  JOIN cluster_counts m ON m.cluster = a.cluster JOIN cluster_counts n ON n.cluster = b.cluster)""",
+    }
+
+
+# --- stability -----------------------------------------------------------------------------------
+
+
+def _ari(cells: str, keys: str) -> str:
+    """Adjusted Rand index per key from a relation of (keys, a, b, n)."""
+    by = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    using = f"USING ({keys})" if keys else "ON true"
+    return f"""
+        SELECT {by}n_common, CASE WHEN n_common < 2 OR most = expected THEN 1.0
+                                  ELSE (together - expected) / (most - expected) END AS ari
+        FROM (SELECT {by}n_common, together, (in_a + in_b) / 2 AS most,
+                     in_a * in_b / (n_common * (n_common - 1.0::DOUBLE) / 2) AS expected
+              FROM (SELECT {by}CAST(sum(n) AS BIGINT) AS n_common, sum(n * (n - 1.0::DOUBLE) / 2) AS together
+                    FROM ({cells}) {group})
+              JOIN (SELECT {by}sum(m * (m - 1.0::DOUBLE) / 2) AS in_a
+                    FROM (SELECT {by}a, sum(n) AS m FROM ({cells}) GROUP BY {by}a) {group}) {using}
+              JOIN (SELECT {by}sum(m * (m - 1.0::DOUBLE) / 2) AS in_b
+                    FROM (SELECT {by}b, sum(n) AS m FROM ({cells}) GROUP BY {by}b) {group}) {using})"""
+
+
+BLOCKS["sample_members"] = """
+    SELECT CAST(i AS INTEGER) AS iteration, customer_id FROM scaled, range(20) r(i)
+    WHERE substr(md5(CAST(customer_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 4) < 'cccd'"""
+BLOCKS["sample_rows"] = "SELECT m.iteration, s.* FROM sample_members m JOIN scaled s ON m.customer_id = s.customer_id"
+_lloyd_blocks("boot", "sample_rows", group="iteration")
+BLOCKS["sample_cells"] = """
+    SELECT x.iteration AS i, y.iteration AS j, x.cluster AS a, y.cluster AS b, count(*) AS n
+    FROM boot_l3 x JOIN boot_l3 y ON x.customer_id = y.customer_id AND x.iteration < y.iteration GROUP BY ALL"""
+
+BLOCKS["last_dates"] = """
+    SELECT h.customer_id, max(o.order_purchase_timestamp) AS moment
+    FROM hybrid h LEFT JOIN orders_v o ON h.customer_id = o.customer_id GROUP BY 1"""
+_QUARTER = "strftime({c}, '%Y') || 'Q' || CAST(quarter({c}) AS VARCHAR)"
+BLOCKS["quarter_members"] = f"SELECT DISTINCT {_QUARTER.format(c='moment')} AS period, customer_id FROM last_dates"
+BLOCKS["year_members"] = """
+    SELECT DISTINCT strftime(order_purchase_timestamp, '%Y') AS period, customer_id FROM orders_v"""
+
+
+def _period_blocks(name: str, members: str, least: int) -> None:
+    BLOCKS[f"{name}_sizes"] = f"SELECT period, count(*) AS n_customers FROM {members} GROUP BY 1"
+    BLOCKS[f"{name}_rows"] = f"""
+        SELECT m.period, s.* FROM {members} m JOIN scaled s ON m.customer_id = s.customer_id
+        WHERE m.period IN (SELECT period FROM {name}_sizes WHERE n_customers >= {least})
+          AND m.period IN (SELECT m2.period FROM {members} m2 JOIN scaled s2 ON m2.customer_id = s2.customer_id
+                           GROUP BY 1 HAVING count(*) >= {least})"""
+    _lloyd_blocks(name, f"{name}_rows", group="period")
+
+
+_period_blocks("quarterly", "quarter_members", 10)
+_period_blocks("yearly", "year_members", 20)
+
+BLOCKS["yearly_cells"] = """
+    SELECT x.period AS from_period, y.period AS to_period, x.cluster AS a, y.cluster AS b, count(*) AS n
+    FROM (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_l3) x
+    JOIN (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_l3) y
+      ON x.customer_id = y.customer_id AND x.position + 1 = y.position GROUP BY ALL"""
+
+BLOCKS["eval_rows"] = """
+    SELECT r.* EXCLUDE (period) FROM quarterly_rows r
+    WHERE period = (SELECT period FROM quarterly_sizes WHERE period IN (SELECT period FROM quarterly_rows)
+                    ORDER BY n_customers DESC, period LIMIT 1)
+    ORDER BY md5(CAST(customer_id AS VARCHAR) || '-eval'), customer_id LIMIT 1000"""
+BLOCKS["eval_labels"] = f"""
+    SELECT customer_id, period, cluster FROM (
+        SELECT s.customer_id, c.period, c.cluster,
+               row_number() OVER (PARTITION BY s.customer_id, c.period ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
+        FROM eval_rows s, quarterly_c3 c) WHERE rn = 1"""
+BLOCKS["eval_cells"] = """
+    SELECT x.period AS period_a, y.period AS period_b, x.cluster AS a, y.cluster AS b, count(*) AS n
+    FROM eval_labels x JOIN eval_labels y ON x.customer_id = y.customer_id AND x.period < y.period GROUP BY ALL"""
+
+
+def stability_queries() -> dict[str, str]:
+    return {
+        "bootstrap_samples": "SELECT iteration, customer_id FROM sample_members",
+        "adjusted_rand_index": f"""
+            SELECT n_common, {r4('ari')} AS ari FROM ({_ari(
+                "SELECT x.cluster AS a, y.cluster AS b, count(*) AS n FROM base_l0 x JOIN labelled y "
+                "ON x.customer_id = y.customer_id GROUP BY ALL", "")})""",
+        "pairwise_ari": f"""
+            SELECT i, j, n_common, {r4('ari')} AS ari FROM ({_ari('SELECT * FROM sample_cells', 'i, j')})
+            WHERE n_common >= 10""",
+        "period_buckets": f"""
+            SELECT order_id, strftime(t, '%Y-%m') AS month, CAST(date_trunc('month', t) AS DATE) AS month_start,
+                   {_QUARTER.format(c='t')} AS quarter, CAST(date_trunc('quarter', t) AS DATE) AS quarter_start,
+                   strftime(t, '%Y') AS year, CAST(date_trunc('year', t) AS DATE) AS year_start
+            FROM (SELECT order_id, order_purchase_timestamp AS t FROM orders_v)""",
+        "period_customer_counts": """
+            SELECT period, n_customers, n_customers >= 20 AS is_clustered FROM quarterly_sizes""",
+        "cluster_migration": f"""
+            SELECT from_period, to_period, CAST(f AS INTEGER) AS from_cluster, CAST(t AS INTEGER) AS to_cluster,
+                   coalesce(n, 0) AS n_customers, coalesce({r4('n * 100.0::DOUBLE / from_total')}, 0.0) AS percentage
+            FROM (SELECT g.*, c.n, sum(c.n) OVER (PARTITION BY g.from_period, g.to_period, g.f) AS from_total FROM (
+                    SELECT from_period, to_period, f, t
+                    FROM (SELECT from_period, to_period FROM yearly_cells GROUP BY 1, 2 HAVING sum(n) >= 10),
+                         range({K}) x(f), range({K}) y(t)) g
+                  LEFT JOIN yearly_cells c ON g.from_period = c.from_period AND g.to_period = c.to_period
+                                          AND g.f = c.a AND g.t = c.b)""",
+        "cross_period_ari": f"""
+            SELECT period_a, period_b, n_common, {r4('ari')} AS ari
+            FROM ({_ari('SELECT * FROM eval_cells', 'period_a, period_b')})""",
+    }
+
+
+# --- segments ------------------------------------------------------------------------------------
+
+BLOCKS["cluster_means"] = f"""
+    SELECT cluster, count(*) AS size, {_all('avg({c}) AS {c}')} FROM labelled GROUP BY cluster"""
+
+
+def _original(columns_of: str, prefix: str = "") -> str:
+    return ", ".join(
+        [f"round_even(exp({columns_of}.{c} * iqr_{c} + mid_{c}) - 1, 0) AS {prefix}{c}" for c in COUNTS]
+        + [f"{columns_of}.{c} * iqr_{c} + mid_{c} AS {prefix}{c}" for c in CONTINUOUS])
+
+
+BLOCKS["overall_means"] = f"SELECT {_all('avg({c}) AS {c}', (*COUNTS, *CONTINUOUS))} FROM cluster_means"
+BLOCKS["profiles"] = f"""
+    SELECT m.cluster, m.size, m.size / sum(m.size) OVER () AS share, {_original('m')}, {_original('o', 'all_')}
+    FROM cluster_means m, overall_means o, base_spread"""
+
+
+def _text(template: str, value: str) -> str:
+    return f"printf('{template}', {value})"
+
+
+def segment_queries() -> dict[str, str]:
+    from shoplens.plans.registry import ACTION_LIMITS as limit
+    from shoplens.plans.registry import SEGMENT_CONFIG as config
+
+    recency, frequency, satisfaction = config["recency"], config["frequency"], config["satisfaction"]
+    rfm_name = f"""
+        CASE WHEN recency_days < {recency['active']} THEN 'Active' WHEN recency_days < {recency['recent']} THEN 'Recent'
+             ELSE 'Inactive' END || ' ' ||
+        CASE WHEN frequency > {frequency['frequent']} THEN 'Frequent'
+             WHEN frequency > {frequency['returning']} THEN 'Returning' ELSE 'One-time' END || ' ' ||
+        CASE WHEN monetary > all_monetary THEN 'High-value' ELSE 'Standard-value' END"""
+    mood = f"""
+        CASE WHEN avg_review_score >= {satisfaction['very_satisfied']} THEN 'Very Satisfied'
+             WHEN avg_review_score >= {satisfaction['satisfied']} THEN 'Satisfied'
+             WHEN avg_review_score >= {satisfaction['neutral']} THEN 'Neutral' ELSE 'Unsatisfied' END"""
+    share = _text("%.1f%%", "share * 100")
+    insights = f"""
+        list_filter([
+            CASE WHEN recency_days < {recency['active']} THEN 'Recently active customers - ideal for upselling opportunities.'
+                 WHEN recency_days > {recency['recent']} THEN 'Inactive customers - consider reactivation campaigns.' END,
+            CASE WHEN frequency > all_frequency AND monetary > all_monetary
+                     THEN 'High-value loyal customers - prioritize retention strategies.'
+                 WHEN frequency < all_frequency AND monetary > all_monetary
+                     THEN 'Big spenders but infrequent - opportunity to increase purchase frequency.'
+                 WHEN frequency > all_frequency AND monetary < all_monetary
+                     THEN 'Frequent small purchases - potential for basket size expansion.' END,
+            CASE WHEN avg_review_score < {satisfaction['neutral']}
+                     THEN 'Below average satisfaction - investigate service/product issues.'
+                 WHEN avg_review_score >= {satisfaction['very_satisfied']}
+                     THEN 'Highly satisfied customers - potential brand advocates.' END], lambda x: x IS NOT NULL)"""
+    generic = f"'Cluster ' || CAST(cluster AS VARCHAR) || ' represents ' || {share} || ' of customers.'"
+    insight_list = f"CASE WHEN len({insights}) > 0 THEN {insights} ELSE [{generic}] END"
+    order_value = "monetary / greatest(1.0, frequency)"
+    shown = {"average_delivery_time": ("%.1f days", "avg_delivery_time"), "average_order_value": ("$%.2f", order_value),
+             "days_since_last_purchase": ("%.0f", "recency_days"), "number_of_orders": ("%.1f", "frequency"),
+             "satisfaction_score": ("%.1f/5.0", "avg_review_score"), "total_customer_value": ("$%.2f", "monetary")}
+    actions = [
+        (f"recency_days < {limit['recent_days']} AND monetary > {limit['high_value']}",
+         ("Upsell premium products/services", "Offer loyalty rewards")),
+        (f"recency_days > {limit['inactive_days']} AND monetary > {limit['high_value']}",
+         ("Reactivation campaign with premium offer", "Personal outreach to understand churn reasons")),
+        (f"frequency > {limit['frequent_orders']}",
+         ("Cross-sell complementary products", "Subscription or bundle offers")),
+        (f"monetary < {limit['low_value']}",
+         ("Product education to show value", "Limited-time discounts on premium alternatives")),
+        (f"avg_review_score < {limit['low_score']}",
+         ("Service recovery outreach", "Gather feedback on improvement areas")),
+        (f"avg_review_score > {limit['high_score']}",
+         ("Request referrals and testimonials", "Early access to new products/features")),
+        ("true", ("Monitor segment performance monthly",)),
+    ]
+    action_list = ", ".join(f"CASE WHEN {test} THEN '• {text}' END" for test, texts in actions for text in texts)
+    traits = f"""
+        list_filter([
+            CASE WHEN round(recency_days, 0) < {limit['recent_days']} THEN 'Recently active'
+                 WHEN round(recency_days, 0) > {limit['inactive_days']} THEN 'Inactive' END,
+            CASE WHEN round({order_value}, 2) > {limit['high_value']} THEN 'High spender' END,
+            CASE WHEN round(frequency, 1) > {limit['frequent_orders']} THEN 'Frequent buyer' END,
+            CASE WHEN round(avg_review_score, 1) > {limit['high_score']} THEN 'Very satisfied'
+                 WHEN round(avg_review_score, 1) < {limit['low_score']} THEN 'Unsatisfied' END], lambda x: x IS NOT NULL)[1:3]"""
+    box = f"""
+        SELECT cluster, feature, n, {r4('q1')} AS q1, {r4('q2')} AS median, {r4('q3')} AS q3,
+               {r4('greatest(lo, q1 - 1.5 * (q3 - q1))')} AS whisker_low,
+               {r4('least(hi, q3 + 1.5 * (q3 - q1))')} AS whisker_high, {r4('m')} AS mean
+        FROM (SELECT cluster, feature, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
+                     quantile_cont(value, 0.75) AS q3, min(value) AS lo, max(value) AS hi, avg(value) AS m
+              FROM (SELECT cluster, '{FLAG}_1.0' AS feature, "{FLAG}_1.0" AS value FROM labelled UNION ALL
+                    {_union(f"""SELECT l.cluster, '{c}' AS feature, CAST(h.{c} AS DOUBLE) AS value
+                                FROM labelled l JOIN hybrid h ON l.customer_id = h.customer_id WHERE h.{c} IS NOT NULL"""
+                            for c in (*COUNTS, *CONTINUOUS))}) GROUP BY cluster, feature)"""
+    variance = f"""
+        SELECT feature, v FROM ({_union(f"SELECT '{c}' AS feature, var_samp({q(c)}) AS v FROM scaled" for c in SCALED)})
+        ORDER BY v DESC, feature LIMIT 6"""
+    labelled_long = _long("labelled", SCALED, "cluster,")
+    return {
+        "cluster_stats": f"""
+            SELECT cluster, feature, {r4('avg(value)')} AS mean, {r4('median(value)')} AS median,
+                   {r4('min(value)')} AS min, {r4('max(value)')} AS max, {r4('stddev_samp(value)')} AS std
+            FROM ({labelled_long}) GROUP BY cluster, feature""",
+        "cluster_categorical_mode": f"""
+            SELECT cluster, 'c_mktsegment' AS feature, c_mktsegment AS mode, {r4('n / size')} AS frequency FROM (
+                SELECT cluster, c_mktsegment, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS size,
+                       row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, c_mktsegment) AS rn
+                FROM labelled JOIN customer ON customer_id = c_custkey GROUP BY cluster, c_mktsegment) WHERE rn = 1""",
+        "cluster_sizes": f"""
+            SELECT cluster, size, {r4('size * 100 / sum(size) OVER ()')} AS percentage FROM cluster_counts""",
+        "segment_names": f"SELECT cluster, {rfm_name} AS name, {rfm_name} || ' ' || {mood} AS full_name FROM profiles",
+        "cluster_profiles": f"""
+            SELECT cluster, {rfm_name} AS name, size, {r4('share * 100')} AS percentage,
+                   {', '.join(f'{r4(value)} AS {name}' for name, (_, value) in shown.items())} FROM profiles""",
+        "cluster_insights": f"""
+            SELECT cluster, CAST(generate_subscripts(insights, 1) AS INTEGER) AS position, unnest(insights) AS insight
+            FROM (SELECT cluster, {insight_list} AS insights FROM profiles)""",
+        "cluster_metrics_table": f"""
+            SELECT 'Cluster ' || CAST(cluster AS VARCHAR) AS cluster, {rfm_name} AS name, size, {share} AS percentage,
+                   {', '.join(f"coalesce({_text(t, v)}, '-') AS {name}" for name, (t, v) in shown.items())},
+                   ({insight_list})[1] AS key_insight FROM profiles""",
+        "cluster_radar": f"""
+            SELECT cluster, feature, {r4('(v - low) / nullif(high - low, 0)')} AS value FROM (
+                SELECT cluster, feature, v, min(v) OVER (PARTITION BY feature) AS low,
+                       max(v) OVER (PARTITION BY feature) AS high
+                FROM (SELECT cluster, feature, avg(value) AS v FROM ({labelled_long}) GROUP BY cluster, feature))
+            WHERE feature IN (SELECT feature FROM ({variance}))""",
+        "top_variance_features": f"SELECT feature, {r4('v')} AS variance FROM ({variance})",
+        "cluster_feature_box_stats": box,
+        "segment_actions": f"""
+            SELECT cluster, {rfm_name} AS name, array_to_string(
+                list_filter([{action_list}], lambda x: x IS NOT NULL)[1:3], chr(10)) AS recommended_actions FROM profiles""",
+        "segment_characteristics": f"""
+            SELECT cluster, {rfm_name} AS name, CASE WHEN len({traits}) > 0 THEN array_to_string({traits}, ', ')
+                   ELSE {share} || ' of customer base' END AS key_characteristics FROM profiles""",
+    }
+
+
 def oracle_texts() -> dict[str, str]:
     """SQL text by query name."""
-    texts = {name: _sql(text) for group in (table_queries, scaling_queries) for name, text in group().items()}
+    groups = (table_queries, scaling_queries, cluster_queries, stability_queries, segment_queries)
+    texts = {name: _sql(text) for group in groups for name, text in group().items()}
     return {**texts, **profiling_queries()}

@@ -129,8 +129,8 @@ class Workspace:
     @cached_property
     def sample_centers(self) -> list[Centers]:
         """Fixed-start centres of each repeated sample."""
-        members = bootstrap_samples(self.scaled).withColumn("iteration", F.col("iteration").cast("string"))
-        rows = members.join(self.scaled, "customer_id")
+        rows = bootstrap_samples(self.scaled, keep=self.scaled_columns).withColumn(
+            "iteration", F.col("iteration").cast("string"))
         cuts = start_cuts(rows, CLUSTERS, START_COLUMN, "iteration")
         found = grouped_lloyd(rows, self.scaled_columns, cuts, START_COLUMN, "iteration")
         return [found.by_group[g] for g in sorted(found.by_group, key=int)]
