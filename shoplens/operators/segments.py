@@ -184,13 +184,22 @@ _FORMATS = {
 }
 
 
+def _digits(template: str) -> int:
+    return int(template.split(".")[1][0])
+
+
+def _text(template: str, value: Column) -> Column:
+    """Number as text, an exact half rounded up."""
+    return F.format_string(template, F.round(value, _digits(template)))
+
+
 def formatted_metrics(profile: DataFrame) -> dict[str, Column]:
     """Headline numbers as text, by name."""
-    return {name: F.format_string(_FORMATS[name], value) for name, value in sorted(metric_columns(profile).items())}
+    return {name: _text(_FORMATS[name], value) for name, value in sorted(metric_columns(profile).items())}
 
 
 def percentage_text() -> Column:
-    return F.format_string("%.1f%%", F.col("share") * 100)
+    return _text("%.1f%%", F.col("share") * 100)
 
 
 def cluster_profiles(profile: DataFrame, config: Mapping = DEFAULT_CONFIG, max_parts: int = 3) -> DataFrame:
@@ -283,7 +292,7 @@ def characteristic_text(profile: DataFrame, limits: Mapping = ACTION_LIMITS, mos
     metrics = metric_columns(profile)
 
     def shown(name: str) -> Column:
-        return F.round(metrics[name], int(_FORMATS[name].split(".")[1][0]))
+        return F.round(metrics[name], _digits(_FORMATS[name]))
 
     found: list[Column] = []
     if "days_since_last_purchase" in metrics:

@@ -690,7 +690,9 @@ BLOCKS["profiles"] = f"""
 
 
 def _text(template: str, value: str) -> str:
-    return f"printf('{template}', {value})"
+    """Number as text, an exact half rounded up."""
+    digits = template.split(".")[1][0]
+    return f"printf('{template}', round({value}, {digits}))"
 
 
 def segment_queries() -> dict[str, str]:
