@@ -9,14 +9,14 @@ ordered. Ranges that still hold too many distinct values are narrowed again.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplens.functions.frames import melt, small_table
+from shoplens.functions.frames import col, melt, small_table
 
 # Up to this many long-form rows the built-in exact aggregate is used.
 BUFFERED_ROWS = 500_000
@@ -44,7 +44,26 @@ def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[floa
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return long.groupBy(*keys).agg(
             F.count("value").alias("n"), F.percentile("value", wanted).alias("quantiles"))
-    return _by_value_ranges(long, list(keys), [float(p) for p in probs], buffered_rows)
+    sizes = long.groupBy(*keys).agg(F.count("value").alias("n")).collect()
+    positions = {tuple(r[k] for k in keys): [float(p) * (r["n"] - 1) for p in probs] for r in sizes}
+    return _by_value_ranges(long, list(keys), positions, buffered_rows)
+
+
+def quantiles_at(df: DataFrame, positions: Mapping[str, Sequence[float]],
+                 buffered_rows: int = BUFFERED_ROWS) -> dict[str, list[float]]:
+    """Values at fractional ranks (0-based) that differ by column, as plain numbers.
+
+    Rank 2.5 is halfway between the third and the fourth smallest value.
+    """
+    columns = list(positions)
+    if df.count() * len(columns) > buffered_rows:
+        wanted = {(c,): list(p) for c, p in positions.items()}
+        rows = _by_value_ranges(melt(df, columns), ["feature"], wanted, buffered_rows).collect()
+        return {r["feature"]: list(r["quantiles"]) for r in rows}
+    counts = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    probs = {c: F.array(*[F.lit(float(p) / max(1, n - 1)) for p in positions[c]]) for c, n in zip(columns, counts)}
+    row = df.agg(*[F.percentile(col(c).cast("double"), probs[c]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[f"q{i}"]) for i, c in enumerate(columns)}
 
 
 def quantiles_by_feature(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -54,8 +73,10 @@ def quantiles_by_feature(df: DataFrame, columns: Sequence[str], probs: Sequence[
     return {r["feature"]: list(r["quantiles"]) for r in rows}
 
 
-def _by_value_ranges(long: DataFrame, keys: list[str], probs: list[float], limit: int) -> DataFrame:
-    ranges = _first_ranges(long, keys, probs)
+def _by_value_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple, Sequence[float]],
+                     limit: int) -> DataFrame:
+    """Values at the given fractional ranks of each key."""
+    ranges = _first_ranges(long, keys, positions)
     for _ in range(MAX_NARROWINGS):
         _count_rows(long, keys, ranges)
         missed = [r for r in ranges if not _holds_rank(r)]
@@ -67,31 +88,34 @@ def _by_value_ranges(long: DataFrame, keys: list[str], probs: list[float], limit
         if not missed and not wide:
             break
     _count_rows(long, keys, ranges)
-    return _interpolate(long, keys, ranges, len(probs))
+    return _interpolate(long, keys, ranges)
 
 
-def _first_ranges(long: DataFrame, keys: list[str], probs: list[float]) -> list[dict]:
-    edges = [e for p in probs for e in _edges(p)]
-    rows = long.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"),
-        F.percentile_approx("value", edges, SKETCH_ACCURACY).alias("marks"),
-    ).collect()
+def _first_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple, Sequence[float]]) -> list[dict]:
+    sizes = {tuple(r[k] for k in keys): r for r in long.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest")).collect()}
+    edges = sorted({e for key, wanted in positions.items() for p in wanted for e in _edges(p, sizes[key]["n"])})
+    place = {e: i for i, e in enumerate(edges)}
+    marks = {tuple(r[k] for k in keys): r["marks"] for r in long.groupBy(*keys).agg(
+        F.percentile_approx("value", edges, SKETCH_ACCURACY).alias("marks")).collect()}
     ranges = []
-    for row in rows:
-        for i, p in enumerate(probs):
-            position = p * (row["n"] - 1)
+    for key, wanted in positions.items():
+        n = sizes[key]["n"]
+        for i, position in enumerate(wanted):
             rank = math.floor(position)
+            lo, hi = _edges(position, n)
             ranges.append({
-                **{k: row[k] for k in keys}, "q": i, "n": row["n"], "rank": rank,
-                "next_rank": min(rank + 1, row["n"] - 1), "fraction": position - rank,
-                "least": row["least"], "greatest": row["greatest"],
-                "lo": row["marks"][2 * i], "hi": row["marks"][2 * i + 1], "settled": False,
+                **dict(zip(keys, key)), "q": i, "n": n, "rank": rank,
+                "next_rank": min(rank + 1, n - 1), "fraction": position - rank,
+                "least": sizes[key]["least"], "greatest": sizes[key]["greatest"],
+                "lo": marks[key][place[lo]], "hi": marks[key][place[hi]], "settled": False,
             })
     return ranges
 
 
-def _edges(p: float) -> tuple[float, float]:
-    return max(0.0, p - RANGE_HALF_WIDTH), min(1.0, p + RANGE_HALF_WIDTH)
+def _edges(position: float, n: int) -> tuple[float, float]:
+    p = position / max(1, n - 1)
+    return max(0.0, round(p - RANGE_HALF_WIDTH, 6)), min(1.0, round(p + RANGE_HALF_WIDTH, 6))
 
 
 def _holds_rank(r: dict) -> bool:
@@ -144,7 +168,7 @@ def _narrow(long: DataFrame, keys: list[str], ranges: list[dict]) -> None:
         r["lo"], r["hi"] = lo, hi
 
 
-def _interpolate(long: DataFrame, keys: list[str], ranges: list[dict], n_probs: int) -> DataFrame:
+def _interpolate(long: DataFrame, keys: list[str], ranges: list[dict]) -> DataFrame:
     frame = _range_frame(long, keys, ranges, ("n", "below", "rank", "next_rank", "fraction"))
     running = Window.partitionBy(*keys, "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.col("below") + F.sum("copies").over(running)

@@ -105,24 +105,30 @@ def lloyd(df: DataFrame, columns: Sequence[str], k: int, start_column: str, iter
 
 
 class GroupedCenters:
-    """Centres per group (for example per period), joined to rows as a table of one row per group."""
+    """Centres per group (for example per period), joined to rows as a table of one row per group.
+
+    Each coordinate is a column of its own: reading array elements was several times slower.
+    """
 
     def __init__(self, columns: Sequence[str], by_group: Mapping[str, Centers], group: str):
         self.columns, self.by_group, self.group = tuple(columns), dict(by_group), group
         self.clusters = sorted({c for centers in by_group.values() for c in centers.by_cluster})
 
+    def _names(self, cluster: int) -> list[str]:
+        return [f"_c{cluster}_{i}" for i in range(len(self.columns))]
+
     def table(self, spark: SparkSession) -> DataFrame:
-        schema = pa.schema([(self.group, pa.string()), *[(f"_c{c}", pa.list_(pa.float64())) for c in self.clusters]])
-        rows = [{self.group: g, **{f"_c{c}": list(centers.by_cluster[c]) if c in centers.by_cluster else None
-                                   for c in self.clusters}} for g, centers in self.by_group.items()]
-        return small_table(spark, rows, schema)
+        names = [name for c in self.clusters for name in self._names(c)]
+        rows = [{self.group: g, **{name: value for c, center in centers.by_cluster.items()
+                                   for name, value in zip(self._names(c), center)}}
+                for g, centers in self.by_group.items()]
+        return small_table(spark, rows, pa.schema([(self.group, pa.string()), *[(n, pa.float64()) for n in names]]))
 
     def assign(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Nearest centre of the row's own group; rows of other groups are dropped."""
         point = [col(c) for c in self.columns]
-        distances = {c: squared_distance(point, [F.col(f"_c{c}")[i] for i in range(len(point))])
-                     for c in self.clusters}
-        near = nearest(distances, {c: F.col(f"_c{c}").isNotNull() for c in self.clusters})
+        distances = {c: squared_distance(point, [F.col(name) for name in self._names(c)]) for c in self.clusters}
+        near = nearest(distances, {c: F.col(self._names(c)[0]).isNotNull() for c in self.clusters})
         return df.join(self.table(df.sparkSession), self.group).withColumn("_near", near).select(
             *[col(k) for k in keep], F.col("_near.cluster").alias("cluster"),
             F.col("_near.distance").alias("squared_distance"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.frames import col, melt, small_table
 from shoplens.functions.moments import corrected_skewness
-from shoplens.functions.quantiles import BUFFERED_ROWS, grouped_quantiles, quantile_table, quantiles_by_feature
+from shoplens.functions.quantiles import BUFFERED_ROWS, quantiles_at, quantiles_by_feature
 
 # The rule names of the reports.
 Z3, IQR, Z2 = "Z-score (±3)", "IQR 1.5", "Z-score (±2)"
@@ -67,10 +67,12 @@ def without_outliers(df: DataFrame, limits: Mapping[str, tuple[float | None, flo
 
 
 def _limit_table(df: DataFrame, limits: Limits) -> DataFrame:
-    schema = pa.schema([("method", pa.string()), ("method_order", pa.int32()), ("feature", pa.string()),
-                        ("lower_bound", pa.float64()), ("upper_bound", pa.float64())])
-    rows = [{"method": m, "method_order": k, "feature": c, "lower_bound": lo, "upper_bound": hi}
-            for k, (m, by_column) in enumerate(limits.items()) for c, (lo, hi) in by_column.items()]
+    """One row per column with the limits of each rule side by side (``lo0``, ``hi0``, ``lo1`` …)."""
+    columns = list(dict.fromkeys(c for by_column in limits.values() for c in by_column))
+    schema = pa.schema([("feature", pa.string()), *[
+        (f"{end}{k}", pa.float64()) for k in range(len(limits)) for end in ("lo", "hi")]])
+    rows = [{"feature": c, **{f"{end}{k}": v for k, by_column in enumerate(limits.values())
+                              for end, v in zip(("lo", "hi"), by_column[c])}} for c in columns]
     return small_table(df.sparkSession, rows, schema)
 
 
@@ -78,34 +80,51 @@ def outlier_statistics(df: DataFrame, columns: Sequence[str], methods: Sequence[
                        buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
     """Counts, limits, extremes and moments with and without outliers, per rule and column.
 
-    The limits are a handful of rows per column, joined to the long form as a local table; all rules
-    and columns are then summed in one pass.
+    The limits are one row per column, joined to the long form as a local table; all rules are then
+    summed in one pass. Cleaning cuts off both ends of the sorted values, so the median without
+    outliers is the value at a known rank and needs no second copy of the data per rule.
     """
     limits = outlier_limits(df, columns, methods, buffered_rows)
-    value = F.col("value")
-    below = F.coalesce(value < F.col("lower_bound"), F.lit(False))
-    above = F.coalesce(value > F.col("upper_bound"), F.lit(False))
     present = list(dict.fromkeys(c for by_column in limits.values() for c in by_column))
-    long = melt(df, present).join(_limit_table(df, limits), "feature")
-    inside = F.when(~below & ~above, value)
-    keys = ["method", "method_order", "feature", "lower_bound", "upper_bound"]
-    summed = long.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.count_if(below).alias("below_min"), F.count_if(above).alias("above_max"),
-        F.min(F.when(below, value)).alias("extreme_min"), F.max(F.when(above, value)).alias("extreme_max"),
-        F.avg(value).alias("mean_with"), F.stddev_samp(value).alias("std_with"),
-        F.avg(inside).alias("mean_without"), F.stddev_samp(inside).alias("std_without"),
-        corrected_skewness(value).alias("skewness"))
-    medians = quantile_table(df, present, [0.5], (), buffered_rows).select(
-        "feature", F.col("quantiles")[0].alias("median_with"))
-    clean_medians = grouped_quantiles(
-        long.where(~below & ~above).select("method", "feature", "value"), ["method", "feature"], [0.5],
-        buffered_rows).select("method", "feature", F.col("quantiles")[0].alias("median_without"))
-    count = F.col("below_min") + F.col("above_max")
-    return (
-        summed.join(medians, "feature").join(clean_medians, ["method", "feature"], "left")
-        .withColumn("outlier_count", count)
-        .withColumn("outlier_pct", F.col("outlier_count") / F.col("n") * 100)
+    value = F.col("value")
+    aggregates = [F.count(value).alias("n"), F.avg(value).alias("mean_with"), F.stddev_samp(value).alias("std_with"),
+                  corrected_skewness(value).alias("skewness")]
+    for k in range(len(methods)):
+        below, above = value < F.col(f"lo{k}"), value > F.col(f"hi{k}")
+        inside = F.when(~F.coalesce(below | above, F.lit(False)), value)
+        aggregates += [
+            F.count_if(below).alias(f"below_min{k}"), F.count_if(above).alias(f"above_max{k}"),
+            F.min(F.when(below, value)).alias(f"extreme_min{k}"), F.max(F.when(above, value)).alias(f"extreme_max{k}"),
+            F.avg(inside).alias(f"mean_without{k}"), F.stddev_samp(inside).alias(f"std_without{k}")]
+    rows = (
+        melt(df, present).join(_limit_table(df, limits), "feature").groupBy("feature").agg(*aggregates).collect()
     )
+    positions = {}
+    for r in rows:
+        clean = [(r[f"below_min{k}"], r["n"] - r[f"below_min{k}"] - r[f"above_max{k}"]) for k in range(len(methods))]
+        positions[r["feature"]] = [(r["n"] - 1) / 2] + [below + max(0, left - 1) / 2 for below, left in clean]
+    medians = quantiles_at(df, positions, buffered_rows)
+    table = []
+    for r in rows:
+        feature, n = r["feature"], r["n"]
+        for k, method in enumerate(methods):
+            parts = {name: r[f"{name}{k}"] for name in (
+                "below_min", "above_max", "extreme_min", "extreme_max", "mean_without", "std_without")}
+            lo, hi = limits[method][feature]
+            outside = parts["below_min"] + parts["above_max"]
+            table.append({
+                "method": method, "method_order": k, "feature": feature, "lower_bound": lo, "upper_bound": hi,
+                "outlier_count": outside, "outlier_pct": outside / n * 100,
+                **{name: r[name] for name in ("mean_with", "std_with", "skewness")}, **parts,
+                "median_with": medians[feature][0],
+                "median_without": medians[feature][k + 1] if outside < n else None})
+    # One row per rule and column, whatever the size of the data.
+    kinds = {"method": pa.string(), "method_order": pa.int32(), "feature": pa.string(),
+             "outlier_count": pa.int64(), "below_min": pa.int64(), "above_max": pa.int64()}
+    names = ("method", "method_order", "feature", "lower_bound", "upper_bound", "outlier_count", "outlier_pct",
+             "below_min", "above_max", "extreme_min", "extreme_max", "mean_with", "std_with", "median_with",
+             "mean_without", "std_without", "median_without", "skewness")
+    return small_table(df.sparkSession, table, pa.schema([(n, kinds.get(n, pa.float64())) for n in names]))
 
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS,
@@ -134,11 +153,11 @@ def outlier_rule_table(df: DataFrame, columns: Sequence[str], method: str,
                        buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
     """Limits of one rule per column and how many values lie outside them."""
     limits = outlier_limits(df, columns, [method], buffered_rows)
-    value = F.col("value")
-    outside = (value < F.col("lower_bound")) | (value > F.col("upper_bound"))
+    outside = (F.col("value") < F.col("lo0")) | (F.col("value") > F.col("hi0"))
     return (
         melt(df, list(limits[method])).join(_limit_table(df, limits), "feature")
-        .groupBy("feature", "lower_bound", "upper_bound").agg(F.count_if(outside).alias("outlier_count"))
+        .groupBy("feature", F.col("lo0").alias("lower_bound"), F.col("hi0").alias("upper_bound"))
+        .agg(F.count_if(outside).alias("outlier_count"))
     )
 
 

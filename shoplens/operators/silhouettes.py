@@ -79,16 +79,16 @@ def grouped_mean_silhouette(labelled: DataFrame, columns: Sequence[str], keys: S
     ids = sorted({r["cluster"] for r in rows})
     kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.string()
              for f in labelled.schema.fields if f.name in keys}
+    centers = {c: [f"_m{c}_{i}" for i in range(len(columns))] for c in ids}
     schema = pa.schema([*[(k, kinds[k]) for k in keys], *[
-        field for c in ids for field in (
-            (f"_n{c}", pa.int64()), (f"_m{c}", pa.list_(pa.float64())), (f"_v{c}", pa.float64()))]])
+        part for c in ids for part in (
+            (f"_size{c}", pa.int64()), (f"_spread{c}", pa.float64()), *[(m, pa.float64()) for m in centers[c]])]])
     table: dict[tuple, dict] = {}
     for r in rows:
-        entry = table.setdefault(tuple(r[k] for k in keys), {name: None for name in schema.names})
-        entry.update({k: r[k] for k in keys})
-        entry.update({f"_n{r['cluster']}": r["size"], f"_m{r['cluster']}": list(r["center"]),
-                      f"_v{r['cluster']}": r["spread"]})
-    clusters = [(c, F.col(f"_n{c}"), [F.col(f"_m{c}")[i] for i in range(len(columns))], F.col(f"_v{c}")) for c in ids]
+        c = r["cluster"]
+        entry = table.setdefault(tuple(r[k] for k in keys), {k: r[k] for k in keys})
+        entry.update({f"_size{c}": r["size"], f"_spread{c}": r["spread"], **dict(zip(centers[c], r["center"]))})
+    clusters = [(c, F.col(f"_size{c}"), [F.col(m) for m in centers[c]], F.col(f"_spread{c}")) for c in ids]
     joined = labelled.join(small_table(labelled.sparkSession, list(table.values()), schema), list(keys))
     return _scored(joined, [col(c) for c in columns], clusters, keys).groupBy(*keys).agg(
         F.avg(F.coalesce("silhouette", F.lit(0.0))).alias("silhouette"))

@@ -391,7 +391,7 @@ def kmeans_lloyd_fixed(w):
 
 @query
 def elbow_table(w):
-    return clustering.elbow_table(w.component_scores, w.components.names)
+    return clustering.elbow_table(w.component_scores, w.components.names, parallelism=8)
 
 
 @query
