@@ -15,19 +15,27 @@ def total(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def squared_distance(point: Sequence[Column], center: Sequence[Column | float]) -> Column:
-    return total([(x - c) * (x - c) for x, c in zip(point, center)])
+def squared_distance(point: Sequence[str], center: Sequence[float | str]) -> str:
+    """SQL text of the squared distance from named columns to numbers or other named columns.
+
+    Text, because a Column per operation costs a call to the JVM each; there are hundreds of them.
+    """
+    terms = []
+    for name, value in zip(point, center):
+        other = f"`{value}`" if isinstance(value, str) else f"({value!r}D)"
+        terms.append(f"(`{name}` - {other}) * (`{name}` - {other})")
+    return " + ".join(terms)
 
 
-def nearest(distances: Mapping[int, Column], present: Mapping[int, Column] | None = None) -> Column:
+def nearest(distances: Mapping[int, str], present: Mapping[int, str] | None = None) -> Column:
     """Struct ``(distance, cluster)`` of the smallest distance; the lowest id wins a tie.
 
-    ``present`` tells per id whether the row has such a centre at all.
+    ``present`` names per id a column that is NULL where the row has no such centre.
     """
-    options = [F.struct(d.alias("distance"), F.lit(c).alias("cluster")) for c, d in sorted(distances.items())]
+    options = [f"named_struct('distance', {d}, 'cluster', {c})" for c, d in sorted(distances.items())]
     if present is not None:
-        options = [F.when(present[c], option) for c, option in zip(sorted(distances), options)]
-    return options[0] if len(options) == 1 else F.least(*options)
+        options = [f"if(`{present[c]}` IS NOT NULL, {option}, NULL)" for c, option in zip(sorted(distances), options)]
+    return F.expr(options[0] if len(options) == 1 else f"least({', '.join(options)})")
 
 
 def labels_under(models: Sequence[Mapping[int, Sequence[float]]], point: Sequence[Column]) -> Column:

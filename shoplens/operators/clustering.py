@@ -39,8 +39,7 @@ class Centers:
 
     def nearest(self) -> Column:
         """Struct of squared distance and cluster id."""
-        point = [col(c) for c in self.columns]
-        return nearest({k: squared_distance(point, center) for k, center in self.by_cluster.items()})
+        return nearest({k: squared_distance(self.columns, center) for k, center in self.by_cluster.items()})
 
     def assign(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
         """Add ``cluster`` and ``squared_distance``; without ``keep`` all columns stay."""
@@ -126,9 +125,8 @@ class GroupedCenters:
 
     def assign(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Nearest centre of the row's own group; rows of other groups are dropped."""
-        point = [col(c) for c in self.columns]
-        distances = {c: squared_distance(point, [F.col(name) for name in self._names(c)]) for c in self.clusters}
-        near = nearest(distances, {c: F.col(self._names(c)[0]).isNotNull() for c in self.clusters})
+        distances = {c: squared_distance(self.columns, self._names(c)) for c in self.clusters}
+        near = nearest(distances, {c: self._names(c)[0] for c in self.clusters})
         return df.join(self.table(df.sparkSession), self.group).withColumn("_near", near).select(
             *[col(k) for k in keep], F.col("_near.cluster").alias("cluster"),
             F.col("_near.distance").alias("squared_distance"))
@@ -241,12 +239,11 @@ def permutation_importance(df: DataFrame, centers: Centers, key: str = "customer
             *[F.coalesce(F.lead(col(c)).over(window), F.first(col(c)).over(whole)).alias(f"_s{i}")
               for i, c in enumerate(columns)])
         # Labels are taken after the rows are multiplied, so their code exists once, not per variant.
-        variants = [
-            F.struct(F.lit(repeat).alias("repeat"), F.lit(i).alias("feature_position"),
-                     *[(F.col(f"_s{i}") if c == name else col(name)).alias(f"x{j}")
-                       for j, name in enumerate(columns)])
-            for i, c in enumerate(columns)]
-        part = shuffled.select(F.inline(F.array(*variants)))
+        variants = []
+        for i in range(len(columns)):
+            values = ", ".join(f"'x{j}', `{f'_s{i}' if i == j else name}`" for j, name in enumerate(columns))
+            variants.append(f"named_struct('repeat', {repeat}, 'feature_position', {i}, {values})")
+        part = shuffled.selectExpr(f"inline(array({', '.join(variants)}))")
         long = part if long is None else long.unionByName(part)
     names = [f"x{j}" for j in range(len(columns))]
     relabelled = long.withColumn("cluster", Centers(tuple(names), centers.by_cluster).nearest()["cluster"])

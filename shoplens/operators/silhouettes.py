@@ -29,7 +29,7 @@ def _moments(labelled: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         total([F.var_pop(col(c)) for c in columns]).alias("spread"))
 
 
-def _scored(df: DataFrame, point: Sequence[Column], clusters: Sequence[tuple[int, Column, Sequence, Column]],
+def _scored(df: DataFrame, columns: Sequence[str], clusters: Sequence[tuple[int, Column, Sequence, Column]],
             keep: Sequence[str]) -> DataFrame:
     """Add ``silhouette``; ``clusters`` holds id, size, centre and spread (NULL if absent).
 
@@ -47,7 +47,7 @@ def _scored(df: DataFrame, point: Sequence[Column], clusters: Sequence[tuple[int
     kept = [col(k) for k in keep]
     return (
         df.select(*kept, "cluster", *[size.alias(f"_n{k}") for k, size, *_ in clusters], *[
-            (squared_distance(point, center) + spread).alias(f"_d{k}") for k, _, center, spread in clusters])
+            (F.expr(squared_distance(columns, center)) + spread).alias(f"_d{k}") for k, _, center, spread in clusters])
         .select(*kept, "cluster", inside.alias("_inside"), outside.alias("_outside"))
         .select(*kept, "cluster", score.alias("silhouette"))
     )
@@ -63,7 +63,7 @@ def silhouette_samples(labelled: DataFrame, columns: Sequence[str], keep: Sequen
     rows = _moments(labelled, columns).collect()
     _require_clusters(rows)
     clusters = [(r["cluster"], F.lit(r["size"]), list(r["center"]), F.lit(r["spread"])) for r in rows]
-    return _scored(labelled, [col(c) for c in columns], clusters, keep)
+    return _scored(labelled, columns, clusters, keep)
 
 
 def mean_silhouette(labelled: DataFrame, columns: Sequence[str]) -> float:
@@ -88,9 +88,9 @@ def grouped_mean_silhouette(labelled: DataFrame, columns: Sequence[str], keys: S
         c = r["cluster"]
         entry = table.setdefault(tuple(r[k] for k in keys), {k: r[k] for k in keys})
         entry.update({f"_size{c}": r["size"], f"_spread{c}": r["spread"], **dict(zip(centers[c], r["center"]))})
-    clusters = [(c, F.col(f"_size{c}"), [F.col(m) for m in centers[c]], F.col(f"_spread{c}")) for c in ids]
+    clusters = [(c, F.col(f"_size{c}"), centers[c], F.col(f"_spread{c}")) for c in ids]
     joined = labelled.join(small_table(labelled.sparkSession, list(table.values()), schema), list(keys))
-    return _scored(joined, [col(c) for c in columns], clusters, keys).groupBy(*keys).agg(
+    return _scored(joined, columns, clusters, keys).groupBy(*keys).agg(
         F.avg(F.coalesce("silhouette", F.lit(0.0))).alias("silhouette"))
 
 
