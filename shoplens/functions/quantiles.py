@@ -30,7 +30,8 @@ _ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.i
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                    keys: Sequence[str] = (), buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
     """Quantiles of several columns: keys, ``feature``, ``n`` and ``quantiles`` (array)."""
-    return grouped_quantiles(melt(df, columns, keys), [*keys, "feature"], probs, buffered_rows)
+    few = df.count() * len(columns) <= buffered_rows
+    return _quantiles(melt(df, columns, keys), [*keys, "feature"], probs, few, buffered_rows)
 
 
 def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float],
@@ -40,13 +41,17 @@ def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[floa
     Keys must be few (features, clusters, methods), as one range per key and quantile is kept on
     the driver. ``value`` must not be NULL.
     """
-    if long.count() <= buffered_rows:
+    return _quantiles(long, list(keys), probs, long.count() <= buffered_rows, buffered_rows)
+
+
+def _quantiles(long: DataFrame, keys: list[str], probs: Sequence[float], few: bool, limit: int) -> DataFrame:
+    if few:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return long.groupBy(*keys).agg(
             F.count("value").alias("n"), F.percentile("value", wanted).alias("quantiles"))
     sizes = long.groupBy(*keys).agg(F.count("value").alias("n")).collect()
     positions = {tuple(r[k] for k in keys): [float(p) * (r["n"] - 1) for p in probs] for r in sizes}
-    return _by_value_ranges(long, list(keys), positions, buffered_rows)
+    return _by_value_ranges(long, keys, positions, limit)
 
 
 def quantiles_at(df: DataFrame, positions: Mapping[str, Sequence[float]],
@@ -77,17 +82,24 @@ def _by_value_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple,
                      limit: int) -> DataFrame:
     """Values at the given fractional ranks of each key."""
     ranges = _first_ranges(long, keys, positions)
-    for _ in range(MAX_NARROWINGS):
-        _count_rows(long, keys, ranges)
-        missed = [r for r in ranges if not _holds_rank(r)]
-        for r in missed:
-            r["lo"], r["hi"] = r["least"], r["greatest"]
-        wide = [r for r in ranges if _holds_rank(r) and r["distinct"] > limit and not r["settled"]]
-        if wide:
+    changed, rounds = ranges, 0
+    while changed:
+        _count_rows(long, keys, changed)
+        changed = []
+        for r in ranges:
+            if _holds_rank(r):
+                continue
+            # Back to the last range that held the rank; the whole column holds every rank.
+            r["lo"], r["hi"] = r["held"]
+            r["settled"] = r["narrowed"]
+            changed.append(r)
+        wide = [r for r in ranges if r["distinct"] > limit and not r["settled"]]
+        if wide and rounds < MAX_NARROWINGS:
+            rounds += 1
+            for r in wide:
+                r["held"], r["narrowed"] = (r["lo"], r["hi"]), True
             _narrow(long, keys, wide)
-        if not missed and not wide:
-            break
-    _count_rows(long, keys, ranges)
+            changed += [r for r in wide if not r["settled"]]
     return _interpolate(long, keys, ranges)
 
 
@@ -107,8 +119,8 @@ def _first_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple, Se
             ranges.append({
                 **dict(zip(keys, key)), "q": i, "n": n, "rank": rank,
                 "next_rank": min(rank + 1, n - 1), "fraction": position - rank,
-                "least": sizes[key]["least"], "greatest": sizes[key]["greatest"],
-                "lo": marks[key][place[lo]], "hi": marks[key][place[hi]], "settled": False,
+                "held": (sizes[key]["least"], sizes[key]["greatest"]),
+                "lo": marks[key][place[lo]], "hi": marks[key][place[hi]], "settled": False, "narrowed": False,
             })
     return ranges
 

@@ -72,6 +72,10 @@ class KMeansFit:
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 1,
                max_iter: int = 20) -> KMeansFit:
     """Best of ``restarts`` fits by training cost."""
+    if k == 1:
+        # ``ml.KMeans`` starts at two clusters; one cluster is the mean of all rows.
+        centers = _means(df, columns, F.lit(0))
+        return KMeansFit(centers, centers.assign(df, []).agg(F.sum("squared_distance")).first()[0])
     data = vectors(df, columns)
     best = None
     for seed_ in range(seed, seed + restarts):
