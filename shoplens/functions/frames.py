@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -41,6 +42,17 @@ def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> Dat
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
+def spread_out(df: DataFrame, least_rows: int = 1_000, most_rows: int = 1_000_000) -> DataFrame:
+    """Partitions that keep every core busy on a small table and stay bounded in rows on a large one.
+
+    For tables that many compute-heavy steps read again; adaptive execution sizes partitions by bytes
+    and would leave a small table in one.
+    """
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, math.ceil(n / most_rows), min(cores, math.ceil(n / least_rows))))
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every double column, so results do not depend on the order of additions."""
     return df.select([

@@ -23,6 +23,7 @@ from shoplens.functions.quantiles import BUFFERED_ROWS, grouped_quantiles, quant
 from shoplens.operators import silhouettes
 
 SEED = 42
+ROWS_PER_TASK = 20_000
 
 
 def cluster_label(cluster: Column) -> Column:
@@ -77,6 +78,10 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED,
         centers = _means(df, columns, F.lit(0))
         return KMeansFit(centers, centers.assign(df, []).agg(F.sum("squared_distance")).first()[0])
     data = vectors(df, columns)
+    # Every step of a fit is a job: on little data a task per core costs more than it gains.
+    parts = max(1, math.ceil(data.count() / ROWS_PER_TASK))
+    if parts < df.sparkSession.sparkContext.defaultParallelism:
+        data = data.coalesce(parts)
     best = None
     for seed_ in range(seed, seed + restarts):
         model = KMeans(k=k, seed=seed_, maxIter=max_iter).fit(data)
@@ -218,7 +223,7 @@ def hashed_order(key: str, salt: object) -> Column:
 
 
 def permutation_importance(df: DataFrame, centers: Centers, key: str = "customer_id", n_repeats: int = 3,
-                           sample_size: int = 100_000, bucket_rows: int = 5_000) -> DataFrame:
+                           sample_size: int = 100_000, bucket_rows: int = 2_000) -> DataFrame:
     """Loss of mean silhouette when one feature is shuffled: mean and deviation over the repeats.
 
     Rows are put in random order inside random buckets of bounded size and each takes the value of
@@ -238,14 +243,13 @@ def permutation_importance(df: DataFrame, centers: Centers, key: str = "customer
         bucket = F.conv(F.substring(hashed_order(key, f"b{repeat}"), 1, 8), 16, 10).cast("bigint") % buckets
         window = Window.partitionBy("_bucket").orderBy(order, key)
         whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        row = F.struct(*[col(c).alias(f"v{i}") for i, c in enumerate(columns)])
         shuffled = sample.withColumn("_bucket", bucket).select(
-            *[col(c) for c in columns],
-            *[F.coalesce(F.lead(col(c)).over(window), F.first(col(c)).over(whole)).alias(f"_s{i}")
-              for i, c in enumerate(columns)])
+            *[col(c) for c in columns], F.coalesce(F.lead(row).over(window), F.first(row).over(whole)).alias("_next"))
         # Labels are taken after the rows are multiplied, so their code exists once, not per variant.
         variants = []
         for i in range(len(columns)):
-            values = ", ".join(f"'x{j}', `{f'_s{i}' if i == j else name}`" for j, name in enumerate(columns))
+            values = ", ".join(f"'x{j}', " + (f"_next.v{i}" if i == j else f"`{name}`") for j, name in enumerate(columns))
             variants.append(f"named_struct('repeat', {repeat}, 'feature_position', {i}, {values})")
         part = shuffled.selectExpr(f"inline(array({', '.join(variants)}))")
         long = part if long is None else long.unionByName(part)

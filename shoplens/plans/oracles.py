@@ -538,6 +538,45 @@ def _silhouette_euclidean() -> str:
                 GROUP BY customer_id, own))"""
 
 
+BLOCKS["scored_base"] = f"""
+    SELECT avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
+        SELECT customer_id, max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
+               min(CASE WHEN own <> other THEN d END) AS b
+        FROM (SELECT l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
+                     {_distance('l', 'm')} + m.spread AS d FROM labelled l, cluster_moments m) GROUP BY customer_id)"""
+BLOCKS["shuffle_keys"] = """
+    SELECT s.*, CAST(r AS INTEGER) AS repeat, md5(CAST(customer_id AS VARCHAR) || '-' || CAST(r AS VARCHAR)) AS place,
+           CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '-b' || CAST(r AS VARCHAR)), 1, 8)) AS UBIGINT)
+               % (SELECT CAST(greatest(1, ceil(count(*) / 2000.0)) AS UBIGINT) FROM scaled) AS bucket
+    FROM scaled s, range(3) t(r)"""
+_FOLLOWING = ("coalesce(lead({c}) OVER w, first_value({c}) OVER "
+              "(PARTITION BY repeat, bucket ORDER BY place, customer_id))")
+BLOCKS["shuffled"] = _union(
+    f"""SELECT repeat, {i} AS feature_position, customer_id, {', '.join(
+        (_FOLLOWING.format(c=q(c)) if i == j else q(c)) + f' AS {q(c)}' for j, c in enumerate(SCALED))}
+        FROM shuffle_keys WINDOW w AS (PARTITION BY repeat, bucket ORDER BY place, customer_id)"""
+    for i in range(len(SCALED)))
+BLOCKS["shuffled_labels"] = f"""
+    SELECT * EXCLUDE (rn) FROM (
+        SELECT s.*, c.cluster, row_number() OVER (PARTITION BY repeat, feature_position, customer_id
+                                                 ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
+        FROM shuffled s, centers c) WHERE rn = 1"""
+BLOCKS["shuffled_moments"] = f"""
+    SELECT repeat, feature_position, cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread,
+           {_all('avg({c}) AS {c}')} FROM shuffled_labels GROUP BY ALL"""
+BLOCKS["shuffled_scores"] = f"""
+    SELECT repeat, feature_position,
+           avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
+        SELECT repeat, feature_position, customer_id,
+               max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
+               min(CASE WHEN own <> other THEN d END) AS b
+        FROM (SELECT l.repeat, l.feature_position, l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
+                     {_distance('l', 'm')} + m.spread AS d
+              FROM shuffled_labels l JOIN shuffled_moments m
+                ON l.repeat = m.repeat AND l.feature_position = m.feature_position)
+        GROUP BY repeat, feature_position, customer_id) GROUP BY repeat, feature_position"""
+
+
 def cluster_queries() -> dict[str, str]:
     covariance = _union(
         f"""SELECT '{a}' AS feature_x, '{b}' AS feature_y, covar_samp({q(a)}, {q(b)}) AS v FROM scaled"""
@@ -556,6 +595,11 @@ def cluster_queries() -> dict[str, str]:
                 SELECT customer_id, cluster FROM strata WHERE rank > wanted AND total > 1000
                 ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id
                 LIMIT (SELECT greatest(0, 1000 - CAST(sum(w) AS BIGINT)) FROM (SELECT any_value(wanted) AS w FROM strata GROUP BY cluster)))""",
+        "importance_fixed_centers": f"""
+            SELECT ([{', '.join(f"'{c}'" for c in SCALED)}])[feature_position + 1] AS feature,
+                   {r4('avg(b.silhouette - s.silhouette)')} AS importance,
+                   {r4('stddev_pop(b.silhouette - s.silhouette)')} AS std
+            FROM shuffled_scores s, scored_base b GROUP BY feature_position""",
         "intercluster_distances": f"""
             SELECT cluster_a, cluster_b, {r4('d')} AS distance, {r4('d / max(d) OVER ()')} AS normalized_distance,
                    {r4('size_a / largest')} AS relative_size_a, {r4('size_b / largest')} AS relative_size_b
@@ -656,6 +700,9 @@ def stability_queries() -> dict[str, str]:
             FROM (SELECT order_id, order_purchase_timestamp AS t FROM orders_v)""",
         "period_customer_counts": """
             SELECT period, n_customers, n_customers >= 20 AS is_clustered FROM quarterly_sizes""",
+        "temporal_ari": f"""
+            SELECT from_period, to_period, n_common, {r4('ari')} AS ari
+            FROM ({_ari('SELECT * FROM yearly_cells', 'from_period, to_period')}) WHERE n_common >= 20""",
         "cluster_migration": f"""
             SELECT from_period, to_period, CAST(f AS INTEGER) AS from_cluster, CAST(t AS INTEGER) AS to_cluster,
                    coalesce(n, 0) AS n_customers, coalesce({r4('n * 100.0::DOUBLE / from_total')}, 0.0) AS percentage

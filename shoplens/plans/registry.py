@@ -422,6 +422,12 @@ def kmeans_feature_importance(w):
     return clustering.permutation_importance(w.scaled, fit.centers)
 
 
+@query
+def importance_fixed_centers(w):
+    """Permutation importance under the fixed-start centres, whose shuffles SQL can repeat."""
+    return clustering.permutation_importance(w.scaled, w.centers)
+
+
 @query
 def intercluster_distances(w):
     return clustering.intercluster_distances(w.labelled, w.centers)
@@ -485,6 +491,13 @@ def temporal_stability(w):
     return stability.consecutive_ari(stability.transition_cells(labels, data.kept), 5 * CLUSTERS)
 
 
+@query
+def temporal_ari(w):
+    """Agreement of consecutive years under fixed-start centres."""
+    labels = w.period_centers(w.yearly).assign(w.yearly.rows, ["period", "customer_id"])
+    return stability.consecutive_ari(stability.transition_cells(labels, w.yearly.kept), 5 * CLUSTERS)
+
+
 @query
 def cluster_migration(w):
     labels = w.period_centers(w.yearly).assign(w.yearly.rows, ["period", "customer_id"])

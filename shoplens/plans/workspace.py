@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.functions.frames import spread_out
 from shoplens.operators import features as feat
 from shoplens.operators import outliers, segments
 from shoplens.operators.clustering import Centers, GroupedCenters, grouped_lloyd, lloyd, start_cuts
@@ -70,7 +71,7 @@ class Workspace:
     @cached_property
     def scaled(self) -> DataFrame:
         """Scaled features with their key: every fit and profile reads this table again."""
-        return self.stored("scaled", lambda: self.scaler.transform(self.hybrid))
+        return self.stored("scaled", lambda: self.scaler.transform(spread_out(self.hybrid)))
 
     @property
     def scaled_columns(self) -> list[str]:
@@ -108,9 +109,10 @@ class Workspace:
             "customer_id", "order_purchase_timestamp")
 
     def periods(self, dated: DataFrame, period: str, minimum: int) -> PeriodData:
-        """Features per period, stored by period: every model reads the rows of one period only."""
+        """Features per period, stored once: every model reads its period from this table."""
         data = period_data(self.scaled, dated, self.scaled_columns, period, minimum)
-        data.rows = self.stored(f"{period}-rows", lambda: data.rows)
+        rows = data.rows
+        data.rows = self.stored(f"{period}-rows", lambda: spread_out(rows))
         return data
 
     @cached_property
