@@ -32,6 +32,34 @@ ACTION_LIMITS = {
     "low_score": 3.5, "high_score": 4.5,
 }
 
+# Texts of the insights.
+INSIGHTS = {
+    "recent": "Recently active customers - ideal for upselling opportunities.",
+    "inactive": "Inactive customers - consider reactivation campaigns.",
+    "loyal": "High-value loyal customers - prioritize retention strategies.",
+    "big_spender": "Big spenders but infrequent - opportunity to increase purchase frequency.",
+    "frequent_small": "Frequent small purchases - potential for basket size expansion.",
+    "dissatisfied": "Below average satisfaction - investigate service/product issues.",
+    "satisfied": "Highly satisfied customers - potential brand advocates.",
+}
+
+# Texts of the recommended actions.
+ACTIONS = {
+    "recent_high_value": ("Upsell premium products/services", "Offer loyalty rewards"),
+    "inactive_high_value": ("Reactivation campaign with premium offer", "Personal outreach to understand churn reasons"),
+    "frequent": ("Cross-sell complementary products", "Subscription or bundle offers"),
+    "low_value": ("Product education to show value", "Limited-time discounts on premium alternatives"),
+    "dissatisfied": ("Service recovery outreach", "Gather feedback on improvement areas"),
+    "satisfied": ("Request referrals and testimonials", "Early access to new products/features"),
+    "otherwise": ("Monitor segment performance monthly",),
+}
+
+# Texts of the key characteristics.
+TRAITS = {
+    "recent": "Recently active", "inactive": "Inactive", "high_spender": "High spender", "frequent": "Frequent buyer",
+    "satisfied": "Very satisfied", "dissatisfied": "Unsatisfied",
+}
+
 FLAG_PREFIX = "has_negative_flag"
 POSITIVE_FLAG = "has_negative_flag_1.0"
 
@@ -214,22 +242,17 @@ def insight_list(profile: DataFrame, config: Mapping = DEFAULT_CONFIG) -> Column
     found: list[Column] = []
     if _has(profile, "recency_days"):
         days = F.col("recency_days")
-        found.append(F.when(days < config["recency"]["active"],
-                            "Recently active customers - ideal for upselling opportunities.")
-                     .when(days > config["recency"]["recent"],
-                           "Inactive customers - consider reactivation campaigns."))
+        found.append(F.when(days < config["recency"]["active"], INSIGHTS["recent"])
+                     .when(days > config["recency"]["recent"], INSIGHTS["inactive"]))
     if _has(profile, "frequency", "monetary"):
         frequent, rare = (F.col("frequency") > F.col("all_frequency")), (F.col("frequency") < F.col("all_frequency"))
         rich, poor = (F.col("monetary") > F.col("all_monetary")), (F.col("monetary") < F.col("all_monetary"))
-        found.append(F.when(frequent & rich, "High-value loyal customers - prioritize retention strategies.")
-                     .when(rare & rich, "Big spenders but infrequent - opportunity to increase purchase frequency.")
-                     .when(frequent & poor, "Frequent small purchases - potential for basket size expansion."))
+        found.append(F.when(frequent & rich, INSIGHTS["loyal"]).when(rare & rich, INSIGHTS["big_spender"])
+                     .when(frequent & poor, INSIGHTS["frequent_small"]))
     if _has(profile, "avg_review_score"):
         score, limits = F.col("avg_review_score"), config["satisfaction"]
-        found.append(F.when(score < limits["neutral"],
-                            "Below average satisfaction - investigate service/product issues.")
-                     .when(score >= limits["very_satisfied"],
-                           "Highly satisfied customers - potential brand advocates."))
+        found.append(F.when(score < limits["neutral"], INSIGHTS["dissatisfied"])
+                     .when(score >= limits["very_satisfied"], INSIGHTS["satisfied"]))
     generic = F.array(F.concat(cluster_label(F.col("cluster")), F.lit(" represents "), percentage_text(),
                                F.lit(" of customers.")))
     if not found:
@@ -257,26 +280,20 @@ def action_list(profile: DataFrame, limits: Mapping = ACTION_LIMITS, most: int =
     """Recommended actions, the first three that apply."""
     options: list[Column] = []
 
-    def add(condition: Column, *texts: str) -> None:
-        options.extend(F.when(condition, F.lit(t)) for t in texts)
+    def add(condition: Column, situation: str) -> None:
+        options.extend(F.when(condition, F.lit(text)) for text in ACTIONS[situation])
 
     if _has(profile, "recency_days", "frequency", "monetary"):
         rich = F.col("monetary") > limits["high_value"]
-        add((F.col("recency_days") < limits["recent_days"]) & rich,
-            "Upsell premium products/services", "Offer loyalty rewards")
-        add((F.col("recency_days") > limits["inactive_days"]) & rich,
-            "Reactivation campaign with premium offer", "Personal outreach to understand churn reasons")
-        add(F.col("frequency") > limits["frequent_orders"],
-            "Cross-sell complementary products", "Subscription or bundle offers")
-        add(F.col("monetary") < limits["low_value"],
-            "Product education to show value", "Limited-time discounts on premium alternatives")
+        add((F.col("recency_days") < limits["recent_days"]) & rich, "recent_high_value")
+        add((F.col("recency_days") > limits["inactive_days"]) & rich, "inactive_high_value")
+        add(F.col("frequency") > limits["frequent_orders"], "frequent")
+        add(F.col("monetary") < limits["low_value"], "low_value")
     if _has(profile, "avg_review_score"):
-        add(F.col("avg_review_score") < limits["low_score"],
-            "Service recovery outreach", "Gather feedback on improvement areas")
-        add(F.col("avg_review_score") > limits["high_score"],
-            "Request referrals and testimonials", "Early access to new products/features")
+        add(F.col("avg_review_score") < limits["low_score"], "dissatisfied")
+        add(F.col("avg_review_score") > limits["high_score"], "satisfied")
     # The last resort comes after all others, so it is only reached with fewer than three.
-    options.append(F.lit("Monitor segment performance monthly"))
+    add(F.lit(True), "otherwise")
     return F.slice(F.array_compact(F.array(*options)), 1, most)
 
 
@@ -297,13 +314,15 @@ def characteristic_text(profile: DataFrame, limits: Mapping = ACTION_LIMITS, mos
     found: list[Column] = []
     if "days_since_last_purchase" in metrics:
         days = shown("days_since_last_purchase")
-        found.append(F.when(days < limits["recent_days"], "Recently active").when(days > limits["inactive_days"], "Inactive"))
+        found.append(F.when(days < limits["recent_days"], TRAITS["recent"])
+                     .when(days > limits["inactive_days"], TRAITS["inactive"]))
     if "average_order_value" in metrics and "number_of_orders" in metrics:
-        found += [F.when(shown("average_order_value") > limits["high_value"], "High spender"),
-                  F.when(shown("number_of_orders") > limits["frequent_orders"], "Frequent buyer")]
+        found += [F.when(shown("average_order_value") > limits["high_value"], TRAITS["high_spender"]),
+                  F.when(shown("number_of_orders") > limits["frequent_orders"], TRAITS["frequent"])]
     if "satisfaction_score" in metrics:
         score = shown("satisfaction_score")
-        found.append(F.when(score > limits["high_score"], "Very satisfied").when(score < limits["low_score"], "Unsatisfied"))
+        found.append(F.when(score > limits["high_score"], TRAITS["satisfied"])
+                     .when(score < limits["low_score"], TRAITS["dissatisfied"]))
     generic = F.concat(percentage_text(), F.lit(" of customer base"))
     if not found:
         return generic
