@@ -85,15 +85,12 @@ def _by_value_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple,
     changed, rounds = ranges, 0
     while changed:
         _count_rows(long, keys, changed)
-        changed = []
-        for r in ranges:
-            if _holds_rank(r):
-                continue
+        changed = [r for r in ranges if not _holds_rank(r)]
+        wide = [r for r in ranges if _holds_rank(r) and r["distinct"] > limit and not r["settled"]]
+        for r in changed:
             # Back to the last range that held the rank; the whole column holds every rank.
             r["lo"], r["hi"] = r["held"]
             r["settled"] = r["narrowed"]
-            changed.append(r)
-        wide = [r for r in ranges if r["distinct"] > limit and not r["settled"]]
         if wide and rounds < MAX_NARROWINGS:
             rounds += 1
             for r in wide:
