@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__
 from check_oracles import compare, duckdb_tables
+from shoplens.plans.oracles import oracle_texts
+from shoplens.plans.registry import registered_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, TEXTS = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, TEXTS = registered_queries(), oracle_texts()
 NO_SQL = {
     "pca_projection", "pca_explained_variance", "pca_top_loadings", "pca_feature_importance", "kmeans_fit", "elbow_table",
     "kmeans_feature_importance", "cluster_projection", "bootstrap_stability", "temporal_stability", "cross_period_stability",
@@ -28,5 +30,9 @@ def test_query_equals_sql(spark, tables, name):
     assert good and "TYPES" not in note, note
 
 
+def test_entry_point_offers_them_all():
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(TEXTS) <= set(__spark_entry__.oracle_sql())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 145
