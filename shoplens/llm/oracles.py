@@ -59,7 +59,7 @@ def quality_rules_sql(stop_words) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (SELECT doc_id, body, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words,
-             list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+             list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 places AS (
   SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS said
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
@@ -72,8 +72,8 @@ m AS (
          (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(words, x -> x IN ({forms}))) AS n_stop,
-         len(list_filter(lines, x -> regexp_matches(ltrim(x, ' '), '^[-*•·]'))) AS n_bullets
+         len(list_filter(words, lambda x: x IN ({forms}))) AS n_stop,
+         len(list_filter(lines, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•·]'))) AS n_bullets
   FROM w LEFT JOIN repeats USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
