@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import WORD, checkpointed, uniform, whole_text
+from shoplens.llm.shared import WORD, attach, checkpointed, uniform, whole_text
 
 #: Bins per level, a power of two; there are two levels.
 BINS = 1024
@@ -90,12 +90,13 @@ def source_plan(rows: DataFrame, weights: Sequence[int], share: float, most: flo
         .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("part", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0)))
     wanted = targets.where("part > 0").select(F.col("source").alias("of"), "missing", "part")
-    placed = (rows.join(wanted, _same_source("of")).select(
+    placed = (attach(rows, wanted, "source", "of", "u").where("part is not null").select(
         "source", "size", "missing", _position(F.col("u"), F.col("part"), F.col("odds")).alias("position"))
         .withColumn("fine", F.floor(F.col("position") * (BINS * BINS)))
         .withColumn("coarse", F.floor(F.col("fine") / BINS)))
     first = _edge(placed, "coarse")
-    inside = (placed.join(first, _same_source("edge_source") & (F.col("coarse") == F.col("edge_coarse")))
+    first = checkpointed(first)
+    inside = (attach(placed, first, "source", "edge_source", "position").where("coarse = edge_coarse")
               .withColumn("missing", F.col("missing") - F.col("before"))
               .select("source", "size", "missing", "position", "fine"))
     second = _edge(inside, "fine")
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
              .withColumn("_odds", F.col(odds_col).cast("double") if odds_col else F.lit(1.0)))
     rows = checkpointed(drawn.select(F.col(source_col).alias("source"), "size", F.col("_u").alias("u"),
                                      F.col("_odds").alias("odds")))
-    plan = source_plan(rows, weights, share, most).select(
+    plan = checkpointed(source_plan(rows, weights, share, most)).select(
         *[F.col(c).alias(f"_plan_{c}") for c in ("of", "source_size", "target", "whole", "part", "edge_bin",
                                                  "last_position")])
     position = _position(F.col("_u"), F.col("_plan_part"), F.col("_odds"))
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.col("_plan_edge_bin").isNull() | (fine < F.col("_plan_edge_bin"))
         | ((fine == F.col("_plan_edge_bin")) & (position <= F.coalesce("_plan_last_position", F.lit(-1.0)))))
     copies = F.col("_plan_whole") + F.when(sampled, 1).otherwise(0)
-    return (drawn.join(plan, F.col(source_col).eqNullSafe(F.col("_plan_of")), "left")
+    return (attach(drawn, plan, source_col, "_plan_of", "_u")
             .withColumn("copies", copies.cast("int"))
             .select(*plain.columns, "size", F.col("_plan_source_size").alias("source_size"),
                     F.col("_plan_target").alias("target"), "copies",

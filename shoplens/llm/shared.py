@@ -43,3 +43,22 @@ def uniform(*keys: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a small side, of a few short columns, that may be broadcast: some megabytes.
+BROADCAST_ROWS = 50_000
+
+
+def attach(rows: DataFrame, small: DataFrame, key: str, small_key: str, spread_by: str) -> DataFrame:
+    """Left join of rows with a stored table of one row per key, null equal to null, safe against hot keys.
+
+    The table is counted. Up to BROADCAST_ROWS it is broadcast; beyond, each of its rows is repeated once per salt and
+    rows of a hot key are dealt out by salt, taken from the column spread_by.
+    """
+    same = F.col(key).eqNullSafe(F.col(small_key))
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), same, "left")
+    salts = shuffle_partitions(rows.sparkSession)
+    salted = small.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+            .join(salted, same & (F.col("_salt") == F.col("_salt_of")), "left").drop("_salt", "_salt_of"))
