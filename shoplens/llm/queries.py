@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import exact_dedup, mixing, quality_rules, sharding, simhash
+from shoplens.llm import exact_dedup, mixing, quality_model, quality_rules, sharding, simhash
 from shoplens.llm.oracles import oracle_table
 from shoplens.llm.shared import table
 
@@ -37,12 +37,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("kept") & ~F.col("base_failed")).alias("kept"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_model.scored(docs, model).select(
+        "doc_id", (quality_model.bucket() == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_exact_dedup, op6_quality_rules,
+    return {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_exact_dedup, op6_quality_rules, op7_quality_classifier,
                                        op8_simhash_near_dedup)}
 
 
