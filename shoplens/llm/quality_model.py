@@ -204,10 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     found = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
              .select("_id", "_label", encoded("_text").alias("_rows")).toPandas())
-    found["_key"] = [r.tobytes() for r in found["_rows"]]
-    found = found.sort_values(["_id", "_key"])
-    bags = [np.asarray(r, float).reshape(-1, FEATURES) for r in found["_rows"]]
-    return fit(bags, found["_label"].to_numpy(float), **settings)
+    rows = [np.asarray(r, np.float32) for r in found["_rows"]]
+    order = sorted(range(len(rows)), key=lambda k: (found["_id"].iloc[k], rows[k].tobytes()))
+    bags = [rows[k].astype(float).reshape(-1, FEATURES) for k in order]
+    return fit(bags, found["_label"].to_numpy(float)[order], **settings)
 
 
 def scorer(model: AttentionModel):
