@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import exact_dedup, mixing, quality_model, quality_rules, sharding, simhash
+from shoplens.llm import exact_dedup, mixing, quality_model, quality_rules, sentencepiece_unigram, sharding, simhash
 from shoplens.llm.oracles import oracle_table
 from shoplens.llm.shared import table
 
@@ -48,9 +48,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_unigram.encoded(docs).select("doc_id", "n_pieces", "n_fallback", "restored", "pieces")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_exact_dedup, op6_quality_rules, op7_quality_classifier,
-                                       op8_simhash_near_dedup)}
+                                       op8_simhash_near_dedup, op9_sentencepiece)}
 
 
 def llm_oracles() -> dict[str, str]:
