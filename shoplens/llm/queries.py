@@ -7,14 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import exact_dedup, mixing, quality_model, quality_rules, sentencepiece_unigram, sharding, simhash
+from shoplens.llm import (
+    archives,
+    exact_dedup,
+    licenses,
+    mixing,
+    quality_model,
+    quality_rules,
+    sentencepiece_unigram,
+    sharding,
+    simhash,
+)
 from shoplens.llm.oracles import oracle_table
-from shoplens.llm.shared import table
+from shoplens.llm.shared import shared_folder, table
 
 #: Names of the shards of the placement query.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def labels(matches):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    score = F.array_max(F.transform("matches", lambda m: m["coverage"]))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+                        F.coalesce(score, F.lit(0.0)).alias("score"), "matches")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, SHARDS).select("doc_id", "slot", "shard", "shard_name")
@@ -29,6 +53,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archives.archived(pages, shared_folder(spark, "archives")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record",
+        "verified")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -54,7 +85,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_source_mixing, op4_exact_dedup, op6_quality_rules, op7_quality_classifier,
+    return {f.__name__: f for f in (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules, op7_quality_classifier,
                                        op8_simhash_near_dedup, op9_sentencepiece)}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,19 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
+def _prepared(spark: SparkSession):
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shoplens-"))
+    return context
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation.
 
     Only where the setting is absent (tests, a single machine) a temporary folder is taken.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shoplens-"))
+    _prepared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,3 +68,8 @@ def attach(rows: DataFrame, small: DataFrame, key: str, small_key: str, spread_b
     salted = small.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
             .join(salted, same & (F.col("_salt") == F.col("_salt_of")), "left").drop("_salt", "_salt_of"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one of spark.checkpoint.dir."""
+    return f"{_prepared(spark).getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
