@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoplens.llm import (
     archives,
     exact_dedup,
+    html_text,
     licenses,
     mixing,
     quality_model,
@@ -84,9 +85,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_unigram.encoded(docs).select("doc_id", "n_pieces", "n_fallback", "restored", "pieces")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules, op7_quality_classifier,
-                                       op8_simhash_near_dedup, op9_sentencepiece)}
+    found = (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules,
+             op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction)
+    return {f.__name__: f for f in found}
 
 
 def llm_oracles() -> dict[str, str]:
