@@ -46,8 +46,9 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _file_count(frame: DataFrame, size_col: str) -> int:
-    total = frame.agg(F.sum(F.octet_length(size_col))).first()[0] or 0
+def _file_count(sizes: DataFrame) -> int:
+    """From one column of bytes per record."""
+    total = sizes.agg(F.sum(sizes.columns[0])).first()[0] or 0
     return max(1, math.ceil(total / ARCHIVE_BYTES))
 
 
@@ -91,7 +92,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = NO_DATE
                         + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n").encode()
                 out.append(arc_record(version, url, date, head + html, name))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-    dealt = rows.repartition(_file_count(rows, "html"), F.xxhash64("page_id", "url"))
+    dealt = rows.repartition(_file_count(rows.select(F.octet_length("html"))), F.xxhash64("page_id", "url"))
     _written(dealt.mapInArrow(run, "record binary"), path)
 
 
@@ -205,14 +206,16 @@ def _converted(row: dict) -> bytes:
     }, block)
 
 
-def _first_pages(records: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, payload_digest, first_page) of the records that revisit another page.
+def _payload_rows(records: DataFrame) -> DataFrame:
+    return checkpointed(records.select(F.col("page_id").cast("bigint").alias("number"), F.sha1("payload").alias("digest"),
+                                       F.octet_length("payload").alias("bytes")))
+
+
+def _first_pages(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(number, digest, first_page) of the records that revisit another page.
 
     Only ids and digests are exchanged, a payload that very many pages share is one row per task.
     """
-    rows = checkpointed(records.select(
-        F.col("page_id").cast("bigint").alias("number"), F.sha1("payload").alias("digest"),
-        F.octet_length("payload").alias("bytes")))
     firsts = checkpointed(rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("of"))
                           .agg(F.min("number").alias("first"), F.count("*").alias("n")).where("n > 1"))
     return (attach(rows, firsts, "digest", "of", "number").where("first is not null and not (number <=> first)")
@@ -227,8 +230,8 @@ def convert(spark: SparkSession, arc_paths: list[str], warc_path: str, least_byt
     id are responses all of them.
     """
     records = read_arc(spark, *arc_paths)
-    again = _first_pages(records, least_bytes)
-    files = _file_count(records, "payload")
+    rows = _payload_rows(records)
+    again, files = _first_pages(rows, least_bytes), _file_count(rows.select("bytes"))
     keyed = records.withColumn("number", F.col("page_id").cast("bigint")).withColumn("digest", F.sha1("payload"))
     joined = (keyed.repartition(files, "number", "digest").alias("r")
               .join(again.withColumnRenamed("number", "of").withColumnRenamed("digest", "with").repartition(files, "of", "with"),
