@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 import uuid
 import zlib
@@ -22,13 +21,13 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm.shared import attach, checkpointed
 
-#: Bytes of payload per archive to aim at.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes that a task gathers before it passes them on as one row, and such rows per archive: what bounds an archive.
+SEGMENT_BYTES, SEGMENTS = 4 << 20, 4
 #: Crawl date of records without one, as ARC writes it.
 NO_DATE = "20000101000000"
 
@@ -46,15 +45,23 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _file_count(sizes: DataFrame) -> int:
-    """From one column of bytes per record."""
-    total = sizes.agg(F.sum(sizes.columns[0])).first()[0] or 0
-    return max(1, math.ceil(total / ARCHIVE_BYTES))
+def _segments(records: Iterator[bytes], head: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows of many records each, with a head in front, so that an archive may begin at any row."""
+    held, size = [head], 0
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if size >= SEGMENT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], names=["record"])
+            held, size = [head], 0
+    if len(held) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], names=["record"])
 
 
 def _written(rows: DataFrame, path: str) -> None:
     """rows: one binary column of records without the line end that the sink adds."""
-    rows.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    (rows.select(F.col("record").cast("string").alias("value")).write
+     .option("compression", "gzip").option("maxRecordsPerFile", SEGMENTS).text(path))
 
 
 # ---- ARC ----------------------------------------------------------------------------------------------------------
@@ -83,17 +90,16 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = NO_DATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"pages-v{version}.arc"
-        yield pa.RecordBatch.from_arrays([pa.array([arc_version_block(version, name, date)], pa.binary())], names=["record"])
-        for batch in batches:
-            out = []
-            for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                html = html or b""
-                head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n"
-                        + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n").encode()
-                out.append(arc_record(version, url, date, head + html, name))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-    dealt = rows.repartition(_file_count(rows.select(F.octet_length("html"))), F.xxhash64("page_id", "url"))
-    _written(dealt.mapInArrow(run, "record binary"), path)
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    html = html or b""
+                    head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n"
+                            + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n").encode()
+                    yield arc_record(version, url, date, head + html, name)
+        return _segments(records(), arc_version_block(version, name, date))
+    _written(rows.mapInArrow(run, "record binary"), path)
 
 
 def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
@@ -207,10 +213,15 @@ def _converted(row: dict) -> bytes:
 
 
 def _payload_rows(records: DataFrame) -> DataFrame:
-    return checkpointed(records.select(F.col("page_id").cast("bigint").alias("number"), F.sha1("payload").alias("digest"),
+    return checkpointed(records.select(F.col("page_id").cast("bigint").alias("number"), "digest",
                                        F.octet_length("payload").alias("bytes")))
 
 
+def _visit(number: Column | str) -> Column:
+    """A page and its payload as one key."""
+    return F.concat_ws(":", number, "digest")
+
+
 def _first_pages(rows: DataFrame, least_bytes: int) -> DataFrame:
     """(number, digest, first_page) of the records that revisit another page.
 
@@ -229,23 +240,16 @@ def convert(spark: SparkSession, arc_paths: list[str], warc_path: str, least_byt
     record without an id always revisits another, if one with an id has its payload. Records that repeat the smallest
     id are responses all of them.
     """
-    records = read_arc(spark, *arc_paths)
-    rows = _payload_rows(records)
-    again, files = _first_pages(rows, least_bytes), _file_count(rows.select("bytes"))
-    keyed = records.withColumn("number", F.col("page_id").cast("bigint")).withColumn("digest", F.sha1("payload"))
-    joined = (keyed.repartition(files, "number", "digest").alias("r")
-              .join(again.withColumnRenamed("number", "of").withColumnRenamed("digest", "with").repartition(files, "of", "with"),
-                    F.col("number").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with")), "left")
+    records = read_arc(spark, *arc_paths).withColumn("digest", F.sha1("payload"))
+    again = checkpointed(_first_pages(_payload_rows(records), least_bytes).select(_visit("number").alias("of"), "first_page"))
+    joined = (attach(records.withColumn("visit", _visit(F.col("page_id").cast("bigint"))), again, "visit", "of", "visit")
               .select("page_id", "url", "ip", "date", "mime", "http", "payload", "first_page"))
+    info = warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, warc_path)}>",
+                        "WARC-Date": warc_date(NO_DATE), "Content-Type": "application/warc-fields"},
+                       b"software: shoplens\r\nformat: WARC File Format 1.0\r\n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, warc_path)}>",
-                            "WARC-Date": warc_date(NO_DATE), "Content-Type": "application/warc-fields"},
-                           b"software: shoplens\r\nformat: WARC File Format 1.0\r\n")
-        yield pa.RecordBatch.from_arrays([pa.array([info], pa.binary())], names=["record"])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_converted(row) for row in batch.to_pylist()], pa.binary())],
-                                             names=["record"])
+        return _segments((_converted(row) for batch in batches for row in batch.to_pylist()), info)
     _written(joined.mapInArrow(run, "record binary"), warc_path)
 
 
