@@ -11,19 +11,19 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.frames import col, small_table
-from shoplens.functions.geometry import nearest, squared_distance, total
-from shoplens.functions.parallel import run_all
+from shoplens.functions.geometry import labels_under, nearest, squared_distance, total
 from shoplens.functions.quantiles import BUFFERED_ROWS, grouped_quantiles, quantiles_by_feature
 from shoplens.operators import silhouettes
+from shoplens.operators.lloyd_steps import MOST_STEPS, best_of, converge, starting_rows
 
+#: First of the numbers that name a fit's restarts.
 SEED = 42
-ROWS_PER_TASK = 20_000
+#: Fits from different starts of which the best is kept.
+RESTARTS = 10
 
 
 def cluster_label(cluster: Column) -> Column:
@@ -60,35 +60,35 @@ def renumbered(columns: Sequence[str], centers: Sequence[Sequence[float]], sizes
     return Centers(tuple(columns), {new: tuple(map(float, centers[old])) for new, old in enumerate(order)})
 
 
-def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(array_to_vector(F.array(*[col(c).cast("double") for c in columns])).alias("features"))
-
-
 @dataclass(frozen=True)
 class KMeansFit:
     centers: Centers
     cost: float
 
 
-def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 1,
-               max_iter: int = 20) -> KMeansFit:
-    """Best of ``restarts`` fits by training cost."""
-    if k == 1:
-        # ``ml.KMeans`` starts at two clusters; one cluster is the mean of all rows.
-        centers = _means(df, columns, F.lit(0))
-        return KMeansFit(centers, centers.assign(df, []).agg(F.sum("squared_distance")).first()[0])
-    data = vectors(df, columns)
-    # Every step of a fit is a job: on little data a task per core costs more than it gains.
-    parts = max(1, math.ceil(data.count() / ROWS_PER_TASK))
-    if parts < df.sparkSession.sparkContext.defaultParallelism:
-        data = data.coalesce(parts)
-    best = None
-    for seed_ in range(seed, seed + restarts):
-        model = KMeans(k=k, seed=seed_, maxIter=max_iter).fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.cost:
-            best = KMeansFit(renumbered(columns, model.clusterCenters(), model.summary.clusterSizes), cost)
-    return best
+def fit_groups(df: DataFrame, columns: Sequence[str], ks: Sequence[int], groups: Column, key: str = "customer_id",
+               seed: int = SEED, restarts: int = RESTARTS, max_iter: int = MOST_STEPS) -> dict[tuple[str, int], KMeansFit]:
+    """Best of ``restarts`` fits by cost for every group of rows and every k, all stepped in the same jobs.
+
+    ``groups`` is an array of the names of the groups that a row belongs to.
+    """
+    starts = starting_rows(df, columns, max(ks), restarts, key, groups, seed)
+    models = {f"{r}-{k}-{g}": (g, dict(enumerate(rows[:k])))
+              for g, own in starts.items() for r, rows in enumerate(own) for k in ks}
+    found = converge(df, columns, models, groups, max_iter)
+    out = {}
+    for g in starts:
+        for k in ks:
+            best = best_of([found[f"{r}-{k}-{g}"] for r in range(restarts)])
+            ids = sorted(best.centers)
+            out[g, k] = KMeansFit(renumbered(columns, [best.centers[c] for c in ids], [best.sizes[c] for c in ids]), best.cost)
+    return out
+
+
+def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = RESTARTS,
+               max_iter: int = MOST_STEPS, key: str = "customer_id") -> KMeansFit:
+    """Best of ``restarts`` fits by cost, each stepped until its centres stand still."""
+    return fit_groups(df, columns, [k], F.array(F.lit("all")), key, seed, restarts, max_iter)["all", k]
 
 
 def _means(df: DataFrame, columns: Sequence[str], cluster: Column) -> Centers:
@@ -96,20 +96,20 @@ def _means(df: DataFrame, columns: Sequence[str], cluster: Column) -> Centers:
     return Centers(tuple(columns), {r["cluster"]: tuple(r[f"m{i}"] for i in range(len(columns))) for r in rows})
 
 
-def lloyd(df: DataFrame, columns: Sequence[str], k: int, start_column: str, iterations: int = 3,
-          buffered_rows: int = BUFFERED_ROWS) -> Centers:
-    """k-means steps from a fixed start: how many of the i/k quantiles of one column a row exceeds.
+def lloyd(df: DataFrame, columns: Sequence[str], k: int, start_column: str, iterations: int = MOST_STEPS) -> Centers:
+    """k-means from a fixed start until nothing moves: how many of the i/k quantiles of one column a row exceeds.
 
     Nothing is random, so two engines can be compared. Clusters that lose all rows are dropped.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    cuts = quantiles_by_feature(df, [start_column], [i / k for i in range(1, k)], buffered_rows)[start_column]
+    cuts = quantiles_by_feature(df, [start_column], [i / k for i in range(1, k)])[start_column]
     label = total([F.when(col(start_column) > cut, 1).otherwise(0) for cut in cuts])
-    for _ in range(iterations):
-        centers = _means(df, columns, label)
-        label = centers.nearest()["cluster"]
-    return centers
+    start = _means(df, columns, label).by_cluster
+    if iterations == 1:
+        return Centers(tuple(columns), dict(start))
+    found = converge(df, columns, {"all": ("all", start)}, F.array(F.lit("all")), iterations - 1)["all"]
+    return Centers(tuple(columns), found.centers)
 
 
 class GroupedCenters:
@@ -142,7 +142,7 @@ class GroupedCenters:
 
 
 def grouped_lloyd(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]], start_column: str,
-                  group: str, iterations: int = 3) -> GroupedCenters:
+                  group: str, iterations: int = MOST_STEPS) -> GroupedCenters:
     """``lloyd`` inside every group at once: one job per step however many groups there are.
 
     ``cuts`` holds the start quantiles of each group; groups may have different numbers of them.
@@ -150,17 +150,15 @@ def grouped_lloyd(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequ
     schema = pa.schema([(group, pa.string()), ("_cuts", pa.list_(pa.float64()))])
     table = small_table(df.sparkSession, [{group: g, "_cuts": list(c)} for g, c in cuts.items()], schema)
     start = F.size(F.filter("_cuts", lambda cut: col(start_column) > cut))
-    labelled = df.join(table, group).select(group, *[col(c) for c in columns], start.alias("cluster"))
-    for step in range(iterations):
-        rows = labelled.groupBy(group, "cluster").agg(
-            *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).collect()
-        found: dict[str, dict] = {}
-        for r in rows:
-            found.setdefault(r[group], {})[r["cluster"]] = tuple(r[f"m{i}"] for i in range(len(columns)))
-        centers = GroupedCenters(columns, {g: Centers(tuple(columns), c) for g, c in found.items()}, group)
-        if step + 1 < iterations:
-            labelled = centers.assign(df, [group, *columns])
-    return centers
+    rows = df.join(table, group).groupBy(group, start.alias("cluster")).agg(
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).collect()
+    models: dict[str, tuple[str, dict]] = {}
+    for r in rows:
+        models.setdefault(r[group], (r[group], {}))[1][r["cluster"]] = tuple(r[f"m{i}"] for i in range(len(columns)))
+    found = {g: centers for g, (_, centers) in models.items()}
+    if iterations > 1 and models:
+        found |= {g: o.centers for g, o in converge(df, columns, models, F.array(col(group)), iterations - 1).items()}
+    return GroupedCenters(columns, {g: Centers(tuple(columns), c) for g, c in found.items()}, group)
 
 
 def start_cuts(df: DataFrame, k: int, start_column: str, group: str,
@@ -186,16 +184,16 @@ def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start
 
 
 def elbow_table(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 11), seed: int = SEED,
-                restarts: int = 1, parallelism: int = 4) -> DataFrame:
-    """Training cost and mean silhouette per k; the silhouette needs two clusters."""
-    def score(k: int) -> dict:
-        fit = fit_kmeans(df, columns, k, seed, restarts)
-        quality = None
-        if k > 1:
-            quality = silhouettes.mean_silhouette(fit.centers.assign(df, columns), columns)
-        return {"k": k, "inertia": fit.cost, "silhouette": quality}
-
-    rows = run_all(df.sparkSession, score, ks, parallelism)
+                restarts: int = RESTARTS, key: str = "customer_id") -> DataFrame:
+    """Cost and mean silhouette per k; the silhouette needs two clusters. All fits of all k share their jobs."""
+    ks = list(ks)
+    fits = fit_groups(df, columns, ks, F.array(F.lit("all")), key, seed, restarts)
+    names = [f"x{i}" for i in range(len(columns))]
+    plain = df.select(*[col(c).alias(n) for c, n in zip(columns, names)])
+    label = labels_under([fits["all", k].centers.by_cluster for k in ks], [F.col(n) for n in names])
+    labelled = plain.withColumn("_labels", label).select(*names, F.posexplode("_labels").alias("position", "cluster"))
+    scored = {r["position"]: r["silhouette"] for r in silhouettes.grouped_mean_silhouette(labelled, names, ["position"]).collect()}
+    rows = [{"k": k, "inertia": fits["all", k].cost, "silhouette": scored[i] if k > 1 else None} for i, k in enumerate(ks)]
     return small_table(df.sparkSession, rows, pa.schema(
         [("k", pa.int32()), ("inertia", pa.float64()), ("silhouette", pa.float64())]))
 
@@ -223,18 +221,21 @@ def hashed_order(key: str, salt: object) -> Column:
 
 
 def permutation_importance(df: DataFrame, centers: Centers, key: str = "customer_id", n_repeats: int = 3,
-                           sample_size: int = 100_000, bucket_rows: int = 2_000) -> DataFrame:
+                           sample_size: int | None = None, bucket_rows: int = 2_000) -> DataFrame:
     """Loss of mean silhouette when one feature is shuffled: mean and deviation over the repeats.
 
+    All rows count. If ``sample_size`` is given, about so many rows do: those whose hash lies below a threshold, which is
+    decided where a row is read.
+
     Rows are put in random order inside random buckets of bounded size and each takes the value of
     the next row, so a shuffle of a column needs no global sort. All features and repeats are scored
     in the same two passes.
     """
     columns = list(centers.columns)
-    n = df.count()
-    sample = df.select(col(key), *[col(c) for c in columns])
-    if n > sample_size:
-        sample, n = sample.orderBy(hashed_order(key, "sample"), key).limit(sample_size), sample_size
+    sample, n = df.select(col(key), *[col(c) for c in columns]), df.count()
+    if sample_size is not None and n > sample_size:
+        number = F.conv(F.substring(hashed_order(key, "sample"), 1, 8), 16, 10).cast("bigint")
+        sample, n = sample.where(number < F.lit(math.ceil(sample_size / n * (1 << 32)))), sample_size
     buckets = max(1, math.ceil(n / bucket_rows))
     baseline = silhouettes.mean_silhouette(centers.assign(sample, columns), columns)
     long = None

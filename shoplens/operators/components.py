@@ -84,7 +84,8 @@ def fit_components(df: DataFrame, columns: Sequence[str], n_components: int = MO
     model = PCA(k=min(n_components, len(columns)), inputCol="vector", outputCol="scores").fit(centred)
     matrix = model.pc.toArray().copy()
     for j in range(matrix.shape[1]):
-        if matrix[abs(matrix[:, j]).argmax(), j] < 0:
+        # Equal loadings may differ by rounding: the first of the largest decides.
+        if matrix[abs(matrix[:, j]).round(9).argmax(), j] < 0:
             matrix[:, j] *= -1
     return Components(tuple(columns), means, tuple(tuple(map(float, r)) for r in matrix),
                       tuple(map(float, model.explainedVariance.toArray())))

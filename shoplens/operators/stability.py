@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.dates import period_label, period_start, require_period
 from shoplens.functions.frames import col, require_columns, small_table
 from shoplens.functions.geometry import labels_under
-from shoplens.functions.parallel import run_all
-from shoplens.operators.clustering import SEED, Centers, GroupedCenters, fit_kmeans, hashed_order
+from shoplens.operators.clustering import RESTARTS, SEED, Centers, GroupedCenters, fit_groups, hashed_order
 
 LEAST_COMMON = 10
 DATE_COLUMN = "order_purchase_timestamp"
@@ -106,15 +106,19 @@ def labelled_samples(df: DataFrame, fits: Sequence[Centers], key: str, fraction:
     return df.select(col(key), found.alias("_found"), member.alias("_member")).select(key, labels.alias("labels"))
 
 
+def sample_names(key: str, n_iterations: int, fraction: float) -> Column:
+    """Array of the numbers, as text, of the samples a row belongs to."""
+    every = F.sequence(F.lit(0), F.lit(n_iterations - 1))
+    return F.transform(F.filter(every, lambda i: in_sample(key, i, fraction)), lambda i: i.cast("string"))
+
+
 def bootstrap_stability(df: DataFrame, columns: Sequence[str], k: int = 4, n_iterations: int = 20,
-                        fraction: float = 0.8, key: str = "customer_id", seed: int = SEED, restarts: int = 10,
-                        parallelism: int = 4) -> DataFrame:
+                        fraction: float = 0.8, key: str = "customer_id", seed: int = SEED,
+                        restarts: int = RESTARTS) -> DataFrame:
     """Cluster every sample and compare all pairs of samples on the rows they share."""
-    fits = run_all(
-        df.sparkSession,
-        lambda i: fit_kmeans(df.where(in_sample(key, i, fraction)), columns, k, seed, restarts).centers,
-        range(n_iterations), parallelism)
-    return pairwise_ari(labelled_samples(df, fits, key, fraction), n_iterations)
+    fits = fit_groups(df, columns, [k], sample_names(key, n_iterations, fraction), key, seed, restarts)
+    centers = [fits[str(i), k].centers for i in range(n_iterations)]
+    return pairwise_ari(labelled_samples(df, centers, key, fraction), n_iterations)
 
 
 # --- calendar periods ----------------------------------------------------------------------------
@@ -172,14 +176,12 @@ def period_data(features: DataFrame, dated: DataFrame, columns: Sequence[str], p
     return PeriodData(rows, counts, sizes, kept)
 
 
-def fit_periods(data: PeriodData, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 10,
-                parallelism: int = 4) -> GroupedCenters:
-    """One k-means model per kept period, several periods at a time."""
-    fits = run_all(
-        data.rows.sparkSession,
-        lambda p: fit_kmeans(data.rows.where(F.col("period") == p), columns, k, seed, restarts).centers,
-        data.kept, parallelism)
-    return GroupedCenters(columns, dict(zip(data.kept, fits)), "period")
+def fit_periods(data: PeriodData, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = RESTARTS,
+                key: str = "customer_id") -> GroupedCenters:
+    """One k-means model per kept period; every step of all periods and restarts is one pass over the table."""
+    rows = data.rows.where(F.col("period").isin(data.kept))
+    fits = fit_groups(rows, columns, [k], F.array("period"), key, seed, restarts)
+    return GroupedCenters(columns, {p: fits[p, k].centers for p in data.kept}, "period")
 
 
 def _consecutive(labels: DataFrame, kept: Sequence[str], key: str) -> DataFrame:
@@ -238,10 +240,23 @@ class StabilityResult:
         return None if self.scores is None else ari_summary(self.scores)
 
 
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
+
+def _kept_rows(data: PeriodData, period: str, keep: Keep | None) -> PeriodData:
+    """The table of period rows made once: every step of the fits reads it again."""
+    rows = data.rows
+    data.rows = keep(f"{period}-rows", lambda: rows) if keep else rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return data
+
+
 def temporal_stability(features: DataFrame, dated: DataFrame | None, columns: Sequence[str], k: int = 4,
                        period: str = "quarter", minimum: int | None = None, key: str = "customer_id",
-                       seed: int = SEED, restarts: int = 10, parallelism: int = 4) -> StabilityResult:
-    """Cluster every period on its own and compare consecutive periods on shared customers."""
+                       seed: int = SEED, restarts: int = RESTARTS, keep: Keep | None = None) -> StabilityResult:
+    """Cluster every period on its own and compare consecutive periods on shared customers.
+
+    keep: stores a table under a name (such as ``ResultStore.fetch``); without it the period rows are persisted.
+    """
     if dated is None:
         raise ValueError("a frame with dates is needed for stability over time")
     require_period(period)
@@ -249,16 +264,20 @@ def temporal_stability(features: DataFrame, dated: DataFrame | None, columns: Se
     data = period_data(features, dated, columns, period, minimum, key)
     if not data.kept:
         return StabilityResult(data.counts, error="No periods had sufficient customers for modeling")
-    labels = fit_periods(data, columns, k, seed, restarts, parallelism).assign(data.rows, ["period", key])
+    data = _kept_rows(data, period, keep)
+    labels = fit_periods(data, columns, k, seed, restarts, key).assign(data.rows, ["period", key])
     cells = transition_cells(labels, data.kept, key)
     return StabilityResult(data.counts, consecutive_ari(cells, minimum), migration_matrices(cells, k))
 
 
-def evaluation_sample(data: PeriodData, columns: Sequence[str], size: int, key: str = "customer_id") -> tuple[str, DataFrame]:
-    """Largest kept period (the earliest on a tie) and a fixed random sample of its customers."""
+def evaluation_rows(data: PeriodData, columns: Sequence[str], size: int | None = None,
+                    key: str = "customer_id") -> tuple[str, DataFrame]:
+    """Largest kept period (the earliest on a tie) and its customers; a fixed random sample of them if size is given."""
     largest = min(data.kept, key=lambda p: (-data.sizes[p], p))
     rows = data.rows.where(F.col("period") == largest)
-    return largest, rows.orderBy(hashed_order(key, "eval"), key).limit(size).select(col(key), *[col(c) for c in columns])
+    if size is not None:
+        rows = rows.orderBy(hashed_order(key, "eval"), key).limit(size)
+    return largest, rows.select(col(key), *[col(c) for c in columns])
 
 
 def cross_period_scores(sample: DataFrame, models: Mapping[str, Centers], key: str = "customer_id") -> DataFrame:
@@ -271,16 +290,20 @@ def cross_period_scores(sample: DataFrame, models: Mapping[str, Centers], key: s
 
 
 def cross_period_stability(features: DataFrame, dated: DataFrame | None, columns: Sequence[str], k: int = 4,
-                           period: str = "year", sample_size: int = 1000, minimum: int | None = None,
-                           key: str = "customer_id", seed: int = SEED, restarts: int = 10,
-                           parallelism: int = 4) -> StabilityResult:
-    """A model per period; all label the same customers, so periods need not share any."""
+                           period: str = "year", sample_size: int | None = None, minimum: int | None = None,
+                           key: str = "customer_id", seed: int = SEED, restarts: int = RESTARTS,
+                           keep: Keep | None = None) -> StabilityResult:
+    """A model per period; all label the same customers, so periods need not share any.
+
+    All customers of the largest period are labelled, or a fixed random sample if sample_size is given.
+    """
     if dated is None:
         raise ValueError("a frame with dates is needed for stability over time")
     require_period(period)
     data = period_data(features, dated, columns, period, least_customers(k, minimum), key)
     if not data.kept:
         return StabilityResult(data.counts, error="No periods had sufficient customers for modeling")
-    models = fit_periods(data, columns, k, seed, restarts, parallelism).by_group
-    largest, sample = evaluation_sample(data, columns, sample_size, key)
+    data = _kept_rows(data, period, keep)
+    models = fit_periods(data, columns, k, seed, restarts, key).by_group
+    largest, sample = evaluation_rows(data, columns, sample_size, key)
     return StabilityResult(data.counts, cross_period_scores(sample, models, key), largest_period=largest)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+# Blocks that recursive ones read again in every step.
+MATERIALIZED: set[str] = {"scaled"}
+
 # Marketplace tables on top of the test tables.
 BLOCKS: dict[str, str] = {
     "first_ship": "SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1",
@@ -61,7 +64,8 @@ def _sql(final: str) -> str:
     visit(final)
     if not ordered:
         return final
-    return "WITH " + ",\n".join(f"{name} AS ({BLOCKS[name]})" for name in ordered) + "\n" + final
+    listed = (f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({BLOCKS[name]})" for name in ordered)
+    return "WITH RECURSIVE " + ",\n".join(listed) + "\n" + final
 
 
 def r4(expr: str) -> str:
@@ -470,34 +474,93 @@ def _all(template: str, columns=SCALED, sep: str = ", ") -> str:
     return sep.join(template.format(c=q(c)) for c in columns)
 
 
-def _distance(a: str, b: str) -> str:
-    return " + ".join(f"({q(c, a)} - {q(c, b)}) * ({q(c, a)} - {q(c, b)})" for c in SCALED)
+def _distance(a: str, b: str, columns=SCALED) -> str:
+    return " + ".join(f"({q(c, a)} - {q(c, b)}) * ({q(c, a)} - {q(c, b)})" for c in columns)
+
+
+def _step_blocks(prefix: str, source: str, columns=SCALED, group: str | None = None) -> None:
+    """Blocks of k-means steps from the block `_start` (grp, model, cluster, columns) until the centres of a model stand still.
+
+    `_steps` holds the centres of every step, `_last` those of each model's last one.
+    """
+    listed, each = _all("{c}", columns), [q(c) for c in columns]
+    BLOCKS[f"{prefix}_points"] = f"SELECT {f'CAST({group} AS VARCHAR)' if group else chr(39) + 'all' + chr(39)} AS grp, customer_id, {listed} FROM {source}"
+    MATERIALIZED.add(f"{prefix}_points")
+    held = ", ".join(f"o{i} := c.{c}" for i, c in enumerate(each))
+    moved = ", ".join(f"abs(avg({c}) - any_value(m.o{i}))" for i, c in enumerate(each))
+    BLOCKS[f"{prefix}_steps"] = f"""
+        SELECT CAST(0 AS BIGINT) AS step, grp, model, cluster, {listed}, 1.0::DOUBLE AS moved, 0.0::DOUBLE AS cost,
+               CAST(0 AS BIGINT) AS n FROM {prefix}_start
+        UNION ALL
+        SELECT step, grp, model, cluster, {listed}, max(d) OVER (PARTITION BY grp, model) AS moved,
+               sum(part) OVER (PARTITION BY grp, model) AS cost, n
+        FROM (SELECT step + 1 AS step, grp, model, m.cluster AS cluster, {_all('avg({c}) AS {c}', columns)},
+                     greatest({moved}) AS d, sum(near) AS part, count(*) AS n
+              FROM (SELECT any_value(c.step) AS step, c.grp, c.model, {_all('any_value(s.{c}) AS {c}', columns)},
+                           arg_min(struct_pack(cluster := c.cluster, {held}),
+                                   struct_pack(d := {_distance('s', 'c', columns)}, c := c.cluster)) AS m,
+                           min({_distance('s', 'c', columns)}) AS near
+                    FROM {prefix}_steps c JOIN {prefix}_points s ON c.grp = s.grp
+                    WHERE c.moved > 1e-9 AND c.step < 300 GROUP BY c.grp, c.model, s.customer_id)
+              GROUP BY step, grp, model, m.cluster)"""
+    BLOCKS[f"{prefix}_last"] = f"SELECT * FROM {prefix}_steps QUALIFY step = max(step) OVER (PARTITION BY grp, model)"
+
+
+def _label_block(prefix: str, source: str, columns=SCALED, group: str | None = None) -> None:
+    match = f"CAST(s.{group} AS VARCHAR) = CAST(c.{group} AS VARCHAR)" if group else "true"
+    key = f"s.{group}, s.customer_id" if group else "s.customer_id"
+    near = _distance('s', 'c', columns)
+    BLOCKS[f"{prefix}_labels"] = f"""
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT s.*, c.cluster, {near} AS squared_distance, row_number() OVER (PARTITION BY {key} ORDER BY {near}, c.cluster) AS rn
+            FROM {source} s JOIN {prefix}_centers c ON {match}) WHERE rn = 1"""
 
 
-def _lloyd_blocks(prefix: str, source: str, k: int = K, group: str | None = None, steps: int = 3) -> None:
-    """Blocks of the fixed-start steps: cuts, start labels, then centres and labels in turn."""
+def _lloyd_blocks(prefix: str, source: str, k: int = K, group: str | None = None) -> None:
+    """Blocks of the fixed start, `_l0` by quantile cuts, and of where its steps end: `_centers` and `_labels`."""
     by = f"{group}, " if group else ""
     match = f"s.{group} = c.{group}" if group else "true"
-    key = f"s.{group}, s.customer_id" if group else "s.customer_id"
     cuts = ", ".join(f"quantile_cont({START}, {i / k!r}) AS cut{i}" for i in range(1, k))
     BLOCKS[f"{prefix}_cuts"] = f"SELECT {by}{cuts} FROM {source}" + (f" GROUP BY {group}" if group else "")
     start = " + ".join(f"CASE WHEN s.{START} > c.cut{i} THEN 1 ELSE 0 END" for i in range(1, k))
     BLOCKS[f"{prefix}_l0"] = f"SELECT s.*, {start} AS cluster FROM {source} s JOIN {prefix}_cuts c ON {match}"
-    for step in range(1, steps + 1):
-        BLOCKS[f"{prefix}_c{step}"] = f"""
-            SELECT {by}cluster, {_all('avg({c}) AS {c}')} FROM {prefix}_l{step - 1} GROUP BY {by}cluster"""
-        BLOCKS[f"{prefix}_l{step}"] = f"""
-            SELECT * EXCLUDE (rn) FROM (
-                SELECT s.*, c.cluster, {_distance('s', 'c')} AS squared_distance,
-                       row_number() OVER (PARTITION BY {key} ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
-                FROM {source} s JOIN {prefix}_c{step} c ON {match}) WHERE rn = 1"""
+    BLOCKS[f"{prefix}_start"] = f"""
+        SELECT {f'CAST({group} AS VARCHAR)' if group else "'all'"} AS grp, CAST(0 AS BIGINT) AS model, cluster, {_all('avg({c}) AS {c}')}
+        FROM {prefix}_l0 GROUP BY ALL"""
+    _step_blocks(prefix, source, SCALED, group)
+    BLOCKS[f"{prefix}_centers"] = f"SELECT {f'grp AS {group}, ' if group else ''}cluster, {_all('{c}')} FROM {prefix}_last"
+    MATERIALIZED.add(f"{prefix}_centers")
+    _label_block(prefix, source, SCALED, group)
+
+
+def _fit_blocks(prefix: str, source: str, columns=SCALED, k: int = K, group: str | None = None, restarts: int = 10) -> None:
+    """Blocks of fits from hashed starts: the restart of lowest cost, clusters numbered by falling size."""
+    digest = "md5(CAST(customer_id AS VARCHAR) || '-' || CAST(model AS VARCHAR) || '-' || CAST(cluster // 10 AS VARCHAR))"
+    BLOCKS[f"{prefix}_start"] = f"""
+        SELECT grp, model, cluster, {_all('arg_min({c}, place) AS {c}', columns)}
+        FROM (SELECT *, substr(digest, 3 * (cluster % 10) + 1, 3) || digest AS place
+              FROM (SELECT p.*, model, CAST(cluster AS INTEGER) AS cluster, {digest} AS digest
+                    FROM {prefix}_points p, range(42, {42 + restarts}) m(model), range({k}) c(cluster)))
+        GROUP BY grp, model, cluster"""
+    _step_blocks(prefix, source, columns, group)
+    BLOCKS[f"{prefix}_best"] = f"""
+        SELECT grp, min(model) AS model, arg_min(cost, model) AS cost
+        FROM (SELECT *, min(cost) OVER (PARTITION BY grp) AS lowest FROM {prefix}_last)
+        WHERE cost <= lowest * (1 + 1e-9::DOUBLE) + 1e-12::DOUBLE GROUP BY grp"""
+    BLOCKS[f"{prefix}_centers"] = f"""
+        SELECT {f'l.grp AS {group}, ' if group else ''}{_all('{c}', columns)},
+               CAST(row_number() OVER (PARTITION BY l.grp ORDER BY n DESC, {_all('{c}', columns)}) - 1 AS INTEGER) AS cluster
+        FROM {prefix}_last l JOIN {prefix}_best b ON l.grp = b.grp AND l.model = b.model"""
+    MATERIALIZED.update({f"{prefix}_centers", f"{prefix}_last"})
+    _label_block(prefix, source, columns, group)
 
 
 _lloyd_blocks("base", "scaled")
-BLOCKS["centers"] = "SELECT * FROM base_c3"
-BLOCKS["labelled"] = "SELECT * FROM base_l3"
+BLOCKS["centers"] = "SELECT * FROM base_centers"
+BLOCKS["labelled"] = "SELECT * FROM base_labels"
 for _k in range(2, 7):
     _lloyd_blocks(f"try{_k}", "scaled", _k)
+_fit_blocks("full", "scaled")
 
 BLOCKS["cluster_moments"] = f"""
     SELECT cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread, {_all('avg({c}) AS {c}')}
@@ -538,12 +601,6 @@ def _silhouette_euclidean() -> str:
                 GROUP BY customer_id, own))"""
 
 
-BLOCKS["scored_base"] = f"""
-    SELECT avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
-        SELECT customer_id, max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
-               min(CASE WHEN own <> other THEN d END) AS b
-        FROM (SELECT l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
-                     {_distance('l', 'm')} + m.spread AS d FROM labelled l, cluster_moments m) GROUP BY customer_id)"""
 BLOCKS["shuffle_keys"] = """
     SELECT s.*, CAST(r AS INTEGER) AS repeat, md5(CAST(customer_id AS VARCHAR) || '-' || CAST(r AS VARCHAR)) AS place,
            CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '-b' || CAST(r AS VARCHAR)), 1, 8)) AS UBIGINT)
@@ -556,25 +613,130 @@ BLOCKS["shuffled"] = _union(
         (_FOLLOWING.format(c=q(c)) if i == j else q(c)) + f' AS {q(c)}' for j, c in enumerate(SCALED))}
         FROM shuffle_keys WINDOW w AS (PARTITION BY repeat, bucket ORDER BY place, customer_id)"""
     for i in range(len(SCALED)))
-BLOCKS["shuffled_labels"] = f"""
-    SELECT * EXCLUDE (rn) FROM (
-        SELECT s.*, c.cluster, row_number() OVER (PARTITION BY repeat, feature_position, customer_id
-                                                 ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
-        FROM shuffled s, centers c) WHERE rn = 1"""
-BLOCKS["shuffled_moments"] = f"""
-    SELECT repeat, feature_position, cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread,
-           {_all('avg({c}) AS {c}')} FROM shuffled_labels GROUP BY ALL"""
-BLOCKS["shuffled_scores"] = f"""
-    SELECT repeat, feature_position,
-           avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
-        SELECT repeat, feature_position, customer_id,
-               max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
-               min(CASE WHEN own <> other THEN d END) AS b
-        FROM (SELECT l.repeat, l.feature_position, l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
-                     {_distance('l', 'm')} + m.spread AS d
-              FROM shuffled_labels l JOIN shuffled_moments m
-                ON l.repeat = m.repeat AND l.feature_position = m.feature_position)
-        GROUP BY repeat, feature_position, customer_id) GROUP BY repeat, feature_position"""
+
+
+def _importance_blocks(prefix: str, labels: str, centers: str) -> None:
+    """Blocks of the mean silhouette under given centres, before (`_scored`) and after (`_scores`) the shuffles."""
+    BLOCKS[f"{prefix}_moments"] = f"""
+        SELECT cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread, {_all('avg({c}) AS {c}')}
+        FROM {labels} GROUP BY cluster"""
+    BLOCKS[f"{prefix}_scored"] = _mean_silhouette(labels, f"{prefix}_moments", "")
+    BLOCKS[f"{prefix}_shuffled"] = f"""
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT s.*, c.cluster, row_number() OVER (PARTITION BY repeat, feature_position, customer_id
+                                                     ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
+            FROM shuffled s, {centers} c) WHERE rn = 1"""
+    BLOCKS[f"{prefix}_again"] = f"""
+        SELECT repeat, feature_position, cluster, count(*) AS size, {_all('var_pop({c})', sep=' + ')} AS spread,
+               {_all('avg({c}) AS {c}')} FROM {prefix}_shuffled GROUP BY ALL"""
+    BLOCKS[f"{prefix}_scores"] = _mean_silhouette(f"{prefix}_shuffled", f"{prefix}_again", "repeat, feature_position")
+
+
+def _mean_silhouette(labels: str, moments: str, keys: str, columns=SCALED) -> str:
+    """Mean silhouette, squared distances, per key of labelled rows with their clusters' moments."""
+    by = f"{keys}, " if keys else ""
+    own = "".join(f"l.{k.strip()}, " for k in keys.split(",") if k.strip())
+    match = " AND ".join(f"l.{k.strip()} = m.{k.strip()}" for k in keys.split(",") if k.strip()) or "true"
+    return f"""
+        SELECT {by}avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
+            SELECT {by}customer_id, max(CASE WHEN own = other AND size > 1 THEN d * size / (size - 1) END) AS a,
+                   min(CASE WHEN own <> other THEN d END) AS b
+            FROM (SELECT {own}l.customer_id, l.cluster AS own, m.cluster AS other, m.size,
+                         {_distance('l', 'm', columns)} + m.spread AS d FROM {labels} l JOIN {moments} m ON {match})
+            GROUP BY {by}customer_id)""" + (f" GROUP BY {keys}" if keys else "")
+
+
+_importance_blocks("fixed", "labelled", "centers")
+_importance_blocks("fitted", "full_labels", "full_centers")
+
+
+def _importance(prefix: str) -> str:
+    return f"""
+        SELECT ([{', '.join(f"'{c}'" for c in SCALED)}])[feature_position + 1] AS feature,
+               {r4('avg(b.silhouette - s.silhouette)')} AS importance, {r4('stddev_pop(b.silhouette - s.silhouette)')} AS std
+        FROM {prefix}_scores s, {prefix}_scored b GROUP BY feature_position"""
+
+
+# --- components: cyclic rotations of the covariance matrix until it is diagonal --------------------
+
+PCS = tuple(f"pc{j + 1}" for j in range(len(SCALED)))
+_PAIRS = [(i, j) for i in range(len(SCALED)) for j in range(i + 1, len(SCALED))]
+_ROTATIONS = 10 * len(_PAIRS)
+
+BLOCKS["covariances"] = "SELECT " + ", ".join(
+    f"covar_samp({q(a)}, {q(b)}) AS v{i}_{j}" for i, a in enumerate(SCALED) for j, b in enumerate(SCALED)) + " FROM scaled"
+BLOCKS["matrix"] = _union(
+    f"SELECT {i} AS i, {j} AS j, v{i}_{j} AS v FROM covariances" for i in range(len(SCALED)) for j in range(len(SCALED)))
+MATERIALIZED.update({"matrix", "component_scores"})
+BLOCKS["rotations"] = f"""
+    SELECT 0 AS step, 'A' AS kind, i, j, v FROM matrix
+    UNION ALL SELECT 0, 'V', i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM matrix
+    UNION ALL
+    SELECT step + 1, kind, i, j, CASE WHEN kind = 'A' AND i = p THEN cs * w - sn * wq WHEN kind = 'A' AND i = q THEN sn * wp + cs * w ELSE w END
+    FROM (SELECT *, max(CASE WHEN i = p THEN w END) OVER (PARTITION BY kind, j) AS wp,
+                 max(CASE WHEN i = q THEN w END) OVER (PARTITION BY kind, j) AS wq
+          FROM (SELECT *, CASE WHEN j = p THEN cs * v - sn * vq WHEN j = q THEN sn * vp + cs * v ELSE v END AS w
+                FROM (SELECT *, 1 / sqrt(t * t + 1) AS cs, t / sqrt(t * t + 1) AS sn,
+                             max(CASE WHEN j = p THEN v END) OVER (PARTITION BY kind, i) AS vp,
+                             max(CASE WHEN j = q THEN v END) OVER (PARTITION BY kind, i) AS vq
+                      FROM (SELECT *, CASE WHEN abs(pq) < 1e-30 THEN 0.0
+                                           ELSE (CASE WHEN qq >= pp THEN 1 ELSE -1 END) * sign(pq) * 1.0
+                                                / (abs((qq - pp) / (2 * pq)) + sqrt(pow((qq - pp) / (2 * pq), 2) + 1)) END AS t
+                            FROM (SELECT *, max(CASE WHEN kind = 'A' AND i = p AND j = p THEN v END) OVER () AS pp,
+                                         max(CASE WHEN kind = 'A' AND i = q AND j = q THEN v END) OVER () AS qq,
+                                         max(CASE WHEN kind = 'A' AND i = p AND j = q THEN v END) OVER () AS pq
+                                  FROM (SELECT *, ([{', '.join(str(a) for a, _ in _PAIRS)}])[step % {len(_PAIRS)} + 1] AS p,
+                                               ([{', '.join(str(b) for _, b in _PAIRS)}])[step % {len(_PAIRS)} + 1] AS q
+                                        FROM rotations WHERE step < {_ROTATIONS}))))))"""
+BLOCKS["eigenvalues"] = f"""
+    SELECT i AS at, v AS value, row_number() OVER (ORDER BY v DESC) AS component
+    FROM rotations WHERE step = {_ROTATIONS} AND kind = 'A' AND i = j"""
+BLOCKS["loadings"] = f"""
+    SELECT i, component, v * CASE WHEN arg_max(v, struct_pack(size := round(abs(v), 9), first := -i))
+                                       OVER (PARTITION BY component) < 0 THEN -1 ELSE 1 END AS v
+    FROM rotations r JOIN eigenvalues e ON r.j = e.at WHERE step = {_ROTATIONS} AND kind = 'V'"""
+MATERIALIZED.update({"eigenvalues", "loadings", "wide_loadings"})
+BLOCKS["wide_loadings"] = "SELECT i, " + ", ".join(
+    f"max(CASE WHEN component = {j + 1} THEN v END) AS pc{j + 1}" for j in range(len(SCALED))) + " FROM loadings GROUP BY i"
+BLOCKS["flat_loadings"] = "SELECT " + ", ".join(
+    f"max(CASE WHEN i = {i} THEN {pc} END) AS {pc}_{i}" for i in range(len(SCALED)) for pc in PCS) + " FROM wide_loadings"
+BLOCKS["scaled_means"] = "SELECT " + ", ".join(f"avg({q(c)}) AS m{i}" for i, c in enumerate(SCALED)) + " FROM scaled"
+BLOCKS["component_scores"] = "SELECT customer_id, " + ", ".join(
+    " + ".join(f"({q(c)} - m{i}) * {pc}_{i}" for i, c in enumerate(SCALED)) + f" AS {pc}" for pc in PCS
+) + " FROM scaled, scaled_means, flat_loadings"
+_FEATURE = f"([{', '.join(f"'{c}'" for c in SCALED)}])[i + 1] AS feature"
+_fit_blocks("drawn", "component_scores", PCS[:3])
+for _k in range(2, 11):
+    _fit_blocks(f"elbow{_k}", "component_scores", PCS, _k)
+    BLOCKS[f"elbow{_k}_moments"] = f"""
+        SELECT cluster, count(*) AS size, {_all('var_pop({c})', PCS, ' + ')} AS spread, {_all('avg({c}) AS {c}', PCS)}
+        FROM elbow{_k}_labels GROUP BY cluster"""
+    BLOCKS[f"elbow{_k}_score"] = _mean_silhouette(f"elbow{_k}_labels", f"elbow{_k}_moments", "", PCS)
+
+
+def component_queries() -> dict[str, str]:
+    wide = ", ".join(f"{r4(pc)} AS {pc}" for pc in PCS)
+    top = ", ".join(f"abs({pc}) AS {pc}" for pc in PCS[:4])
+    return {
+        "pca_projection": f"SELECT customer_id, {wide} FROM component_scores",
+        "pca_explained_variance": f"""
+            SELECT CAST(component AS INTEGER) AS component, {r4('value / total')} AS explained_variance, {r4('upto / total')} AS cumulative_variance
+            FROM (SELECT component, value, sum(value) OVER () AS total, sum(value) OVER (ORDER BY component) AS upto FROM eigenvalues)""",
+        "pca_top_loadings": f"""
+            SELECT feature, {r4('pc1')} AS pc1, {r4('pc2')} AS pc2, {r4('magnitude')} AS magnitude
+            FROM (SELECT {_FEATURE}, pc1, pc2, sqrt(pc1 * pc1 + pc2 * pc2) AS magnitude FROM wide_loadings
+                  ORDER BY magnitude DESC, feature LIMIT 5)""",
+        "pca_feature_importance": f"""
+            SELECT feature, {', '.join(f'{r4(pc)} AS {pc}' for pc in PCS[:4])}, {r4(' + '.join(PCS[:4]))} AS total_loading
+            FROM (SELECT {_FEATURE}, {top} FROM wide_loadings)""",
+        "kmeans_fit": f"SELECT customer_id, cluster, {r4('squared_distance')} AS squared_distance FROM drawn_labels",
+        "elbow_table": _union(f"""SELECT {k} AS k, {r4('cost')} AS inertia, {r4('silhouette')} AS silhouette
+                                  FROM elbow{k}_best, elbow{k}_score""" for k in range(2, 11)),
+        "kmeans_feature_importance": _importance("fitted"),
+        "cluster_projection": f"""
+            SELECT c.customer_id, {', '.join(f'{r4(pc)} AS {pc}' for pc in PCS[:3])}, cluster, 'Cluster ' || CAST(cluster AS VARCHAR) AS name
+            FROM component_scores c JOIN full_labels l ON c.customer_id = l.customer_id""",
+    }
 
 
 def cluster_queries() -> dict[str, str]:
@@ -585,7 +747,7 @@ def cluster_queries() -> dict[str, str]:
         "covariance_matrix": f"SELECT feature_x, feature_y, {r4('v')} AS covariance FROM ({covariance})",
         "assign_to_centroids": f"SELECT customer_id, cluster, {r4('squared_distance')} AS squared_distance FROM labelled",
         "kmeans_lloyd_fixed": f"SELECT cluster, {_rounded(SCALED)} FROM centers",
-        "inertia_by_k": _union(f"SELECT {k} AS k, {r4('sum(squared_distance)')} AS inertia FROM try{k}_l3"
+        "inertia_by_k": _union(f"SELECT {k} AS k, {r4('sum(squared_distance)')} AS inertia FROM try{k}_labels"
                                for k in range(2, 7)),
         "silhouette_samples": _silhouette_squared(),
         "silhouette_euclidean_sample": _silhouette_euclidean(),
@@ -595,11 +757,7 @@ def cluster_queries() -> dict[str, str]:
                 SELECT customer_id, cluster FROM strata WHERE rank > wanted AND total > 1000
                 ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id
                 LIMIT (SELECT greatest(0, 1000 - CAST(sum(w) AS BIGINT)) FROM (SELECT any_value(wanted) AS w FROM strata GROUP BY cluster)))""",
-        "importance_fixed_centers": f"""
-            SELECT ([{', '.join(f"'{c}'" for c in SCALED)}])[feature_position + 1] AS feature,
-                   {r4('avg(b.silhouette - s.silhouette)')} AS importance,
-                   {r4('stddev_pop(b.silhouette - s.silhouette)')} AS std
-            FROM shuffled_scores s, scored_base b GROUP BY feature_position""",
+        "importance_fixed_centers": _importance("fixed"),
         "intercluster_distances": f"""
             SELECT cluster_a, cluster_b, {r4('d')} AS distance, {r4('d / max(d) OVER ()')} AS normalized_distance,
                    {r4('size_a / largest')} AS relative_size_a, {r4('size_b / largest')} AS relative_size_b
@@ -635,10 +793,14 @@ BLOCKS["sample_members"] = """
     SELECT CAST(i AS INTEGER) AS iteration, customer_id FROM scaled, range(20) r(i)
     WHERE substr(md5(CAST(customer_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 4) < 'cccd'"""
 BLOCKS["sample_rows"] = "SELECT m.iteration, s.* FROM sample_members m JOIN scaled s ON m.customer_id = s.customer_id"
+MATERIALIZED.add("sample_rows")
 _lloyd_blocks("boot", "sample_rows", group="iteration")
+_fit_blocks("sampled", "sample_rows", group="iteration")
 BLOCKS["sample_cells"] = """
     SELECT x.iteration AS i, y.iteration AS j, x.cluster AS a, y.cluster AS b, count(*) AS n
-    FROM boot_l3 x JOIN boot_l3 y ON x.customer_id = y.customer_id AND x.iteration < y.iteration GROUP BY ALL"""
+    FROM boot_labels x JOIN boot_labels y ON x.customer_id = y.customer_id AND x.iteration < y.iteration GROUP BY ALL"""
+
+BLOCKS["fitted_sample_cells"] = BLOCKS["sample_cells"].replace("boot_labels", "sampled_labels")
 
 BLOCKS["last_dates"] = """
     SELECT h.customer_id, max(o.order_purchase_timestamp) AS moment
@@ -656,7 +818,9 @@ def _period_blocks(name: str, members: str, least: int) -> None:
         WHERE m.period IN (SELECT period FROM {name}_sizes WHERE n_customers >= {least})
           AND m.period IN (SELECT m2.period FROM {members} m2 JOIN scaled s2 ON m2.customer_id = s2.customer_id
                            GROUP BY 1 HAVING count(*) >= {least})"""
+    MATERIALIZED.add(f"{name}_rows")
     _lloyd_blocks(name, f"{name}_rows", group="period")
+    _fit_blocks(f"{name}_fit", f"{name}_rows", group="period")
 
 
 _period_blocks("quarterly", "quarter_members", 10)
@@ -664,27 +828,47 @@ _period_blocks("yearly", "year_members", 20)
 
 BLOCKS["yearly_cells"] = """
     SELECT x.period AS from_period, y.period AS to_period, x.cluster AS a, y.cluster AS b, count(*) AS n
-    FROM (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_l3) x
-    JOIN (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_l3) y
+    FROM (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_labels) x
+    JOIN (SELECT *, dense_rank() OVER (ORDER BY period) AS position FROM yearly_labels) y
       ON x.customer_id = y.customer_id AND x.position + 1 = y.position GROUP BY ALL"""
 
+BLOCKS["yearly_fit_cells"] = BLOCKS["yearly_cells"].replace("yearly_labels", "yearly_fit_labels")
 BLOCKS["eval_rows"] = """
     SELECT r.* EXCLUDE (period) FROM quarterly_rows r
     WHERE period = (SELECT period FROM quarterly_sizes WHERE period IN (SELECT period FROM quarterly_rows)
-                    ORDER BY n_customers DESC, period LIMIT 1)
-    ORDER BY md5(CAST(customer_id AS VARCHAR) || '-eval'), customer_id LIMIT 1000"""
+                    ORDER BY n_customers DESC, period LIMIT 1)"""
 BLOCKS["eval_labels"] = f"""
     SELECT customer_id, period, cluster FROM (
         SELECT s.customer_id, c.period, c.cluster,
                row_number() OVER (PARTITION BY s.customer_id, c.period ORDER BY {_distance('s', 'c')}, c.cluster) AS rn
-        FROM eval_rows s, quarterly_c3 c) WHERE rn = 1"""
+        FROM eval_rows s, quarterly_centers c) WHERE rn = 1"""
+BLOCKS["eval_fit_labels"] = BLOCKS["eval_labels"].replace("quarterly_centers", "quarterly_fit_centers")
 BLOCKS["eval_cells"] = """
     SELECT x.period AS period_a, y.period AS period_b, x.cluster AS a, y.cluster AS b, count(*) AS n
     FROM eval_labels x JOIN eval_labels y ON x.customer_id = y.customer_id AND x.period < y.period GROUP BY ALL"""
 
+BLOCKS["eval_fit_cells"] = BLOCKS["eval_cells"].replace("eval_labels", "eval_fit_labels")
+
+
+def _fitted_scores() -> dict[str, str]:
+    """Agreement under fitted models, and its mean and deviation."""
+    scores = {
+        "bootstrap_stability": f"SELECT i, j, n_common, ari FROM ({_ari('SELECT * FROM fitted_sample_cells', 'i, j')}) WHERE n_common >= 10",
+        "temporal_stability": f"""SELECT from_period, to_period, n_common, ari
+                                  FROM ({_ari('SELECT * FROM yearly_fit_cells', 'from_period, to_period')}) WHERE n_common >= 20""",
+        "cross_period_stability": f"""SELECT period_a, period_b, n_common, ari
+                                      FROM ({_ari('SELECT * FROM eval_fit_cells', 'period_a, period_b')})""",
+    }
+    out = {}
+    for name, text in scores.items():
+        out[name] = f"SELECT * REPLACE ({r4('ari')} AS ari) FROM ({text})"
+        out[f"{name}_summary"] = f"""
+            SELECT count(ari) AS n_pairs, {r4('avg(ari)')} AS mean_ari, {r4('stddev_pop(ari)')} AS std_ari FROM ({text})"""
+    return out
+
 
 def stability_queries() -> dict[str, str]:
-    return {
+    return _fitted_scores() | {
         "bootstrap_samples": "SELECT iteration, customer_id FROM sample_members",
         "adjusted_rand_index": f"""
             SELECT n_common, {r4('ari')} AS ari FROM ({_ari(
@@ -858,6 +1042,6 @@ def segment_queries() -> dict[str, str]:
 
 def oracle_texts() -> dict[str, str]:
     """SQL text by query name."""
-    groups = (table_queries, scaling_queries, cluster_queries, stability_queries, segment_queries)
+    groups = (table_queries, scaling_queries, cluster_queries, component_queries, stability_queries, segment_queries)
     texts = {name: _sql(text) for group in groups for name, text in group().items()}
     return {**texts, **profiling_queries()}

@@ -391,7 +391,7 @@ def kmeans_lloyd_fixed(w):
 
 @query
 def elbow_table(w):
-    return clustering.elbow_table(w.component_scores, w.components.names, parallelism=8)
+    return clustering.elbow_table(w.component_scores, w.components.names)
 
 
 @query
@@ -418,8 +418,7 @@ def stratified_sample(w):
 @query
 def kmeans_feature_importance(w):
     """Importance under a model fitted on the scaled features."""
-    fit = clustering.fit_kmeans(w.scaled, w.scaled_columns, CLUSTERS)
-    return clustering.permutation_importance(w.scaled, fit.centers)
+    return clustering.permutation_importance(w.scaled, w.fitted.centers)
 
 
 @query
@@ -435,9 +434,9 @@ def intercluster_distances(w):
 
 @query
 def cluster_projection(w):
-    """Position on the first three components beside the fixed-start cluster."""
+    """Position on the first three components beside the fitted cluster."""
     return w.component_scores.select("customer_id", *PLOT_COMPONENTS).join(
-        w.labelled.select("customer_id", "cluster", clustering.cluster_label(F.col("cluster")).alias("name")),
+        w.fitted.centers.assign(w.scaled).select("customer_id", "cluster", clustering.cluster_label(F.col("cluster")).alias("name")),
         "customer_id")
 
 
@@ -459,7 +458,12 @@ def adjusted_rand_index(w):
 
 @query
 def bootstrap_stability(w):
-    return stability.bootstrap_stability(w.scaled, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8)
+    return stability.bootstrap_stability(w.scaled, w.scaled_columns, CLUSTERS)
+
+
+@query
+def bootstrap_stability_summary(w):
+    return stability.ari_summary(stability.bootstrap_stability(w.scaled, w.scaled_columns, CLUSTERS))
 
 
 @query
@@ -483,12 +487,24 @@ def period_customer_counts(w):
     return stability.period_customer_counts(w.last_dates, "quarter", 5 * CLUSTERS)
 
 
+def _temporal(w) -> stability.StabilityResult:
+    return stability.temporal_stability(w.scaled, w.order_dates, w.scaled_columns, CLUSTERS, "year",
+                                        keep=lambda name, build: w.stored(f"order-date-{name}", build))
+
+
+def _cross_period(w) -> stability.StabilityResult:
+    return stability.cross_period_stability(w.scaled, w.last_dates, w.scaled_columns, CLUSTERS, "quarter", minimum=10,
+                                            keep=lambda name, build: w.stored(f"last-date-{name}", build))
+
+
 @query
 def temporal_stability(w):
-    data = w.yearly
-    labels = stability.fit_periods(data, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8).assign(
-        data.rows, ["period", "customer_id"])
-    return stability.consecutive_ari(stability.transition_cells(labels, data.kept), 5 * CLUSTERS)
+    return _temporal(w).scores
+
+
+@query
+def temporal_stability_summary(w):
+    return _temporal(w).summary()
 
 
 @query
@@ -506,15 +522,17 @@ def cluster_migration(w):
 
 @query
 def cross_period_stability(w):
-    data = w.quarterly
-    models = stability.fit_periods(data, w.scaled_columns, CLUSTERS, restarts=1, parallelism=8).by_group
-    _, sample = stability.evaluation_sample(data, w.scaled_columns, 1000)
-    return stability.cross_period_scores(sample, models)
+    return _cross_period(w).scores
+
+
+@query
+def cross_period_stability_summary(w):
+    return _cross_period(w).summary()
 
 
 @query
 def cross_period_ari(w):
-    _, sample = stability.evaluation_sample(w.quarterly, w.scaled_columns, 1000)
+    _, sample = stability.evaluation_rows(w.quarterly, w.scaled_columns)
     return stability.cross_period_scores(sample, w.period_centers(w.quarterly).by_group)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.frames import spread_out
 from shoplens.operators import features as feat
 from shoplens.operators import outliers, segments
-from shoplens.operators.clustering import Centers, GroupedCenters, grouped_lloyd, lloyd, start_cuts
+from shoplens.operators.clustering import Centers, GroupedCenters, KMeansFit, fit_kmeans, grouped_lloyd, lloyd, start_cuts
 from shoplens.operators.components import Components, fit_components
 from shoplens.operators.stability import PeriodData, bootstrap_samples, period_data
 from shoplens.operators.scaling import FeatureScaler, fit_scaler
@@ -90,6 +90,11 @@ class Workspace:
         """Fixed-start centres that every checkable segment table uses."""
         return lloyd(self.scaled, self.scaled_columns, CLUSTERS, START_COLUMN)
 
+    @cached_property
+    def fitted(self) -> KMeansFit:
+        """The best of several hashed starts on all scaled features."""
+        return fit_kmeans(self.scaled, self.scaled_columns, CLUSTERS)
+
     @property
     def labelled(self) -> DataFrame:
         return self.centers.assign(self.scaled).drop("squared_distance")
@@ -112,7 +117,7 @@ class Workspace:
         """Features per period, stored once: every model reads its period from this table."""
         data = period_data(self.scaled, dated, self.scaled_columns, period, minimum)
         rows = data.rows
-        data.rows = self.stored(f"{period}-rows", lambda: spread_out(rows))
+        data.rows = self.stored(f"fixed-{period}-rows", lambda: spread_out(rows))
         return data
 
     @cached_property

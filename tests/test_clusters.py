@@ -161,3 +161,27 @@ def test_components_equal_numpy(spark):
     assert found.top_loadings(spark, 2).count() == 2
     totals = [r["total_loading"] for r in found.feature_importance(spark, 2).collect()]
     assert totals == sorted(totals, reverse=True)
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    df = blobs(spark)
+    fits = [clustering.fit_kmeans(df.repartition(n), COLUMNS, 3, restarts=4) for n in (1, 4, 16)]
+    for fit in fits[1:]:
+        assert fit.cost == pytest.approx(fits[0].cost, rel=1e-9)
+        for cluster, center in fits[0].centers.by_cluster.items():
+            assert fit.centers.by_cluster[cluster] == pytest.approx(center, rel=1e-9)
+
+
+def test_steps_end_when_no_label_moves(spark):
+    df = blobs(spark)
+    centers = clustering.lloyd(df, COLUMNS, 3, "x")
+    again = df.withColumn("_label", centers.nearest()["cluster"]).groupBy("_label").agg(*[F.avg(c).alias(c) for c in COLUMNS])
+    for r in again.collect():
+        assert centers.by_cluster[r["_label"]] == pytest.approx(tuple(r[c] for c in COLUMNS), abs=1e-9)
+
+
+def test_every_row_counts_in_importance(spark):
+    df = blobs(spark)
+    fit = clustering.fit_kmeans(df, COLUMNS, 3, restarts=2)
+    assert clustering.permutation_importance(df, fit.centers).collect() == clustering.permutation_importance(
+        df, fit.centers, sample_size=10**9).collect()

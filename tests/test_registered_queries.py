@@ -9,19 +9,13 @@ from shoplens.plans.registry import registered_queries
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, TEXTS = registered_queries(), oracle_texts()
-NO_SQL = {
-    "pca_projection", "pca_explained_variance", "pca_top_loadings", "pca_feature_importance", "kmeans_fit", "elbow_table",
-    "kmeans_feature_importance", "cluster_projection", "bootstrap_stability", "temporal_stability", "cross_period_stability",
-}
-
-
 @pytest.fixture(scope="module")
 def tables():
     return duckdb_tables(FOLDER)
 
 
-def test_every_query_has_sql_or_is_listed():
-    assert set(QUERIES) - set(TEXTS) == NO_SQL and set(TEXTS) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(TEXTS)
 
 
 @pytest.mark.parametrize("name", sorted(TEXTS))
