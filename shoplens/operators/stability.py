@@ -153,6 +153,10 @@ def period_customer_counts(dated: DataFrame, period: str, minimum: int, key: str
     )
 
 
+#: Stores a table under a name, such as ``ResultStore.fetch``.
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
+
 @dataclass
 class PeriodData:
     """Features of each period's customers, the customer counts and the periods to cluster."""
@@ -164,12 +168,16 @@ class PeriodData:
 
 
 def period_data(features: DataFrame, dated: DataFrame, columns: Sequence[str], period: str, minimum: int,
-                key: str = "customer_id", date_column: str = DATE_COLUMN) -> PeriodData:
-    """Attach features to the customers of each period; customers without features are left out."""
+                key: str = "customer_id", date_column: str = DATE_COLUMN, keep: Keep | None = None) -> PeriodData:
+    """Attach features to the customers of each period; customers without features are left out.
+
+    The table is made once, before it is counted: kept by ``keep``, or else persisted.
+    """
     require_columns(dated, [key, date_column])
     members = period_customers(dated, period, key, date_column)
     counts = period_customer_counts(dated, period, minimum, key, date_column)
-    rows = members.join(features.select(col(key), *[col(c) for c in columns]), key)
+    joined = members.join(features.select(col(key), *[col(c) for c in columns]), key)
+    rows = keep(f"{period} rows", lambda: joined) if keep else joined.persist(StorageLevel.MEMORY_AND_DISK)
     with_features = {r["period"]: r["n"] for r in rows.groupBy("period").agg(F.count("*").alias("n")).collect()}
     sizes = {r["period"]: r["n_customers"] for r in counts.collect()}
     kept = sorted(p for p, n in sizes.items() if n >= minimum and with_features.get(p, 0) >= minimum)
@@ -240,31 +248,20 @@ class StabilityResult:
         return None if self.scores is None else ari_summary(self.scores)
 
 
-Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
-
-
-def _kept_rows(data: PeriodData, period: str, keep: Keep | None) -> PeriodData:
-    """The table of period rows made once: every step of the fits reads it again."""
-    rows = data.rows
-    data.rows = keep(f"{period}-rows", lambda: rows) if keep else rows.persist(StorageLevel.MEMORY_AND_DISK)
-    return data
-
-
 def temporal_stability(features: DataFrame, dated: DataFrame | None, columns: Sequence[str], k: int = 4,
                        period: str = "quarter", minimum: int | None = None, key: str = "customer_id",
                        seed: int = SEED, restarts: int = RESTARTS, keep: Keep | None = None) -> StabilityResult:
     """Cluster every period on its own and compare consecutive periods on shared customers.
 
-    keep: stores a table under a name (such as ``ResultStore.fetch``); without it the period rows are persisted.
+    The period rows are kept by ``keep``, or else persisted.
     """
     if dated is None:
         raise ValueError("a frame with dates is needed for stability over time")
     require_period(period)
     minimum = least_customers(k, minimum)
-    data = period_data(features, dated, columns, period, minimum, key)
+    data = period_data(features, dated, columns, period, minimum, key, keep=keep)
     if not data.kept:
         return StabilityResult(data.counts, error="No periods had sufficient customers for modeling")
-    data = _kept_rows(data, period, keep)
     labels = fit_periods(data, columns, k, seed, restarts, key).assign(data.rows, ["period", key])
     cells = transition_cells(labels, data.kept, key)
     return StabilityResult(data.counts, consecutive_ari(cells, minimum), migration_matrices(cells, k))
@@ -300,10 +297,9 @@ def cross_period_stability(features: DataFrame, dated: DataFrame | None, columns
     if dated is None:
         raise ValueError("a frame with dates is needed for stability over time")
     require_period(period)
-    data = period_data(features, dated, columns, period, least_customers(k, minimum), key)
+    data = period_data(features, dated, columns, period, least_customers(k, minimum), key, keep=keep)
     if not data.kept:
         return StabilityResult(data.counts, error="No periods had sufficient customers for modeling")
-    data = _kept_rows(data, period, keep)
     models = fit_periods(data, columns, k, seed, restarts, key).by_group
     largest, sample = evaluation_rows(data, columns, sample_size, key)
     return StabilityResult(data.counts, cross_period_scores(sample, models, key), largest_period=largest)

@@ -176,6 +176,9 @@ def table_queries() -> dict[str, str]:
         FROM (SELECT *, floor((epoch_us(order_delivered_customer_date) - epoch_us(order_estimated_delivery_date))
                               / 86400000000.0) AS d FROM ({_recent(6, False)})) GROUP BY 1, 2"""
     return {
+        "cached_sql_query": """SELECT l_returnflag, l_linestatus, count(*) AS n_items, round(sum(l_quantity), 2) AS quantity
+                               FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+        "cached_table": "SELECT * FROM nation",
         "table_inventory": inventory,
         "scan_orders": "SELECT * FROM orders",
         "table_preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",

@@ -83,7 +83,22 @@ def sql_text_query(w):
 @query
 def materialized_result(w):
     m = w.market
-    return w.stored("seller revenue", lambda: kpi.high_revenue_sellers(m.sellers, m.items, m.orders, 0))
+    return w.stored("seller revenue", lambda: kpi.high_revenue_sellers(m.sellers, m.items, m.orders, 0), threshold=0)
+
+
+@query
+def cached_sql_query(w):
+    """The second call of a key returns what the first one kept."""
+    catalog.register_views(w.spark, w.folder, ["lineitem"])
+    text = """SELECT l_returnflag, l_linestatus, count(*) AS n_items, round(sum(l_quantity), 2) AS quantity
+              FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+    catalog.run_sql(w.spark, text, w.store, "items by flag", folder=w.folder)
+    return catalog.run_sql(w.spark, text, w.store, "items by flag", folder=w.folder)
+
+
+@query
+def cached_table(w):
+    return catalog.scan(w.spark, w.folder, "nation", w.store)
 
 
 # --- KPIs ----------------------------------------------------------------------------------------
@@ -489,12 +504,12 @@ def period_customer_counts(w):
 
 def _temporal(w) -> stability.StabilityResult:
     return stability.temporal_stability(w.scaled, w.order_dates, w.scaled_columns, CLUSTERS, "year",
-                                        keep=lambda name, build: w.stored(f"order-date-{name}", build))
+                                        keep=lambda name, build: w.stored(name, build, dates="order_dates"))
 
 
 def _cross_period(w) -> stability.StabilityResult:
     return stability.cross_period_stability(w.scaled, w.last_dates, w.scaled_columns, CLUSTERS, "quarter", minimum=10,
-                                            keep=lambda name, build: w.stored(f"last-date-{name}", build))
+                                            keep=lambda name, build: w.stored(name, build, dates="last_dates"))
 
 
 @query

@@ -6,7 +6,6 @@ kept in the result store and read back, instead of scanning the fact tables for
 
 from __future__ import annotations
 
-import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +36,9 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return scan(self.spark, self.folder, name)
 
-    def stored(self, key: str, build) -> DataFrame:
-        """Result kept under the key, which is made specific to the data folder."""
-        return self.store.fetch(f"{key}-{zlib.crc32(self.folder.encode()):08x}", build)
+    def stored(self, key: str, build, **parameters) -> DataFrame:
+        """Result kept under the key, for this data folder and these parameters."""
+        return self.store.fetch(key, build, folder=self.folder, **parameters)
 
     @cached_property
     def store(self) -> ResultStore:
@@ -113,20 +112,21 @@ class Workspace:
         return feat.with_last_purchase(self.hybrid, self.market.orders).select(
             "customer_id", "order_purchase_timestamp")
 
-    def periods(self, dated: DataFrame, period: str, minimum: int) -> PeriodData:
-        """Features per period, stored once: every model reads its period from this table."""
-        data = period_data(self.scaled, dated, self.scaled_columns, period, minimum)
-        rows = data.rows
-        data.rows = self.stored(f"fixed-{period}-rows", lambda: spread_out(rows))
-        return data
+    def periods(self, dates: str, period: str, minimum: int) -> PeriodData:
+        """Features per period, stored before they are counted: every step reads them from this table.
+
+        dates: ``order_dates`` or ``last_dates``.
+        """
+        return period_data(self.scaled, getattr(self, dates), self.scaled_columns, period, minimum,
+                           keep=lambda name, build: self.stored(name, build, dates=dates))
 
     @cached_property
     def yearly(self) -> PeriodData:
-        return self.periods(self.order_dates, "year", 5 * CLUSTERS)
+        return self.periods("order_dates", "year", 5 * CLUSTERS)
 
     @cached_property
     def quarterly(self) -> PeriodData:
-        return self.periods(self.last_dates, "quarter", 10)
+        return self.periods("last_dates", "quarter", 10)
 
     def period_centers(self, data: PeriodData) -> GroupedCenters:
         kept = data.rows.where(F.col("period").isin(data.kept))

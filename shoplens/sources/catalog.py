@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.sources.store import ResultStore
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -18,9 +20,13 @@ def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}.parquet"
 
 
-def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Whole table, lazily; Catalyst prunes columns and pushes filters into the file scan."""
-    return spark.read.parquet(table_path(folder, name))
+def scan(spark: SparkSession, folder: str, name: str, store: ResultStore | None = None) -> DataFrame:
+    """Whole table, lazily; Catalyst prunes columns and pushes filters into the file scan.
+
+    With a store the table is read once and later reads come from there, for sources that are slow to read again.
+    """
+    df = spark.read.parquet(table_path(folder, name))
+    return df if store is None else store.fetch(f"table {name}", lambda: df, folder=folder)
 
 
 def register_views(spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> None:
@@ -52,5 +58,12 @@ def preview(df: DataFrame, key: str | Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def run_sql(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(text)
+def run_sql(spark: SparkSession, text: str, store: ResultStore | None = None, cache_key: str | None = None,
+            **parameters) -> DataFrame:
+    """Result of a SQL text. With a store and a key it is kept: the same key, text and parameters (such as the folder
+    of the tables) give the kept result."""
+    if cache_key is None:
+        return spark.sql(text)
+    if store is None:
+        raise ValueError("a cache key needs a store")
+    return store.fetch(cache_key, lambda: spark.sql(text), text=text, **parameters)

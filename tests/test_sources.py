@@ -13,18 +13,40 @@ def test_store_keeps_the_first_result(spark, tmp_path):
     assert store.load("a") is None
     first = store.fetch("my key/1", lambda: spark.range(3))
     again = store.fetch("my key/1", lambda: spark.range(99))
-    assert first.count() == again.count() == 3 and store.clean_key("my key/1") == "mykey1"
+    assert first.count() == again.count() == 3
+    assert store.fetch("mykey1", lambda: spark.range(4)).count() == 4
+    assert store.fetch("my key/1", lambda: spark.range(5), folder="b").count() == 5
     store.clear()
     assert store.load("my key/1") is None
+
+
+def test_results_without_a_shared_folder_are_persisted_once(spark, monkeypatch):
+    store = ResultStore(spark)
+    store.root = None
+    built = []
+    first = store.fetch("k", lambda: built.append(1) or spark.range(7))
+    assert store.fetch("k", lambda: built.append(1) or spark.range(8)) is first and built == [1]
+    assert first.count() == 7 and first.is_cached
+    store.clear()
+    assert not first.is_cached and store.load("k") is None
+
+
+def test_kept_sql_and_tables(spark, tmp_path):
+    store = ResultStore(spark, f"file://{tmp_path}")
+    text = "SELECT uuid() AS u"
+    one, two = (catalog.run_sql(spark, text, store, "u").first()[0] for _ in range(2))
+    assert one == two != catalog.run_sql(spark, text).first()[0]
+    assert catalog.run_sql(spark, text + " WHERE true", store, "u").first()[0] != one
     with pytest.raises(ValueError):
-        store.clean_key("//")
+        catalog.run_sql(spark, text, cache_key="u")
+    assert catalog.scan(spark, FOLDER, "nation", store).count() == 25 and store.load("table nation", folder=FOLDER) is not None
 
 
 def test_unfinished_write_is_not_a_result(spark, tmp_path):
     store = ResultStore(spark, f"file://{tmp_path}")
-    store.save(spark.range(3), "k")
+    store.fetch("k", lambda: spark.range(3))
     next(p for p in tmp_path.rglob("_SUCCESS")).unlink()
-    assert store.load("k") is None
+    assert ResultStore(spark, f"file://{tmp_path}").load("k") is None
 
 
 def test_failed_write_warns_and_goes_on(spark, tmp_path):
