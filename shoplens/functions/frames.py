@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,11 @@ def numeric_columns(df: DataFrame, exclude: Iterable[str] = ("customer_id",)) ->
             if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
+def chosen_columns(df: DataFrame, columns: Sequence[str] | None, keys: Iterable[str] = ()) -> list[str]:
+    """The given columns, or all numeric ones that are no key."""
+    return numeric_columns(df, {"customer_id", *keys}) if columns is None else list(columns)
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -60,23 +65,3 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
         for f in df.schema.fields
     ])
 
-
-def first_per_group(df: DataFrame, group: str, order: Sequence[str | Column], keep: Column | int,
-                    spread_by: str, spread: int = 64, rank_name: str = "rank") -> DataFrame:
-    """First ``keep`` rows of each group by ``order``, exact even when one group holds most rows.
-
-    Rows are first ranked inside ``spread`` hash parts of each group and only those that can still
-    be chosen go on, so the final ranking of a group sees at most ``spread * keep`` rows.
-    """
-    part = F.pmod(F.hash(F.col(spread_by), F.lit(17)), F.lit(spread))
-    inner = Window.partitionBy(group, "_part").orderBy(*order)
-    outer = Window.partitionBy(group).orderBy(*order)
-    keep = F.lit(keep) if isinstance(keep, int) else keep
-    return (
-        df.withColumn("_part", part)
-        .withColumn(rank_name, F.row_number().over(inner))
-        .where(F.col(rank_name) <= keep)
-        .withColumn(rank_name, F.row_number().over(outer))
-        .where(F.col(rank_name) <= keep)
-        .drop("_part")
-    )

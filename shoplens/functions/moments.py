@@ -14,9 +14,3 @@ def corrected_skewness(value: Column) -> Column:
     plain = F.when(F.max(value) == F.min(value), 0.0).otherwise(plain)
     return F.when(n >= 3, plain * F.sqrt(n * (n - 1)) / (n - 2))
 
-
-def pair_correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present; NULL if either does not vary."""
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.when(spread > 0, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))

@@ -1,9 +1,9 @@
-"""Exact quantiles (linear interpolation) that do not gather a large group in one task.
+"""Exact quantiles (linear interpolation) that never gather a group in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. That is fine for a
-checked, small number of rows. Beyond it, ``percentile_approx`` sketches give a narrow value range
-around each wanted rank, the rows below the range are only counted, and just the rows inside it are
-ordered. Ranges that still hold too many distinct values are narrowed again.
+One way at every size: a wanted rank is found by counting. The value range of a group is cut into bins, a combined
+aggregate counts the rows per bin with their smallest and largest value, and the bin that holds the rank is cut again,
+until it holds one distinct value. All ranks of all groups are looked for in the same jobs; every round divides a range
+by the number of bins, so a few rounds suffice for any number of rows.
 """
 
 from __future__ import annotations
@@ -18,180 +18,99 @@ from pyspark.sql import types as T
 
 from shoplens.functions.frames import col, melt, small_table
 
-# Up to this many long-form rows the built-in exact aggregate is used.
-BUFFERED_ROWS = 500_000
-SKETCH_ACCURACY = 10_000
-RANGE_HALF_WIDTH = 0.001
-MAX_NARROWINGS = 12
+#: Bins that a range is cut into.
+BINS = 4096
 
 _ARROW = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
 
 
-def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                   keys: Sequence[str] = (), buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Quantiles of several columns: keys, ``feature``, ``n`` and ``quantiles`` (array)."""
-    few = df.count() * len(columns) <= buffered_rows
-    return _quantiles(melt(df, columns, keys), [*keys, "feature"], probs, few, buffered_rows)
+    return grouped_quantiles(melt(df, columns, keys), [*keys, "feature"], probs)
 
 
-def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float],
-                      buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Quantiles of ``value`` per key: the keys, ``n`` and ``quantiles`` in the order of ``probs``.
 
-    Keys must be few (features, clusters, methods), as one range per key and quantile is kept on
-    the driver. ``value`` must not be NULL.
+    Keys must be few (features, clusters, methods), as a row per key and quantile comes to the driver. ``value``
+    must not be NULL.
     """
-    return _quantiles(long, list(keys), probs, long.count() <= buffered_rows, buffered_rows)
+    keys = list(keys)
+    ranges = _ranges(long, keys)
+    positions = {key: [float(p) * (n - 1) for p in probs] for key, (n, _, _) in ranges.items()}
+    found = _at_positions(long, keys, ranges, positions)
+    rows = [{**dict(zip(keys, key)), "n": ranges[key][0], "quantiles": values} for key, values in found.items()]
+    kinds = _key_kinds(long, keys)
+    return small_table(long.sparkSession, rows, pa.schema(
+        [*[(k, kinds[k]) for k in keys], ("n", pa.int64()), ("quantiles", pa.list_(pa.float64()))]))
 
 
-def _quantiles(long: DataFrame, keys: list[str], probs: Sequence[float], few: bool, limit: int) -> DataFrame:
-    if few:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return long.groupBy(*keys).agg(
-            F.count("value").alias("n"), F.percentile("value", wanted).alias("quantiles"))
-    sizes = long.groupBy(*keys).agg(F.count("value").alias("n")).collect()
-    positions = {tuple(r[k] for k in keys): [float(p) * (r["n"] - 1) for p in probs] for r in sizes}
-    return _by_value_ranges(long, keys, positions, limit)
-
-
-def quantiles_at(df: DataFrame, positions: Mapping[str, Sequence[float]],
-                 buffered_rows: int = BUFFERED_ROWS) -> dict[str, list[float]]:
+def quantiles_at(df: DataFrame, positions: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
     """Values at fractional ranks (0-based) that differ by column, as plain numbers.
 
     Rank 2.5 is halfway between the third and the fourth smallest value.
     """
-    columns = list(positions)
-    if df.count() * len(columns) > buffered_rows:
-        wanted = {(c,): list(p) for c, p in positions.items()}
-        rows = _by_value_ranges(melt(df, columns), ["feature"], wanted, buffered_rows).collect()
-        return {r["feature"]: list(r["quantiles"]) for r in rows}
-    counts = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    probs = {c: F.array(*[F.lit(float(p) / max(1, n - 1)) for p in positions[c]]) for c, n in zip(columns, counts)}
-    row = df.agg(*[F.percentile(col(c).cast("double"), probs[c]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: list(row[f"q{i}"]) for i, c in enumerate(columns)}
-
-
-def quantiles_by_feature(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                         buffered_rows: int = BUFFERED_ROWS) -> dict[str, list[float]]:
+    long = melt(df, list(positions))
+    ranges = _ranges(long, ["feature"])
+    wanted = {(c,): [min(float(p), ranges[c,][0] - 1) for p in ps] for c, ps in positions.items() if (c,) in ranges}
+    found = _at_positions(long, ["feature"], ranges, wanted)
+    return {c: found.get((c,), [None] * len(ps)) for c, ps in positions.items()}
+
+
+def quantiles_by_feature(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles as plain numbers, for expressions that are built on the driver."""
-    rows = quantile_table(df, columns, probs, (), buffered_rows).collect()
-    return {r["feature"]: list(r["quantiles"]) for r in rows}
+    return {r["feature"]: list(r["quantiles"]) for r in quantile_table(df, columns, probs).collect()}
+
+
+def _key_kinds(long: DataFrame, keys: Sequence[str]) -> dict[str, pa.DataType]:
+    return {f.name: _ARROW[type(f.dataType)] for f in long.schema.fields if f.name in keys}
+
+
+def _ranges(long: DataFrame, keys: list[str]) -> dict[tuple, tuple[int, float, float]]:
+    rows = long.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    return {tuple(r[k] for k in keys): (r["n"], float(r["lo"]), float(r["hi"])) for r in rows if r["n"]}
 
 
-def _by_value_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple, Sequence[float]],
-                     limit: int) -> DataFrame:
+def _at_positions(long: DataFrame, keys: list[str], ranges: Mapping[tuple, tuple[int, float, float]],
+                  positions: Mapping[tuple, Sequence[float]]) -> dict[tuple, list[float]]:
     """Values at the given fractional ranks of each key."""
-    ranges = _first_ranges(long, keys, positions)
-    changed, rounds = ranges, 0
-    while changed:
-        _count_rows(long, keys, changed)
-        changed = [r for r in ranges if not _holds_rank(r)]
-        wide = [r for r in ranges if _holds_rank(r) and r["distinct"] > limit and not r["settled"]]
-        for r in changed:
-            # Back to the last range that held the rank; the whole column holds every rank.
-            r["lo"], r["hi"] = r["held"]
-            r["settled"] = r["narrowed"]
-        if wide and rounds < MAX_NARROWINGS:
-            rounds += 1
-            for r in wide:
-                r["held"], r["narrowed"] = (r["lo"], r["hi"]), True
-            _narrow(long, keys, wide)
-            changed += [r for r in wide if not r["settled"]]
-    return _interpolate(long, keys, ranges)
-
-
-def _first_ranges(long: DataFrame, keys: list[str], positions: Mapping[tuple, Sequence[float]]) -> list[dict]:
-    sizes = {tuple(r[k] for k in keys): r for r in long.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest")).collect()}
-    edges = sorted({e for key, wanted in positions.items() for p in wanted for e in _edges(p, sizes[key]["n"])})
-    place = {e: i for i, e in enumerate(edges)}
-    marks = {tuple(r[k] for k in keys): r["marks"] for r in long.groupBy(*keys).agg(
-        F.percentile_approx("value", edges, SKETCH_ACCURACY).alias("marks")).collect()}
-    ranges = []
+    ranks = {(key, r) for key, wanted in positions.items() for p in wanted
+             for r in (math.floor(p), min(math.floor(p) + 1, ranges[key][0] - 1))}
+    value = _at_ranks(long, keys, {(key, r): (*ranges[key][1:], 0) for key, r in ranks})
+    out = {}
     for key, wanted in positions.items():
-        n = sizes[key]["n"]
-        for i, position in enumerate(wanted):
-            rank = math.floor(position)
-            lo, hi = _edges(position, n)
-            ranges.append({
-                **dict(zip(keys, key)), "q": i, "n": n, "rank": rank,
-                "next_rank": min(rank + 1, n - 1), "fraction": position - rank,
-                "held": (sizes[key]["least"], sizes[key]["greatest"]),
-                "lo": marks[key][place[lo]], "hi": marks[key][place[hi]], "settled": False, "narrowed": False,
-            })
-    return ranges
-
-
-def _edges(position: float, n: int) -> tuple[float, float]:
-    p = position / max(1, n - 1)
-    return max(0.0, round(p - RANGE_HALF_WIDTH, 6)), min(1.0, round(p + RANGE_HALF_WIDTH, 6))
-
-
-def _holds_rank(r: dict) -> bool:
-    return r["below"] <= r["rank"] and r["next_rank"] < r["below"] + r["inside"]
-
-
-def _range_frame(long: DataFrame, keys: list[str], ranges: list[dict], extra: Sequence[str] = ()) -> DataFrame:
-    kinds = {f.name: _ARROW[type(f.dataType)] for f in long.schema.fields if f.name in keys}
-    numbers = {"q": pa.int32(), "lo": pa.float64(), "hi": pa.float64(), "n": pa.int64(), "below": pa.int64(),
-               "rank": pa.int64(), "next_rank": pa.int64(), "fraction": pa.float64()}
-    names = [*keys, "q", "lo", "hi", *extra]
-    schema = pa.schema([(name, kinds.get(name) or numbers[name]) for name in names])
-    return small_table(long.sparkSession, [{name: r[name] for name in names} for r in ranges], schema)
-
-
-def _count_rows(long: DataFrame, keys: list[str], ranges: list[dict]) -> None:
-    """Fill in how many rows lie below and inside each range."""
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    counted = (
-        # One row per key and quantile: the ranges are few by contract.
-        long.join(F.broadcast(_range_frame(long, keys, ranges)), list(keys))
-        .groupBy(*keys, "q")
-        .agg(F.count_if(F.col("value") < F.col("lo")).alias("below"), F.count_if(inside).alias("inside"),
-             F.approx_count_distinct(F.when(inside, F.col("value"))).alias("distinct"))
-        .collect()
-    )
-    found = {(*[row[k] for k in keys], row["q"]): row for row in counted}
-    for r in ranges:
-        row = found[(*[r[k] for k in keys], r["q"])]
-        r["below"], r["inside"], r["distinct"] = row["below"], row["inside"], row["distinct"]
-
-
-def _narrow(long: DataFrame, keys: list[str], ranges: list[dict]) -> None:
-    """Sketch the rows inside each wide range and move its ends closer to the wanted rank."""
-    steps = 50
-    marks = [i / steps for i in range(steps + 1)]
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    rows = (
-        long.join(F.broadcast(_range_frame(long, keys, ranges)), list(keys)).where(inside)
-        .groupBy(*keys, "q").agg(F.percentile_approx("value", marks, SKETCH_ACCURACY).alias("marks"))
-        .collect()
-    )
-    found = {(*[row[k] for k in keys], row["q"]): row["marks"] for row in rows}
-    for r in ranges:
-        values = found[(*[r[k] for k in keys], r["q"])]
-        share = (r["rank"] - r["below"]) / max(1, r["inside"] - 1)
-        at = min(steps, int(share * steps))
-        lo, hi = values[max(0, at - 1)], values[min(steps, at + 2)]
-        r["settled"] = (lo, hi) == (r["lo"], r["hi"])
-        r["lo"], r["hi"] = lo, hi
-
-
-def _interpolate(long: DataFrame, keys: list[str], ranges: list[dict]) -> DataFrame:
-    frame = _range_frame(long, keys, ranges, ("n", "below", "rank", "next_rank", "fraction"))
-    running = Window.partitionBy(*keys, "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("below") + F.sum("copies").over(running)
-    ordered = (
-        long.join(F.broadcast(frame), list(keys))
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy(*keys, "q", "n", "below", "rank", "next_rank", "fraction", "value")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("reached", reached)
-    )
-    each = ordered.groupBy(*keys, "q", "n", "fraction").agg(
-        F.min(F.when(F.col("reached") > F.col("rank"), F.col("value"))).alias("at_rank"),
-        F.min(F.when(F.col("reached") > F.col("next_rank"), F.col("value"))).alias("at_next"),
-    ).withColumn("value", F.col("at_rank") + F.col("fraction") * (F.col("at_next") - F.col("at_rank")))
-    # At most one value per requested quantile is gathered here.
-    return each.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda s: s["value"]).alias("quantiles"))
+        out[key] = []
+        for p in wanted:
+            rank = math.floor(p)
+            low, high = value[key, rank], value[key, min(rank + 1, ranges[key][0] - 1)]
+            out[key].append(low + (p - rank) * (high - low))
+    return out
+
+
+def _at_ranks(long: DataFrame, keys: list[str], states: dict[tuple, tuple[float, float, int]]) -> dict[tuple, float]:
+    """The value of each (key, rank). states: range in which it lies and rows below the range."""
+    kinds = _key_kinds(long, keys)
+    schema = pa.schema([*[(k, kinds[k]) for k in keys], ("rank", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()),
+                        ("below", pa.int64())])
+    found = {}
+    while states:
+        found |= {state: lo for state, (lo, hi, _) in states.items() if lo == hi}
+        states = {state: rest for state, rest in states.items() if state not in found}
+        if not states:
+            break
+        rows = [{**dict(zip(keys, key)), "rank": rank, "lo": lo, "hi": hi, "below": below}
+                for (key, rank), (lo, hi, below) in states.items()]
+        # Large numbers are halved before they are subtracted, so that no range of doubles overflows.
+        half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1, 0.5).otherwise(1.0)
+        share = (F.col("value") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half)
+        counted = (
+            long.join(small_table(long.sparkSession, rows, schema), keys)
+            .where(F.col("value").between(F.col("lo"), F.col("hi")))
+            .groupBy(*keys, "rank", "below", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
+            .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        )
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin"))
+        held = counted.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        states = {(tuple(r[k] for k in keys), r["rank"]): (float(r["lo"]), float(r["hi"]), r["upto"] - r["n"])
+                  for r in held.collect()}
+    return found

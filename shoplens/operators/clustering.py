@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.frames import col, small_table
 from shoplens.functions.geometry import labels_under, nearest, squared_distance, total
-from shoplens.functions.quantiles import BUFFERED_ROWS, grouped_quantiles, quantiles_by_feature
+from shoplens.functions.quantiles import grouped_quantiles, quantiles_by_feature
 from shoplens.operators import silhouettes
 from shoplens.operators.lloyd_steps import MOST_STEPS, best_of, converge, starting_rows
 
@@ -161,20 +161,18 @@ def grouped_lloyd(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequ
     return GroupedCenters(columns, {g: Centers(tuple(columns), c) for g, c in found.items()}, group)
 
 
-def start_cuts(df: DataFrame, k: int, start_column: str, group: str,
-               buffered_rows: int = BUFFERED_ROWS) -> dict[str, list[float]]:
+def start_cuts(df: DataFrame, k: int, start_column: str, group: str) -> dict[str, list[float]]:
     """The i/k quantiles of the start column in every group."""
     long = df.select(group, col(start_column).alias("value"))
-    rows = grouped_quantiles(long, [group], [i / k for i in range(1, k)], buffered_rows).collect()
+    rows = grouped_quantiles(long, [group], [i / k for i in range(1, k)]).collect()
     return {r[group]: list(r["quantiles"]) for r in rows}
 
 
-def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start_column: str,
-                 buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start_column: str) -> DataFrame:
     """Sum of squared distances to the nearest fixed-start centre per k; every step serves all k."""
     ks = list(ks)
     probs = sorted({i / k for k in ks for i in range(1, k)})
-    found = quantiles_by_feature(df, [start_column], probs, buffered_rows)[start_column]
+    found = quantiles_by_feature(df, [start_column], probs)[start_column]
     at = dict(zip(probs, found))
     cuts = {str(k): [at[i / k] for i in range(1, k)] for k in ks}
     every = df.select(F.explode(F.array(*[F.lit(str(k)) for k in ks])).alias("k"), *[col(c) for c in columns])

@@ -13,11 +13,12 @@ from shoplens.functions.dates import months_before, start_of_day_after
 
 CANCELED = "canceled"
 DELIVERED = "delivered"
+#: Amounts are added as decimals: the sum does not depend on the order of additions, however large it is.
+MONEY = "decimal(20,6)"
 
 
 def whole_amount(total: Column) -> Column:
-    """Amount without its fraction. Rounding to 1e-6 first removes the noise that the order of
-    additions leaves in a distributed sum, so 99.9999999999 counts as 100."""
+    """Amount without its fraction. Rounding to 1e-6 first removes the noise of doubles, so 99.9999999999 counts as 100."""
     return F.round(total, 6).cast("bigint")
 
 
@@ -53,7 +54,7 @@ def high_revenue_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame
     delivered = orders.where(F.col("order_status") == DELIVERED).select("order_id")
     revenue = (
         items.join(delivered, "order_id")
-        .groupBy("seller_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("total"))
+        .groupBy("seller_id").agg(F.sum((F.col("price") + F.col("freight_value")).cast(MONEY)).alias("total"))
     )
     return (
         sellers.select("seller_id").join(revenue, "seller_id")

@@ -32,13 +32,13 @@ def top_sellers(sellers: DataFrame, n_sellers: int = 30, id_column: str = "selle
                 value_column: str = "total_revenue") -> DataFrame:
     """The ``n_sellers`` sellers of highest value with a short form of their id."""
     require_columns(sellers, [id_column, value_column])
-    if sellers.isEmpty():
-        raise ValueError("the seller table has no rows")
     short = F.concat(F.substring(F.col(id_column).cast("string"), 1, 8), F.lit("..."))
-    return (
-        sellers.orderBy(F.desc(value_column), id_column).limit(n_sellers)
-        .withColumn(f"{id_column}_short", short)
-    )
+    # The few rows of the result come to the driver, so that one job both finds them and shows that there are any.
+    found = (sellers.orderBy(F.desc(value_column), id_column).limit(n_sellers)
+             .withColumn(f"{id_column}_short", short).toArrow())
+    if not found.num_rows:
+        raise ValueError("the seller table has no rows")
+    return sellers.sparkSession.createDataFrame(found)
 
 
 # Latitude and longitude by the first two digits of a postcode.

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.frames import col, melt, small_table
+from shoplens.functions.frames import chosen_columns, col, melt, small_table
 from shoplens.functions.moments import corrected_skewness
-from shoplens.functions.quantiles import BUFFERED_ROWS, quantiles_at, quantiles_by_feature
+from shoplens.functions.quantiles import quantiles_at, quantiles_by_feature
 
 # The rule names of the reports.
 Z3, IQR, Z2 = "Z-score (±3)", "IQR 1.5", "Z-score (±2)"
@@ -24,14 +24,14 @@ _QUANTILE_METHODS = {IQR, Q01_Q99, Q05_Q95}
 Limits = dict[str, dict[str, tuple[float | None, float | None]]]
 
 
-def outlier_limits(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS,
-                   buffered_rows: int = BUFFERED_ROWS) -> Limits:
-    """Lower and upper limit by rule and column; columns without a value are left out."""
+def outlier_limits(df: DataFrame, columns: Sequence[str] | None = None, methods: Sequence[str] = METHODS) -> Limits:
+    """Lower and upper limit by rule and column (all numeric ones by default); columns without a value are left out."""
+    columns = chosen_columns(df, columns)
     kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "least": F.min, "greatest": F.max}
     row = df.agg(*[fn(col(c).cast("double")).alias(f"{kind}_{i}")
                    for i, c in enumerate(columns) for kind, fn in kinds.items()]).first()
     present = [(i, c) for i, c in enumerate(columns) if row[f"n_{i}"]]
-    quantiles = (quantiles_by_feature(df, [c for _, c in present], _PROBS, buffered_rows)
+    quantiles = (quantiles_by_feature(df, [c for _, c in present], _PROBS)
                  if present and _QUANTILE_METHODS & set(methods) else {})
     limits: Limits = {method: {} for method in methods}
     for i, column in present:
@@ -76,15 +76,14 @@ def _limit_table(df: DataFrame, limits: Limits) -> DataFrame:
     return small_table(df.sparkSession, rows, schema)
 
 
-def outlier_statistics(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS,
-                       buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def outlier_statistics(df: DataFrame, columns: Sequence[str] | None = None, methods: Sequence[str] = METHODS) -> DataFrame:
     """Counts, limits, extremes and moments with and without outliers, per rule and column.
 
     The limits are one row per column, joined to the long form as a local table; all rules are then
     summed in one pass. Cleaning cuts off both ends of the sorted values, so the median without
     outliers is the value at a known rank and needs no second copy of the data per rule.
     """
-    limits = outlier_limits(df, columns, methods, buffered_rows)
+    limits = outlier_limits(df, columns, methods)
     present = list(dict.fromkeys(c for by_column in limits.values() for c in by_column))
     value = F.col("value")
     aggregates = [F.count(value).alias("n"), F.avg(value).alias("mean_with"), F.stddev_samp(value).alias("std_with"),
@@ -103,7 +102,7 @@ def outlier_statistics(df: DataFrame, columns: Sequence[str], methods: Sequence[
     for r in rows:
         clean = [(r[f"below_min{k}"], r["n"] - r[f"below_min{k}"] - r[f"above_max{k}"]) for k in range(len(methods))]
         positions[r["feature"]] = [(r["n"] - 1) / 2] + [below + max(0, left - 1) / 2 for below, left in clean]
-    medians = quantiles_at(df, positions, buffered_rows)
+    medians = quantiles_at(df, positions)
     table = []
     for r in rows:
         feature, n = r["feature"], r["n"]
@@ -127,15 +126,14 @@ def outlier_statistics(df: DataFrame, columns: Sequence[str], methods: Sequence[
     return small_table(df.sparkSession, table, pa.schema([(n, kinds.get(n, pa.float64())) for n in names]))
 
 
-def outlier_summary(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS,
-                    buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def outlier_summary(df: DataFrame, columns: Sequence[str] | None = None, methods: Sequence[str] = METHODS) -> DataFrame:
     """Report per rule and column, the columns with most outliers first within a rule.
 
     The change of the mean is 0 where the mean without outliers is 0 or missing.
     """
     change = F.coalesce(_percent_change("mean"), F.lit(0.0))
     return (
-        outlier_statistics(df, columns, methods, buffered_rows)
+        outlier_statistics(df, columns, methods)
         .orderBy("method_order", F.desc("outlier_count"), "feature")
         .select("method", "feature", "outlier_count", "outlier_pct", "below_min", "above_max",
                 F.col("lower_bound").alias("min_limit"), F.col("upper_bound").alias("max_limit"),
@@ -149,10 +147,9 @@ def _percent_change(moment: str) -> Column:
     return F.try_divide(before - after, after) * 100
 
 
-def outlier_rule_table(df: DataFrame, columns: Sequence[str], method: str,
-                       buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def outlier_rule_table(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
     """Limits of one rule per column and how many values lie outside them."""
-    limits = outlier_limits(df, columns, [method], buffered_rows)
+    limits = outlier_limits(df, columns, [method])
     outside = (F.col("value") < F.col("lo0")) | (F.col("value") > F.col("hi0"))
     return (
         melt(df, list(limits[method])).join(_limit_table(df, limits), "feature")
@@ -161,13 +158,13 @@ def outlier_rule_table(df: DataFrame, columns: Sequence[str], method: str,
     )
 
 
-def method_comparison(df: DataFrame, variable: str, buffered_rows: int = BUFFERED_ROWS) -> DataFrame | None:
+def method_comparison(df: DataFrame, variable: str) -> DataFrame | None:
     """All rules on one column, missing values left out. An unknown column gives a warning and None."""
     if variable not in df.columns:
         warnings.warn(f"Variable '{variable}' not found in dataframe.", stacklevel=2)
         return None
     return (
-        outlier_statistics(df, [variable], METHODS, buffered_rows).orderBy("method_order")
+        outlier_statistics(df, [variable], METHODS).orderBy("method_order")
         .select("method", "lower_bound", "upper_bound", "outlier_count", "outlier_pct", "mean_with", "mean_without",
                 _percent_change("mean").alias("mean_pct_change"), "median_with", "median_without", "std_with",
                 "std_without", _percent_change("std").alias("std_pct_change"))

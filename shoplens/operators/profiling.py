@@ -3,48 +3,72 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.functions.frames import col, melt, small_table
-from shoplens.functions.moments import corrected_skewness, pair_correlation
-from shoplens.functions.quantiles import BUFFERED_ROWS, quantile_table
+from shoplens.functions.frames import chosen_columns, col, melt, small_table
+from shoplens.functions.moments import corrected_skewness
+from shoplens.functions.quantiles import quantile_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _square_matrix(df: DataFrame, columns: Sequence[str], value_name: str, measure: Column) -> DataFrame:
-    """Measure of ``x`` and ``y`` for every pair of columns, over rows where both are present.
+def _products(df: DataFrame, columns: Sequence[str]) -> dict[str, np.ndarray]:
+    """For every two columns x, y the sums over rows where both are present: n, x, y, x², y² and xy, around the means.
 
-    Each row gives one short row per unordered pair, summed before the shuffle to one row per pair.
-    A single aggregate with a term per pair is beyond the size Spark compiles and much slower.
+    A batch is one matrix of values, 0 where missing, and one of presence; its sums are products of these. Each task
+    hands on one matrix per sum, so no row is multiplied. Values are taken relative to the column's mean, which keeps
+    the sums exact where values are large and differ little.
     """
-    names = [F.lit(c) for c in columns]
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("double").alias("x"),
-                 col(columns[j]).cast("double").alias("y"))
-        for i, j in combinations_with_replacement(range(len(columns)), 2)]
-    measured = (
-        df.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(measure.alias(value_name))
-    )
-    mirrored = measured.select(value_name, F.inline(F.array_distinct(F.array(
-        F.struct(F.col("i").alias("x_position"), F.col("j").alias("y_position")),
-        F.struct(F.col("j").alias("x_position"), F.col("i").alias("y_position"))))))
-    label = F.array(*names)
-    return mirrored.select(
-        label[F.col("x_position")].alias("feature_x"), label[F.col("y_position")].alias("feature_y"),
-        "x_position", "y_position", value_name)
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns; NULL where a column does not vary."""
-    measured = _square_matrix(df, columns, "correlation", pair_correlation(F.col("x"), F.col("y")))
-    own = (F.col("x_position") == F.col("y_position")) & F.col("correlation").isNotNull()
-    return measured.withColumn("correlation", F.when(own, 1.0).otherwise(F.col("correlation")))
+    width, names = len(columns), ("n", "x", "xx", "xy")
+    means = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shift = np.array([m or 0.0 for m in means])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(names), width, width))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - shift
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            values = np.where(there > 0, values, 0.0)
+            sums += [there.T @ there, values.T @ there, (values ** 2).T @ there, values.T @ values]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    one = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(run, "sums array<double>")
+    rows = one.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(len(names) * width * width)
+    for r in rows:
+        flat[r["at"]] = r["v"]
+    found = dict(zip(names, flat.reshape(len(names), width, width)))
+    return found | {"y": found["x"].T, "yy": found["xx"].T}
+
+
+def _matrix_frame(spark: SparkSession, columns: Sequence[str], name: str, values: np.ndarray, extra: bool) -> DataFrame:
+    rows = [{"feature_x": a, "feature_y": b, "x_position": i, "y_position": j,
+             name: None if np.isnan(values[i, j]) else float(values[i, j])}
+            for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    kinds = [("feature_x", pa.string()), ("feature_y", pa.string()), ("x_position", pa.int32()), ("y_position", pa.int32()),
+             (name, pa.float64())]
+    return small_table(spark, rows, pa.schema(kinds if extra else [kinds[0], kinds[1], kinds[4]]))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every pair of columns over rows where both are present; NULL where one does not vary.
+
+    Without ``columns``, of all numeric columns but the key.
+    """
+    columns = chosen_columns(df, columns)
+    s = _products(df, columns)
+    with np.errstate(all="ignore"):
+        spread_x, spread_y = s["xx"] - s["x"] ** 2 / s["n"], s["yy"] - s["y"] ** 2 / s["n"]
+        # What rounding leaves of a column that does not vary counts as nothing.
+        flat = (spread_x <= 1e-24 * (1 + s["xx"])) | (spread_y <= 1e-24 * (1 + s["yy"]))
+        found = np.where(flat, np.nan, (s["xy"] - s["x"] * s["y"] / s["n"]) / np.sqrt(spread_x * spread_y))
+    found[np.diag_indices(len(columns))] = np.where(np.isnan(np.diag(found)), np.nan, 1.0)
+    return _matrix_frame(df.sparkSession, columns, "correlation", found, True)
 
 
 def lower_triangle(matrix: DataFrame, digits: int = 2) -> DataFrame:
@@ -53,17 +77,21 @@ def lower_triangle(matrix: DataFrame, digits: int = 2) -> DataFrame:
         "feature_x", "feature_y", "correlation", F.round("correlation", digits).alias("label"))
 
 
-def covariance_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample covariance of every pair of columns."""
-    return _square_matrix(df, columns, "covariance", F.covar_samp("x", "y")).drop("x_position", "y_position")
+def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Sample covariance of every pair of columns; NULL below two rows with both."""
+    columns = chosen_columns(df, columns)
+    s = _products(df, columns)
+    with np.errstate(all="ignore"):
+        found = np.where(s["n"] > 1, (s["xy"] - s["x"] * s["y"] / s["n"]) / (s["n"] - 1), np.nan)
+    return _matrix_frame(df.sparkSession, columns, "covariance", found, False)
 
 
-def box_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
-                   buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def box_statistics(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers and mean per feature (and per key value)."""
+    columns = chosen_columns(df, columns, keys)
     ranges = melt(df, columns, keys).groupBy(*keys, "feature").agg(
         F.min("value").alias("least"), F.max("value").alias("greatest"), F.avg("value").alias("mean"))
-    quartiles = quantile_table(df, columns, QUARTILES, keys, buffered_rows)
+    quartiles = quantile_table(df, columns, QUARTILES, keys)
     q1, median, q3 = (F.col("quantiles")[i] for i in range(3))
     reach = 1.5 * (q3 - q1)
     return quartiles.join(ranges, [*keys, "feature"]).select(
@@ -72,15 +100,15 @@ def box_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         F.least(F.col("greatest"), q3 + reach).alias("whisker_high"), "mean")
 
 
-def column_summary(df: DataFrame, columns: Sequence[str], use_log_scale: bool = False,
-                   buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def column_summary(df: DataFrame, columns: Sequence[str] | None = None, use_log_scale: bool = False) -> DataFrame:
     """Skewness, mean, median, deviation and whether a log axis is possible; empty columns are left out."""
+    columns = chosen_columns(df, columns)
     value = F.col("value")
     log_possible = (F.min(value) > 0) if use_log_scale else F.lit(False)
     moments = melt(df, columns).groupBy("feature").agg(
         corrected_skewness(value).alias("skewness"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), log_possible.alias("can_use_log"))
-    medians = quantile_table(df, columns, [0.5], (), buffered_rows)
+    medians = quantile_table(df, columns, [0.5], ())
     return moments.join(medians, "feature").select(
         "feature", "skewness", "mean", F.col("quantiles")[0].alias("median"), "std", "can_use_log")
 
@@ -134,13 +162,15 @@ def _binned(df: DataFrame, layout: list[dict]) -> DataFrame:
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "total", "width", "mean", "std")
 
 
-def feature_histograms(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
+def feature_histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
     """Equal-width histogram per column."""
+    columns = chosen_columns(df, columns)
     return _binned(df, _bin_layout(df, columns, bins)).select("feature", "bin", "bin_start", "bin_end", "n")
 
 
-def density_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def density_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Histogram with Sturges' bin number, as a density, beside the fitted normal density."""
+    columns = chosen_columns(df, columns)
     centre = (F.col("bin_start") + F.col("bin_end")) / 2
     z = (centre - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))
     normal = F.exp(-z * z / 2) / (F.col("std") * math.sqrt(2 * math.pi))
@@ -150,8 +180,9 @@ def density_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.when(F.col("std") > 0, normal).alias("normal_density"))
 
 
-def top_variance_features(df: DataFrame, columns: Sequence[str], n: int = 6) -> DataFrame:
+def top_variance_features(df: DataFrame, columns: Sequence[str] | None = None, n: int = 6) -> DataFrame:
     """The columns with the largest sample variance."""
+    columns = chosen_columns(df, columns)
     return (
         df.agg(*[F.var_samp(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
         .select(F.inline(F.array(*[

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens.functions.frames import col, require_columns
-from shoplens.functions.quantiles import BUFFERED_ROWS, quantiles_by_feature
+from shoplens.functions.quantiles import quantiles_by_feature
 
-# One output column per category: a column with more values than this is not categorical.
-MOST_CATEGORIES = 1000
 COUNT_DISTINCT_SHARE = 0.1
 
 
@@ -55,12 +53,20 @@ def detect_roles(df: DataFrame, categorical: Sequence[str] | None = None, count:
 
 
 def _count_like(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Whole, never negative or missing columns in which fewer than a tenth of the values differ.
+
+    A sketch of a few percent error decides; exact counts are taken only of the columns near the limit.
+    """
     facts = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(columns) for e in (
         F.count(col(c)).alias(f"n_{i}"), F.min(col(c)).alias(f"least_{i}"),
-        F.count_distinct(col(c)).alias(f"different_{i}"))]).first()
-    return [c for i, c in enumerate(columns)
-            if facts[f"n_{i}"] == facts["n"] and facts["n"] and facts[f"least_{i}"] >= 0
-            and facts[f"different_{i}"] < facts["n"] * COUNT_DISTINCT_SHARE]
+        F.approx_count_distinct(col(c), 0.02).alias(f"different_{i}"))]).first()
+    n, limit = facts["n"], facts["n"] * COUNT_DISTINCT_SHARE
+    whole = [(c, facts[f"different_{i}"]) for i, c in enumerate(columns)
+             if n and facts[f"n_{i}"] == n and facts[f"least_{i}"] >= 0]
+    near = {c for c, about in whole if 0.8 * limit <= about <= 1.25 * limit}
+    few = {c for c, about in whole if c not in near and about < limit}
+    few |= {c for c in near if df.select(col(c)).distinct().count() < limit}
+    return [c for c in columns if c in few]
 
 
 def category_name(column: str, value) -> str:
@@ -68,15 +74,24 @@ def category_name(column: str, value) -> str:
     return f"{column}_{float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else value}"
 
 
-def learn_categories(df: DataFrame, column: str) -> tuple[list, object]:
-    """Sorted categories of a column and the most frequent one (the smallest on a tie)."""
+def learn_mode(df: DataFrame, column: str):
+    """The most frequent value (the smallest on a tie), however many there are."""
     counted = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
-    rows = counted.limit(MOST_CATEGORIES + 1).collect()
-    if len(rows) > MOST_CATEGORIES:
-        raise ValueError(f"column {column!r} has more than {MOST_CATEGORIES} categories")
+    best = counted.agg(F.min(F.struct((-F.col("n")).alias("minus_n"), "value")).alias("best")).first()["best"]
+    if best is None:
+        raise ValueError(f"column {column!r} has no value to learn from")
+    return best["value"]
+
+
+def learn_categories(df: DataFrame, column: str, most: int | None = None) -> list:
+    """Sorted categories of a column. ``most``: a column with more is refused, as each becomes an output column."""
+    values = df.where(col(column).isNotNull()).select(col(column).alias("value")).distinct()
+    rows = (values if most is None else values.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"column {column!r} has more than {most} categories")
     if not rows:
         raise ValueError(f"column {column!r} has no value to learn from")
-    return sorted(r["value"] for r in rows), min(rows, key=lambda r: (-r["n"], r["value"]))["value"]
+    return sorted(r["value"] for r in rows)
 
 
 def one_hot(column: Column, categories: Sequence) -> list[Column]:
@@ -147,15 +162,14 @@ class FeatureScaler:
 
 def fit_scaler(df: DataFrame, categorical: Sequence[str] | None = None, count: Sequence[str] | None = None,
                timestamp: str | None = None, keys: Sequence[str] = ("customer_id",),
-               buffered_rows: int = BUFFERED_ROWS) -> FeatureScaler:
-    """Learn fill values, categories, centres and spreads."""
+               most_categories: int | None = None) -> FeatureScaler:
+    """Learn fill values, categories, centres and spreads. ``most_categories``: see ``learn_categories``."""
     roles = detect_roles(df, categorical, count, timestamp, keys)
     measured = [*roles.count, *roles.numerical]
     fills, categories = {}, {}
     for c in roles.categorical:
-        values, most = learn_categories(df, c)
-        categories[c], fills[c] = tuple(values), most
-    medians = quantiles_by_feature(df, measured, [0.5], buffered_rows) if measured else {}
+        categories[c], fills[c] = tuple(learn_categories(df, c, most_categories)), learn_mode(df, c)
+    medians = quantiles_by_feature(df, measured, [0.5]) if measured else {}
     empty = [c for c in measured if c not in medians]
     if empty:
         raise ValueError(f"no value to learn from in: {', '.join(empty)}")
@@ -163,7 +177,7 @@ def fit_scaler(df: DataFrame, categorical: Sequence[str] | None = None, count: S
     filled = df.select([
         F.log1p(F.coalesce(col(c), F.lit(fills[c]))).alias(c) if c in roles.count
         else F.coalesce(col(c), F.lit(fills[c])).alias(c) for c in measured])
-    quartiles = quantiles_by_feature(filled, measured, [0.25, 0.5, 0.75], buffered_rows) if measured else {}
+    quartiles = quantiles_by_feature(filled, measured, [0.25, 0.5, 0.75]) if measured else {}
     centers = {c: q[1] for c, q in quartiles.items()}
     # A column without spread keeps its unit.
     scales = {c: (q[2] - q[0]) or 1.0 for c, q in quartiles.items()}

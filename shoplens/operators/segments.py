@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.frames import col, melt, require_columns, small_table
-from shoplens.functions.quantiles import BUFFERED_ROWS, quantile_table
+from shoplens.functions.quantiles import quantile_table
 from shoplens.operators.clustering import cluster_label
 from shoplens.operators.profiling import box_statistics, top_variance_features
 from shoplens.operators.scaling import FeatureScaler
@@ -67,13 +67,13 @@ POSITIVE_FLAG = "has_negative_flag_1.0"
 # --- statistics ----------------------------------------------------------------------------------
 
 
-def cluster_statistics(labelled: DataFrame, columns: Sequence[str], buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def cluster_statistics(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, median, minimum, maximum and deviation of every feature in every cluster."""
     value = F.col("value")
     moments = melt(labelled, columns, ["cluster"]).groupBy("cluster", "feature").agg(
         F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.stddev_samp(value).alias("std"))
-    medians = quantile_table(labelled, columns, [0.5], ["cluster"], buffered_rows)
+    medians = quantile_table(labelled, columns, [0.5], ["cluster"])
     return moments.join(medians, ["cluster", "feature"]).select(
         "cluster", "feature", "mean", F.col("quantiles")[0].alias("median"), "min", "max", "std")
 
@@ -113,14 +113,14 @@ def distribution_features(features: Sequence[str], available: Sequence[str]) ->
     found = [f for f in features if f in available]
     flags = [f for f in found if f.startswith(FLAG_PREFIX)]
     if len(flags) > 1:
-        found = [f for f in found if f not in flags] + [POSITIVE_FLAG]
+        found = [f for f in found if f not in flags] + [f for f in flags if f == POSITIVE_FLAG or POSITIVE_FLAG not in flags]
     if not found:
         raise ValueError("no valid features to describe")
     return found
 
 
 def feature_distributions(labelled: DataFrame, features: Sequence[str] | str, original: DataFrame | None = None,
-                          key: str = "customer_id", buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+                          key: str = "customer_id") -> DataFrame:
     """Box statistics per cluster, in the original scale where the original frame has the feature."""
     if isinstance(features, str):
         require_columns(labelled, [features])
@@ -131,7 +131,7 @@ def feature_distributions(labelled: DataFrame, features: Sequence[str] | str, or
     frame = labelled.select(key, "cluster", *[col(f) for f in names if f not in restored])
     if restored:
         frame = frame.join(original.select(key, *[col(f) for f in restored]), key)
-    return box_statistics(frame, names, ["cluster"], buffered_rows)
+    return box_statistics(frame, names, ["cluster"])
 
 
 # --- profile -------------------------------------------------------------------------------------

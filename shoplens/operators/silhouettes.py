@@ -7,18 +7,20 @@ projection, and no pair of rows is ever formed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.functions.frames import col, first_per_group, small_table
+from shoplens.functions.frames import col, small_table
 from shoplens.functions.geometry import squared_distance, total
 
-EUCLIDEAN_SAMPLE = 20_000
+#: Rows that Euclidean scores are taken against, as in the source reports.
+REFERENCE_ROWS = 20_000
 
 
 def _moments(labelled: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -94,6 +96,22 @@ def grouped_mean_silhouette(labelled: DataFrame, columns: Sequence[str], keys: S
         F.avg(F.coalesce("silhouette", F.lit(0.0))).alias("silhouette"))
 
 
+def silhouette_report(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows, share and mean silhouette of every cluster, and of all rows (``cluster`` NULL)."""
+    scores = silhouette_samples(labelled, columns, ())
+    return (
+        scores.rollup("cluster").agg(F.count("*").alias("size"), F.avg("silhouette").alias("mean_silhouette"),
+                                     F.min("silhouette").alias("least_silhouette"))
+        .select("cluster", "size", (F.col("size") * 100 / labelled.agg(F.count("*").alias("n")).scalar()).alias("percentage"),
+                "mean_silhouette", "least_silhouette")
+    )
+
+
+def silhouette_order(labelled: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """Rows as the silhouette plot stacks them: by cluster, in each from the lowest score to the highest."""
+    return silhouette_samples(labelled, columns, keep).orderBy("cluster", "silhouette", *keep)
+
+
 def _id_order(key: str) -> Column:
     return F.md5(col(key).cast("string"))
 
@@ -101,8 +119,9 @@ def _id_order(key: str) -> Column:
 def stratified_sample(labelled: DataFrame, n: int, key: str = "customer_id") -> DataFrame:
     """``n`` rows in proportion to the cluster sizes; rounding losses are filled up at random.
 
-    The random order is the md5 of the key. Each cluster is cut down in hash parts first, so no task
-    ranks a whole cluster.
+    The random order is the md5 of the key. Where a row is read, its md5 is held against a threshold per cluster that lets
+    through the wanted share with a margin; only what passes, about ``n`` rows, is ranked. A margin that proves too
+    small is widened.
     """
     sizes = {r["cluster"]: r["count"] for r in labelled.groupBy("cluster").count().collect()}
     everything = sum(sizes.values())
@@ -110,50 +129,68 @@ def stratified_sample(labelled: DataFrame, n: int, key: str = "customer_id") ->
         return labelled
     share = {c: n * size // everything for c, size in sizes.items()}
     missing = n - sum(share.values())
-    wanted = F.coalesce(*[F.when(F.col("cluster") == c, F.lit(count)) for c, count in share.items()])
-    ranked = first_per_group(labelled, "cluster", [_id_order(key), key], wanted + missing, key)
+    need = {c: min(size, share[c] + missing) for c, size in sizes.items()}
+    number = F.conv(F.substring(_id_order(key), 1, 8), 16, 10).cast("bigint")
+
+    def by_cluster(values: dict) -> Column:
+        return F.coalesce(*[F.when(F.col("cluster") == c, F.lit(v)) for c, v in values.items()])
+
+    margin = 6.0
+    while True:
+        limit = {c: math.ceil(min(1.0, (need[c] + margin * (math.sqrt(need[c]) + 1)) / size) * (1 << 32)) for c, size in sizes.items()}
+        passed = labelled.where(number < by_cluster(limit))
+        counts = {r["cluster"]: r["count"] for r in passed.groupBy("cluster").count().collect()}
+        if all(counts.get(c, 0) >= need[c] for c in sizes):
+            break
+        margin *= 4
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(_id_order(key), key))
+    ranked = passed.withColumn("rank", rank)
+    wanted = by_cluster(share)
     chosen = ranked.where(F.col("rank") <= wanted)
-    extra = ranked.where(F.col("rank") > wanted).orderBy(_id_order(key), key).limit(missing)
+    extra = ranked.where((F.col("rank") > wanted) & (F.col("rank") <= wanted + missing)).orderBy(_id_order(key), key).limit(missing)
     return chosen.unionByName(extra).drop("rank")
 
 
-def euclidean_silhouettes(sample: DataFrame, columns: Sequence[str], key: str = "customer_id") -> DataFrame:
-    """Silhouette with Euclidean distance on a bounded sample (at most 20,000 rows).
+def euclidean_silhouettes(labelled: DataFrame, columns: Sequence[str], key: str = "customer_id",
+                          reference: DataFrame | None = None, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
+    """Silhouette with Euclidean distance of every row, against a reference sample of all clusters.
 
-    The sample is sent to every task as one matrix; each task scores its share of the rows.
+    reference: rows of ``labelled``, few enough to be sent to every task as one matrix; by default a stratified sample of
+    ``reference_rows``. A row's mean distance to a cluster is taken over the reference rows of that cluster, itself left
+    out.
     """
-    picked = sample.select(col(key), "cluster", *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    table = picked.limit(EUCLIDEAN_SAMPLE + 1).toArrow()
-    if table.num_rows > EUCLIDEAN_SAMPLE:
-        raise ValueError(f"take a sample of at most {EUCLIDEAN_SAMPLE} rows first")
+    reference = stratified_sample(labelled, reference_rows, key) if reference is None else reference
     names = [f"x{i}" for i in range(len(columns))]
+    points = [col(c).cast("double").alias(n) for c, n in zip(columns, names)]
+    table = reference.select(col(key), "cluster", *points).toArrow()
     matrix = np.column_stack([table[c].to_numpy() for c in names]) if table.num_rows else np.empty((0, len(names)))
-    labels = table["cluster"].to_numpy()
-    ids = np.unique(labels)
+    owner, members = table["cluster"].to_numpy(), np.array(table[key].to_pylist())
+    ids = np.unique(owner)
     _require_clusters(list(ids))
-    spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast((matrix, labels, ids))
+    spark = labelled.sparkSession
+    shared = spark.sparkContext.broadcast((matrix, np.searchsorted(ids, owner), np.sort(members), ids))
     chunk = 64
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, owner, clusters = shared.value
-        counts = np.array([(owner == c).sum() for c in clusters])
+        values, groups, present, clusters = shared.value
+        hot = np.eye(len(clusters))[groups]
+        counts = hot.sum(axis=0)
         for batch in batches:
-            values, own = batch[names].to_numpy(), batch["cluster"].to_numpy()
-            scores = np.zeros(len(batch))
-            for start in range(0, len(batch), chunk):
-                part = values[start:start + chunk]
-                distance = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-                sums = np.column_stack([distance[:, owner == c].sum(axis=1) for c in clusters])
-                for i in range(len(part)):
-                    mine = np.searchsorted(clusters, own[start + i])
-                    if counts[mine] < 2:
-                        continue
-                    a = sums[i, mine] / (counts[mine] - 1)
-                    b = np.delete(sums[i] / counts, mine).min()
-                    scores[start + i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({key: batch[key], "cluster": own, "silhouette": scores})
-
-    kind = dict(sample.dtypes)
-    return picked.repartition(spark.sparkContext.defaultParallelism, key).mapInPandas(
+            rows, own = batch[names].to_numpy(), np.searchsorted(clusters, batch["cluster"].to_numpy())
+            found = np.searchsorted(present, batch[key].to_numpy())
+            inside = present[np.minimum(found, len(present) - 1)] == batch[key].to_numpy()
+            sums = np.concatenate([np.sqrt(((rows[s:s + chunk, None, :] - values[None]) ** 2).sum(axis=2)) @ hot
+                                   for s in range(0, len(rows), chunk)] or [np.zeros((0, len(clusters)))])
+            at = np.arange(len(rows))
+            others = counts[own] - inside
+            with np.errstate(all="ignore"):
+                a = sums[at, own] / others
+                away = sums / counts
+                away[at, own] = np.inf
+                b = away.min(axis=1)
+                scores = np.where((others < 1) | (np.maximum(a, b) <= 0), 0.0, (b - a) / np.maximum(a, b))
+            yield pd.DataFrame({key: batch[key], "cluster": batch["cluster"], "silhouette": scores})
+
+    kind = dict(labelled.dtypes)
+    return labelled.select(col(key), "cluster", *points).repartition(key).mapInPandas(
         score, f"`{key}` {kind[key]}, cluster {kind['cluster']}, silhouette double")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -51,22 +51,35 @@ def adjusted_rand_index(labelled: DataFrame, a: str, b: str) -> DataFrame:
     return ari_table(cells.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
 
 
-def pairwise_ari(labelled: DataFrame, n_labelings: int, least_common: int = LEAST_COMMON) -> DataFrame:
-    """Agreement of every two labelings in the array column ``labels`` (NULL: not labelled).
+def pair_cells(labelled: DataFrame, n_labelings: int) -> DataFrame:
+    """Contingency cells (i, j, a, b, n) of every two labelings in the array column ``labels`` (NULL: not labelled).
 
-    A row meets each pair of labelings once inside its task and is counted there; only the cells,
-    at most k² per pair, are shuffled. No join of the rows with themselves is needed.
+    The labels of a batch, written as 0/1 columns per labeling and cluster, are multiplied with themselves: the product
+    holds all cells of all pairs. Only these, summed per task, are shuffled; no row is multiplied.
     """
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i, j in combinations(range(n_labelings), 2)])
-    cells = (
-        labelled.select("labels", F.explode(pairs).alias("pair"))
-        .select("pair.i", "pair.j", F.col("labels")[F.col("pair.i")].alias("a"),
-                F.col("labels")[F.col("pair.j")].alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("i", "j", "a", "b").agg(F.count("*").alias("n"))
-    )
-    return ari_table(cells, ["i", "j"]).where(F.col("n_common") >= least_common)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((n_labelings, 0, n_labelings, 0))
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            labels = np.nan_to_num(flat, nan=-1).astype(int).reshape(-1, n_labelings)
+            k = max(labels.max(initial=-1) + 1, held.shape[1])
+            hot = (labels[:, :, None] == np.arange(k)).reshape(len(labels), n_labelings * k).astype(float)
+            grow = ((0, 0), (0, k - held.shape[1])) * 2
+            held = np.pad(held, grow) + (hot.T @ hot).reshape(n_labelings, k, n_labelings, k)
+        i, a, j, b = np.nonzero(held)
+        upper = i < j
+        i, a, j, b = i[upper], a[upper], j[upper], b[upper]
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(x, pa.int32()) for x in (i, j, a, b)], pa.array(held[i, a, j, b].astype(np.int64))],
+            names=["i", "j", "a", "b", "n"])
+
+    return labelled.select("labels").mapInArrow(run, "i int, j int, a int, b int, n bigint").groupBy("i", "j", "a", "b").agg(
+        F.sum("n").alias("n"))
+
+
+def pairwise_ari(labelled: DataFrame, n_labelings: int, least_common: int = LEAST_COMMON) -> DataFrame:
+    """Agreement of every two labelings in the array column ``labels`` (NULL: not labelled)."""
+    return ari_table(pair_cells(labelled, n_labelings), ["i", "j"]).where(F.col("n_common") >= least_common)
 
 
 def ari_summary(scores: DataFrame) -> DataFrame:

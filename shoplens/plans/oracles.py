@@ -590,17 +590,25 @@ def _silhouette_squared() -> str:
                 GROUP BY customer_id, own))"""
 
 
+BLOCKS["stratified"] = """
+    SELECT customer_id, cluster FROM strata WHERE rank <= wanted OR total <= 1000
+    UNION ALL SELECT customer_id, cluster FROM (
+        SELECT customer_id, cluster FROM strata WHERE rank > wanted AND total > 1000
+        ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id
+        LIMIT (SELECT greatest(0, 1000 - CAST(sum(w) AS BIGINT)) FROM (SELECT any_value(wanted) AS w FROM strata GROUP BY cluster)))"""
+BLOCKS["reference"] = "SELECT l.* FROM labelled l WHERE customer_id IN (SELECT customer_id FROM stratified)"
+
+
 def _silhouette_euclidean() -> str:
+    """Every row against the reference rows, itself left out."""
     return f"""
         SELECT customer_id, cluster, {r4('s')} AS silhouette FROM (
             SELECT customer_id, cluster, CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0.0
                                               ELSE (b - a) / greatest(a, b) END AS s FROM (
-                SELECT customer_id, own AS cluster,
-                       max(CASE WHEN own = other AND n > 1 THEN d / (n - 1) END) AS a,
-                       min(CASE WHEN own <> other THEN d / n END) AS b
-                FROM (SELECT x.customer_id, x.cluster AS own, y.cluster AS other, count(*) AS n,
-                             sum(sqrt({_distance('x', 'y')})) AS d
-                      FROM labelled x, labelled y GROUP BY x.customer_id, x.cluster, y.cluster)
+                SELECT customer_id, own AS cluster, max(CASE WHEN own = other THEN d END) AS a,
+                       min(CASE WHEN own <> other THEN d END) AS b
+                FROM (SELECT x.customer_id, x.cluster AS own, y.cluster AS other, avg(sqrt({_distance('x', 'y')})) AS d
+                      FROM labelled x JOIN reference y ON x.customer_id <> y.customer_id GROUP BY x.customer_id, x.cluster, y.cluster)
                 GROUP BY customer_id, own))"""
 
 
@@ -742,6 +750,9 @@ def component_queries() -> dict[str, str]:
     }
 
 
+BLOCKS["row_scores"] = _silhouette_squared().replace(r4('s'), 's').replace("AS silhouette", "AS s", 1)
+
+
 def cluster_queries() -> dict[str, str]:
     covariance = _union(
         f"""SELECT '{a}' AS feature_x, '{b}' AS feature_y, covar_samp({q(a)}, {q(b)}) AS v FROM scaled"""
@@ -754,12 +765,12 @@ def cluster_queries() -> dict[str, str]:
                                for k in range(2, 7)),
         "silhouette_samples": _silhouette_squared(),
         "silhouette_euclidean_sample": _silhouette_euclidean(),
-        "stratified_sample": """
-            SELECT customer_id, cluster FROM strata WHERE rank <= wanted OR total <= 1000
-            UNION ALL SELECT customer_id, cluster FROM (
-                SELECT customer_id, cluster FROM strata WHERE rank > wanted AND total > 1000
-                ORDER BY md5(CAST(customer_id AS VARCHAR)), customer_id
-                LIMIT (SELECT greatest(0, 1000 - CAST(sum(w) AS BIGINT)) FROM (SELECT any_value(wanted) AS w FROM strata GROUP BY cluster)))""",
+        "stratified_sample": "SELECT customer_id, cluster FROM stratified",
+        "silhouette_report": f"""
+            SELECT cluster, count(*) AS size, {r4('count(*) * 100.0 / (SELECT count(*) FROM labelled)')} AS percentage,
+                   {r4('avg(s)')} AS mean_silhouette, {r4('min(s)')} AS least_silhouette
+            FROM row_scores GROUP BY ROLLUP (cluster)""",
+        "silhouette_order": _silhouette_squared(),
         "importance_fixed_centers": _importance("fixed"),
         "intercluster_distances": f"""
             SELECT cluster_a, cluster_b, {r4('d')} AS distance, {r4('d / max(d) OVER ()')} AS normalized_distance,
@@ -1043,8 +1054,47 @@ def segment_queries() -> dict[str, str]:
     }
 
 
+def fitted_queries() -> dict[str, str]:
+    """The segment tables on the labels of the fitted model, complete texts."""
+    texts = segment_queries()
+    rows = texts["cluster_sizes"]
+    chosen = {
+        "fitted_cluster_stats": texts["cluster_stats"],
+        "fitted_segment_profiles": texts["cluster_profiles"],
+        "fitted_segment_actions": texts["segment_actions"],
+        "dashboard_cluster_sizes": f"""
+            SELECT s.cluster, 'Cluster ' || CAST(s.cluster AS VARCHAR) || ': ' || n.name AS label, size, percentage
+            FROM ({rows}) s JOIN ({texts['segment_names']}) n ON s.cluster = n.cluster""",
+        "dashboard_feature_comparison": texts["cluster_radar"],
+        "dashboard_metrics_table": texts["cluster_metrics_table"],
+        "dashboard_feature_distributions": f"""
+            SELECT * FROM ({texts['cluster_feature_box_stats']})
+            WHERE feature IN (SELECT feature FROM ({texts['top_variance_features']}))""",
+    }
+    fixed, BLOCKS["labelled"] = BLOCKS["labelled"], "SELECT * FROM full_labels"
+    try:
+        return {name: _sql(text) for name, text in chosen.items()}
+    finally:
+        BLOCKS["labelled"] = fixed
+
+
+def numeric_column_queries() -> dict[str, str]:
+    """Profiles of all numeric columns of the features."""
+    moments = _union(f"""
+        SELECT '{c}' AS feature, {r4(f'avg({c})')} AS mean, {r4(f'median(CAST({c} AS DOUBLE))')} AS median,
+               {r4(f'stddev_samp({c})')} AS std, {r4(_skew(c))} AS skewness, false AS can_use_log FROM hybrid""" for c in FEATURES)
+    outside = _union(f"""
+        SELECT '{c}' AS feature, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count,
+               count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1)) AS below_min, count(*) FILTER ({c} > q3 + 1.5 * (q3 - q1)) AS above_max
+        FROM hybrid, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM hybrid)"""
+                     for c in FEATURES)
+    return {"summary_of_numeric_columns": moments, "correlation_of_numeric_columns": profiling_queries()["correlation_matrix"],
+            "outliers_of_numeric_columns": outside}
+
+
 def oracle_texts() -> dict[str, str]:
     """SQL text by query name."""
     groups = (table_queries, scaling_queries, cluster_queries, component_queries, stability_queries, segment_queries)
     texts = {name: _sql(text) for group in groups for name, text in group().items()}
-    return {**texts, **profiling_queries()}
+    numeric = {n: t if n.startswith("correlation") else _sql(t) for n, t in numeric_column_queries().items()}
+    return {**texts, **profiling_queries(), **fitted_queries(), **numeric}

@@ -304,7 +304,7 @@ def column_roles(w):
 def impute_mode(w):
     columns = (*feat.FLAG_COLUMNS, "avg_review_score")
     return w.hybrid.select("customer_id", *[
-        F.coalesce(F.col(c), F.lit(scaling.learn_categories(w.hybrid, c)[1])).alias(c) for c in columns])
+        F.coalesce(F.col(c), F.lit(scaling.learn_mode(w.hybrid, c))).alias(c) for c in columns])
 
 
 @query
@@ -312,7 +312,7 @@ def one_hot(w):
     df = _features_with_segment(w)
     out = []
     for c in (*feat.FLAG_COLUMNS, "c_mktsegment"):
-        values, most = scaling.learn_categories(df, c)
+        values, most = scaling.learn_categories(df, c), scaling.learn_mode(df, c)
         hot = scaling.one_hot(F.coalesce(F.col(c), F.lit(most)), values)
         out += [h.alias(scaling.category_name(c, v)) for v, h in zip(values, hot)]
     return df.select("customer_id", *out)
@@ -421,8 +421,19 @@ def silhouette_samples(w):
 
 @query
 def silhouette_euclidean_sample(w):
-    sample = silhouettes.stratified_sample(w.labelled, silhouettes.EUCLIDEAN_SAMPLE)
-    return silhouettes.euclidean_silhouettes(sample, w.scaled_columns)
+    """Every customer against a sample of 1000."""
+    reference = silhouettes.stratified_sample(w.labelled, 1000)
+    return silhouettes.euclidean_silhouettes(w.labelled, w.scaled_columns, reference=reference)
+
+
+@query
+def silhouette_report(w):
+    return silhouettes.silhouette_report(w.labelled, w.scaled_columns)
+
+
+@query
+def silhouette_order(w):
+    return silhouettes.silhouette_order(w.labelled, w.scaled_columns)
 
 
 @query
@@ -616,3 +627,52 @@ def segment_actions(w):
 @query
 def segment_characteristics(w):
     return segments.segment_characteristics(w.profile, SEGMENT_CONFIG, ACTION_LIMITS)
+
+
+# --- segments of the fitted model ----------------------------------------------------------------
+
+
+@query
+def fitted_cluster_stats(w):
+    return segments.cluster_statistics(w.fitted_labels, w.scaled_columns)
+
+
+@query
+def fitted_segment_profiles(w):
+    return segments.cluster_profiles(w.fitted_profile, SEGMENT_CONFIG)
+
+
+@query
+def fitted_segment_actions(w):
+    return segments.segment_actions(w.fitted_profile, SEGMENT_CONFIG, ACTION_LIMITS)
+
+
+def _dashboard_part(name):
+    def part(w):
+        w.segment_config = SEGMENT_CONFIG
+        return w.dashboard[name]
+    part.__name__, part.__doc__ = f"dashboard_{name}", f"The part {name} of the dashboard of the fitted segments."
+    return query(part)
+
+
+for _name in ("cluster_sizes", "feature_comparison", "metrics_table", "feature_distributions"):
+    _dashboard_part(_name)
+
+
+# --- columns found by type -----------------------------------------------------------------------
+
+
+@query
+def summary_of_numeric_columns(w):
+    """All numeric columns of the features, none named by the caller."""
+    return profiling.column_summary(w.hybrid)
+
+
+@query
+def correlation_of_numeric_columns(w):
+    return profiling.correlation_matrix(w.hybrid).drop("x_position", "y_position")
+
+
+@query
+def outliers_of_numeric_columns(w):
+    return outliers.outlier_summary(w.hybrid, methods=[outliers.IQR]).select("feature", "outlier_count", "below_min", "above_max")

@@ -32,6 +32,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.segment_config = segments.DEFAULT_CONFIG
 
     def table(self, name: str) -> DataFrame:
         return scan(self.spark, self.folder, name)
@@ -94,6 +95,18 @@ class Workspace:
         """The best of several hashed starts on all scaled features."""
         return fit_kmeans(self.scaled, self.scaled_columns, CLUSTERS)
 
+    @property
+    def fitted_labels(self) -> DataFrame:
+        return self.fitted.centers.assign(self.scaled).drop("squared_distance")
+
+    @cached_property
+    def fitted_profile(self) -> DataFrame:
+        return segments.profile_table(self.fitted_labels, self.scaled_columns, self.scaler)
+
+    @cached_property
+    def dashboard(self) -> dict[str, DataFrame]:
+        return segments.segment_dashboard(self.fitted_labels, self.scaled_columns, self.scaler, self.segment_config, self.hybrid)
+
     @property
     def labelled(self) -> DataFrame:
         return self.centers.assign(self.scaled).drop("squared_distance")

@@ -9,11 +9,10 @@ def doubles(spark, **columns):
     return spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{n} double" for n in names))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_summary_counts_and_clean_moments(spark, limit):
+def test_summary_counts_and_clean_moments(spark):
     x = [float(i) for i in range(1, 21)] + [500.0, None]
     df = doubles(spark, x=x, c=[1.0] * 22, e=[None] * 22)
-    rows = {(r["method"], r["feature"]): r for r in outliers.outlier_summary(df, ["x", "c", "e"], buffered_rows=limit).collect()}
+    rows = {(r["method"], r["feature"]): r for r in outliers.outlier_summary(df, ["x", "c", "e"]).collect()}
     assert len(rows) == 12
     r = rows[outliers.IQR, "x"]
     assert (r["outlier_count"], r["above_max"], r["below_min"], r["extreme_max"], r["extreme_min"]) == (1, 1, 0, 500.0, None)
@@ -80,7 +79,7 @@ def test_column_without_spread_keeps_its_unit(spark):
 
 def test_mode_tie_takes_the_smallest(spark):
     df = spark.createDataFrame([(2,), (2,), (1,), (1,), (3,)], "x long")
-    assert scaling.learn_categories(df, "x") == ([1, 2, 3], 1)
+    assert (scaling.learn_categories(df, "x"), scaling.learn_mode(df, "x")) == ([1, 2, 3], 1)
 
 
 def test_roles_are_detected(spark):

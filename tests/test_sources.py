@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shoplens.functions.frames import first_per_group
 from shoplens.sources import catalog
 from shoplens.sources.store import ResultStore
 
@@ -69,8 +68,3 @@ def test_catalog(spark):
     with pytest.raises(ValueError):
         catalog.inventory({})
 
-
-def test_first_rows_of_a_dominant_group(spark):
-    df = spark.range(3000).select("id", F.when(F.col("id") < 2900, "hot").otherwise("rest").alias("g"))
-    rows = first_per_group(df, "g", [F.desc("id")], 5, "id", spread=8).collect()
-    assert sorted(r["id"] for r in rows) == [2895, 2896, 2897, 2898, 2899, 2995, 2996, 2997, 2998, 2999]
