@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.shared import checkpointed
+from shoplens.llm.shared import attach, checkpointed
 
 BITS = 64
 #: Fingerprints per tree at most.
@@ -237,11 +237,14 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, width))
     vertices = checkpointed(rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")))
-    grouped = components(links(vertices.select("fingerprint"), radius, blocks, tree_size))
-    named = (vertices.join(grouped, vertices["fingerprint"] == grouped["vertex"], "left")
-             .select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")))
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = named.join(lowest, "component").select("fingerprint", "component_id")
+    grouped = checkpointed(components(links(vertices.select("fingerprint"), radius, blocks, tree_size)))
+    named = vertices.join(grouped, vertices["fingerprint"] == grouped["vertex"], "left").select(
+        "fingerprint", "first_id", "component")
+    lowest = checkpointed(named.where("component is not null").groupBy(F.col("component").alias("of"))
+                          .agg(F.min("first_id").alias("lowest_id")))
+    # A component may hold very many fingerprints: its one row is broadcast or salted.
+    answer = attach(named, lowest, "component", "of", "fingerprint").select(
+        "fingerprint", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("lowest_id")).alias("component_id"))
     return rows.join(answer, "fingerprint").select(
         id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
