@@ -73,13 +73,14 @@ m AS (
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          len(list_filter(words, lambda x: x IN ({forms}))) AS n_stop,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_again,
          len(list_filter(lines, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•·]'))) AS n_bullets
   FROM w LEFT JOIN repeats USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR n_symbols > 0.2::DOUBLE * n_words
             OR (n_words >= 40 AND n_stop / n_words < 0.02::DOUBLE) OR n_repeat_words / n_words > 0.2::DOUBLE
-            OR n_dup_lines / n_lines > 0.3::DOUBLE OR (n_words >= 40 AND n_bullets / n_lines > 0.9::DOUBLE)) AS kept
+            OR n_again / n_words > 0.3::DOUBLE OR n_dup_lines / n_lines > 0.5::DOUBLE OR (n_words >= 40 AND n_bullets / n_lines > 0.9::DOUBLE)) AS kept
 FROM m
 """
 

@@ -42,7 +42,8 @@ RULES = (
     Rule("symbols", "symbol_ratio", high=0.2),
     Rule("stop_words", "stop_word_ratio", low=0.02, min_words=40),
     Rule("repeated_words", "repeat_word_ratio", high=0.2),
-    Rule("repeated_lines", "dup_line_ratio", high=0.3),
+    Rule("words_in_a_row", "again_ratio", high=0.3),
+    Rule("repeated_lines", "dup_line_ratio", high=0.5),
     Rule("list_lines", "bullet_line_ratio", high=0.9, min_words=40),
 )
 
@@ -67,10 +68,10 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> D
 
     n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines (lines with a word equal to an earlier
     line), n_repeat_words (words inside windows of five words that occur twice or more in the text),
-    n_stop_words, n_bullet_lines. A null text has no words; ratios over nothing are 0.
+    n_stop_words, n_again_words (equal to the word before), n_bullet_lines. A null text has no words; ratios over nothing are 0.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
-              "n_bullet_lines"]
+              "n_again_words", "n_bullet_lines"]
     forms = [w for s in STOP_WORDS for w in (s, s.capitalize())]
     df = docs.drop(*counts).withColumn("_text", whole_text(text_col))
     df = (df.withColumn("_words", _words(F.col("_text")))
@@ -83,6 +84,7 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> D
           .withColumn("n_lines", F.size("_lines").cast("long"))
           .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
           .withColumn("n_bullet_lines", F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•·]"))).cast("long"))
+          .withColumn("n_again_words", F.size(F.filter("_words", lambda w, i: F.get(F.col("_words"), i - 1) == w)).cast("long"))
           .withColumn("n_stop_words", F.size(F.filter("_words", lambda w: w.isin(forms))).cast("long")))
     df = df.withColumn("_windows", _windows("_hashes", window))
     # Equal windows have equal hashes: where all hashes differ nothing repeats. Elsewhere the words themselves decide.
@@ -110,6 +112,7 @@ def _measure(name: str) -> Column:
         "n_words": F.col("n_words"), "mean_word_length": ratio("word_chars", "n_words"),
         "symbol_ratio": ratio("n_symbols", "n_words"), "stop_word_ratio": ratio("n_stop_words", "n_words"),
         "repeat_word_ratio": ratio("n_repeat_words", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "again_ratio": ratio("n_again_words", "n_words"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
     }[name]
 
