@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.shared import attach, checkpointed
+from shoplens.llm.shared import attach, checkpointed, shuffle_partitions
 
 BITS = 64
 #: Fingerprints per tree at most.
@@ -235,7 +235,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component of null ids only is null. Every row of the input gives one row, repeated rows included; an empty
     table gives none. Other columns are not read.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, width))
+    runs = shuffle_partitions(docs.sparkSession)
+    rows = checkpointed(fingerprints(docs, id_col, text_col, width).withColumn(
+        "_run", F.pmod(F.xxhash64(id_col), F.lit(runs)).cast("int")))
     vertices = checkpointed(rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")))
     grouped = checkpointed(components(links(vertices.select("fingerprint"), radius, blocks, tree_size)))
     named = vertices.join(grouped, vertices["fingerprint"] == grouped["vertex"], "left").select(
@@ -245,7 +247,9 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # A component may hold very many fingerprints: its one row is broadcast or salted.
     answer = attach(named, lowest, "component", "of", "fingerprint").select(
         "fingerprint", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("lowest_id")).alias("component_id"))
-    return rows.join(answer, "fingerprint").select(
+    # Very many rows may share a fingerprint: its answer goes to each run of rows that has it, and there to the rows.
+    by_run = rows.select("fingerprint", "_run").distinct().join(answer, "fingerprint")
+    return rows.join(by_run, ["fingerprint", "_run"]).select(
         id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
