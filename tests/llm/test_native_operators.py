@@ -187,6 +187,8 @@ def test_quality_measures(spark):
     got = quality_rules.judged(spark.createDataFrame(rows, ROW)).collect()
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == slow_measures(texts[r.doc_id]), texts[r.doc_id]
+        words = re.findall("[^\x20\x09-\x0D]+", texts[r.doc_id] or "")
+        assert r.n_again_words == sum(a == b for a, b in zip(words, words[1:]))
         assert r.kept == (not r.broken_rules) and (r.n_words >= 10 or "long_enough" in r.broken_rules)
     assert quality_rules.judged(spark.createDataFrame([], ROW)).count() == 0
 
