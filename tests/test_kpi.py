@@ -86,6 +86,8 @@ def test_coordinates_fall_back_to_region(spark):
     assert found["01001"] == found["1001"] == kpi_tables.AREA_COORDINATES["01"]
     assert found["10000"] == kpi_tables.REGION_COORDINATES["1"] and found["99999"] == kpi_tables.REGION_COORDINATES["9"]
     assert len(kpi_tables.AREA_COORDINATES) == 75 and len(kpi_tables.REGION_COORDINATES) == 10
+    given = {"01": (-23.55, -46.63), "20": (-22.90, -43.20), "30": (-19.92, -43.94), "40": (-12.97, -38.50), "70": (-15.78, -47.93)}
+    assert {k: kpi_tables.AREA_COORDINATES[k] for k in given} == given
 
 
 def test_satisfaction_truncates_and_flags(spark):
