@@ -2,8 +2,8 @@
 
 In a large star, the greater neighbours of a vertex are tied to the smallest vertex of its neighbourhood; in
 a small star, its smaller neighbours and itself are. Repeated in turn, every component becomes one star around
-its smallest vertex. The minimum of a neighbourhood is a combined aggregate and comes back by a join, which
-adaptive execution splits where one vertex has very many edges; no neighbourhood is gathered in a task.
+its smallest vertex. The minimum of a neighbourhood is a combined aggregate and comes back by a counted broadcast or, with
+many vertices, by a salted join; no neighbourhood is gathered in a task.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import checkpointed
+from shoplens.llm.shared import attach, checkpointed
 
 
 def _tied(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the smallest vertex of a's neighbourhood, a included, as low."""
-    low = edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("low"))
-    return edges.join(low, "a")
+    low = checkpointed(edges.groupBy(F.col("a").alias("of")).agg(F.min(F.least("a", "b")).alias("low")))
+    return attach(edges, low, "a", "of", "b")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     state, edges = None, checkpointed(edges.select("a", "b").where("a <> b").distinct())
     while True:
-        edges = checkpointed(_small_star(_large_star(edges)).where("a <> b").distinct())
+        edges = checkpointed(_small_star(checkpointed(_large_star(edges).distinct())).where("a <> b").distinct())
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
             break
