@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import checkpointed, shuffle_partitions, whole_text
+from shoplens.llm.shared import checkpointed, shuffle_partitions, unused_prefix, whole_text
 
 #: What must agree for two texts to be equal.
 KEY = ["_digest", "_second", "_bytes"]
@@ -71,13 +71,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
                     fan_in: int = 8) -> DataFrame:
     """The documents that stay, with their own columns only; one row where rows repeat id and text."""
-    names = docs.columns
+    own = unused_prefix(docs)
     stay = (duplicate_groups(docs, id_col, text_col, keep, fan_in).where("kept")
-            .select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")))
-    marked = docs.withColumn("_keep_text", F.unhex(F.sha2(whole_text(text_col), 256)))
-    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_keep_id"))
-                         & (F.col("_keep_text") == F.col("_keep_digest")), "left_semi")
+            .select(F.col(id_col).alias(f"{own}id"), F.unhex("text_sha256").alias(f"{own}digest")))
+    marked = docs.withColumn(f"{own}text", F.unhex(F.sha2(whole_text(text_col), 256)))
+    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col(f"{own}id"))
+                         & (F.col(f"{own}text") == F.col(f"{own}digest")), "left_semi")
     # The join has dealt rows by id and digest already: this needs no further exchange.
     nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(),
-                                                 "_keep_text").orderBy("_keep_text"))
-    return joined.withColumn("_keep_nth", nth).where("_keep_nth = 1").select(*names)
+                                                 f"{own}text").orderBy(f"{own}text"))
+    return joined.withColumn(f"{own}nth", nth).where(F.col(f"{own}nth") == 1).select(*docs.columns)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import WORD, attach, checkpointed, uniform, whole_text
+from shoplens.llm.shared import WORD, attach, checkpointed, uniform, unused_prefix, whole_text
 
 #: Bins per level, a power of two; there are two levels.
 BINS = 1024
@@ -125,28 +125,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     names = ["size", "source_size", "target", "copies", "taken"]
     plain = docs.drop(*names)
-    drawn = (plain.withColumn("size", words_in(text_col)).withColumn("_u", uniform(F.lit(seed), F.col(id_col)))
-             .withColumn("_odds", F.col(odds_col).cast("double") if odds_col else F.lit(1.0)))
-    rows = checkpointed(drawn.select(F.col(source_col).alias("source"), "size", F.col("_u").alias("u"),
-                                     F.col("_odds").alias("odds")))
-    plan = checkpointed(source_plan(rows, weights, share, most)).select(
-        *[F.col(c).alias(f"_plan_{c}") for c in ("of", "source_size", "target", "whole", "part", "edge_bin",
-                                                 "last_position")])
-    position = _position(F.col("_u"), F.col("_plan_part"), F.col("_odds"))
+    own = unused_prefix(plain)
+    u, odds = F.col(f"{own}u"), F.col(f"{own}odds")
+    drawn = (plain.withColumn(f"{own}size", words_in(text_col)).withColumn(f"{own}u", uniform(F.lit(seed), F.col(id_col)))
+             .withColumn(f"{own}odds", F.col(odds_col).cast("double") if odds_col else F.lit(1.0)))
+    rows = checkpointed(drawn.select(F.col(source_col).alias("source"), F.col(f"{own}size").alias("size"), u.alias("u"),
+                                     odds.alias("odds")))
+    found = checkpointed(source_plan(rows, weights, share, most))
+    plan = found.select(*[F.col(c).alias(f"{own}{c}") for c in found.columns])
+    part, edge = F.col(f"{own}part"), F.col(f"{own}edge_bin")
+    position = _position(u, part, odds)
     fine = F.floor(position * (BINS * BINS))
-    sampled = (F.col("_plan_part") > 0) & (
-        F.col("_plan_edge_bin").isNull() | (fine < F.col("_plan_edge_bin"))
-        | ((fine == F.col("_plan_edge_bin")) & (position <= F.coalesce("_plan_last_position", F.lit(-1.0)))))
-    copies = F.col("_plan_whole") + F.when(sampled, 1).otherwise(0)
-    return (attach(drawn, plan, source_col, "_plan_of", "_u")
-            .withColumn("copies", copies.cast("int"))
-            .select(*plain.columns, "size", F.col("_plan_source_size").alias("source_size"),
-                    F.col("_plan_target").alias("target"), "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
-
-
-def repeated(docs: DataFrame, **settings) -> DataFrame:
+    sampled = (part > 0) & (edge.isNull() | (fine < edge) | (
+        (fine == edge) & (position <= F.coalesce(F.col(f"{own}last_position"), F.lit(-1.0)))))
+    copies = (F.col(f"{own}whole") + F.when(sampled, 1).otherwise(0)).cast("int")
+    mixed = attach(drawn, plan, source_col, f"{own}of", f"{own}u").withColumn(f"{own}copies", copies)
+    return mixed.select(*plain.columns, F.col(f"{own}size").alias("size"), F.col(f"{own}source_size").alias("source_size"),
+                        F.col(f"{own}target").alias("target"), F.col(f"{own}copies").alias("copies"),
+                        (F.col(f"{own}copies") * F.col(f"{own}size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+             odds_col: str | None = None, **settings) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, with the columns of docs only."""
-    mixed = mix(docs.withColumn("_own", F.struct(*docs.columns)), **settings)
+    needed = dict.fromkeys(c for c in (id_col, source_col, text_col, odds_col) if c)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"),
+                        *[F.col(f"`{c}`").alias(f"in_{c}") for c in needed])
+    mixed = mix(whole, f"in_{id_col}", f"in_{source_col}", f"in_{text_col}",
+                odds_col=f"in_{odds_col}" if odds_col else None, **settings)
     return (mixed.where("copies > 0")
             .select("_own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_nth")).select("_own.*"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import BLANKS, GAP, whole_text
+from shoplens.llm.shared import BLANKS, GAP, unused_prefix, whole_text
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = tuple("""
@@ -73,36 +73,38 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> D
     counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
               "n_again_words", "n_bullet_lines"]
     forms = [w for s in STOP_WORDS for w in (s, s.capitalize())]
-    df = docs.drop(*counts).withColumn("_text", whole_text(text_col))
-    df = (df.withColumn("_words", _words(F.col("_text")))
-          .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
-          .withColumn("n_symbols", (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", "")))
+    plain = docs.drop(*counts)
+    own = unused_prefix(plain)
+    df = plain.withColumn(f"{own}text", whole_text(text_col))
+    df = (df.withColumn(f"{own}words", _words(F.col(f"{own}text")))
+          .withColumn(f"{own}lines", F.filter(F.split(f"{own}text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+          .withColumn("n_symbols", (F.length(f"{own}text") - F.length(F.regexp_replace(f"{own}text", "[#*$%&|<>]", "")))
                       .cast("long")))
-    df = (df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-          .withColumn("n_words", F.size("_words").cast("long"))
-          .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-          .withColumn("n_lines", F.size("_lines").cast("long"))
-          .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-          .withColumn("n_bullet_lines", F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•·]"))).cast("long"))
-          .withColumn("n_again_words", F.size(F.filter("_words", lambda w, i: F.get(F.col("_words"), i - 1) == w)).cast("long"))
-          .withColumn("n_stop_words", F.size(F.filter("_words", lambda w: w.isin(forms))).cast("long")))
-    df = df.withColumn("_windows", _windows("_hashes", window))
+    df = (df.withColumn(f"{own}hashes", F.transform(f"{own}words", lambda w: F.xxhash64(w)))
+          .withColumn("n_words", F.size(f"{own}words").cast("long"))
+          .withColumn("word_chars", F.length(F.array_join(f"{own}words", "")).cast("long"))
+          .withColumn("n_lines", F.size(f"{own}lines").cast("long"))
+          .withColumn("n_dup_lines", (F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines"))).cast("long"))
+          .withColumn("n_bullet_lines", F.size(F.filter(f"{own}lines", lambda x: F.ltrim(x).rlike("^[-*•·]"))).cast("long"))
+          .withColumn("n_again_words", F.size(F.filter(f"{own}words", lambda w, i: F.get(F.col(f"{own}words"), i - 1) == w)).cast("long"))
+          .withColumn("n_stop_words", F.size(F.filter(f"{own}words", lambda w: w.isin(forms))).cast("long")))
+    df = df.withColumn(f"{own}windows", _windows(f"{own}hashes", window))
     # Equal windows have equal hashes: where all hashes differ nothing repeats. Elsewhere the words themselves decide.
-    spelled = F.transform("_words", lambda w, i: F.struct(
-        F.array_join(F.slice(F.col("_words"), i + 1, F.lit(window)), " ").alias("said"), i.alias("at")))
-    df = df.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.array_sort(F.slice(spelled, F.lit(1), F.size("_windows")))))
+    spelled = F.transform(f"{own}words", lambda w, i: F.struct(
+        F.array_join(F.slice(F.col(f"{own}words"), i + 1, F.lit(window)), " ").alias("said"), i.alias("at")))
+    df = df.withColumn(f"{own}sorted", F.when(
+        F.size(F.array_distinct(f"{own}windows")) < F.size(f"{own}windows"),
+        F.array_sort(F.slice(spelled, F.lit(1), F.size(f"{own}windows")))))
     def twin(x, k):
-        return (F.get(F.col("_sorted"), k - 1)["said"] == x["said"]) | (F.get(F.col("_sorted"), k + 1)["said"] == x["said"])
+        return (F.get(F.col(f"{own}sorted"), k - 1)["said"] == x["said"]) | (F.get(F.col(f"{own}sorted"), k + 1)["said"] == x["said"])
     places = F.array_sort(F.filter(
-        F.transform("_sorted", lambda x, k: F.when(F.coalesce(twin(x, k), F.lit(False)), x["at"])), F.isnotnull))
+        F.transform(f"{own}sorted", lambda x, k: F.when(F.coalesce(twin(x, k), F.lit(False)), x["at"])), F.isnotnull))
     covered = F.aggregate(
         places, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda seen, at: F.struct((at + window).alias("end"),
                                   (seen["n"] + window - F.greatest(seen["end"] - at, F.lit(0))).alias("n")))["n"]
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.select(*docs.drop(*counts).columns, *counts)
+    return df.select(*plain.columns, *counts)
 
 
 def _measure(name: str) -> Column:

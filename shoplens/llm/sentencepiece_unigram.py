@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from shoplens.llm.shared import unused_prefix
+
 MARKER = "▁"
 #: File of the default vocabulary.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -348,9 +350,10 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH, sco
     """
     names = ("pieces", "n_pieces", "n_fallback", "restored")
     plain = docs.drop(*names)
-    found = plain.withColumn("_encoded", encoder(docs.sparkSession, path, scores)(F.col(text_col)))
-    return found.select(*plain.columns, "_encoded.pieces", F.size("_encoded.pieces").cast("long").alias("n_pieces"),
-                        "_encoded.n_fallback", "_encoded.restored")
+    own = unused_prefix(plain)
+    found = plain.withColumn(own, encoder(docs.sparkSession, path, scores)(F.col(text_col)))
+    return found.select(*plain.columns, f"{own}.pieces", F.size(f"{own}.pieces").cast("long").alias("n_pieces"),
+                        f"{own}.n_fallback", f"{own}.restored")
 
 
 def decoded(pieces: Column | str, spark: SparkSession, path: str = MODEL_PATH) -> Column:

@@ -47,6 +47,13 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def unused_prefix(df: DataFrame, start: str = "_own_") -> str:
+    """A prefix that no column of df has, for columns that are added for a while."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start = "_" + start
+    return start
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,10 +71,10 @@ def attach(rows: DataFrame, small: DataFrame, key: str, small_key: str, spread_b
     same = F.col(key).eqNullSafe(F.col(small_key))
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), same, "left")
-    salts = shuffle_partitions(rows.sparkSession)
-    salted = small.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-            .join(salted, same & (F.col("_salt") == F.col("_salt_of")), "left").drop("_salt", "_salt_of"))
+    salts, salt = shuffle_partitions(rows.sparkSession), unused_prefix(rows, "_salt_")
+    salted = small.withColumn(f"{salt}of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn(f"{salt}at", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+            .join(salted, same & (F.col(f"{salt}at") == F.col(f"{salt}of")), "left").drop(f"{salt}at", f"{salt}of"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.shared import attach, checkpointed, shuffle_partitions
+from shoplens.llm.shared import attach, checkpointed, shuffle_partitions, unused_prefix
 
 BITS = 64
 #: Fingerprints per tree at most.
@@ -255,9 +255,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The document of the smallest id of each component, with its own columns only; one row where rows repeat it."""
+    own = unused_prefix(docs)
     stay = (near_duplicate_components(docs, id_col, text_col, **settings)
-            .where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct())
-    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+            .where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(f"{own}id")).distinct())
+    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col(f"{own}id")), "left_semi")
     nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull())
                               .orderBy(F.col(text_col)))
-    return joined.withColumn("_keep_nth", nth).where("_keep_nth = 1").select(*docs.columns)
+    return joined.withColumn(f"{own}nth", nth).where(F.col(f"{own}nth") == 1).select(*docs.columns)
