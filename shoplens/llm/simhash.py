@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.components import components
-from shoplens.llm.shared import attach, checkpointed, shuffle_partitions, unused_prefix
+from shoplens.llm.shared import attach, checkpointed, shuffle_partitions, unused_prefix, whole_text
 
 BITS = 64
 #: Fingerprints per tree at most.
@@ -57,16 +57,19 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * counts > total).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """id_col and fingerprint of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                 digests: bool = False) -> DataFrame:
+    """id_col and fingerprint of every row, on demand the SHA-256 of its text (digest); a null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())],
-                                             names=["id", "fingerprint"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]],
+                                             names=["id", "fingerprint", *batch.schema.names[2:]])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       *[F.unhex(F.sha2(whole_text(text_col), 256)).alias("digest")] * digests)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fingerprint bigint").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, fingerprint bigint" + ", digest binary" * digests
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def blocks_for(count: int, radius: int) -> int:
@@ -227,6 +230,14 @@ def links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tree_si
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _named(rows: DataFrame, first: Column, radius: int, blocks: int | None, tree_size: int) -> DataFrame:
+    """fingerprint, first (an aggregate of its rows), component (smallest fingerprint linked; null without links)."""
+    vertices = checkpointed(rows.groupBy("fingerprint").agg(first.alias("first")))
+    grouped = checkpointed(components(links(vertices.select("fingerprint"), radius, blocks, tree_size)))
+    return vertices.join(grouped, vertices["fingerprint"] == grouped["vertex"], "left").select(
+        "fingerprint", "first", "component")
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                               radius: int = 4, blocks: int | None = None, tree_size: int = TREE_SIZE) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id (smallest id linked, directly or not, itself included).
@@ -238,10 +249,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     runs = shuffle_partitions(docs.sparkSession)
     rows = checkpointed(fingerprints(docs, id_col, text_col, width).withColumn(
         "_run", F.pmod(F.xxhash64(id_col), F.lit(runs)).cast("int")))
-    vertices = checkpointed(rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")))
-    grouped = checkpointed(components(links(vertices.select("fingerprint"), radius, blocks, tree_size)))
-    named = vertices.join(grouped, vertices["fingerprint"] == grouped["vertex"], "left").select(
-        "fingerprint", "first_id", "component")
+    named = _named(rows, F.min(id_col), radius, blocks, tree_size).withColumnRenamed("first", "first_id")
     lowest = checkpointed(named.where("component is not null").groupBy(F.col("component").alias("of"))
                           .agg(F.min("first_id").alias("lowest_id")))
     # A component may hold very many fingerprints: its one row is broadcast or salted.
@@ -253,12 +261,25 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The document of the smallest id of each component, with its own columns only; one row where rows repeat it."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                         radius: int = 4, blocks: int | None = None, tree_size: int = TREE_SIZE) -> DataFrame:
+    """One row of each component, with its own columns only.
+
+    It is the row of the smallest id, null ids last; of several texts of that id in the component, the one of the
+    smallest SHA-256. Rows are chosen by id and text, so unlike texts of one id, or of null ids, stay for themselves.
+    """
     own = unused_prefix(docs)
-    stay = (near_duplicate_components(docs, id_col, text_col, **settings)
-            .where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(f"{own}id")).distinct())
-    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col(f"{own}id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull())
-                              .orderBy(F.col(text_col)))
+    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = checkpointed(fingerprints(short, "id", width=width, digests=True))
+    named = _named(rows, F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")), radius, blocks, tree_size)
+    # A component's name is one of its fingerprints, so a fingerprint without links can stand for itself.
+    stay = (named.groupBy(F.coalesce("component", "fingerprint")).agg(F.min("first").alias("first"))
+            .select(F.col("first.id").alias(f"{own}id"), F.col("first.digest").alias(f"{own}digest")))
+    marked = docs.withColumn(f"{own}text", F.unhex(F.sha2(whole_text(text_col), 256)))
+    joined = marked.join(stay, F.col(id_col).eqNullSafe(F.col(f"{own}id"))
+                         & (F.col(f"{own}text") == F.col(f"{own}digest")), "left_semi")
+    # The join has dealt rows by id and digest already: this needs no further exchange.
+    kind = docs.schema[id_col].dataType
+    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0).cast(kind)), F.col(id_col).isNull(),
+                                                 f"{own}text").orderBy(f"{own}text"))
     return joined.withColumn(f"{own}nth", nth).where(F.col(f"{own}nth") == 1).select(*docs.columns)

@@ -109,6 +109,16 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.drop_near_duplicates(docs).count() == 2
 
 
+def test_one_row_per_component_by_text(spark):
+    rows = [(None, "a b c d", 1), (None, "q r s t u", 2), (5, "k l m n o", 3), (5, "v w x y z", 4), (5, "v w x y z", 5),
+            (6, "V W X Y Z", 6), (None, "k l m n o", 7), (8, "f g h i j", 8), (8, "F g h i j", 9)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(d if d is None or kind == "long" else f"d{d}", t, n) for d, t, n in rows],
+                                     f"doc_id {kind}, text string, nth int")
+        got = sorted((str(r.doc_id)[-1], r.text.lower()) for r in simhash.drop_near_duplicates(docs).collect())
+        assert got == [("5", "k l m n o"), ("5", "v w x y z"), ("8", "f g h i j"), ("e", "a b c d"), ("e", "q r s t u")]
+
+
 def test_long_text_is_hashed_in_parts(monkeypatch):
     text = " ".join(f"v{k % 97}" for k in range(1000)).encode()
     whole = simhash.fingerprint(text, 4)
