@@ -13,8 +13,13 @@ footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main
 section select summary table tbody td textarea tfoot th thead title tr ul
 """.split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SILENT_TAGS = frozenset("script style template noscript iframe object svg math canvas audio video map".split())
+#: Their content is never rendered.
+SILENT_TAGS = frozenset("script style template iframe noembed noframes annotation annotation-xml desc metadata".split())
+#: Their content is text like any other. Like those of silent elements, their end tags close what is left open inside.
+EMBEDDING_TAGS = frozenset("noscript object svg math canvas audio video map".split())
+_CLOSES_ALL = SILENT_TAGS | EMBEDDING_TAGS
+#: An implied end does not leave an open element of these.
+_ENCLOSED = SILENT_TAGS | {"object", "svg"}
 #: An open element of the key is closed by a start tag of the values.
 _CLOSED_BY = {
     "p": BLOCK_TAGS - {"button", "caption", "body", "html", "head", "legend", "option", "optgroup", "td", "th", "tr", "title"},
@@ -69,7 +74,7 @@ class _BlockParser(HTMLParser):
                 if tag in _CLOSED_BY.get(self.open[place][0], ()):
                     self._pop_to(place)
                     break
-                if self.open[place][0] in _WALLS:
+                if self.open[place][0] in _WALLS or self.open[place][0] in _ENCLOSED:
                     break
         elif tag == "br":
             self.pieces.append(" ")
@@ -80,7 +85,7 @@ class _BlockParser(HTMLParser):
 
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)
-        if tag in SILENT_TAGS:  # '<svg/>' is closed; '<div/>' is not, in HTML
+        if tag in _CLOSES_ALL:  # '<svg/>' is closed; '<div/>' is not, in HTML
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -90,7 +95,7 @@ class _BlockParser(HTMLParser):
             if self.open[place][0] == tag:
                 self._pop_to(place)
                 return
-            if self.open[place][0] in _WALLS and tag not in _WALLS and tag not in ("body", "html"):
+            if self.open[place][0] in _WALLS and tag not in _WALLS and tag not in _CLOSES_ALL and tag not in ("body", "html"):
                 return
 
     def handle_data(self, data):

@@ -28,6 +28,25 @@ def test_blocks():
     assert [b.text for b in leaf_blocks("plain &amp text")] == ["plain & text"]
 
 
+def test_text_of_embedding_elements_is_kept():
+    page = ("<article><p>where <math><mi>x</mi></math> is small</p><object><p>in object</p></object><map name=m><p>in map</p></map>"
+            "<canvas>drawn</canvas><p>a <svg><text>label</text></svg> b</p><noscript><p>plain</p></noscript><video src=v>film</video></article>")
+    assert [b.text for b in leaf_blocks(page)] == ["where x is small", "in object", "in map", "drawn", "a label b", "plain", "film"]
+
+
+@pytest.mark.parametrize("start, end", [("<noscript><div class=ad>", "</noscript>"), ("<object><ul>", "</object>"), ("<svg><div>", "</svg>"),
+                                        ("<template><div>", "</template>"), ("<iframe><ul>", "</iframe>")])
+def test_end_tags_close_what_is_open_inside(start, end):
+    got = leaf_blocks(f"<article>{start}{end}<p>after</p></article>")
+    assert [(b.text, b.tags, b.names) for b in got] == [("after", ("article", "p"), frozenset())]
+
+
+def test_never_rendered_text_is_dropped():
+    page = ("<p>a <template><p>no</p><div>no</div></template><math><mi>x</mi><annotation>no</annotation></math>"
+            "<svg><desc>no</desc></svg><script>no</script> b</p>")
+    assert [b.text for b in leaf_blocks(page)] == ["a", "x b"]
+
+
 def test_viterbi_is_the_best_of_all_labelings():
     rng = np.random.default_rng(3)
     names = [f"n{k}" for k in range(6)]
