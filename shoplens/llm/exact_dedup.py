@@ -1,8 +1,8 @@
-"""Exact duplicates by a tree merge of sorted digest runs.
+"""Exact duplicates by a tree of digest runs.
 
 Every (document, text) pair becomes one short row: id, digests, a run number. A run is a share of the
-documents, sorted by digest. In binomial rounds, groups of `fan_in` runs are exchanged and merged into
-one run each, until a single run is left; a digest that many documents share shrinks to one row per run
+documents. In binomial rounds, groups of `fan_in` runs are exchanged and grouped by hash into
+one run each (Spark removes a sort below such an aggregate), until a single run is left; a digest that many documents share shrinks to one row per run
 before it ever meets the same digest of other runs, so no task receives a large group of copies. On
 every level the row keeps the identifier that wins so far and the number of rows behind it. Two rows
 meet only if SHA-256, a second independent 64-bit hash and the length in bytes agree, which verifies
@@ -30,7 +30,7 @@ def _runs(df: DataFrame, fan_in: int) -> tuple[int, int]:
 
 
 def _merged(runs: DataFrame, run: Column, winner) -> DataFrame:
-    """One row per run and text: rows of the same run meet in a task, sorted by digest."""
+    """One row per run and text, grouped by hash."""
     return (runs.withColumn("_run", run).repartition("_run", *KEY).sortWithinPartitions("_run", *KEY)
             .groupBy("_run", *KEY).agg(winner("_best").alias("_best"), F.sum("_rows").alias("_rows")))
 
