@@ -12,6 +12,7 @@ from shoplens.llm import (
     exact_dedup,
     html_text,
     licenses,
+    merkle,
     mixing,
     quality_model,
     quality_rules,
@@ -90,9 +91,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("doc_id").isNotNull()
+    return merkle.manifest(docs, tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules,
-             op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction)
+             op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction,
+             op11_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
