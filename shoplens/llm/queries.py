@@ -11,6 +11,7 @@ from shoplens.llm import (
     archives,
     exact_dedup,
     html_text,
+    language_id,
     licenses,
     merkle,
     mixing,
@@ -98,10 +99,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "lang")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    dicts = language_id.dictionaries(language_id.training_rows(docs, F.coalesce(held_out, F.lit(False))))
+    return language_id.predicted(docs.select("doc_id", "text"), dicts).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules,
              op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction,
-             op11_merkle_manifest)
+             op11_merkle_manifest, op12_language_id)
     return {f.__name__: f for f in found}
 
 
