@@ -15,6 +15,7 @@ from shoplens.llm import (
     licenses,
     merkle,
     mixing,
+    phrases,
     quality_model,
     quality_rules,
     sentencepiece_unigram,
@@ -107,10 +108,15 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_license_scan, op2_sharding, op3_source_mixing, op4_exact_dedup, op5_warc, op6_quality_rules,
              op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction,
-             op11_merkle_manifest, op12_language_id)
+             op11_merkle_manifest, op12_language_id, op13_phrase_collocations)
     return {f.__name__: f for f in found}
 
 
