@@ -20,7 +20,6 @@ from shoplens.llm.html_blocks import Block, leaf_blocks
 from shoplens.llm.labelled_pages import labelled_pages
 
 #: Elements that say what a part of a page is for.
-TELLING_TAGS = frozenset("article main nav aside footer header form".split())
 #: What stands between blocks of the extracted text.
 GAP = "\n\n"
 
@@ -29,11 +28,10 @@ def features(block: Block, place: float) -> list[str]:
     """place: from 0 (first block of the page) to 1 (last)."""
     words = block.text.split(" ")
     share = block.link_chars / len(block.text)
-    inner = [t for t in block.tags if t not in ("html", "body")]
-    out = ["always", f"parent={inner[-1] if inner else ''}"]
-    out += [f"tag={t}" for t in set(inner)]
+    out = ["always", f"parent={block.parent}"]
+    out += [f"tag={t}" for t in block.inner_tags]
     out += [f"name={n}" for n in block.names]
-    near = next((t for t in reversed(inner) if t in TELLING_TAGS), "")
+    near = block.near
     out += [f"near={near}", f"near={near}/{bool(block.names)}"]
     out.append(f"links={0 if share == 0 else 1 if share < 0.5 else 2}")
     out.append(f"words={min(len(words).bit_length(), 6)}")

@@ -116,3 +116,29 @@ def test_empty_null_and_repeated(spark, field):
     assert html_text.extracted(spark.createDataFrame([], "html string"), field=field).count() == 0
     blocks = html_text.labelled_blocks(spark.createDataFrame(rows, "page_id long, html string"), field=field).collect()
     assert [(b.nth, b.text, b.tags, b.main) for b in blocks] == [(0, "x", "article/p", True)]
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<p>a<![foo[x]]>b</p>", ["ab"]), ("<p>a</p><!-- never closed <p>hidden</p>", ["a"]),
+    ("<!DOCTYPE html [ <!ENTITY x 'y'> ]><p>t</p>", ["t"]), ("<p>a<!x>b<?pi c>d</p>", ["abd"]),
+    ("<p>x<![CDATA[zz]]>y</p>", ["xy"]), ("<p>a<? never closed", ["a"]), ("<div>a<!-- c --!>b</div>", ["ab"]),
+])
+def test_malformed_declarations(page, texts):
+    assert [b.text for b in leaf_blocks(page)] == texts
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20000, "<b>x</i>" * 20000, "<span>x<p>y" * 20000, "<div><b>" * 20000 + "</i>x" * 20000])
+def test_open_elements_in_linear_time(page):
+    import time
+    start = time.perf_counter()
+    blocks = leaf_blocks(page)
+    assert time.perf_counter() - start < 5 and blocks
+    deepest = max(blocks, key=lambda b: len(list(b.tags)))
+    assert deepest.parent and deepest.inner_tags
+
+
+def test_malformed_page_in_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a<![foo[x]]>b</p>"), (2, "v", "<article><p>Fine text of a page.</p></article>")],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    assert set(got) == {1, 2}
