@@ -1,7 +1,7 @@
 """Frequent phrases and their collocation scores, found by Rabin-Karp fingerprints.
 
-Texts are split into pieces at punctuation and line ends and pieces into words. Every word gets a 64-bit
-hash; polynomial prefix sums over a document's word hashes (numpy, wrapping uint64) give the fingerprint of
+Texts are split into pieces at punctuation and line ends and pieces into words, and every word gets two
+64-bit hashes, all by Spark expressions, stored once. Polynomial prefix sums over a document's word hashes (numpy, wrapping uint64) give the fingerprint of
 every n-gram in constant time, and a second polynomial with another base and seed gives an independent
 check value. Levels run from 1 to 5 words; at level m only n-grams whose two (m-1)-word parts were frequent
 are fingerprinted, which loses nothing since a phrase is never more frequent than its parts. Each task
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +28,8 @@ from shoplens.llm.shared import checkpointed, shuffle_partitions
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
 WORD = "[^\\x20\\x09]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bases of the two polynomial fingerprints and seeds of the word hashes.
+#: Bases of the two polynomial fingerprints.
 BASES = (0x100000001B3, 0x9E3779B97F4A7C15)
-SEEDS = (7, 11)
 #: Longest phrase, least occurrences of a candidate, rows of each language's report.
 LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: Frequent fingerprints of a level that are sent to every task for pruning; beyond, the next level is
@@ -58,14 +56,33 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def _hashes(words: list[str], seed: int, cache: dict) -> np.ndarray:
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh64_intdigest(w.encode(), seed)
-        out[i] = h
-    return out
+def _first_hash(word: Column) -> Column:
+    """64-bit hash of a word for the fingerprint."""
+    return F.xxhash64(word)
+
+
+def _second_hash(word: Column) -> Column:
+    """An independent 64-bit hash of a word for the check value (xxhash64 of another input)."""
+    return F.xxhash64(F.concat(F.lit("\x01"), word))
+
+
+def tokens(rows: DataFrame, spell: bool = False) -> DataFrame:
+    """Per row: lang ('und' for null), _row, word hashes h1 and h2 and the piece of each word; with spell, the words.
+
+    All Spark expressions: A-Z lowered, pieces split at the contract's piece ends, words taken in each piece.
+    """
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    in_pieces = F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0))
+    out = rows.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), "_row", in_pieces.alias("_pw"))
+    words = F.flatten("_pw")
+    cols = [F.col("lang"), F.col("_row"), F.transform(words, _first_hash).alias("h1"),
+            F.transform(words, _second_hash).alias("h2"),
+            F.flatten(F.transform("_pw", lambda ws, k: F.array_repeat(k, F.size(ws)))).alias("piece")]
+    return out.select(*cols, *([words.alias("words")] if spell else []))
+
+
+#: Words per share of a batch that is fingerprinted at once (bounds a task's arrays to some 100 MB).
+CHUNK_WORDS = 1 << 20
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -84,76 +101,79 @@ _POWERS: dict = {}
 def _powers_upto(base: int, count: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < count:
-        have = _POWERS[base] = _powers(base, max(count, 2 * len(have) if have is not None else 1024))
+        have = _POWERS[base] = _powers(base, max(count, CHUNK_WORDS + 16, 2 * len(have) if have is not None else 0))
     return have[:count]
 
 
-def _grams(words: list[str], pieces: list[int], m: int, caches: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, fingerprint and check value of every m-gram inside one piece.
+def _prints(hashed: np.ndarray, base: int, m: int) -> np.ndarray:
+    """Polynomial fingerprint of every run of m consecutive hashes.
 
     With S[k] = sum of w_j * base**-j for j < k (base odd, so invertible mod 2**64), the fingerprint
     sum of w_{i+t} * base**(m-1-t) is base**(i+m-1) * (S[i+m] - S[i]): prefix sums, all in wrapping uint64.
     """
-    count = len(words) - m + 1
-    if count <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    out = []
+    count = len(hashed) - m + 1
     with np.errstate(over="ignore"):
-        for base, seed, cache in zip(BASES, SEEDS, caches):
-            hashed = _hashes(words, seed, cache)
-            inverse = pow(base, -1, 1 << 64)
-            prefix = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(hashed * _powers_upto(inverse, len(words)), out=prefix[1:])
-            out.append(_powers_upto(base, len(words))[m - 1:] * (prefix[m:] - prefix[:count]))
-    piece = np.asarray(pieces, np.int64)
-    inside = np.nonzero(piece[:count] == piece[m - 1:])[0]
-    return inside, out[0][inside], out[1][inside]
+        prefix = np.zeros(len(hashed) + 1, np.uint64)
+        np.cumsum(hashed * _powers_upto(pow(base, -1, 1 << 64), len(hashed)), out=prefix[1:])
+        return _powers_upto(base, len(hashed))[m - 1:] * (prefix[m:] - prefix[:count])
+
+
+def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None, split: set | None) -> pa.RecordBatch | None:
+    """Pre-aggregated fingerprints of the m-grams of a share of a batch: whole-array arithmetic, no loop per word."""
+    h1 = batch.column("h1")
+    offsets = h1.offsets.to_numpy()
+    total = int(offsets[-1] - offsets[0])
+    if total < m:
+        return None
+    lengths = np.diff(offsets)
+    doc = np.repeat(np.arange(batch.num_rows), lengths)
+    first = offsets[:-1] - offsets[0]
+    w1 = h1.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    w2 = batch.column("h2").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    piece = (doc.astype(np.int64) << 32) + batch.column("piece").flatten().to_numpy(zero_copy_only=False)
+    count = total - m + 1
+    inside = piece[:count] == piece[m - 1:]
+    fp = _prints(w1, BASES[0], m)
+    if parts is not None:
+        shorter = _prints(w1, BASES[0], m - 1)
+        known = (piece[:count + 1] == piece[m - 2:]) & np.isin(_signed(shorter), parts)
+        inside &= known[:-1] & known[1:]
+    at = np.nonzero(inside)[0]
+    if not len(at):
+        return None
+    fp, check = _signed(fp[at]), _signed(_prints(w2, BASES[1], m)[at])
+    owner = doc[at]
+    langs = batch.column("lang").to_numpy(zero_copy_only=False)[owner]
+    rows = batch.column("_row").to_numpy(zero_copy_only=False)[owner]
+    phrase = [None] * len(at)
+    if split:
+        words = batch.column("words").flatten().to_pylist()
+        phrase = [" ".join(words[i:i + m]) if (lang, f) in split else None for i, lang, f in zip(at.tolist(), langs, fp.tolist())]
+    table = pa.table({"lang": pa.array(langs, pa.string()), "fp": fp, "phrase": pa.array(phrase, pa.string()),
+                      "check": check, "row": rows.astype(np.int64), "start": (at - first[owner]).astype(np.int64)})
+    grouped = table.group_by(["lang", "fp", "phrase"], use_threads=False).aggregate(
+        [("check", "min"), ("check", "max"), ("row", "first"), ("start", "first"), ("fp", "count")])
+    names = {"lang": "lang", "fp": "fp", "phrase": "phrase", "fp_count": "n", "check_min": "check_lo",
+             "check_max": "check_hi", "row_first": "row", "start_first": "start"}
+    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
 
 
 def _level(m: int, parts: np.ndarray | None, split: set | None):
-    """Per batch of (lang, text, _row): pre-aggregated fingerprints of the m-grams."""
+    """Per batch of tokens(): fingerprints of the m-grams, cut into shares of about CHUNK_WORDS words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ({}, {})
         for batch in batches:
-            keys, fps, checks, rows, starts, texts = [], [], [], [], [], []
-            for lang, text, row in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(),
-                                       batch.column("_row").to_pylist()):
-                words, pieces = words_of(text)
-                at, fp, check = _grams(words, pieces, m, cache)
-                if parts is not None and len(at):
-                    left = _grams(words, pieces, m - 1, cache)
-                    known = np.zeros(len(words) + 1, bool)
-                    known[left[0][np.isin(_signed(left[1]), parts)]] = True
-                    keep = known[at] & known[at + 1]
-                    at, fp, check = at[keep], fp[keep], check[keep]
-                lang = lang if lang is not None else UNDETERMINED
-                for i, f, c in zip(at.tolist(), _signed(fp).tolist(), _signed(check).tolist()):
-                    keys.append(lang)
-                    fps.append(f)
-                    checks.append(c)
-                    rows.append(row)
-                    starts.append(i)
-                    texts.append(" ".join(words[i:i + m]) if split and (lang, f) in split else None)
-                if len(keys) > 200_000:
-                    yield _folded(keys, fps, checks, rows, starts, texts)
-                    keys, fps, checks, rows, starts, texts = [], [], [], [], [], []
-            if keys:
-                yield _folded(keys, fps, checks, rows, starts, texts)
+            sizes = np.cumsum(np.diff(batch.column("h1").offsets.to_numpy()))
+            begin = 0
+            while begin < batch.num_rows:
+                done = int(sizes[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK_WORDS, side="right")))
+                found = _chunk(batch.slice(begin, end - begin), m, parts, split)
+                if found is not None and found.num_rows:
+                    yield found
+                begin = end
     return run
 
 
-def _folded(keys, fps, checks, rows, starts, texts) -> pa.RecordBatch:
-    """One row per (lang, fingerprint, text) of a task's share: count, check range, first pointer."""
-    table = pa.table({"lang": keys, "fp": pa.array(fps, pa.int64()), "phrase": pa.array(texts, pa.string()),
-                      "check": pa.array(checks, pa.int64()), "row": pa.array(rows, pa.int64()),
-                      "start": pa.array(starts, pa.int64())})
-    grouped = table.group_by(["lang", "fp", "phrase"], use_threads=False).aggregate(
-        [("check", "min"), ("check", "max"), ("row", "first"), ("start", "first"), ("fp", "count")])
-    names = {"lang": "lang", "fp": "fp", "phrase": "phrase", "fp_count": "n", "check_min": "check_lo",
-             "check_max": "check_hi", "row_first": "row", "start_first": "start"}
-    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
-
-
 LEVEL_SCHEMA = "lang string, fp long, phrase string, n long, check_lo long, check_hi long, row long, start long"
 
 
@@ -170,16 +190,17 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, at_least: int = AT
     rows count as often as they stand.
     """
     rows = checkpointed(docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id()))
+    hashed = checkpointed(tokens(rows))
     levels, totals, parts = [], None, None
     for m in range(1, longest + 1):
-        counted = checkpointed(_counted(rows, m, parts, None))
+        counted = checkpointed(_counted(hashed, m, parts, None))
         clashing = counted.where(F.col("check_lo") != F.col("check_hi")).select("lang", "fp")
         if clashing.count() > PRUNE_BOUND:
             raise ValueError("fingerprints collide too often: the word hash is broken")
         clash = clashing.collect()
         if clash:  # a fingerprint stands for several texts: count those again by text
             split = {(r["lang"], r["fp"]) for r in clash}
-            counted = checkpointed(_counted(rows, m, parts, split))
+            counted = checkpointed(_counted(tokens(rows, spell=True), m, parts, split))
         if m == 1:
             totals = checkpointed(counted.groupBy("lang").agg(F.sum("n").alias("n")))
         kept = checkpointed(counted.where(F.col("n") >= at_least).withColumn("m", F.lit(m)))
