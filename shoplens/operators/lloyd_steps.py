@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.frames import col
+from shoplens.operators import lloyd_cells
 
 #: Movement of every coordinate of a model's centres below which the model is finished.
 STANDSTILL = 1e-9
 #: Steps after which a model is finished in any case.
 MOST_STEPS = 300
+#: Rows from which steps settle whole cells instead of reading every row (measured at sf0.1, 14,434 rows:
+#: kmeans_fit took 102 s with cells, 66 s without, as every step's job has a fixed cost of its own).
+CELL_ROWS = 1_000_000
 #: Starts that take their digits from one hash.
 _PER_HASH = 10
 
@@ -36,6 +40,8 @@ class Outcome:
     sizes: dict[int, int]
     cost: float
     steps: int
+    #: Per step, the share of the group's rows that had to be read (the rest was settled by cells).
+    read: tuple[float, ...] = ()
 
 
 def _place(key: str, restart: int, start: int) -> Column:
@@ -102,22 +108,43 @@ def _step(rows: DataFrame, width: int, models: Mapping[str, tuple[str, dict[int,
     return out
 
 
+def _cell_step(cells, width: int, models) -> tuple[dict[str, Outcome], dict[str, float]]:
+    found, read = lloyd_cells.step(cells, width, models)
+    out: dict[str, Outcome] = {}
+    for name, (clusters, _) in found.items():
+        ids = sorted(c for c, v in clusters.items() if v[0] > 0)
+        if ids:
+            out[name] = Outcome({c: tuple(float(x) for x in clusters[c][2:] / clusters[c][0]) for c in ids},
+                                {c: int(clusters[c][0]) for c in ids}, float(sum(clusters[c][1] for c in ids)), 0)
+    return out, read
+
+
 def converge(df: DataFrame, columns: Sequence[str], models: Mapping[str, tuple[str, Mapping[int, Sequence[float]]]],
-             groups: Column, most_steps: int = MOST_STEPS, standstill: float = STANDSTILL) -> dict[str, Outcome]:
+             groups: Column, most_steps: int = MOST_STEPS, standstill: float = STANDSTILL, cells: bool | None = None
+             ) -> dict[str, Outcome]:
     """Every model (name: group and start centres by id) stepped until its centres stand still.
 
     Of equally near centres the lowest id gets the row; a cluster without rows is dropped; models whose group has no
-    rows are missing from the result.
+    rows are missing from the result. With cells (the default) rows are read only where a cell's nearest centre is in
+    doubt (lloyd_cells); `read` of each outcome gives the share of rows read per step. Without, every step reads all.
     """
     rows = df.select(groups.cast("array<string>").alias("_groups"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     current = {name: (group, {c: tuple(map(float, at)) for c, at in centers.items()}) for name, (group, centers) in models.items()}
+    if cells is None:
+        cells = rows.count() >= CELL_ROWS
+    built = lloyd_cells.build(rows, len(columns)) if cells else None
     done: dict[str, Outcome] = {}
+    shares: dict[str, list[float]] = {}
     for step in range(1, most_steps + 1):
-        found = _step(rows, len(columns), current)
+        if built is not None:
+            found, read = _cell_step(built, len(columns), current)
+        else:
+            found, read = _step(rows, len(columns), current), {name: 1.0 for name in current}
         moving = {}
         for name, outcome in found.items():
             group, before = current[name]
-            done[name] = Outcome(outcome.centers, outcome.sizes, outcome.cost, step)
+            shares.setdefault(name, []).append(read.get(name, 1.0))
+            done[name] = Outcome(outcome.centers, outcome.sizes, outcome.cost, step, tuple(shares[name]))
             moved = max(abs(a - b) for c, at in outcome.centers.items() for a, b in zip(at, before[c]))
             if moved > standstill:
                 moving[name] = (group, outcome.centers)
