@@ -189,21 +189,24 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, at_least: int = AT
     docs: lang, text (other columns are not read). Null lang counts as 'und', null text as empty. Repeated
     rows count as often as they stand.
     """
-    rows = checkpointed(docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id()))
+    # row ids of a deterministic input (a table) are the same each time it is read; texts are not copied
+    rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
     hashed = checkpointed(tokens(rows))
-    levels, totals, parts = [], None, None
+    totals = checkpointed(hashed.groupBy("lang").agg(F.sum(F.size("h1")).cast("long").alias("n")))
+    levels, parts = [], None
     for m in range(1, longest + 1):
-        counted = checkpointed(_counted(hashed, m, parts, None))
-        clashing = counted.where(F.col("check_lo") != F.col("check_hi")).select("lang", "fp")
+        # a fingerprint under at_least occurrences stays so when split by text: only frequent ones are checked
+        kept = checkpointed(_counted(hashed, m, parts, None).where(F.col("n") >= at_least))
+        clashing = kept.where(F.col("check_lo") != F.col("check_hi")).select("lang", "fp")
         if clashing.count() > PRUNE_BOUND:
             raise ValueError("fingerprints collide too often: the word hash is broken")
         clash = clashing.collect()
         if clash:  # a fingerprint stands for several texts: count those again by text
             split = {(r["lang"], r["fp"]) for r in clash}
-            counted = checkpointed(_counted(tokens(rows, spell=True), m, parts, split))
-        if m == 1:
-            totals = checkpointed(counted.groupBy("lang").agg(F.sum("n").alias("n")))
-        kept = checkpointed(counted.where(F.col("n") >= at_least).withColumn("m", F.lit(m)))
+            recount = _counted(tokens(rows, spell=True), m, parts, split).where(F.col("phrase").isNotNull())
+            kept = checkpointed(kept.where(F.col("check_lo") == F.col("check_hi"))
+                                .unionByName(recount.where(F.col("n") >= at_least)))
+        kept = kept.withColumn("m", F.lit(m))
         levels.append(kept)
         size = kept.count()
         parts = (np.sort(np.array([r["fp"] for r in kept.select("fp").distinct().collect()], np.int64))
