@@ -17,16 +17,26 @@ GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def _prepared(spark: SparkSession):
+    """The context with its checkpoint folder: spark.checkpoint.dir, which all executors share.
+
+    Only where that is unset and the master is local (tests, one machine) a temporary folder is taken; on a cluster
+    a missing setting raises, since executors do not share machine-local folders.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shoplens-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="shoplens-")
+        context.setCheckpointDir(shared)
     return context
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder is taken.
+    Only where the setting is absent and the master is local (tests, a single machine) a temporary folder is taken.
     """
     _prepared(df.sparkSession)
     return df.checkpoint()
