@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.dates import period_label, period_start, require_period
@@ -91,47 +91,100 @@ def ari_summary(scores: DataFrame) -> DataFrame:
 # --- repeated samples ----------------------------------------------------------------------------
 
 
-def in_sample(key: str, iteration: Column | int, fraction: float) -> Column:
-    """Whether a row belongs to one of the repeated samples; decided by a hash of key and iteration."""
-    threshold = math.ceil(fraction * 65536)
-    if not 0 < threshold <= 65536:
-        raise ValueError("fraction must lie between 0 and 1")
-    if threshold == 65536:
-        return F.lit(True)
-    number = iteration if isinstance(iteration, Column) else F.lit(iteration)
-    digest = F.md5(F.concat(col(key).cast("string"), F.lit("-"), number.cast("string")))
-    return F.substring(digest, 1, 4) < f"{threshold:04x}"
+#: Bins of the digest space (its first four hex digits) that locate each sample's cut in the first pass.
+DIGEST_BINS_HEX = 4
+
+
+def _digest(key: str, iteration: Column) -> Column:
+    return F.md5(F.concat(col(key).cast("string"), F.lit("-"), iteration.cast("string")))
+
+
+@dataclass(frozen=True)
+class SampleCuts:
+    """Per sample the (digest, key) of its last member: a row belongs to sample i when its (digest, key) is not above.
+
+    A sample holds exactly int(fraction * n) of the n rows with a key, those first by md5 of "key-i", ties by key.
+    Rows without a key belong to no sample; rows that repeat a key share its membership.
+    """
+
+    key: str
+    digests: tuple[str | None, ...]
+    keys: tuple
+
+    def member(self, iteration: Column | int) -> Column:
+        number = iteration if isinstance(iteration, Column) else F.lit(iteration)
+        digest = _digest(self.key, number)
+        if isinstance(iteration, Column):
+            cut = F.element_at(F.array(*[F.lit(d) for d in self.digests]).cast("array<string>"), number + 1)
+            last = F.element_at(F.array(*[F.lit(k) for k in self.keys]), number + 1)
+        else:
+            cut, last = F.lit(self.digests[iteration]), F.lit(self.keys[iteration])
+        inside = (digest < cut) | ((digest == cut) & (col(self.key) <= last))
+        return F.coalesce(inside, F.lit(False))
+
+
+def sample_cuts(df: DataFrame, key: str = "customer_id", n_iterations: int = 20, fraction: float = 0.8) -> SampleCuts:
+    """The cuts of n_iterations samples of exact size, for all samples in two passes and without sorting all rows.
+
+    Pass one counts rows per sample and bin of the digest space and finds, by a running sum over the bins (at most
+    16**DIGEST_BINS_HEX rows per sample), the bin that holds each sample's last member. Pass two orders only the rows
+    of those bins, one bin per sample, and takes the member at the remaining rank.
+    """
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must lie in (0, 1]")
+    n = df.where(col(key).isNotNull()).count()
+    size = int(fraction * n)
+    if size == 0:
+        return SampleCuts(key, (None,) * n_iterations, (None,) * n_iterations)
+    rows = (df.where(col(key).isNotNull())
+            .select(col(key).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))).alias("_i"))
+            .withColumn("_d", F.md5(F.concat(F.col("_key").cast("string"), F.lit("-"), F.col("_i").cast("string"))))
+            .withColumn("_bin", F.substring("_d", 1, DIGEST_BINS_HEX)))
+    bins = rows.groupBy("_i", "_bin").agg(F.count("*").alias("_n"))
+    running = Window.partitionBy("_i").orderBy("_bin")
+    found = (bins.withColumn("_upto", F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+             .where((F.col("_upto") >= size) & (F.col("_upto") - F.col("_n") < size))
+             .select("_i", "_bin", (F.lit(size) - (F.col("_upto") - F.col("_n"))).alias("_rank")))
+    within = Window.partitionBy("_i").orderBy("_d", "_key")
+    last = (rows.join(F.broadcast(found), ["_i", "_bin"]).withColumn("_at", F.row_number().over(within))
+            .where(F.col("_at") == F.col("_rank")).select("_i", "_d", "_key").collect())
+    at = {r["_i"]: (r["_d"], r["_key"]) for r in last}
+    return SampleCuts(key, tuple(at[i][0] for i in range(n_iterations)), tuple(at[i][1] for i in range(n_iterations)))
 
 
 def bootstrap_samples(df: DataFrame, key: str = "customer_id", n_iterations: int = 20,
                       fraction: float = 0.8, keep: Sequence[str] = ()) -> DataFrame:
-    """Members of each repeated sample without replacement: ``(iteration, key, kept columns)``."""
+    """Members of each repeated sample without replacement: ``(iteration, key, kept columns)``; see SampleCuts."""
+    cuts = sample_cuts(df, key, n_iterations, fraction)
     every = F.sequence(F.lit(0), F.lit(n_iterations - 1))
     return df.select(F.explode(every).alias("iteration"), col(key), *[col(c) for c in keep]).where(
-        in_sample(key, F.col("iteration"), fraction))
+        cuts.member(F.col("iteration")))
 
 
-def labelled_samples(df: DataFrame, fits: Sequence[Centers], key: str, fraction: float) -> DataFrame:
+def labelled_samples(df: DataFrame, fits: Sequence[Centers], key: str, fraction: float,
+                     cuts: SampleCuts | None = None) -> DataFrame:
     """Key and its label under each sample's centres, NULL where the row is not in that sample."""
+    cuts = cuts or sample_cuts(df, key, len(fits), fraction)
     found = labels_under([c.by_cluster for c in fits], [col(c) for c in fits[0].columns])
-    member = F.array(*[in_sample(key, i, fraction) for i in range(len(fits))])
+    member = F.array(*[cuts.member(i) for i in range(len(fits))])
     labels = F.zip_with("_found", "_member", lambda label, inside: F.when(inside, label))
     return df.select(col(key), found.alias("_found"), member.alias("_member")).select(key, labels.alias("labels"))
 
 
-def sample_names(key: str, n_iterations: int, fraction: float) -> Column:
+def sample_names(cuts: SampleCuts, n_iterations: int) -> Column:
     """Array of the numbers, as text, of the samples a row belongs to."""
     every = F.sequence(F.lit(0), F.lit(n_iterations - 1))
-    return F.transform(F.filter(every, lambda i: in_sample(key, i, fraction)), lambda i: i.cast("string"))
+    return F.transform(F.filter(every, lambda i: cuts.member(i)), lambda i: i.cast("string"))
 
 
 def bootstrap_stability(df: DataFrame, columns: Sequence[str], k: int = 4, n_iterations: int = 20,
                         fraction: float = 0.8, key: str = "customer_id", seed: int = SEED,
                         restarts: int = RESTARTS) -> DataFrame:
     """Cluster every sample and compare all pairs of samples on the rows they share."""
-    fits = fit_groups(df, columns, [k], sample_names(key, n_iterations, fraction), key, seed, restarts)
+    cuts = sample_cuts(df, key, n_iterations, fraction)
+    fits = fit_groups(df, columns, [k], sample_names(cuts, n_iterations), key, seed, restarts)
     centers = [fits[str(i), k].centers for i in range(n_iterations)]
-    return pairwise_ari(labelled_samples(df, centers, key, fraction), n_iterations)
+    return pairwise_ari(labelled_samples(df, centers, key, fraction, cuts), n_iterations)
 
 
 # --- calendar periods ----------------------------------------------------------------------------

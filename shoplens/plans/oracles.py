@@ -804,8 +804,13 @@ def _ari(cells: str, keys: str) -> str:
 
 
 BLOCKS["sample_members"] = """
-    SELECT CAST(i AS INTEGER) AS iteration, customer_id FROM scaled, range(20) r(i)
-    WHERE substr(md5(CAST(customer_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 4) < 'cccd'"""
+    SELECT iteration, customer_id FROM (
+      SELECT CAST(i AS INTEGER) AS iteration, customer_id,
+             row_number() OVER (PARTITION BY i ORDER BY md5(CAST(customer_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)),
+                                customer_id) AS place,
+             count(*) OVER (PARTITION BY i) AS n
+      FROM scaled, range(20) r(i) WHERE customer_id IS NOT NULL)
+    WHERE place <= floor(0.8 * n)"""
 BLOCKS["sample_rows"] = "SELECT m.iteration, s.* FROM sample_members m JOIN scaled s ON m.customer_id = s.customer_id"
 MATERIALIZED.add("sample_rows")
 _lloyd_blocks("boot", "sample_rows", group="iteration")

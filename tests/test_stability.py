@@ -61,7 +61,21 @@ def test_samples_have_the_wanted_size_and_overlap(spark):
     assert abs(a.intersect(b).count() / 5000 - 0.64) < 0.03
     assert stability.bootstrap_samples(df, n_iterations=1, fraction=1.0).count() == 5000
     with pytest.raises(ValueError):
-        stability.in_sample("customer_id", 0, 0.0)
+        stability.sample_cuts(df, fraction=0.0)
+
+
+@pytest.mark.parametrize("n, fraction", [(5003, 0.8), (7, 0.5), (1, 0.8), (40, 1.0)])
+def test_samples_have_exact_size_and_equal_a_plain_ranking(spark, n, fraction):
+    import hashlib
+    rows = [(k,) for k in range(n)] + [(None,)]
+    df = spark.createDataFrame(rows, "customer_id long")
+    members = stability.bootstrap_samples(df, n_iterations=3, fraction=fraction)
+    got = {(r["iteration"], r["customer_id"]) for r in members.collect()}
+    want = set()
+    for i in range(3):
+        ranked = sorted(range(n), key=lambda k: (hashlib.md5(f"{k}-{i}".encode()).hexdigest(), k))
+        want |= {(i, k) for k in ranked[:int(fraction * n)]}
+    assert got == want
 
 
 def test_clear_blobs_are_stable(spark):
