@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -183,12 +184,36 @@ def _counted(docs: DataFrame, m: int, parts, split) -> DataFrame:
                                                  F.max("check_hi").alias("check_hi"), F.min(F.struct("row", "start")).alias("pointer")))
 
 
+#: Documents per Arrow batch of the fingerprint passes: with up to 20,000 words of 20 bytes each, some 100 MB.
+BATCH_ROWS = 256
+
+
+@contextmanager
+def _batches_of(spark, rows: int):
+    """Arrow batches of at most `rows` rows for the jobs run inside; the setting is restored afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, at_least: int = AT_LEAST) -> tuple[DataFrame, DataFrame]:
     """(phrases: lang, m, phrase, f for every phrase of 1..longest words with f >= at_least; totals: lang, n).
 
     docs: lang, text (other columns are not read). Null lang counts as 'und', null text as empty. Repeated
     rows count as often as they stand.
     """
+    with _batches_of(docs.sparkSession, BATCH_ROWS):
+        return _frequent_phrases(docs, longest, at_least)
+
+
+def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, DataFrame]:
     # row ids of a deterministic input (a table) are the same each time it is read; texts are not copied
     rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
     hashed = checkpointed(tokens(rows))
