@@ -5,8 +5,8 @@ Texts are split into pieces at punctuation and line ends and pieces into words,
 every n-gram in constant time, and a second polynomial with another base and seed gives an independent
 check value. Levels run from 1 to 5 words; at level m only n-grams whose two (m-1)-word parts were frequent
 are fingerprinted, which loses nothing since a phrase is never more frequent than its parts. Each task
-pre-aggregates its fingerprints; a shuffle sums them per (lang, fingerprint), keeping the smallest
-occurrence pointer (row, word) and the range of check values. Where the check values of one fingerprint
+pre-aggregates its fingerprints; a shuffle sums them per (lang, fingerprint) with the range of check
+values. One more pass finds the first occurrence (row, word) of the frequent fingerprints only. Where the check values of one fingerprint
 differ, two texts collided: that fingerprint is counted again keyed by its text. Only frequent phrases are
 spelled, from their pointer into the text, and they are scored and ranked with Spark expressions in exact
 decimal arithmetic.
@@ -143,45 +143,94 @@ def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None, split: set |
     if not len(at):
         return None
     fp, check = _signed(fp[at]), _signed(_prints(w2, BASES[1], m)[at])
-    owner = doc[at]
-    langs = batch.column("lang").to_numpy(zero_copy_only=False)[owner]
-    rows = batch.column("_row").to_numpy(zero_copy_only=False)[owner]
+    langs = batch.column("lang").to_numpy(zero_copy_only=False)[doc[at]]
     phrase = [None] * len(at)
     if split:
         words = batch.column("words").flatten().to_pylist()
         phrase = [" ".join(words[i:i + m]) if (lang, f) in split else None for i, lang, f in zip(at.tolist(), langs, fp.tolist())]
     table = pa.table({"lang": pa.array(langs, pa.string()), "fp": fp, "phrase": pa.array(phrase, pa.string()),
-                      "check": check, "row": rows.astype(np.int64), "start": (at - first[owner]).astype(np.int64)})
+                      "check": check})
     grouped = table.group_by(["lang", "fp", "phrase"], use_threads=False).aggregate(
-        [("check", "min"), ("check", "max"), ("row", "first"), ("start", "first"), ("fp", "count")])
+        [("check", "min"), ("check", "max"), ("fp", "count")])
     names = {"lang": "lang", "fp": "fp", "phrase": "phrase", "fp_count": "n", "check_min": "check_lo",
-             "check_max": "check_hi", "row_first": "row", "start_first": "start"}
+             "check_max": "check_hi"}
     return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
 
 
+def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None]) -> pa.RecordBatch | None:
+    """(lang, m, fp, row, start) of the first occurrence in a share of a batch of each wanted fingerprint."""
+    h1 = batch.column("h1")
+    offsets = h1.offsets.to_numpy()
+    total = int(offsets[-1] - offsets[0])
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    first = offsets[:-1] - offsets[0]
+    w1 = h1.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    piece = (doc.astype(np.int64) << 32) + batch.column("piece").flatten().to_numpy(zero_copy_only=False)
+    langs_of = batch.column("lang").to_numpy(zero_copy_only=False)
+    rows_of = batch.column("_row").to_numpy(zero_copy_only=False).astype(np.int64)
+    tables = []
+    for m, keep in wanted.items():
+        if total < m:
+            continue
+        count = total - m + 1
+        fp = _signed(_prints(w1, BASES[0], m))
+        inside = piece[:count] == piece[m - 1:]
+        if keep is not None:
+            inside &= np.isin(fp, keep)
+        at = np.nonzero(inside)[0]
+        if len(at):
+            owner = doc[at]
+            tables.append(pa.table({"lang": pa.array(langs_of[owner], pa.string()), "m": np.full(len(at), m, np.int32),
+                                    "fp": fp[at], "row": rows_of[owner], "start": (at - first[owner]).astype(np.int64)}))
+    if not tables:
+        return None
+    grouped = pa.concat_tables(tables).group_by(["lang", "m", "fp"], use_threads=False).aggregate(
+        [("row", "first"), ("start", "first")])
+    names = {"lang": "lang", "m": "m", "fp": "fp", "row_first": "row", "start_first": "start"}
+    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
+
+
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut into shares of about CHUNK_WORDS words (a longer document is a share of its own)."""
+    sizes = np.cumsum(np.diff(batch.column("h1").offsets.to_numpy()))
+    begin = 0
+    while begin < batch.num_rows:
+        done = int(sizes[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK_WORDS, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _level(m: int, parts: np.ndarray | None, split: set | None):
-    """Per batch of tokens(): fingerprints of the m-grams, cut into shares of about CHUNK_WORDS words."""
+    """Per batch of tokens(): pre-aggregated fingerprints of the m-grams, share by share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for share in _shares(batch):
+                found = _chunk(share, m, parts, split)
+                if found is not None and found.num_rows:
+                    yield found
+    return run
+
+
+def _places(wanted: dict[int, np.ndarray | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(np.diff(batch.column("h1").offsets.to_numpy()))
-            begin = 0
-            while begin < batch.num_rows:
-                done = int(sizes[begin - 1]) if begin else 0
-                end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK_WORDS, side="right")))
-                found = _chunk(batch.slice(begin, end - begin), m, parts, split)
+            for share in _shares(batch):
+                found = _first_places(share, wanted)
                 if found is not None and found.num_rows:
                     yield found
-                begin = end
     return run
 
 
-LEVEL_SCHEMA = "lang string, fp long, phrase string, n long, check_lo long, check_hi long, row long, start long"
+LEVEL_SCHEMA = "lang string, fp long, phrase string, n long, check_lo long, check_hi long"
+PLACE_SCHEMA = "lang string, m int, fp long, row long, start long"
 
 
 def _counted(docs: DataFrame, m: int, parts, split) -> DataFrame:
+    """Sums per (lang, fingerprint, text if split): no pointer rides along, so the shuffle holds five numbers a row."""
     return (docs.mapInArrow(_level(m, parts, split), LEVEL_SCHEMA)
             .groupBy("lang", "fp", "phrase").agg(F.sum("n").alias("n"), F.min("check_lo").alias("check_lo"),
-                                                 F.max("check_hi").alias("check_hi"), F.min(F.struct("row", "start")).alias("pointer")))
+                                                 F.max("check_hi").alias("check_hi")))
 
 
 #: Documents per Arrow batch of the fingerprint passes: with up to 20,000 words of 20 bytes each, some 100 MB.
@@ -218,7 +267,7 @@ def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Dat
     rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
     hashed = checkpointed(tokens(rows))
     totals = checkpointed(hashed.groupBy("lang").agg(F.sum(F.size("h1")).cast("long").alias("n")))
-    levels, parts = [], None
+    levels, parts, wanted = [], None, {}
     for m in range(1, longest + 1):
         # a fingerprint under at_least occurrences stays so when split by text: only frequent ones are checked
         kept = checkpointed(_counted(hashed, m, parts, None).where(F.col("n") >= at_least))
@@ -236,9 +285,15 @@ def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Dat
         size = kept.count()
         parts = (np.sort(np.array([r["fp"] for r in kept.select("fp").distinct().collect()], np.int64))
                  if 0 < size <= PRUNE_BOUND else (np.empty(0, np.int64) if size == 0 else None))
+        wanted[m] = parts
     found = levels[0]
     for more in levels[1:]:
         found = found.unionByName(more)
+    # first occurrences of the frequent fingerprints only, all levels in one pass; a level whose set is beyond
+    # PRUNE_BOUND sends every n-gram's place, and the join keeps the frequent ones
+    places = checkpointed(hashed.mapInArrow(_places(wanted), PLACE_SCHEMA).groupBy("lang", "m", "fp")
+                          .agg(F.min(F.struct("row", "start")).alias("pointer")))
+    found = found.join(places, ["lang", "m", "fp"], "left")
     return _spelled(rows, found), totals
 
 
