@@ -147,18 +147,25 @@ def grouped_lloyd(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequ
 
     ``cuts`` holds the start quantiles of each group; groups may have different numbers of them.
     """
+    found = grouped_starts(df, columns, cuts, start_column, group)
+    if iterations > 1 and found:
+        models = {g: (g, centers) for g, centers in found.items()}
+        found |= {g: o.centers for g, o in converge(df, columns, models, F.array(col(group)), iterations - 1).items()}
+    return GroupedCenters(columns, {g: Centers(tuple(columns), c) for g, c in found.items()}, group)
+
+
+def grouped_starts(df: DataFrame, columns: Sequence[str], cuts: Mapping[str, Sequence[float]], start_column: str,
+                   group: str) -> dict[str, dict[int, tuple[float, ...]]]:
+    """Per group the means of the rows that exceed equally many of the group's cuts, by that number."""
     schema = pa.schema([(group, pa.string()), ("_cuts", pa.list_(pa.float64()))])
     table = small_table(df.sparkSession, [{group: g, "_cuts": list(c)} for g, c in cuts.items()], schema)
     start = F.size(F.filter("_cuts", lambda cut: col(start_column) > cut))
     rows = df.join(table, group).groupBy(group, start.alias("cluster")).agg(
         *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).collect()
-    models: dict[str, tuple[str, dict]] = {}
+    found: dict[str, dict] = {}
     for r in rows:
-        models.setdefault(r[group], (r[group], {}))[1][r["cluster"]] = tuple(r[f"m{i}"] for i in range(len(columns)))
-    found = {g: centers for g, (_, centers) in models.items()}
-    if iterations > 1 and models:
-        found |= {g: o.centers for g, o in converge(df, columns, models, F.array(col(group)), iterations - 1).items()}
-    return GroupedCenters(columns, {g: Centers(tuple(columns), c) for g, c in found.items()}, group)
+        found.setdefault(r[group], {})[r["cluster"]] = tuple(r[f"m{i}"] for i in range(len(columns)))
+    return found
 
 
 def start_cuts(df: DataFrame, k: int, start_column: str, group: str) -> dict[str, list[float]]:
@@ -169,14 +176,19 @@ def start_cuts(df: DataFrame, k: int, start_column: str, group: str) -> dict[str
 
 
 def inertia_by_k(df: DataFrame, columns: Sequence[str], ks: Iterable[int], start_column: str) -> DataFrame:
-    """Sum of squared distances to the nearest fixed-start centre per k; every step serves all k."""
+    """Sum of squared distances to the nearest fixed-start centre per k; every step serves all k.
+
+    Rows are repeated per k for the starts and the final sums only; the steps read each row once for all k.
+    """
     ks = list(ks)
     probs = sorted({i / k for k in ks for i in range(1, k)})
     found = quantiles_by_feature(df, [start_column], probs)[start_column]
     at = dict(zip(probs, found))
     cuts = {str(k): [at[i / k] for i in range(1, k)] for k in ks}
     every = df.select(F.explode(F.array(*[F.lit(str(k)) for k in ks])).alias("k"), *[col(c) for c in columns])
-    centers = grouped_lloyd(every, columns, cuts, start_column, "k")
+    starts = grouped_starts(every, columns, cuts, start_column, "k")
+    found = converge(df, columns, {k: ("all", at) for k, at in starts.items()}, F.array(F.lit("all")), MOST_STEPS - 1)
+    centers = GroupedCenters(columns, {k: Centers(tuple(columns), found[k].centers) for k in starts}, "k")
     return centers.assign(every, ["k"]).groupBy(F.col("k").cast("int").alias("k")).agg(
         F.sum("squared_distance").alias("inertia"))
 

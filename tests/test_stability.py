@@ -140,3 +140,18 @@ def test_labels_are_missing_outside_the_sample(spark):
     for r in rows:
         for i, label in enumerate(r["labels"]):
             assert (label is not None) == ((i, r["customer_id"]) in members)
+
+
+def test_steps_read_each_row_once_for_all_models(spark, monkeypatch):
+    """Values of k and samples are models over the same rows: no row is repeated per model in the steps."""
+    from shoplens.operators import clustering
+    sizes, real = [], clustering.converge
+
+    def spy(df, *args, **kwargs):
+        sizes.append(df.count())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(clustering, "converge", spy)
+    df = spark.range(60).selectExpr("id AS customer_id", "cast(id % 7 AS double) AS a", "cast(id * id AS double) AS b")
+    found = clustering.inertia_by_k(df, ["a", "b"], [2, 3, 4], "b").collect()
+    assert sizes == [60] and sorted(r["k"] for r in found) == [2, 3, 4]
