@@ -153,9 +153,9 @@ def sample_cuts(df: DataFrame, key: str = "customer_id", n_iterations: int = 20,
 
 
 def bootstrap_samples(df: DataFrame, key: str = "customer_id", n_iterations: int = 20,
-                      fraction: float = 0.8, keep: Sequence[str] = ()) -> DataFrame:
+                      fraction: float = 0.8, keep: Sequence[str] = (), cuts: SampleCuts | None = None) -> DataFrame:
     """Members of each repeated sample without replacement: ``(iteration, key, kept columns)``; see SampleCuts."""
-    cuts = sample_cuts(df, key, n_iterations, fraction)
+    cuts = cuts or sample_cuts(df, key, n_iterations, fraction)
     every = F.sequence(F.lit(0), F.lit(n_iterations - 1))
     return df.select(F.explode(every).alias("iteration"), col(key), *[col(c) for c in keep]).where(
         cuts.member(F.col("iteration")))

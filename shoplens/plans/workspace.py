@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from shoplens.functions.frames import spread_out
 from shoplens.operators import features as feat
 from shoplens.operators import outliers, segments
-from shoplens.operators.clustering import Centers, GroupedCenters, KMeansFit, fit_kmeans, grouped_lloyd, lloyd, start_cuts
+from shoplens.operators.clustering import (
+    Centers, GroupedCenters, KMeansFit, fit_kmeans, grouped_lloyd, grouped_starts, lloyd, start_cuts)
 from shoplens.operators.components import Components, fit_components
-from shoplens.operators.stability import PeriodData, bootstrap_samples, period_data
+from shoplens.operators.lloyd_steps import MOST_STEPS, converge
+from shoplens.operators.stability import PeriodData, bootstrap_samples, period_data, sample_cuts, sample_names
 from shoplens.operators.scaling import FeatureScaler, fit_scaler
 from shoplens.sources.catalog import scan
 from shoplens.sources.marketplace import Marketplace, load_marketplace
@@ -148,12 +150,14 @@ class Workspace:
 
     @cached_property
     def sample_centers(self) -> list[Centers]:
-        """Fixed-start centres of each repeated sample."""
-        rows = bootstrap_samples(self.scaled, keep=self.scaled_columns).withColumn(
-            "iteration", F.col("iteration").cast("string"))
-        cuts = start_cuts(rows, CLUSTERS, START_COLUMN, "iteration")
-        found = grouped_lloyd(rows, self.scaled_columns, cuts, START_COLUMN, "iteration")
-        return [found.by_group[g] for g in sorted(found.by_group, key=int)]
+        """Fixed-start centres of each repeated sample; a step reads each row once for all its samples."""
+        columns = self.scaled_columns
+        cuts = sample_cuts(self.scaled)
+        rows = bootstrap_samples(self.scaled, keep=columns, cuts=cuts).withColumn("iteration", F.col("iteration").cast("string"))
+        starts = grouped_starts(rows, columns, start_cuts(rows, CLUSTERS, START_COLUMN, "iteration"), START_COLUMN, "iteration")
+        found = converge(self.scaled, columns, {g: (g, at) for g, at in starts.items()},
+                         sample_names(cuts, len(cuts.keys)), MOST_STEPS - 1)
+        return [Centers(tuple(columns), found[g].centers) for g in sorted(starts, key=int)]
 
 
 _open: dict[tuple[str, str], Workspace] = {}
