@@ -6,6 +6,8 @@ scan of the filtered table starts and is pushed into it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ CANCELED = "canceled"
 DELIVERED = "delivered"
 #: Amounts are added as decimals: the sum does not depend on the order of additions, however large it is.
 MONEY = "decimal(20,6)"
+#: Order items that one task groups.
+ITEMS_PER_TASK = 1_000_000
 
 
 def whole_amount(total: Column) -> Column:
@@ -66,13 +70,20 @@ def high_revenue_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame
 
 def new_engaged_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                         months: int = 3, min_products: int = 30) -> DataFrame:
-    """Sellers whose first sale is recent and who sold more than ``min_products`` items."""
-    purchases = orders.select("order_id", "order_purchase_timestamp")
+    """Sellers whose first sale is recent and who sold more than ``min_products`` items.
+
+    Items are summed per order and seller before the join, so the distinct orders of a seller are counted as rows. They
+    are dealt by order into tasks of about ITEMS_PER_TASK items, so a task holds no more of them when there are more.
+    """
+    items = items.where(F.col("order_id").isNotNull())
+    items = items.repartition(max(1, math.ceil(items.count() / ITEMS_PER_TASK)), "order_id")
+    purchases = orders.groupBy("order_id").agg(F.min("order_purchase_timestamp").alias("bought"), F.count("*").alias("rows"))
+    lines = items.groupBy("order_id", "seller_id").agg(F.count("product_id").alias("products"))
     sold = (
-        items.join(purchases, "order_id").groupBy("seller_id")
-        .agg(F.min("order_purchase_timestamp").alias("first_sale"),
-             F.count_distinct("order_id").alias("total_orders"),
-             F.count("product_id").alias("total_products"))
+        lines.join(purchases, "order_id").groupBy("seller_id")
+        .agg(F.min("bought").alias("first_sale"),
+             F.count("*").alias("total_orders"),
+             F.sum(F.col("products") * F.col("rows")).alias("total_products"))
         .where((F.col("total_products") > min_products)
                & (F.col("first_sale") >= _purchases_since(orders, months)))
     )

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 
 from shoplens.operators import features, kpi, kpi_tables
@@ -137,3 +139,19 @@ def test_one_pass_features_with_orphans_and_a_hot_order(spark):
     fused = features.customer_features(customers, orders, items, products, reviews).select(joined.columns)
     assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, joined.collect()))
     assert fused.count() == 2
+
+
+def test_new_engaged_sellers_repeated_and_missing_keys(spark, monkeypatch):
+    """Orders that repeat or lack a key count as in a plain join; a task holds a bounded number of items."""
+    orders = spark.createDataFrame(
+        [(1, datetime(2020, 1, 5)), (1, datetime(2020, 2, 5)), (2, None), (None, datetime(2020, 3, 1))],
+        "order_id int, order_purchase_timestamp timestamp")
+    items = spark.createDataFrame(
+        [(1, 7, 9), (1, 8, 9), (1, None, 9), (2, 7, 9), (None, 7, 9), (2, 7, 5), (1, 7, None)],
+        "order_id int, product_id int, seller_id int")
+    sellers = spark.createDataFrame([(9,), (9,), (5,)], "seller_id int")
+    monkeypatch.setattr(kpi, "ITEMS_PER_TASK", 2)
+    found = kpi.new_engaged_sellers(sellers, items, orders, months=3, min_products=0)
+    assert [tuple(r) for r in found.collect()] == [(9, datetime(2020, 1, 5), 2, 5)] * 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "RepartitionByExpression [order_id" in plan
