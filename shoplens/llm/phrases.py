@@ -1,15 +1,16 @@
 """Frequent phrases and their collocation scores, found by Rabin-Karp fingerprints.
 
-Texts are split into pieces at punctuation and line ends and pieces into words, and every word gets two
-64-bit hashes, all by Spark expressions, stored once. Polynomial prefix sums over a document's word hashes (numpy, wrapping uint64) give the fingerprint of
-every n-gram in constant time, and a second polynomial with another base and seed gives an independent
-check value. Levels run from 1 to 5 words; at level m only n-grams whose two (m-1)-word parts were frequent
-are fingerprinted, which loses nothing since a phrase is never more frequent than its parts. Each task
-pre-aggregates its fingerprints; a shuffle sums them per (lang, fingerprint) with the range of check
-values. One more pass finds the first occurrence (row, word) of the frequent fingerprints only. Where the check values of one fingerprint
-differ, two texts collided: that fingerprint is counted again keyed by its text. Only frequent phrases are
-spelled, from their pointer into the text, and they are scored and ranked with Spark expressions in exact
-decimal arithmetic.
+Texts are split into pieces at punctuation and line ends and pieces into words, and every word gets a
+64-bit hash, all by Spark expressions, stored once (eight bytes a word). Polynomial prefix sums over a document's
+word hashes (numpy, wrapping uint64) give the fingerprint of every n-gram in constant time; the language's hash is
+mixed in, so a fingerprint stands for a language and a phrase. Levels run from 1 to 5 words; at level m only n-grams
+whose two (m-1)-word parts were frequent are fingerprinted, which loses nothing since a phrase is never more frequent
+than its parts. Each task pre-aggregates its fingerprints; a shuffle of two numbers a row sums them. One more pass over
+the texts takes, for the frequent fingerprints only, the first occurrence (row, word) and the range of a check value: a
+second polynomial with another base over independent word hashes. Where the check values of one fingerprint differ, two
+texts collided: that fingerprint is counted again keyed by language and text (a collision only ever raises a count, so
+nothing frequent was lost before). Only frequent phrases are spelled, from their pointer into the text, and they are
+scored and ranked with Spark expressions in exact decimal arithmetic.
 """
 
 from __future__ import annotations
@@ -67,8 +68,15 @@ def _second_hash(word: Column) -> Column:
     return F.xxhash64(F.concat(F.lit("\x01"), word))
 
 
-def tokens(rows: DataFrame, spell: bool = False) -> DataFrame:
-    """Per row: lang ('und' for null), _row, word hashes h1 and h2 and the piece of each word; with spell, the words.
+def _tongue(lang: Column) -> Column:
+    """64-bit hash of a language, of an input that no word has (a word `de` in `es` is not a word `es` in `de`)."""
+    return F.xxhash64(F.concat(F.lit("\x02\x20"), lang))
+
+
+def tokens(rows: DataFrame, check: bool = False, spell: bool = False) -> DataFrame:
+    """Per row: lang ('und' for null), its hash, _row, word hash h1 and the number of words of each piece with a word.
+
+    With check also independent word hashes h2, with spell the words.
 
     All Spark expressions: A-Z lowered, pieces split at the contract's piece ends, words taken in each piece.
     """
@@ -76,10 +84,11 @@ def tokens(rows: DataFrame, spell: bool = False) -> DataFrame:
     in_pieces = F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0))
     out = rows.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), "_row", in_pieces.alias("_pw"))
     words = F.flatten("_pw")
-    cols = [F.col("lang"), F.col("_row"), F.transform(words, _first_hash).alias("h1"),
-            F.transform(words, _second_hash).alias("h2"),
-            F.flatten(F.transform("_pw", lambda ws, k: F.array_repeat(k, F.size(ws)))).alias("piece")]
-    return out.select(*cols, *([words.alias("words")] if spell else []))
+    sizes = F.filter(F.transform("_pw", F.size), lambda n: n > 0)
+    cols = [F.col("lang"), _tongue(F.col("lang")).alias("tongue"), F.col("_row"), F.transform(words, _first_hash).alias("h1"),
+            sizes.alias("sizes")]
+    return out.select(*cols, *([F.transform(words, _second_hash).alias("h2")] if check else []),
+                      *([words.alias("words")] if spell else []))
 
 
 #: Words per share of a batch that is fingerprinted at once (bounds a task's arrays to some 100 MB).
@@ -119,75 +128,89 @@ def _prints(hashed: np.ndarray, base: int, m: int) -> np.ndarray:
         return _powers_upto(base, len(hashed))[m - 1:] * (prefix[m:] - prefix[:count])
 
 
-def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None, split: set | None) -> pa.RecordBatch | None:
+def _share_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a share of a batch, per word: hash, document (place in the batch), piece (over all documents); and each
+    document's first word."""
+    offsets = batch.column("h1").offsets.to_numpy()
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    w1 = batch.column("h1").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return w1, doc, piece, offsets[:-1] - offsets[0]
+
+
+def _tongue_prints(w: np.ndarray, base: int, m: int, tongue: np.ndarray) -> np.ndarray:
+    """Fingerprints of the m-grams with their language's hash mixed in (tongue: per word)."""
+    return _signed(_prints(w, base, m) ^ tongue[:len(w) - m + 1])
+
+
+def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None) -> pa.RecordBatch | None:
     """Pre-aggregated fingerprints of the m-grams of a share of a batch: whole-array arithmetic, no loop per word."""
-    h1 = batch.column("h1")
-    offsets = h1.offsets.to_numpy()
-    total = int(offsets[-1] - offsets[0])
-    if total < m:
+    w1, doc, piece, _ = _share_words(batch)
+    if len(w1) < m:
         return None
-    lengths = np.diff(offsets)
-    doc = np.repeat(np.arange(batch.num_rows), lengths)
-    first = offsets[:-1] - offsets[0]
-    w1 = h1.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    w2 = batch.column("h2").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    piece = (doc.astype(np.int64) << 32) + batch.column("piece").flatten().to_numpy(zero_copy_only=False)
-    count = total - m + 1
+    tongue = batch.column("tongue").to_numpy(zero_copy_only=False).view(np.uint64)[doc]
+    count = len(w1) - m + 1
     inside = piece[:count] == piece[m - 1:]
-    fp = _prints(w1, BASES[0], m)
     if parts is not None:
-        shorter = _prints(w1, BASES[0], m - 1)
-        known = (piece[:count + 1] == piece[m - 2:]) & np.isin(_signed(shorter), parts)
+        known = (piece[:count + 1] == piece[m - 2:]) & np.isin(_tongue_prints(w1, BASES[0], m - 1, tongue), parts)
         inside &= known[:-1] & known[1:]
-    at = np.nonzero(inside)[0]
+    fp = _tongue_prints(w1, BASES[0], m, tongue)[inside]
+    if not len(fp):
+        return None
+    fp, n = np.unique(fp, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(n.astype(np.int64))], names=["fp", "n"])
+
+
+def _respelled(batch: pa.RecordBatch, m: int, split: set) -> pa.RecordBatch | None:
+    """Counts by language and text of the m-grams whose fingerprints are in split."""
+    w1, doc, piece, _ = _share_words(batch)
+    if len(w1) < m:
+        return None
+    tongue = batch.column("tongue").to_numpy(zero_copy_only=False).view(np.uint64)[doc]
+    fp = _tongue_prints(w1, BASES[0], m, tongue)
+    at = np.nonzero((piece[:len(fp)] == piece[m - 1:]) & np.isin(fp, np.array(sorted(split), np.int64)))[0]
     if not len(at):
         return None
-    fp, check = _signed(fp[at]), _signed(_prints(w2, BASES[1], m)[at])
+    words = batch.column("words").flatten().to_pylist()
     langs = batch.column("lang").to_numpy(zero_copy_only=False)[doc[at]]
-    phrase = [None] * len(at)
-    if split:
-        words = batch.column("words").flatten().to_pylist()
-        phrase = [" ".join(words[i:i + m]) if (lang, f) in split else None for i, lang, f in zip(at.tolist(), langs, fp.tolist())]
-    table = pa.table({"lang": pa.array(langs, pa.string()), "fp": fp, "phrase": pa.array(phrase, pa.string()),
-                      "check": check})
-    grouped = table.group_by(["lang", "fp", "phrase"], use_threads=False).aggregate(
-        [("check", "min"), ("check", "max"), ("fp", "count")])
-    names = {"lang": "lang", "fp": "fp", "phrase": "phrase", "fp_count": "n", "check_min": "check_lo",
-             "check_max": "check_hi"}
-    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
+    table = pa.table({"lang": pa.array(langs, pa.string()),
+                      "phrase": pa.array([" ".join(words[i:i + m]) for i in at.tolist()], pa.string())})
+    grouped = table.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in ("lang", "phrase", "count_all")],
+                                      names=["lang", "phrase", "n"])
 
 
 def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None]) -> pa.RecordBatch | None:
-    """(lang, m, fp, row, start) of the first occurrence in a share of a batch of each wanted fingerprint."""
-    h1 = batch.column("h1")
-    offsets = h1.offsets.to_numpy()
-    total = int(offsets[-1] - offsets[0])
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    first = offsets[:-1] - offsets[0]
-    w1 = h1.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    piece = (doc.astype(np.int64) << 32) + batch.column("piece").flatten().to_numpy(zero_copy_only=False)
-    langs_of = batch.column("lang").to_numpy(zero_copy_only=False)
+    """(m, fp, row, start, range of check values) of each wanted fingerprint at its first occurrence in a share."""
+    w1, doc, piece, first = _share_words(batch)
+    w2 = batch.column("h2").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    tongue = batch.column("tongue").to_numpy(zero_copy_only=False).view(np.uint64)[doc]
     rows_of = batch.column("_row").to_numpy(zero_copy_only=False).astype(np.int64)
     tables = []
     for m, keep in wanted.items():
-        if total < m:
+        if len(w1) < m:
             continue
-        count = total - m + 1
-        fp = _signed(_prints(w1, BASES[0], m))
-        inside = piece[:count] == piece[m - 1:]
+        fp = _tongue_prints(w1, BASES[0], m, tongue)
+        inside = piece[:len(fp)] == piece[m - 1:]
         if keep is not None:
             inside &= np.isin(fp, keep)
         at = np.nonzero(inside)[0]
-        if len(at):
-            owner = doc[at]
-            tables.append(pa.table({"lang": pa.array(langs_of[owner], pa.string()), "m": np.full(len(at), m, np.int32),
-                                    "fp": fp[at], "row": rows_of[owner], "start": (at - first[owner]).astype(np.int64)}))
+        if not len(at):
+            continue
+        # the language belongs to the check value: two languages under one fingerprint are a collision as well
+        check = _signed(_prints(w2, BASES[1], m)[at] ^ (tongue[at] * np.uint64(BASES[1])))
+        order = np.argsort(fp[at], kind="stable")
+        own = fp[at][order]
+        begin = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+        here = at[order][begin]
+        tables.append(pa.table({
+            "m": np.full(len(here), m, np.int32), "fp": own[begin],
+            "row": rows_of[doc[here]], "start": (here - first[doc[here]]).astype(np.int64),
+            "check_lo": np.minimum.reduceat(check[order], begin), "check_hi": np.maximum.reduceat(check[order], begin)}))
     if not tables:
         return None
-    grouped = pa.concat_tables(tables).group_by(["lang", "m", "fp"], use_threads=False).aggregate(
-        [("row", "first"), ("start", "first")])
-    names = {"lang": "lang", "m": "m", "fp": "fp", "row_first": "row", "start_first": "start"}
-    return pa.RecordBatch.from_arrays([grouped[k].combine_chunks() for k in names], names=list(names.values()))
+    return pa.concat_tables(tables).combine_chunks().to_batches()[0]
 
 
 def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -201,36 +224,23 @@ def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _level(m: int, parts: np.ndarray | None, split: set | None):
-    """Per batch of tokens(): pre-aggregated fingerprints of the m-grams, share by share."""
+def _by_share(take, *args):
+    """Per batch of tokens(): what `take` finds, share by share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for share in _shares(batch):
-                found = _chunk(share, m, parts, split)
+                found = take(share, *args)
                 if found is not None and found.num_rows:
                     yield found
     return run
 
 
-def _places(wanted: dict[int, np.ndarray | None]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for share in _shares(batch):
-                found = _first_places(share, wanted)
-                if found is not None and found.num_rows:
-                    yield found
-    return run
-
+PLACE_SCHEMA = "m int, fp long, row long, start long, check_lo long, check_hi long"
 
-LEVEL_SCHEMA = "lang string, fp long, phrase string, n long, check_lo long, check_hi long"
-PLACE_SCHEMA = "lang string, m int, fp long, row long, start long"
 
-
-def _counted(docs: DataFrame, m: int, parts, split) -> DataFrame:
-    """Sums per (lang, fingerprint, text if split): no pointer rides along, so the shuffle holds five numbers a row."""
-    return (docs.mapInArrow(_level(m, parts, split), LEVEL_SCHEMA)
-            .groupBy("lang", "fp", "phrase").agg(F.sum("n").alias("n"), F.min("check_lo").alias("check_lo"),
-                                                 F.max("check_hi").alias("check_hi")))
+def _counted(docs: DataFrame, m: int, parts: np.ndarray | None) -> DataFrame:
+    """Sums per fingerprint (which holds the language): the shuffle moves two numbers a row."""
+    return docs.mapInArrow(_by_share(_chunk, m, parts), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
 
 
 #: Documents per Arrow batch of the fingerprint passes: with up to 20,000 words of 20 bytes each, some 100 MB.
@@ -267,47 +277,45 @@ def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Dat
     rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
     hashed = checkpointed(tokens(rows))
     totals = checkpointed(hashed.groupBy("lang").agg(F.sum(F.size("h1")).cast("long").alias("n")))
-    levels, parts, wanted = [], None, {}
+    found, parts, wanted = None, None, {}
     for m in range(1, longest + 1):
-        # a fingerprint under at_least occurrences stays so when split by text: only frequent ones are checked
-        kept = checkpointed(_counted(hashed, m, parts, None).where(F.col("n") >= at_least))
-        clashing = kept.where(F.col("check_lo") != F.col("check_hi")).select("lang", "fp")
-        if clashing.count() > PRUNE_BOUND:
-            raise ValueError("fingerprints collide too often: the word hash is broken")
-        clash = clashing.collect()
-        if clash:  # a fingerprint stands for several texts: count those again by text
-            split = {(r["lang"], r["fp"]) for r in clash}
-            recount = _counted(tokens(rows, spell=True), m, parts, split).where(F.col("phrase").isNotNull())
-            kept = checkpointed(kept.where(F.col("check_lo") == F.col("check_hi"))
-                                .unionByName(recount.where(F.col("n") >= at_least)))
-        kept = kept.withColumn("m", F.lit(m))
-        levels.append(kept)
+        kept = checkpointed(_counted(hashed, m, parts).where(F.col("n") >= at_least))
         size = kept.count()
-        parts = (np.sort(np.array([r["fp"] for r in kept.select("fp").distinct().collect()], np.int64))
-                 if 0 < size <= PRUNE_BOUND else (np.empty(0, np.int64) if size == 0 else None))
+        parts = (np.sort(np.array([r["fp"] for r in kept.select("fp").collect()], np.int64))
+                 if size <= PRUNE_BOUND else None)
         wanted[m] = parts
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.unionByName(more)
-    # first occurrences of the frequent fingerprints only, all levels in one pass; a level whose set is beyond
-    # PRUNE_BOUND sends every n-gram's place, and the join keeps the frequent ones
-    places = checkpointed(hashed.mapInArrow(_places(wanted), PLACE_SCHEMA).groupBy("lang", "m", "fp")
-                          .agg(F.min(F.struct("row", "start")).alias("pointer")))
-    found = found.join(places, ["lang", "m", "fp"], "left")
-    return _spelled(rows, found), totals
+        kept = kept.withColumn("m", F.lit(m))
+        found = kept if found is None else found.unionByName(kept)
+    # an occurrence (whichever comes first, all spell the same) and check values of the frequent fingerprints only, all levels in one pass; a level whose set is
+    # beyond PRUNE_BOUND sends every n-gram's place, and the join keeps the frequent ones
+    places = (tokens(rows, check=True).mapInArrow(_by_share(_first_places, wanted), PLACE_SCHEMA).groupBy("m", "fp")
+              .agg(F.first("row").alias("_row"), F.first("start").alias("_start"), F.min("check_lo").alias("check_lo"),
+                   F.max("check_hi").alias("check_hi")))
+    found = checkpointed(found.join(places, ["m", "fp"]))
+    clashing = found.where(F.col("check_lo") != F.col("check_hi")).select("m", "fp")
+    if clashing.count() > PRUNE_BOUND:
+        raise ValueError("fingerprints collide too often: the word hash is broken")
+    split: dict[int, set] = {}
+    for r in clashing.collect():
+        split.setdefault(r["m"], set()).add(r["fp"])
+    out = _spelled(rows, found.where(F.col("check_lo") == F.col("check_hi")))
+    for m, prints in sorted(split.items()):  # a fingerprint stands for several texts: those are counted by text
+        recount = (tokens(rows, spell=True).mapInArrow(_by_share(_respelled, m, prints), "lang string, phrase string, n long")
+                   .groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least))
+        out = out.unionByName(checkpointed(recount.select("lang", F.lit(m).alias("m"), "phrase", "f")))
+    return out, totals
 
 
 def _spelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Frequent fingerprints with their text, read at their first occurrence."""
-    found = found.withColumn("_row", F.col("pointer.row")).withColumn("_start", F.col("pointer.start"))
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     words = F.flatten(F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0)))
-    texts = rows.select("_row", words.alias("_words"))
+    texts = rows.select("_row", F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), words.alias("_words"))
     pointed = found.select("_row").distinct()
     texts = texts.join(F.broadcast(pointed) if pointed.count() <= 50_000 else pointed, "_row")
     spelled = found.join(texts, "_row").withColumn(
         "spelled", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("m")), " "))
-    return spelled.select("lang", "m", F.coalesce("phrase", "spelled").alias("phrase"), F.col("n").alias("f"))
+    return spelled.select("lang", "m", F.col("spelled").alias("phrase"), F.col("n").alias("f"))
 
 
 def _exact(c: Column) -> Column:

@@ -80,3 +80,12 @@ def test_query_on_documents(spark):
     rows = [(None if pd.isna(l) else l, None if t is None else t) for l, t in zip(docs["lang"], docs["text"])]
     got = spark_rows(op13_phrase_collocations(spark, folder))
     assert got == plain(rows, 100, 2000) and len(got) > 0
+
+
+def test_shuffles_carry_fingerprint_and_count_only(spark):
+    """Eight bytes a word are stored and two numbers a row shuffled; languages and words do not cancel each other."""
+    df = spark.createDataFrame([("es", "de"), ("de", "es"), ("es", "es"), ("de", "de")], "lang string, text string")
+    hashed = phrases.tokens(df.withColumn("_row", F.monotonically_increasing_id()))
+    assert "h2" not in hashed.columns
+    counted = phrases._counted(hashed, 1, None)
+    assert counted.columns == ["fp", "n"] and [r["n"] for r in counted.collect()] == [1] * 4
