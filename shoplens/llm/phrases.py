@@ -1,13 +1,15 @@
 """Frequent phrases and their collocation scores, found by Rabin-Karp fingerprints.
 
 Texts are split into pieces at punctuation and line ends and pieces into words, and every word gets a
-64-bit hash, all by Spark expressions, stored once (eight bytes a word). Polynomial prefix sums over a document's
+64-bit hash, all by Spark expressions, stored once as a compressed table (eight bytes a word before compression). Polynomial prefix sums over a document's
 word hashes (numpy, wrapping uint64) give the fingerprint of every n-gram in constant time; the language's hash is
 mixed in, so a fingerprint stands for a language and a phrase. Levels run from 1 to 5 words; at level m only n-grams
 whose two (m-1)-word parts were frequent are fingerprinted, which loses nothing since a phrase is never more frequent
 than its parts. Each task pre-aggregates its fingerprints; a shuffle of two numbers a row sums them. One more pass over
 the texts takes, for the frequent fingerprints only, the first occurrence (row, word) and the range of a check value: a
-second polynomial with another base over independent word hashes. Where the check values of one fingerprint differ, two
+second polynomial with another base over independent word hashes. A first look at a thirty-second of the rows tells
+place and check value of nearly all of them to the pass over all rows, whose tasks then report only what is missing or
+differs. Where the check values of one fingerprint differ, two
 texts collided: that fingerprint is counted again keyed by language and text (a collision only ever raises a count, so
 nothing frequent was lost before). Only frequent phrases are spelled, from their pointer into the text, and they are
 scored and ranked with Spark expressions in exact decimal arithmetic.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import checkpointed, shuffle_partitions
+from shoplens.llm.shared import checkpointed, shared_folder, shuffle_partitions
 
 #: Piece ends and word separators of the contract.
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
@@ -37,6 +39,10 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 #: Frequent fingerprints of a level that are sent to every task for pruning; beyond, the next level is
 #: counted without pruning (same result, more rows).
 PRUNE_BOUND = 4_000_000
+#: Of so many rows one, chosen by hash, is looked at first for places and check values; all rows follow.
+FIRST_LOOK = 32
+#: Frequent phrases whose places in the texts are broadcast; beyond, texts are shuffled to them.
+SPELL_BOUND = 500_000
 UNDETERMINED = "und"
 
 _PIECE_RE, _WORD_RE = re.compile(PIECE_END), re.compile(WORD)
@@ -144,6 +150,15 @@ def _tongue_prints(w: np.ndarray, base: int, m: int, tongue: np.ndarray) -> np.n
     return _signed(_prints(w, base, m) ^ tongue[:len(w) - m + 1])
 
 
+def _held(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in the ordered array, and its place there (0 if it is not)."""
+    if not len(ordered):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values, at
+
+
 def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None) -> pa.RecordBatch | None:
     """Pre-aggregated fingerprints of the m-grams of a share of a batch: whole-array arithmetic, no loop per word."""
     w1, doc, piece, _ = _share_words(batch)
@@ -153,7 +168,7 @@ def _chunk(batch: pa.RecordBatch, m: int, parts: np.ndarray | None) -> pa.Record
     count = len(w1) - m + 1
     inside = piece[:count] == piece[m - 1:]
     if parts is not None:
-        known = (piece[:count + 1] == piece[m - 2:]) & np.isin(_tongue_prints(w1, BASES[0], m - 1, tongue), parts)
+        known = (piece[:count + 1] == piece[m - 2:]) & _held(parts, _tongue_prints(w1, BASES[0], m - 1, tongue))[0]
         inside &= known[:-1] & known[1:]
     fp = _tongue_prints(w1, BASES[0], m, tongue)[inside]
     if not len(fp):
@@ -181,8 +196,13 @@ def _respelled(batch: pa.RecordBatch, m: int, split: set) -> pa.RecordBatch | No
                                       names=["lang", "phrase", "n"])
 
 
-def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None]) -> pa.RecordBatch | None:
-    """(m, fp, row, start, range of check values) of each wanted fingerprint at its first occurrence in a share."""
+def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None],
+                  known: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    """(m, fp, row, start, range of check values) of each wanted fingerprint at its first occurrence in a share.
+
+    known: by m the ordered fingerprints that have a place already, and their check values; their occurrences with
+    that check value are passed over.
+    """
     w1, doc, piece, first = _share_words(batch)
     w2 = batch.column("h2").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     tongue = batch.column("tongue").to_numpy(zero_copy_only=False).view(np.uint64)[doc]
@@ -194,12 +214,18 @@ def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None]) -
         fp = _tongue_prints(w1, BASES[0], m, tongue)
         inside = piece[:len(fp)] == piece[m - 1:]
         if keep is not None:
-            inside &= np.isin(fp, keep)
+            inside &= _held(keep, fp)[0]
         at = np.nonzero(inside)[0]
-        if not len(at):
-            continue
         # the language belongs to the check value: two languages under one fingerprint are a collision as well
         check = _signed(_prints(w2, BASES[1], m)[at] ^ (tongue[at] * np.uint64(BASES[1])))
+        if m in known:
+            prints, checks = known[m]
+            placed, where = _held(prints, fp[at])
+            if placed.any():
+                news = ~(placed & (checks[where] == check))
+                at, check = at[news], check[news]
+        if not len(at):
+            continue
         order = np.argsort(fp[at], kind="stable")
         own = fp[at][order]
         begin = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
@@ -238,6 +264,31 @@ def _by_share(take, *args):
 PLACE_SCHEMA = "m int, fp long, row long, start long, check_lo long, check_hi long"
 
 
+def _places(rows: DataFrame, wanted: dict, known: dict) -> DataFrame:
+    return tokens(rows, check=True).mapInArrow(_by_share(_first_places, wanted, known), PLACE_SCHEMA)
+
+
+def _one_place(places: DataFrame) -> DataFrame:
+    """Per level and fingerprint an occurrence (whichever comes first) and the range of its check values."""
+    return places.groupBy("m", "fp").agg(
+        F.first(F.struct("row", "start")).alias("_at"), F.min("check_lo").alias("check_lo"), F.max("check_hi").alias("check_hi")
+    ).select("m", "fp", "_at.row", "_at.start", "check_lo", "check_hi")
+
+
+def _placed(rows: DataFrame, wanted: dict[int, np.ndarray | None]) -> DataFrame:
+    """One place and the range of check values of every wanted fingerprint, over all rows.
+
+    Without the first look every task would send every wanted fingerprint that it holds. Rows looked at first are read
+    again with all others, so each occurrence is compared. A level without a set (beyond PRUNE_BOUND) has no first look.
+    """
+    sets = {m: keep for m, keep in wanted.items() if keep is not None}
+    looked = checkpointed(_one_place(_places(rows.where(F.pmod(F.xxhash64("_row"), F.lit(FIRST_LOOK)) == 0), sets, {})))
+    told = looked.select("m", "fp", "check_lo").orderBy("m", "fp").toArrow()
+    level, prints, checks = (told[k].to_numpy() for k in ("m", "fp", "check_lo"))
+    known = {m: (prints[level == m], checks[level == m]) for m in sets}
+    return _one_place(looked.unionByName(_places(rows, wanted, known)))
+
+
 def _counted(docs: DataFrame, m: int, parts: np.ndarray | None) -> DataFrame:
     """Sums per fingerprint (which holds the language): the shuffle moves two numbers a row."""
     return docs.mapInArrow(_by_share(_chunk, m, parts), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
@@ -275,22 +326,19 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, at_least: int = AT
 def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, DataFrame]:
     # row ids of a deterministic input (a table) are the same each time it is read; texts are not copied
     rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
-    hashed = checkpointed(tokens(rows))
+    hashed = _stored(tokens(rows).drop("_row"))
     totals = checkpointed(hashed.groupBy("lang").agg(F.sum(F.size("h1")).cast("long").alias("n")))
     found, parts, wanted = None, None, {}
     for m in range(1, longest + 1):
         kept = checkpointed(_counted(hashed, m, parts).where(F.col("n") >= at_least))
         size = kept.count()
-        parts = (np.sort(np.array([r["fp"] for r in kept.select("fp").collect()], np.int64))
-                 if size <= PRUNE_BOUND else None)
+        parts = np.sort(kept.select("fp").toArrow()["fp"].to_numpy()) if size <= PRUNE_BOUND else None
         wanted[m] = parts
         kept = kept.withColumn("m", F.lit(m))
         found = kept if found is None else found.unionByName(kept)
-    # an occurrence (whichever comes first, all spell the same) and check values of the frequent fingerprints only, all levels in one pass; a level whose set is
-    # beyond PRUNE_BOUND sends every n-gram's place, and the join keeps the frequent ones
-    places = (tokens(rows, check=True).mapInArrow(_by_share(_first_places, wanted), PLACE_SCHEMA).groupBy("m", "fp")
-              .agg(F.first("row").alias("_row"), F.first("start").alias("_start"), F.min("check_lo").alias("check_lo"),
-                   F.max("check_hi").alias("check_hi")))
+    # an occurrence (whichever comes first, all spell the same) and check values of the frequent fingerprints only, all
+    # levels together; a level whose set is beyond PRUNE_BOUND sends every n-gram's place, and the join keeps the frequent ones
+    places = _placed(rows, wanted).withColumnsRenamed({"row": "_row", "start": "_start"})
     found = checkpointed(found.join(places, ["m", "fp"]))
     clashing = found.where(F.col("check_lo") != F.col("check_hi")).select("m", "fp")
     if clashing.count() > PRUNE_BOUND:
@@ -306,16 +354,24 @@ def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Dat
     return out, totals
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed table in the shared folder: word hashes repeat, a checkpoint keeps eight bytes each."""
+    where = shared_folder(df.sparkSession, "words")
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def _spelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Frequent fingerprints with their text, read at their first occurrence."""
+    """Frequent fingerprints with their text, read at their first occurrence: only texts that hold one are split again."""
+    places = found.groupBy("_row").agg(F.collect_list(F.struct("m", "_start", "n")).alias("_places"))
+    texts = rows.join(F.broadcast(places) if found.count() <= SPELL_BOUND else places, "_row")
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     words = F.flatten(F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0)))
-    texts = rows.select("_row", F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), words.alias("_words"))
-    pointed = found.select("_row").distinct()
-    texts = texts.join(F.broadcast(pointed) if pointed.count() <= 50_000 else pointed, "_row")
-    spelled = found.join(texts, "_row").withColumn(
-        "spelled", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("m")), " "))
-    return spelled.select("lang", "m", F.col("spelled").alias("phrase"), F.col("n").alias("f"))
+    texts = texts.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), "_places", words.alias("_words"))
+    spelled = texts.select("lang", F.transform("_places", lambda p: F.struct(
+        p["m"].alias("m"), F.array_join(F.slice("_words", (p["_start"] + 1).cast("int"), p["m"]), " ").alias("phrase"),
+        p["n"].alias("f"))).alias("_spelled"))
+    return spelled.select("lang", F.inline("_spelled"))
 
 
 def _exact(c: Column) -> Column:

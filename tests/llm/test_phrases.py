@@ -89,3 +89,25 @@ def test_shuffles_carry_fingerprint_and_count_only(spark):
     assert "h2" not in hashed.columns
     counted = phrases._counted(hashed, 1, None)
     assert counted.columns == ["fp", "n"] and [r["n"] for r in counted.collect()] == [1] * 4
+
+
+def test_tasks_report_only_places_that_are_not_known(spark):
+    """After the first look a task sends a wanted fingerprint only if it has no place yet or another check value."""
+    rows = spark.createDataFrame([("en", "a b a b a b")] * 400, "lang string, text string").withColumn(
+        "_row", F.monotonically_increasing_id())
+    wanted = {m: phrases.np.sort(phrases._counted(phrases.tokens(rows), m, None).toPandas()["fp"].to_numpy()) for m in (1, 2)}
+    placed = phrases._placed(rows, wanted).toPandas()
+    assert len(placed) == 4 and (placed["check_lo"] == placed["check_hi"]).all()
+    known = {m: tuple(placed[placed["m"] == m].sort_values("fp")[k].to_numpy() for k in ("fp", "check_lo")) for m in (1, 2)}
+    assert phrases._places(rows, wanted, {}).count() >= 4
+    assert phrases._places(rows, wanted, known).count() == 0
+    other = known | {2: (known[2][0], known[2][1] + 1)}
+    assert {r["m"] for r in phrases._places(rows, wanted, other).collect()} == {2}
+
+
+def test_spelled_from_broadcast_and_from_shuffled_texts(spark, monkeypatch):
+    rows = fixture(100, seed=7)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for bound in (0, 500_000):
+        monkeypatch.setattr(phrases, "SPELL_BOUND", bound)
+        assert spark_rows(phrases.collocations(df, at_least=3, top=30)) == plain(rows, 3, 30)
