@@ -1,13 +1,14 @@
 """Frequent phrases and their collocation scores, found by Rabin-Karp fingerprints.
 
-Texts are split into pieces at punctuation and line ends and pieces into words, and every word gets a
-64-bit hash, all by Spark expressions, stored once as a compressed table (eight bytes a word before compression). Polynomial prefix sums over a document's
+Tasks split texts into pieces at punctuation and line ends and pieces into words by whole-array arithmetic on their UTF-8
+bytes (numpy; all separators are ASCII). A word's code is a polynomial over its bytes, and its 64-bit hash is Spark's hash of
+the code, stored once as a compressed table (eight bytes a word before compression). Polynomial prefix sums over a document's
 word hashes (numpy, wrapping uint64) give the fingerprint of every n-gram in constant time; the language's hash is
 mixed in, so a fingerprint stands for a language and a phrase. Levels run from 1 to 5 words; at level m only n-grams
 whose two (m-1)-word parts were frequent are fingerprinted, which loses nothing since a phrase is never more frequent
 than its parts. Each task pre-aggregates its fingerprints; a shuffle of two numbers a row sums them. One more pass over
 the texts takes, for the frequent fingerprints only, the first occurrence (row, word) and the range of a check value: a
-second polynomial with another base over independent word hashes. A first look at a thirty-second of the rows tells
+second polynomial with another base over independent word codes. A first look at a thirty-second of the rows tells
 place and check value of nearly all of them to the pass over all rows, whose tasks then report only what is missing or
 differs. Where the check values of one fingerprint differ, two
 texts collided: that fingerprint is counted again keyed by language and text (a collision only ever raises a count, so
@@ -20,9 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,6 @@ UNDETERMINED = "und"
 
 _PIECE_RE, _WORD_RE = re.compile(PIECE_END), re.compile(WORD)
 _LOWER = str.maketrans(UPPER, LOWER)
-_MASK = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> tuple[list[str], list[int]]:
@@ -65,15 +67,10 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _first_hash(word: Column) -> Column:
-    """64-bit hash of a word for the fingerprint."""
+    """64-bit hash of a word (of its code) for the fingerprint."""
     return F.xxhash64(word)
 
 
-def _second_hash(word: Column) -> Column:
-    """An independent 64-bit hash of a word for the check value (xxhash64 of another input)."""
-    return F.xxhash64(F.concat(F.lit("\x01"), word))
-
-
 def _tongue(lang: Column) -> Column:
     """64-bit hash of a language, of an input that no word has (a word `de` in `es` is not a word `es` in `de`)."""
     return F.xxhash64(F.concat(F.lit("\x02\x20"), lang))
@@ -83,18 +80,13 @@ def tokens(rows: DataFrame, check: bool = False, spell: bool = False) -> DataFra
     """Per row: lang ('und' for null), its hash, _row, word hash h1 and the number of words of each piece with a word.
 
     With check also independent word hashes h2, with spell the words.
-
-    All Spark expressions: A-Z lowered, pieces split at the contract's piece ends, words taken in each piece.
     """
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    in_pieces = F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0))
-    out = rows.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), "_row", in_pieces.alias("_pw"))
-    words = F.flatten("_pw")
-    sizes = F.filter(F.transform("_pw", F.size), lambda n: n > 0)
-    cols = [F.col("lang"), _tongue(F.col("lang")).alias("tongue"), F.col("_row"), F.transform(words, _first_hash).alias("h1"),
-            sizes.alias("sizes")]
-    return out.select(*cols, *([F.transform(words, _second_hash).alias("h2")] if check else []),
-                      *([words.alias("words")] if spell else []))
+    lang = F.coalesce(F.col("lang"), F.lit(UNDETERMINED))
+    texts = rows.select(lang.alias("lang"), _tongue(lang).alias("tongue"), "_row", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    schema = "lang string, tongue long, _row long, sizes array<int>, code array<long>"
+    coded = texts.mapInArrow(_coded(check, spell), schema + ", h2 array<long>" * check + ", words array<string>" * spell)
+    return coded.select("lang", "tongue", "_row", F.transform("code", _first_hash).alias("h1"), "sizes",
+                        *["h2"] * check, *["words"] * spell)
 
 
 #: Words per share of a batch that is fingerprinted at once (bounds a task's arrays to some 100 MB).
@@ -103,12 +95,9 @@ CHUNK_WORDS = 1 << 20
 
 def _powers(base: int, count: int) -> np.ndarray:
     """base**i mod 2**64 for i < count."""
-    out = np.empty(count, np.uint64)
-    acc = 1
-    for i in range(count):
-        out[i] = acc
-        acc = acc * base & _MASK
-    return out
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 _POWERS: dict = {}
@@ -134,6 +123,91 @@ def _prints(hashed: np.ndarray, base: int, m: int) -> np.ndarray:
         return _powers_upto(base, len(hashed))[m - 1:] * (prefix[m:] - prefix[:count])
 
 
+def _mixed(a: np.ndarray) -> np.ndarray:
+    """The numbers with their bits spread (the finalizer of splitmix64, one to one)."""
+    with np.errstate(over="ignore"):
+        a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return a ^ (a >> np.uint64(31))
+
+
+#: By byte: lower case of A-Z; 0 in a word, 1 between words, 2 between pieces; its numbers in the two word polynomials.
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
+_PART = np.zeros(256, np.uint8)
+_PART[[0x20, 0x09]] = 1
+_PART[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_BYTE_NUMBERS = _mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)[:, _LOWER_BYTE]
+#: Bases of the word polynomials; bytes of a share of a batch that is split at once; longest word that a polynomial tells
+#: apart well (beyond, powers of two in differences add up, and words are digested one by one).
+_BYTE_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+CHUNK_BYTES, LONG_WORD = 1 << 20, 64
+
+
+def _word_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """One code per word data[begin:end]: prefix sums of byte numbers times powers, as in _prints; long words by digest."""
+    base = _BYTE_BASES[which]
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_NUMBERS[which][data] * _powers_upto(pow(base, -1, 1 << 64), len(data)), out=prefix[1:])
+        codes = _mixed(_powers_upto(base, len(data) + 1)[end] * (prefix[end] - prefix[begin]))
+    for i in np.nonzero(end - begin > LONG_WORD)[0].tolist():
+        digest = blake2b(_LOWER_BYTE[data[begin[i]:end[i]]].tobytes(), digest_size=16).digest()
+        codes[i] = int.from_bytes(digest[8 * which:8 * which + 8], "little")
+    return codes
+
+
+def _split_texts(share: pa.RecordBatch, check: bool, spell: bool) -> pa.RecordBatch:
+    """tokens() of a share of texts, with codes in place of the first hash: whole-array arithmetic on bytes."""
+    texts = share.column("text").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held if held is not None else b"", np.uint8)[bounds[0]:bounds[-1]]
+    bounds = bounds - bounds[0]
+    part = _PART[data]
+    # bytes 0..len: inside a word there, and inside one that goes on from the byte before
+    inside = np.concatenate([part == 0, [False]])
+    going_on = np.concatenate([[False], inside[:-1]])
+    at_border = going_on[bounds]
+    going_on[bounds] = False
+    begin = np.nonzero(inside & ~going_on)[0]
+    going_on[bounds] = at_border
+    stops = going_on & ~inside
+    stops[bounds] |= at_border
+    end = np.nonzero(stops)[0]
+    words_to = np.searchsorted(begin, bounds)
+    piece = np.cumsum(part == 2, dtype=np.int32)[begin] if len(begin) else np.zeros(0, np.int32)
+    opens = np.ones(len(begin), bool)
+    opens[1:] = piece[1:] != piece[:-1]
+    opens[words_to[words_to < len(begin)]] = True
+    first = np.nonzero(opens)[0]
+    sizes = np.diff(first, append=len(begin)).astype(np.int32)
+
+    def lists(to, values):
+        return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(values))
+
+    found = {k: share.column(k) for k in ("lang", "tongue", "_row")}
+    found["sizes"] = lists(np.searchsorted(first, words_to), sizes)
+    found["code"] = lists(words_to, _signed(_word_codes(data, begin, end, 0)))
+    if check:
+        found["h2"] = lists(words_to, _signed(_word_codes(data, begin, end, 1)))
+    if spell:
+        low = _LOWER_BYTE[data].tobytes()
+        words = [low[b:e].decode("utf-8", "replace") for b, e in zip(begin.tolist(), end.tolist())]
+        found["words"] = lists(words_to, pa.array(words, pa.string()))
+    return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
+
+
+def _coded(check: bool, spell: bool):
+    """Per batch of texts their words, share by share (a longer text is a share of its own)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            for share in _cut(batch, lengths, CHUNK_BYTES):
+                yield _split_texts(share, check, spell)
+    return run
+
+
 def _share_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a share of a batch, per word: hash, document (place in the batch), piece (over all documents); and each
     document's first word."""
@@ -239,17 +313,21 @@ def _first_places(batch: pa.RecordBatch, wanted: dict[int, np.ndarray | None],
     return pa.concat_tables(tables).combine_chunks().to_batches()[0]
 
 
-def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch cut into shares of about CHUNK_WORDS words (a longer document is a share of its own)."""
-    sizes = np.cumsum(np.diff(batch.column("h1").offsets.to_numpy()))
+def _cut(batch: pa.RecordBatch, lengths: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into shares of about `most` in length (a longer row is a share of its own)."""
+    sizes = np.cumsum(lengths, dtype=np.int64)
     begin = 0
     while begin < batch.num_rows:
         done = int(sizes[begin - 1]) if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK_WORDS, side="right")))
+        end = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
 
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return _cut(batch, np.diff(batch.column("h1").offsets.to_numpy()), CHUNK_WORDS)
+
+
 def _by_share(take, *args):
     """Per batch of tokens(): what `take` finds, share by share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,11 +445,12 @@ def _spelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     texts = rows.join(F.broadcast(places) if found.count() <= SPELL_BOUND else places, "_row")
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     words = F.flatten(F.transform(F.split(lowered, PIECE_END, -1), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0)))
-    texts = texts.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), "_places", words.alias("_words"))
-    spelled = texts.select("lang", F.transform("_places", lambda p: F.struct(
-        p["m"].alias("m"), F.array_join(F.slice("_words", (p["_start"] + 1).cast("int"), p["m"]), " ").alias("phrase"),
-        p["n"].alias("f"))).alias("_spelled"))
-    return spelled.select("lang", F.inline("_spelled"))
+    # words as the argument of a function: as a column, Spark would move their expression into the function over the places
+    # and split the text again for each
+    spelled = F.transform(F.array(words), lambda own: F.transform("_places", lambda p: F.struct(
+        p["m"].alias("m"), F.array_join(F.slice(own, (p["_start"] + 1).cast("int"), p["m"]), " ").alias("phrase"),
+        p["n"].alias("f"))))
+    return texts.select(F.coalesce(F.col("lang"), F.lit(UNDETERMINED)).alias("lang"), F.inline(F.flatten(spelled)))
 
 
 def _exact(c: Column) -> Column:

@@ -111,3 +111,31 @@ def test_spelled_from_broadcast_and_from_shuffled_texts(spark, monkeypatch):
     for bound in (0, 500_000):
         monkeypatch.setattr(phrases, "SPELL_BOUND", bound)
         assert spark_rows(phrases.collocations(df, at_least=3, top=30)) == plain(rows, 3, 30)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_words_from_bytes_equal_plain_splitting(spark, monkeypatch, most):
+    """Words, pieces and codes taken from UTF-8 bytes, for shares of one text and of many; codes tell words apart."""
+    texts = [t for _, t in fixture(40)] + ["", " ", "é", "a", "ÀB\tc\x0b d\x85e f", "中" * 50 + " " + "中" * 49 + "文 X", "end.", ".,"]
+    batch = phrases.pa.RecordBatch.from_pydict({
+        "lang": ["en"] * len(texts), "tongue": [1] * len(texts), "_row": list(range(len(texts))), "text": [t or "" for t in texts]})
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", most)
+    got = [r for part in phrases._coded(True, True)([batch.slice(0, 30), batch.slice(30)]) for r in part.to_pylist()]
+    codes = {}
+    for r, text in zip(got, texts):
+        words, pieces = phrases.words_of(text)
+        assert r["words"] == words and r["sizes"] == [pieces.count(p) for p in sorted(set(pieces))]
+        for word, pair in zip(words, zip(r["code"], r["h2"]), strict=True):
+            assert codes.setdefault(word, pair) == pair
+    assert len(got) == len(texts) and len(set(codes.values())) == len(codes)
+    assert len({a for a, _ in codes.values()} | {b for _, b in codes.values()}) == 2 * len(codes)
+
+
+def test_a_text_is_split_once_for_all_its_places(spark):
+    """The words of a text are taken before its places are spelled, not again for each of them."""
+    rows = spark.createDataFrame([("en", "p q r. p q r")], "lang string, text string").withColumn("_row", F.lit(0).cast("long"))
+    found = spark.createDataFrame([(0, m, s, 2) for m, s in [(1, 0), (2, 1), (3, 3)]], "_row long, m int, _start long, n long")
+    spelled = phrases._spelled(rows, found)
+    assert sorted(tuple(r) for r in spelled.collect()) == [("en", 1, "p", 2), ("en", 2, "q r", 2), ("en", 3, "p q r", 2)]
+    inner = spelled._jdf.queryExecution().optimizedPlan().toString()
+    assert inner.count("regexp_extract_all") == 1 and "slice(flatten" not in inner
