@@ -2,7 +2,7 @@
 
 Tasks split texts into pieces at punctuation and line ends and pieces into words by whole-array arithmetic on their UTF-8
 bytes (numpy; all separators are ASCII). A word's code is a polynomial over its bytes, and its 64-bit hash is Spark's hash of
-the code, stored once as a compressed table (eight bytes a word before compression). Polynomial prefix sums over a document's
+the code. This is cheap enough to be done again in every pass, so nothing of a text's size is stored. Polynomial prefix sums over a document's
 word hashes (numpy, wrapping uint64) give the fingerprint of every n-gram in constant time; the language's hash is
 mixed in, so a fingerprint stands for a language and a phrase. Levels run from 1 to 5 words; at level m only n-grams
 whose two (m-1)-word parts were frequent are fingerprinted, which loses nothing since a phrase is never more frequent
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.shared import checkpointed, shared_folder, shuffle_partitions
+from shoplens.llm.shared import checkpointed, shuffle_partitions
 
 #: Piece ends and word separators of the contract.
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
@@ -76,16 +76,17 @@ def _tongue(lang: Column) -> Column:
     return F.xxhash64(F.concat(F.lit("\x02\x20"), lang))
 
 
-def tokens(rows: DataFrame, check: bool = False, spell: bool = False) -> DataFrame:
+def tokens(rows: DataFrame, check: bool = False, spell: bool = False, code: bool = True) -> DataFrame:
     """Per row: lang ('und' for null), its hash, _row, word hash h1 and the number of words of each piece with a word.
 
-    With check also independent word hashes h2, with spell the words.
+    With check also independent word hashes h2, with spell the words, without code no h1.
     """
     lang = F.coalesce(F.col("lang"), F.lit(UNDETERMINED))
     texts = rows.select(lang.alias("lang"), _tongue(lang).alias("tongue"), "_row", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = "lang string, tongue long, _row long, sizes array<int>, code array<long>"
-    coded = texts.mapInArrow(_coded(check, spell), schema + ", h2 array<long>" * check + ", words array<string>" * spell)
-    return coded.select("lang", "tongue", "_row", F.transform("code", _first_hash).alias("h1"), "sizes",
+    schema = ("lang string, tongue long, _row long, sizes array<int>" + ", code array<long>" * code + ", h2 array<long>" * check
+              + ", words array<string>" * spell)
+    coded = texts.mapInArrow(_coded(check, spell, code), schema)
+    return coded.select("lang", "tongue", "_row", *[F.transform("code", _first_hash).alias("h1")] * code, "sizes",
                         *["h2"] * check, *["words"] * spell)
 
 
@@ -157,7 +158,7 @@ def _word_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int
     return codes
 
 
-def _split_texts(share: pa.RecordBatch, check: bool, spell: bool) -> pa.RecordBatch:
+def _split_texts(share: pa.RecordBatch, check: bool, spell: bool, code: bool = True) -> pa.RecordBatch:
     """tokens() of a share of texts, with codes in place of the first hash: whole-array arithmetic on bytes."""
     texts = share.column("text").cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -188,7 +189,8 @@ def _split_texts(share: pa.RecordBatch, check: bool, spell: bool) -> pa.RecordBa
 
     found = {k: share.column(k) for k in ("lang", "tongue", "_row")}
     found["sizes"] = lists(np.searchsorted(first, words_to), sizes)
-    found["code"] = lists(words_to, _signed(_word_codes(data, begin, end, 0)))
+    if code:
+        found["code"] = lists(words_to, _signed(_word_codes(data, begin, end, 0)))
     if check:
         found["h2"] = lists(words_to, _signed(_word_codes(data, begin, end, 1)))
     if spell:
@@ -198,13 +200,13 @@ def _split_texts(share: pa.RecordBatch, check: bool, spell: bool) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
 
-def _coded(check: bool, spell: bool):
+def _coded(check: bool, spell: bool, code: bool = True):
     """Per batch of texts their words, share by share (a longer text is a share of its own)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
             for share in _cut(batch, lengths, CHUNK_BYTES):
-                yield _split_texts(share, check, spell)
+                yield _split_texts(share, check, spell, code)
     return run
 
 
@@ -404,8 +406,9 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, at_least: int = AT
 def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[DataFrame, DataFrame]:
     # row ids of a deterministic input (a table) are the same each time it is read; texts are not copied
     rows = docs.select("lang", "text").withColumn("_row", F.monotonically_increasing_id())
-    hashed = _stored(tokens(rows).drop("_row"))
-    totals = checkpointed(hashed.groupBy("lang").agg(F.sum(F.size("h1")).cast("long").alias("n")))
+    hashed = tokens(rows).drop("_row")
+    totals = checkpointed(tokens(rows, code=False).groupBy("lang").agg(
+        F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, size: n + size)).alias("n")))
     found, parts, wanted = None, None, {}
     for m in range(1, longest + 1):
         kept = checkpointed(_counted(hashed, m, parts).where(F.col("n") >= at_least))
@@ -432,13 +435,6 @@ def _frequent_phrases(docs: DataFrame, longest: int, at_least: int) -> tuple[Dat
     return out, totals
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The same rows as a compressed table in the shared folder: word hashes repeat, a checkpoint keeps eight bytes each."""
-    where = shared_folder(df.sparkSession, "words")
-    df.write.option("compression", "zstd").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def _spelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Frequent fingerprints with their text, read at their first occurrence: only texts that hold one are split again."""
     places = found.groupBy("_row").agg(F.collect_list(F.struct("m", "_start", "n")).alias("_places"))

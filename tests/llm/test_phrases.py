@@ -139,3 +139,13 @@ def test_a_text_is_split_once_for_all_its_places(spark):
     assert sorted(tuple(r) for r in spelled.collect()) == [("en", 1, "p", 2), ("en", 2, "q r", 2), ("en", 3, "p q r", 2)]
     inner = spelled._jdf.queryExecution().optimizedPlan().toString()
     assert inner.count("regexp_extract_all") == 1 and "slice(flatten" not in inner
+
+
+def test_nothing_of_the_size_of_the_texts_is_stored(spark, tmp_path, monkeypatch):
+    """The passes split the texts again instead of storing word hashes: what is stored holds frequent phrases only."""
+    stored = []
+    monkeypatch.setattr(phrases, "checkpointed", lambda df: stored.append(df.localCheckpoint()) or stored[-1])
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda *_, **__: pytest.fail("a table is written"))
+    rows = [("en", f"w{i} x{i} a b. y{i}") for i in range(500)]
+    phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), at_least=100).collect()
+    assert stored and max(df.count() for df in stored) <= 3
